@@ -25,6 +25,7 @@ from fleetlens.operators.scan import int_chunk, row_index, time_chunk
 
 SCOPE = ("cluster_id", "snapshot_ts")
 MISSING_NODE_ERROR = "Node missing from Ray cluster"
+LISTING_CHUNK = 65536
 SPLIT_TARGET_PCT = 50.0
 SPLIT_TOLERANCE_PCT = 5.0
 
@@ -101,41 +102,63 @@ def _flag(name: str) -> Column:
 
 
 def replica_states_by_ip(replicas: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Replica states per node, and the listing of (id, state); blanks are skipped.
+    """Replica states per node in listing order, one row per replica; blank nodes skipped.
 
-    Both lists follow the listing order. ``states`` leaves out blank states, ``listing``
-    keeps them.
+    ``position`` counts all replicas of the node. Rows rather than lists, so a node with
+    very many replicas is no heavier than others. ``listed_state`` is null when blank.
     """
-    state, ip = _trimmed("state"), _trimmed("node_ip")
-    row = F.struct(
-        F.col("ordinal"), _trimmed("replica_id").alias("replica_id"), state.alias("state")
-    )
-    grouped = (
-        replicas.where(ip != "")
-        .groupBy(*scope, ip.alias("node_ip"))
-        .agg(F.array_sort(F.collect_list(row)).alias("__rows"))
-    )
-    return grouped.select(
+    rows = replicas.select(
         *scope,
-        "node_ip",
-        F.filter(F.col("__rows.state"), lambda s: s != "").alias("states"),
-        F.transform(
-            "__rows", lambda r: F.struct(r["replica_id"].alias("replica_id"), r["state"].alias("state"))
-        ).alias("listing"),
+        _trimmed("node_ip").alias("node_ip"),
+        _trimmed("replica_id").alias("replica_id"),
+        F.nullif(_trimmed("state"), F.lit("")).alias("listed_state"),
+        "ordinal",
+    ).where(F.col("node_ip") != "")
+    chunk = int_chunk(F.col("ordinal"), LISTING_CHUNK)
+    return row_index(rows, [*scope, "node_ip"], [F.col("ordinal")], chunk, "position").drop("ordinal")
+
+
+def node_lifecycle(
+    nodes: DataFrame, replicas: DataFrame, usable: Column, scope: Sequence[str] = SCOPE
+) -> DataFrame:
+    """Lifecycle of every listed node from all its replica states; joined means ALIVE."""
+    scope = list(scope)
+    joined = F.coalesce(F.col("state") == "ALIVE", F.lit(False))
+    return (
+        nodes.select("*", joined.alias("__joined"), usable.alias("__usable"))
+        .join(_replica_flags(replicas, scope), [*scope, "node_ip"], "left")
+        .select(
+            *scope,
+            "node_ip",
+            "node_id",
+            lifecycle_from_flags(
+                _flag("__running"), _flag("__warming"), _flag("__failed"), F.col("__joined"), F.col("__usable")
+            ).alias("lifecycle"),
+        )
     )
 
 
 def router_by_ip(
     router: DataFrame, registry: DataFrame, scope: Sequence[str] = SCOPE
 ) -> DataFrame:
-    """Router rows repeated for every address configured for their name."""
+    """Router rows repeated for every address configured for their name.
+
+    An address shared by several names belongs to the last of them in priority order.
+    """
     keys = [k for k in scope if k in registry.columns]
     addresses = registry.select(
         *keys,
         "name",
+        F.col("priority").alias("__rank"),
         F.explode(node_identifiers(F.col("expected_ip"), F.col("infer_url"))).alias("node_ip"),
     )
-    return router.drop("node_ip").join(addresses, [*keys, "name"])
+    rows = router.drop("node_ip").join(addresses, [*keys, "name"])
+    carried = [c for c in rows.columns if c not in (*scope, "node_ip", "__rank")]
+    return (
+        rows.groupBy(*scope, "node_ip")
+        .agg(F.max_by(F.struct(*carried), F.struct("__rank", "name")).alias("__row"))
+        .select(*scope, "node_ip", "__row.*")
+    )
 
 
 def _telemetry(columns: Sequence[str]) -> list[Column]:
@@ -175,20 +198,26 @@ def nodes_view(
 ) -> DataFrame:
     """Live GPU workers with lifecycle, role, preferred replica and router telemetry.
 
-    ``router`` carries one row per (scope, node_ip); see :func:`router_by_ip`.
-    ``aliases`` maps node_ip to a display name for nodes whose name is an address.
+    ``router`` carries one row per (scope, node_ip); see :func:`router_by_ip`. Of several
+    live nodes listed under one address the last is shown.
+    ``aliases`` maps node_ip, once each, to a display name for nodes named by address.
     """
     scope = list(scope)
-    live = alive_gpu_workers(nodes).where(_trimmed("node_ip") != "")
-    live = live.select(*scope, _trimmed("node_ip").alias("node_ip"), "node_id", "node_name")
+    live = (
+        alive_gpu_workers(nodes)
+        .where(_trimmed("node_ip") != "")
+        .groupBy(*scope, _trimmed("node_ip").alias("node_ip"))
+        .agg(F.max_by(F.struct("node_id", "node_name"), "ordinal").alias("__node"))
+        .select(*scope, "node_ip", "__node.*")
+    )
     rows = router.withColumnRenamed("status", "raw_status").withColumnRenamed("name", "router_name")
     joined = live.join(_replica_flags(replicas, scope), [*scope, "node_ip"], "left").join(
         rows, [*scope, "node_ip"], "left"
     )
     alias = F.lit(None).cast("string")
     if aliases is not None:
-        known = aliases.select("node_ip", F.col("alias").alias("__alias")).distinct()
-        joined = joined.join(known, "node_ip", "left")
+        keys = [*[k for k in scope if k in aliases.columns], "node_ip"]
+        joined = joined.join(aliases.select(*keys, F.col("alias").alias("__alias")), keys, "left")
         alias = F.col("__alias")
     return joined.select(
         node_display_name(F.col("node_name"), F.col("node_ip"), alias).alias("name"),

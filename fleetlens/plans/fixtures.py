@@ -15,8 +15,12 @@ from fleetlens.operators.scan import int_chunk, row_index
 from fleetlens.session import prepare
 
 
-def node_ip(region: Column, nation: Column) -> Column:
-    return F.concat(F.lit("10.0."), region.cast("string"), F.lit("."), nation.cast("string"))
+CLUSTER_SIZE = 25
+
+
+def node_ip(ordinal: Column) -> Column:
+    """Address of a node, unique within its cluster."""
+    return F.concat(F.lit("10.0."), ordinal % 5, F.lit("."), ordinal)
 
 
 class Tables:
@@ -134,30 +138,37 @@ class Tables:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        key = F.col("n_nationkey")
-        ip = node_ip(F.col("n_regionkey"), key)
+        """Clusters of up to 25 nodes; every customer is a node of one cluster."""
+        ordinal, nation = F.col("ordinal"), F.col("c_nationkey")
         resource = (
-            F.when(key % 4 == 0, "CPU")
-            .when(key % 4 == 1, "GPU")
-            .when(key % 4 == 2, "AMD_GPU")
+            F.when(nation % 4 == 0, "CPU")
+            .when(nation % 4 == 1, "GPU")
+            .when(nation % 4 == 2, "AMD_GPU")
             .otherwise("accelerator_type:X")
         )
-        return self.base("nation").select(
-            F.lit(0).alias("cluster_id"),
-            F.concat(F.lit("ray-"), key).alias("node_id"),
-            key.alias("ordinal"),
-            ip.alias("node_ip"),
-            F.when(key % 3 == 0, ip).otherwise(F.col("n_name")).alias("node_name"),
-            F.when(key % 7 == 3, "DEAD").otherwise("ALIVE").alias("state"),
-            (key == 0).alias("is_head_node"),
+        return self._members("customer", "c_custkey").select(
+            "cluster_id",
+            F.concat(F.lit("ray-"), "c_custkey").alias("node_id"),
+            "ordinal",
+            node_ip(ordinal).alias("node_ip"),
+            F.when(ordinal % 3 == 0, node_ip(ordinal)).otherwise(F.col("c_name")).alias("node_name"),
+            F.when(nation % 7 == 3, "DEAD").otherwise("ALIVE").alias("state"),
+            (ordinal == 0).alias("is_head_node"),
             F.create_map(resource, F.lit(1.0)).alias("resources"),
         )
 
+    def _members(self, table: str, key: str) -> DataFrame:
+        """Rows of a table with the cluster and the node ordinal their customer stands for."""
+        return self.base(table).select(
+            "*",
+            F.floor(F.col(key) / CLUSTER_SIZE).alias("cluster_id"),
+            (F.col(key) % CLUSTER_SIZE).alias("ordinal"),
+        )
+
     @cached_property
     def replicas(self) -> DataFrame:
-        """Replica listing; a supplier is a replica, its nation the node."""
-        key = F.col("s_suppkey")
-        nation = self.base("nation").select("n_nationkey", "n_regionkey")
+        """Replica listing: an open order is a replica on the node of its customer."""
+        key = F.col("o_orderkey")
         state = (
             F.when(key % 6 == 1, "STARTING")
             .when(key % 6 == 2, "FAILED")
@@ -165,78 +176,64 @@ class Tables:
             .when(key % 6 == 4, "UNHEALTHY")
             .otherwise("RUNNING")
         )
-        return (
-            self.base("supplier")
-            .where(F.col("s_acctbal") > 5000)
-            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-            .select(
-                F.lit(0).alias("cluster_id"),
-                key.alias("replica_id"),
-                key.alias("ordinal"),
-                F.concat(F.lit("ray-"), F.col("n_nationkey")).alias("node_id"),
-                node_ip(F.col("n_regionkey"), F.col("n_nationkey")).alias("node_ip"),
-                state.alias("state"),
-                F.concat(F.lit("/tmp/session/logs/serve/"), key, F.lit(".log")).alias("log_file_path"),
-            )
+        return self._members("orders", "o_custkey").where(F.col("o_orderstatus") == "O").select(
+            "cluster_id",
+            key.alias("replica_id"),
+            F.concat(F.lit("ray-"), "o_custkey").alias("node_id"),
+            node_ip(F.col("ordinal")).alias("node_ip"),
+            state.alias("state"),
+            F.concat(F.lit("/tmp/session/logs/serve/"), key, F.lit(".log")).alias("log_file_path"),
+            key.alias("ordinal"),
         )
 
     @cached_property
     def router_snapshot(self) -> DataFrame:
-        nation = self.base("nation").select("n_nationkey", "n_regionkey")
-        key = F.col("c_nationkey")
+        """Router rows of the nodes outside one market segment."""
+        key, nation, ordinal = F.col("c_custkey"), F.col("c_nationkey"), F.col("ordinal")
         status = (
-            F.when(key % 5 == 0, "failed")
-            .when(key % 5 == 1, "primary")
-            .when(key % 5 == 2, "respawning")
+            F.when(nation % 5 == 0, "failed")
+            .when(nation % 5 == 1, "primary")
+            .when(nation % 5 == 2, "respawning")
             .otherwise("reserve")
         )
-        return (
-            self.base("customer")
-            .where(key % 2 == 1)
-            .groupBy("c_nationkey")
-            .agg(
-                F.count(F.lit(1)).alias("jobs_total"),
-                F.count_if(F.col("c_acctbal") < 0).alias("jobs_failed"),
-            )
-            .join(nation, key == F.col("n_nationkey"))
-            .select(
-                F.lit(0).alias("cluster_id"),
-                F.concat(F.lit("node-"), key).alias("name"),
-                node_ip(F.col("n_regionkey"), key).alias("node_ip"),
-                status.alias("status"),
-                "jobs_total",
-                "jobs_failed",
-                (key % 3 != 0).alias("readiness_ok"),
-                key.alias("priority"),
-                F.when(key % 5 == 0, F.concat(F.lit("down "), key)).alias("last_error"),
-                (F.col("jobs_total") / 10.0).alias("last_latency_ms"),
-                (F.lit(1_700_000_000.0) + key).alias("last_check"),
-            )
+        managed = self._members("customer", "c_custkey").where(F.col("c_mktsegment") != "MACHINERY")
+        return managed.select(
+            "cluster_id",
+            F.concat(F.lit("node-"), ordinal).alias("name"),
+            node_ip(ordinal).alias("node_ip"),
+            status.alias("status"),
+            (key % 97).alias("jobs_total"),
+            (key % 7).alias("jobs_failed"),
+            (key % 13).alias("respawns"),
+            (key % 3).alias("inflight"),
+            (nation % 3 != 0).alias("readiness_ok"),
+            (key % 11 != 0).alias("sla_ok"),
+            ordinal.alias("priority"),
+            F.when(nation % 5 == 0, F.concat(F.lit("down "), key)).alias("last_error"),
+            F.col("c_acctbal").alias("last_latency_ms"),
+            (F.lit(1_700_000_000.25) + key).alias("last_check"),
+            F.abs("c_acctbal").alias("latency_p50_ms"),
+            (F.abs("c_acctbal") * 2).alias("latency_p95_ms"),
+            (F.abs("c_acctbal") * 3).alias("latency_p99_ms"),
         )
 
     @cached_property
     def node_registry(self) -> DataFrame:
-        """Configured nodes: region 1, one ip outside the fleet, one without an ip."""
-        key = F.col("n_nationkey")
-        ip = node_ip(F.col("n_regionkey"), key)
-        nation = self.base("nation")
-        configured = nation.where(F.col("n_regionkey") == 1).select(
-            F.lit(0).alias("cluster_id"),
-            F.concat(F.lit("node-"), key).alias("name"),
-            F.when(key % 3 == 2, F.lit("10.9.9.9")).otherwise(ip).alias("expected_ip"),
-            F.concat(F.lit("http://"), ip, F.lit(":8000/infer/v1/chat/completions")).alias("infer_url"),
-            key.alias("priority"),
-            F.concat(F.lit("alias-"), key).alias("alias"),
+        """Configured nodes of two segments; some share an outside address, some have none."""
+        ordinal = F.col("ordinal")
+        ip = node_ip(ordinal)
+        host = F.when(ordinal % 11 == 0, "localhost").otherwise(ip)
+        listed = self._members("customer", "c_custkey").where(
+            F.col("c_mktsegment").isin("BUILDING", "FURNITURE")
         )
-        extra = nation.where(key.isin(0, 3)).select(
-            F.lit(0).alias("cluster_id"),
-            F.when(key == 0, "lost").otherwise("unset").alias("name"),
-            F.when(key == 0, "10.8.8.8").otherwise("").alias("expected_ip"),
-            F.when(key == 0, "http://10.8.8.8:8000/infer").otherwise("http://localhost:8000/infer").alias("infer_url"),
-            (key + 100).alias("priority"),
-            F.lit(None).cast("string").alias("alias"),
+        return listed.select(
+            "cluster_id",
+            F.concat(F.lit("node-"), ordinal).alias("name"),
+            F.when(ordinal % 3 == 2, "10.9.9.9").when(ordinal % 5 == 0, "").otherwise(ip).alias("expected_ip"),
+            F.concat(F.lit("http://"), host, F.lit(":8000/infer/v1/chat/completions")).alias("infer_url"),
+            ordinal.alias("priority"),
+            F.concat(F.lit("alias-"), F.col("c_custkey")).alias("alias"),
         )
-        return configured.unionByName(extra)
 
     def snapshot_counts(self, before: bool) -> DataFrame:
         lines = self.base("lineitem")
@@ -244,7 +241,7 @@ class Tables:
             lines = lines.where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
         return lines.groupBy(F.col("l_suppkey").alias("replica_id")).agg(
             F.count(F.lit(1)).alias("posts")
-        ).select(F.lit(0).alias("cluster_id"), "replica_id", "posts")
+        ).select(F.floor(F.col("replica_id") / 5).alias("cluster_id"), "replica_id", "posts")
 
     @cached_property
     def log_text(self) -> DataFrame:
@@ -351,7 +348,6 @@ def job_events_view(events: DataFrame) -> DataFrame:
 
 _K = "CAST(json_extract_string(props,'$.k') AS INTEGER)"
 _ITEM_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate"
-_IP = "concat('10.0.', n_regionkey, '.', n_nationkey)"
 
 VIEW_SQL = {
     "ev": f"SELECT event_id, ts, user_id, event_type, value, {_K} AS k, {_K} % 4 AS node FROM events",
@@ -385,38 +381,41 @@ VIEW_SQL = {
         WHEN 'O' THEN 'failed' ELSE 'cancelled' END AS status, o_orderdate AS created_at FROM orders""",
     "token_jobs": """SELECT CAST(l_quantity AS INTEGER) AS input_tokens,
         CAST(l_partkey % 200 AS INTEGER) + 100 AS output_tokens FROM lineitem""",
-    "nodes": f"""SELECT concat('ray-', n_nationkey) AS node_id, n_nationkey AS ordinal, {_IP} AS node_ip,
-        CASE WHEN n_nationkey % 3 = 0 THEN {_IP} ELSE n_name END AS node_name,
-        CASE WHEN n_nationkey % 7 = 3 THEN 'DEAD' ELSE 'ALIVE' END AS state,
-        n_nationkey = 0 AS is_head_node,
-        CASE n_nationkey % 4 WHEN 0 THEN 'CPU' WHEN 1 THEN 'GPU' WHEN 2 THEN 'AMD_GPU'
-             ELSE 'accelerator_type:X' END AS resource_key FROM nation""",
-    "replicas": f"""SELECT s_suppkey AS replica_id, s_suppkey AS ordinal,
-        concat('ray-', n_nationkey) AS node_id, {_IP} AS node_ip,
-        CASE s_suppkey % 6 WHEN 1 THEN 'STARTING' WHEN 2 THEN 'FAILED' WHEN 3 THEN 'RECOVERING'
+    "members": """SELECT c_custkey // 25 AS cluster_id, c_custkey % 25 AS ordinal,
+        concat('10.0.', (c_custkey % 25) % 5, '.', c_custkey % 25) AS ip, * FROM customer""",
+    "nodes": """SELECT cluster_id, concat('ray-', c_custkey) AS node_id, ordinal, ip AS node_ip,
+        CASE WHEN ordinal % 3 = 0 THEN ip ELSE c_name END AS node_name,
+        CASE WHEN c_nationkey % 7 = 3 THEN 'DEAD' ELSE 'ALIVE' END AS state, ordinal = 0 AS is_head_node,
+        CASE c_nationkey % 4 WHEN 0 THEN 'CPU' WHEN 1 THEN 'GPU' WHEN 2 THEN 'AMD_GPU'
+             ELSE 'accelerator_type:X' END AS resource_key FROM members""",
+    "replicas": """SELECT o_custkey // 25 AS cluster_id, o_orderkey AS replica_id, o_orderkey AS ordinal,
+        concat('ray-', o_custkey) AS node_id,
+        concat('10.0.', (o_custkey % 25) % 5, '.', o_custkey % 25) AS node_ip,
+        CASE o_orderkey % 6 WHEN 1 THEN 'STARTING' WHEN 2 THEN 'FAILED' WHEN 3 THEN 'RECOVERING'
              WHEN 4 THEN 'UNHEALTHY' ELSE 'RUNNING' END AS state,
-        concat('/tmp/session/logs/serve/', s_suppkey, '.log') AS log_file_path
-        FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 5000""",
-    "router_snapshot": f"""SELECT concat('node-', c_nationkey) AS name, {_IP} AS node_ip,
+        concat('/tmp/session/logs/serve/', o_orderkey, '.log') AS log_file_path
+        FROM orders WHERE o_orderstatus = 'O'""",
+    "router_snapshot": """SELECT cluster_id, concat('node-', ordinal) AS name, ip AS node_ip,
         CASE c_nationkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'primary' WHEN 2 THEN 'respawning'
-             ELSE 'reserve' END AS status, jobs_total, jobs_failed,
-        c_nationkey % 3 <> 0 AS readiness_ok, c_nationkey AS priority,
-        CASE WHEN c_nationkey % 5 = 0 THEN concat('down ', c_nationkey) END AS last_error,
-        jobs_total / 10.0 AS last_latency_ms, 1700000000.0 + c_nationkey AS last_check
-        FROM (SELECT c_nationkey, count(*) AS jobs_total, count(*) FILTER (c_acctbal < 0) AS jobs_failed
-              FROM customer WHERE c_nationkey % 2 = 1 GROUP BY 1) JOIN nation ON c_nationkey = n_nationkey""",
-    "node_registry": f"""SELECT concat('node-', n_nationkey) AS name,
-        CASE WHEN n_nationkey % 3 = 2 THEN '10.9.9.9' ELSE {_IP} END AS expected_ip, {_IP} AS url_ip,
-        n_nationkey AS priority, concat('alias-', n_nationkey) AS alias
-        FROM nation WHERE n_regionkey = 1
-        UNION ALL SELECT 'lost', '10.8.8.8', '10.8.8.8', 100, NULL
-        UNION ALL SELECT 'unset', '', 'localhost', 103, NULL""",
-    "identifiers": """SELECT DISTINCT name, ip AS node_ip FROM (
-        SELECT name, expected_ip AS ip FROM node_registry UNION ALL SELECT name, url_ip FROM node_registry)
+             ELSE 'reserve' END AS status,
+        c_custkey % 97 AS jobs_total, c_custkey % 7 AS jobs_failed, c_custkey % 13 AS respawns,
+        c_custkey % 3 AS inflight, c_nationkey % 3 <> 0 AS readiness_ok, c_custkey % 11 <> 0 AS sla_ok,
+        ordinal AS priority, CASE WHEN c_nationkey % 5 = 0 THEN concat('down ', c_custkey) END AS last_error,
+        c_acctbal AS last_latency_ms, 1700000000.25::DOUBLE + c_custkey AS last_check,
+        abs(c_acctbal) AS latency_p50_ms, abs(c_acctbal) * 2 AS latency_p95_ms, abs(c_acctbal) * 3 AS latency_p99_ms
+        FROM members WHERE c_mktsegment <> 'MACHINERY'""",
+    "node_registry": """SELECT cluster_id, concat('node-', ordinal) AS name,
+        CASE WHEN ordinal % 3 = 2 THEN '10.9.9.9' WHEN ordinal % 5 = 0 THEN '' ELSE ip END AS expected_ip,
+        CASE WHEN ordinal % 11 = 0 THEN 'localhost' ELSE ip END AS url_ip,
+        ordinal AS priority, concat('alias-', c_custkey) AS alias
+        FROM members WHERE c_mktsegment IN ('BUILDING','FURNITURE')""",
+    "identifiers": """SELECT DISTINCT cluster_id, name, ip AS node_ip FROM (
+        SELECT cluster_id, name, expected_ip AS ip FROM node_registry
+        UNION ALL SELECT cluster_id, name, url_ip FROM node_registry)
         WHERE ip NOT IN ('', '127.0.0.1', 'localhost', '0.0.0.0')""",
-    "snap_before": """SELECT l_suppkey AS replica_id, count(*) AS posts FROM lineitem
-        WHERE l_shipdate < TIMESTAMP '1998-01-01' GROUP BY 1""",
-    "snap_after": "SELECT l_suppkey AS replica_id, count(*) AS posts FROM lineitem GROUP BY 1",
+    "snap_before": """SELECT l_suppkey // 5 AS cluster_id, l_suppkey AS replica_id, count(*) AS posts FROM lineitem
+        WHERE l_shipdate < TIMESTAMP '1998-01-01' GROUP BY 1, 2""",
+    "snap_after": "SELECT l_suppkey // 5 AS cluster_id, l_suppkey AS replica_id, count(*) AS posts FROM lineitem GROUP BY 1, 2",
     "log_text": "SELECT page_id AS replica_id, html AS raw FROM pages",
 }
 
@@ -428,7 +427,10 @@ _NEEDS = {
     "counter_samples": ["ev"],
     "status_samples": ["ev"],
     "job_events": ["ev"],
-    "identifiers": ["node_registry"],
+    "nodes": ["members"],
+    "router_snapshot": ["members"],
+    "node_registry": ["members"],
+    "identifiers": ["members", "node_registry"],
 }
 
 
