@@ -198,7 +198,7 @@ def recovery_phases(
     watch = targets.select(*id_cols)
 
     def slice_of(ts: Column) -> Column:
-        return F.floor(F.unix_micros(ts) / F.lit(int(span * 1_000_000)))
+        return time_chunk(ts, span)
 
     end = F.timestamp_micros(F.unix_micros("t0") + F.lit(int(span * 1_000_000)))
     sliced = watch.withColumn("__slice", F.explode(F.sequence(slice_of(F.col("t0")), slice_of(end))))

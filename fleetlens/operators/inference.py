@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from zlib import crc32
+from hashlib import md5
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,7 +33,7 @@ def _attempt_all(
     if not nodes:
         return (None, "no eligible nodes available", None, None, None, None)
     error = "router exhausted retries"
-    first = crc32(item_id.encode("utf-8"))
+    first = int(md5(item_id.encode("utf-8")).hexdigest()[:8], 16)
     for attempt in range(1, max_attempts + 1):
         node, url = nodes[(first + attempt - 1) % len(nodes)]
         begin = time.perf_counter()

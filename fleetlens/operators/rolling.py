@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.operators.scan import CHUNK, DEFAULT_CHUNK_S, previous_row, row_index, time_chunk, with_halo
+from fleetlens.operators.scan import CHUNK, DEFAULT_CHUNK_S, int_chunk, previous_row, row_index, time_chunk, with_halo
 
 SAMPLES = 1024
 BLOCK = 16384
@@ -72,8 +72,8 @@ def rolling_quantiles(
         time_chunk(F.col("ts"), chunk_s),
         "__rn",
     )
-    own = F.floor((F.col("__rn") - 1) / F.lit(block))
-    reach = F.floor((F.col("__rn") - 1 + F.lit(size - 1)) / F.lit(block))
+    own = int_chunk(F.col("__rn") - 1, block)
+    reach = int_chunk(F.col("__rn") + (size - 2), block)
     blocks = (
         numbered.withColumn("__own", own)
         .withColumn("__block", F.explode(F.sequence(own, reach)))

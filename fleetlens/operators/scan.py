@@ -23,14 +23,16 @@ DEFAULT_CHUNK_S = 300
 WindowFn = Callable[[WindowSpec], Column]
 
 
-def time_chunk(ts: Column, width_s: float = DEFAULT_CHUNK_S) -> Column:
-    """Index of the fixed-width time slice that holds ``ts``."""
-    return F.floor(F.unix_micros(ts) / F.lit(int(width_s * 1_000_000)))
+def int_chunk(value: Column, width: int) -> Column:
+    """Index of the fixed-width slice of an integer order column; exact for any long."""
+    whole = F.lit(width).cast("long")
+    value = value.cast("long")
+    return F.call_function("div", value - F.pmod(value, whole), whole)
 
 
-def int_chunk(value: Column, width: int) -> Column:
-    """Index of the fixed-width slice of an integer order column."""
-    return F.floor(value / F.lit(width))
+def time_chunk(ts: Column, width_s: float = DEFAULT_CHUNK_S) -> Column:
+    """Index of the fixed-width time slice that holds ``ts``."""
+    return int_chunk(F.unix_micros(ts), int(width_s * 1_000_000))
 
 
 def chunked_scan(
@@ -122,8 +124,8 @@ def with_halo(df: DataFrame, ts: str, reach_s: float, width_s: float | None = No
     reach = int(reach_s * 1_000_000)
     width = int((width_s or 4 * reach_s) * 1_000_000)
     micros = F.unix_micros(F.col(ts))
-    own = F.floor(micros / F.lit(width))
-    last = F.floor((micros + F.lit(reach)) / F.lit(width))
+    own = int_chunk(micros, width)
+    last = int_chunk(micros + F.lit(reach), width)
     return (
         df.withColumn("__own", own)
         .withColumn(CHUNK, F.explode(F.sequence(own, last)))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from zlib import crc32
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ CHUNK_CHARS = 61
 STREAM_EPOCH = 1_700_000_000
 
 
-def _turns(t: Tables) -> DataFrame:
+def turns(t: Tables) -> DataFrame:
     """One request per conversation turn."""
     return t.chat_messages.select(
         F.concat_ws("-", "conv_id", "turn").alias("request_id"),
@@ -34,14 +33,14 @@ def _turns(t: Tables) -> DataFrame:
 
 
 def _wire(t: Tables) -> DataFrame:
-    turns = _turns(t)
+    calls = turns(t)
     extra = F.when(F.col("conv_id") % 3 == 1, '{"max_tokens":64,"seed":7}').when(
         F.col("conv_id") % 3 == 2, '{"top_k":40,"note":{"a":[1,2]}}'
     )
     stop = F.when(F.col("turn") % 2 == 0, F.array(F.lit("END"))).otherwise(F.array().cast("array<string>"))
     max_tokens = F.when(F.col("turn") == 3, F.lit(100))
     body = wire.request_to_wire(F.col("model"), F.col("messages"), stop=stop, extra=extra, max_tokens=max_tokens)
-    parsed = turns.withColumn("body", body)
+    parsed = calls.withColumn("body", body)
 
     def at(path: str):
         return F.get_json_object("body", path)
@@ -62,7 +61,7 @@ def _wire(t: Tables) -> DataFrame:
     )
 
 
-def _response_json(t: Tables) -> DataFrame:
+def response_bodies(t: Tables) -> DataFrame:
     """Response bodies with fields missing on some rows."""
     odd, full = F.col("turn") % 2 == 1, F.col("turn") % 3 != 0
     size = F.length("text").cast("long")
@@ -82,11 +81,11 @@ def _response_json(t: Tables) -> DataFrame:
             F.struct(F.lit("alpha").alias("node")).alias("_served_by"),
         )
     )
-    return _turns(t).select("*", body.alias("body"))
+    return turns(t).select("*", body.alias("body"))
 
 
 def _responses(t: Tables) -> DataFrame:
-    typed = _response_json(t).withColumn("r", wire.response_from_wire(F.col("body")))
+    typed = response_bodies(t).withColumn("r", wire.response_from_wire(F.col("body")))
     return typed.select(
         "request_id",
         F.col("r.id").alias("id"),
@@ -101,9 +100,9 @@ def _responses(t: Tables) -> DataFrame:
     )
 
 
-_TURNS_SQL = """turns AS (SELECT concat(conv_id, '-', turn) AS request_id, * FROM conversations)"""
+TURNS_SQL = """turns AS (SELECT concat(conv_id, '-', turn) AS request_id, * FROM conversations)"""
 
-_RESPONSE_SQL = f"""responses AS (SELECT request_id, conv_id, turn, role, text, CASE WHEN turn % 3 <> 0 THEN request_id ELSE '' END AS id,
+RESPONSE_SQL = f"""responses AS (SELECT request_id, conv_id, turn, role, text, CASE WHEN turn % 3 <> 0 THEN request_id ELSE '' END AS id,
     CASE WHEN turn % 3 <> 0 THEN {STREAM_EPOCH} + conv_id ELSE 0 END AS created,
     CASE WHEN turn % 3 <> 0 THEN '{MODEL}' ELSE '' END AS model,
     CASE WHEN turn % 2 = 1 THEN length(text) ELSE 0 END AS prompt_tokens,
@@ -126,7 +125,7 @@ def _flat_records(records: DataFrame, *extra: str) -> DataFrame:
 
 
 def _online(t: Tables) -> DataFrame:
-    calls = _response_json(t).select(
+    calls = response_bodies(t).select(
         "model",
         "messages",
         wire.response_from_wire(F.col("body")).alias("response"),
@@ -137,9 +136,9 @@ def _online(t: Tables) -> DataFrame:
     return flat.withColumn("model_name", F.col("model_name"))
 
 
-def _streams(t: Tables) -> DataFrame:
+def stream_chunks(messages: DataFrame) -> DataFrame:
     """Assistant turns as event streams, cut into chunks that split lines."""
-    answers = t.chat_messages.where(F.col("role") == "assistant")
+    answers = messages.where(F.col("role") == "assistant")
     pieces = F.transform(
         F.split("text", " "),
         lambda word, i: F.concat(
@@ -176,20 +175,20 @@ def _started(t: Tables) -> DataFrame:
 
 
 def _stream_records(t: Tables) -> DataFrame:
-    requests = _turns(t).join(_started(t), "request_id").select(
+    requests = turns(t).join(_started(t), "request_id").select(
         "request_id",
         F.unix_seconds("started_at").alias("timestamp"),
         "model",
         "messages",
         (F.col("turn") * 2.0).alias("latency_ms"),
     )
-    records = batch.record_stream(requests, _streams(t))
+    records = batch.record_stream(requests, stream_chunks(t.chat_messages))
     events = F.size(F.split(F.get_json_object("output_response", "$.raw_stream"), "data: ")) - 1
     return _flat_records(records.withColumn("events", events), "events")
 
 
 def _transcripts(t: Tables) -> DataFrame:
-    done = transcripts.sse_transcripts(_streams(t), _started(t))
+    done = transcripts.sse_transcripts(stream_chunks(t.chat_messages), _started(t))
     return done.select("request_id", "text", "output_tokens")
 
 
@@ -205,7 +204,7 @@ def _results(t: Tables) -> DataFrame:
     return done.select("job_id", "ordinal", F.col("response_id").alias("response"), "error")
 
 
-def _offline(t: Tables) -> DataFrame:
+def offline_records(t: Tables) -> DataFrame:
     prompt, completion = F.col("prompt_tokens").cast("long"), F.col("completion_tokens").cast("long")
     response = F.struct(
         F.col("response_id").alias("id"),
@@ -226,7 +225,7 @@ def _offline(t: Tables) -> DataFrame:
     return batch.record_offline(items)
 
 
-_OFFLINE_SQL = f"""records AS (SELECT job_id, CASE WHEN response_id IS NOT NULL THEN response_id ELSE concat('err-', job_id) END AS request_id,
+OFFLINE_SQL = f"""records AS (SELECT job_id, CASE WHEN response_id IS NOT NULL THEN response_id ELSE concat('err-', job_id) END AS request_id,
     CASE WHEN response_id IS NOT NULL THEN {STREAM_EPOCH} + job_id ELSE {STREAM_EPOCH} END AS timestamp, '{MODEL}' AS model_name,
     concat('item ', ordinal) AS content, 0.0::DOUBLE AS latency_ms, error,
     CASE WHEN response_id IS NOT NULL THEN prompt_tokens ELSE 0 END::BIGINT AS prompt_tokens,
@@ -240,11 +239,11 @@ def _echo(url: str, request: str) -> str:
     index = [u for _, u in NODES].index(url)
     if (len(prompt) + index) % 3 == 0 or len(prompt) % 7 == 0:
         raise RuntimeError(f"{url} refused {len(prompt)}")
-    return json.dumps({"id": f"chatcmpl-{crc32(prompt.encode()) & 0xFFFF}", "model": MODEL})
+    return json.dumps({"id": f"chatcmpl-{len(prompt)}", "model": MODEL})
 
 
 def _inferred(t: Tables) -> DataFrame:
-    items = _turns(t).select(
+    items = turns(t).select(
         F.col("request_id").alias("custom_id"),
         wire.request_to_wire(F.col("model"), F.col("messages")).alias("request"),
         F.length("text").alias("size"),
@@ -357,7 +356,7 @@ QUERIES = {
     ),
     "request_to_wire": Query(
         _wire,
-        f"""WITH {_TURNS_SQL} SELECT request_id, '{MODEL}' AS model, text AS content,
+        f"""WITH {TURNS_SQL} SELECT request_id, '{MODEL}' AS model, text AS content,
         CASE WHEN conv_id % 3 = 1 THEN 64 WHEN turn = 3 THEN 100 ELSE 512 END AS max_tokens,
         0.7::DOUBLE AS temperature, 1.0::DOUBLE AS top_p, 1 AS n, 'false' AS stream,
         CASE WHEN turn % 2 = 0 THEN '["END"]' END AS stop, CASE WHEN conv_id % 3 = 1 THEN 7 END AS seed,
@@ -365,43 +364,53 @@ QUERIES = {
     ),
     "response_from_wire": Query(
         _responses,
-        f"""WITH {_TURNS_SQL}, {_RESPONSE_SQL} SELECT request_id, id, 'chat.completion' AS object, created, model,
+        f"""WITH {TURNS_SQL}, {RESPONSE_SQL} SELECT request_id, id, 'chat.completion' AS object, created, model,
         CASE WHEN turn % 3 <> 0 THEN 1 ELSE 0 END AS n_choices, CASE WHEN turn % 3 <> 0 THEN text END AS content,
         CASE WHEN turn % 3 <> 0 THEN CASE WHEN turn % 2 = 1 THEN 'length' ELSE 'stop' END END AS finish_reason,
         total_tokens, 'alpha' AS served_by FROM responses""",
     ),
     "record_online": Query(
         _online,
-        f"""WITH {_TURNS_SQL}, {_RESPONSE_SQL} SELECT id AS request_id, created AS timestamp, '{MODEL}' AS model_name,
+        f"""WITH {TURNS_SQL}, {RESPONSE_SQL} SELECT id AS request_id, created AS timestamp, '{MODEL}' AS model_name,
         text AS content, round(turn * 1.5::DOUBLE, 6) AS latency_ms, prompt_tokens, completion_tokens, total_tokens FROM responses""",
     ),
     "record_stream": Query(
         _stream_records,
-        f"""WITH {_TURNS_SQL} SELECT request_id, {STREAM_EPOCH} - 1 + conv_id AS timestamp, '{MODEL}' AS model_name, text AS content,
+        f"""WITH {TURNS_SQL} SELECT request_id, {STREAM_EPOCH} - 1 + conv_id AS timestamp, '{MODEL}' AS model_name, text AS content,
         turn * 2.0::DOUBLE AS latency_ms, 0::BIGINT AS prompt_tokens, 0::BIGINT AS completion_tokens, 0::BIGINT AS total_tokens,
         CAST(len(string_split(text, ' ')) + 1 AS INTEGER) AS events FROM turns WHERE role = 'assistant'""",
     ),
     "record_offline": Query(
-        lambda t: _flat_records(_offline(t).withColumn("error", F.get_json_object("output_response", "$.error")), "job_id", "error"),
-        with_views("batch_items", sql=f"WITH {_OFFLINE_SQL} SELECT * FROM records"),
+        lambda t: _flat_records(offline_records(t).withColumn("error", F.get_json_object("output_response", "$.error")), "job_id", "error"),
+        with_views("batch_items", sql=f"WITH {OFFLINE_SQL} SELECT * FROM records"),
     ),
     "record_key": Query(
-        lambda t: _offline(t).select(batch.record_key(F.col("request_id"), F.col("metadata")).alias("key"))
-        .unionByName(batch.record_online(_response_json(t).select(
+        lambda t: offline_records(t).select(batch.record_key(F.col("request_id"), F.col("metadata")).alias("key"))
+        .unionByName(batch.record_online(response_bodies(t).select(
             "model", "messages", wire.response_from_wire(F.col("body")).alias("response"), F.lit(0.0).alias("latency_ms"),
         )).select(batch.record_key(F.col("request_id"), F.col("metadata")).alias("key"))),
         with_views(
             "batch_items",
-            sql=f"""WITH {_OFFLINE_SQL}, {_TURNS_SQL}, {_RESPONSE_SQL}
+            sql=f"""WITH {OFFLINE_SQL}, {TURNS_SQL}, {RESPONSE_SQL}
             SELECT concat('outputs/offline/ray_job_', job_id, '/', request_id, '.json') AS key FROM records
             UNION ALL SELECT concat('outputs/online/', id, '.json') FROM responses""",
         ),
     ),
     "sse_transcripts": Query(
         _transcripts,
-        f"""WITH {_TURNS_SQL} SELECT request_id, text,
+        f"""WITH {TURNS_SQL} SELECT request_id, text,
         CAST(len(string_split(text, ' ')) - CASE WHEN starts_with(text, ' ') OR text = '' THEN 1 ELSE 0 END AS BIGINT) AS output_tokens
         FROM turns WHERE role = 'assistant'""",
     ),
-    "batch_infer": Query(_inferred),
+    "batch_infer": Query(
+        _inferred,
+        f"""WITH {TURNS_SQL}, a AS (SELECT request_id, CAST(length(text) AS INTEGER) AS size, k,
+          CAST((CAST(concat('0x', left(md5(request_id), 8)) AS BIGINT) + k - 1) % 3 AS INTEGER) AS i FROM turns, range(1, 3) r(k)),
+        b AS (SELECT *, (size + i) % 3 = 0 OR size % 7 = 0 AS bad FROM a),
+        c AS (SELECT request_id, any_value(size) AS size, min(k) FILTER (NOT bad) AS won, arg_max(i, k) AS last FROM b GROUP BY 1)
+        SELECT c.request_id AS custom_id, c.size, CASE WHEN won IS NOT NULL THEN ['alpha','beta','gamma'][b.i + 1] END AS node,
+          CAST(won AS INTEGER) AS attempt, CASE WHEN won IS NULL THEN concat('http://', ['alpha','beta','gamma'][last + 1], '/v1 refused ', c.size) END AS error,
+          CASE WHEN won IS NOT NULL THEN '{MODEL}' END AS model
+        FROM c LEFT JOIN b ON b.request_id = c.request_id AND b.k = c.won""",
+    ),
 }

@@ -161,7 +161,7 @@ class Tables:
         """Rows of a table with the cluster and the node ordinal their customer stands for."""
         return self.base(table).select(
             "*",
-            F.floor(F.col(key) / CLUSTER_SIZE).alias("cluster_id"),
+            int_chunk(F.col(key), CLUSTER_SIZE).alias("cluster_id"),
             (F.col(key) % CLUSTER_SIZE).alias("ordinal"),
         )
 
@@ -241,7 +241,7 @@ class Tables:
             lines = lines.where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
         return lines.groupBy(F.col("l_suppkey").alias("replica_id")).agg(
             F.count(F.lit(1)).alias("posts")
-        ).select(F.floor(F.col("replica_id") / 5).alias("cluster_id"), "replica_id", "posts")
+        ).select(int_chunk(F.col("replica_id"), 5).alias("cluster_id"), "replica_id", "posts")
 
     @cached_property
     def log_text(self) -> DataFrame:
@@ -443,6 +443,8 @@ def with_views(*names: str, sql: str) -> str:
                 ordered.append(needed)
     parts = ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in ordered)
     rest = sql.strip()
+    if rest.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {parts},\n{rest[15:]}"
     if rest.upper().startswith("WITH "):
         return f"WITH {parts},\n{rest[5:]}"
     return f"WITH {parts}\n{rest}"

@@ -11,15 +11,15 @@ from fleetlens.plans.registry import Query
 HOURS = 3600.0
 
 
-def _outage_sql(threshold: int) -> str:
+def outage_sql(threshold: int) -> str:
     return f"""SELECT node, ts AS outage_ts, seq FROM (
         SELECT *, row_number() OVER (PARTITION BY node, run, healthy ORDER BY ts, seq) AS nth FROM (
           SELECT *, sum(CASE WHEN healthy THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY ts, seq) AS run FROM probes))
       WHERE NOT healthy AND nth = {threshold}"""
 
 
-_DOWN_SQL = f"""SELECT o.node, o.outage_ts, min(p.ts) AS recovered_ts
-    FROM ({_outage_sql(3)}) o JOIN probes p ON p.node = o.node AND p.healthy AND p.ts > o.outage_ts
+DOWN_SQL = f"""SELECT o.node, o.outage_ts, min(p.ts) AS recovered_ts
+    FROM ({outage_sql(3)}) o JOIN probes p ON p.node = o.node AND p.healthy AND p.ts > o.outage_ts
     GROUP BY o.node, o.outage_ts"""
 
 
@@ -55,17 +55,17 @@ _RECOVERY_SQL = """s AS (SELECT node, ts, CASE event_type WHEN 'error' THEN 'DEA
 QUERIES = {
     "probe_outages": Query(
         lambda t: inc.probe_outages(t.probes).drop("cluster_id"),
-        with_views("probes", sql=_outage_sql(3)),
+        with_views("probes", sql=outage_sql(3)),
     ),
     "probe_outages_watchdog": Query(
         lambda t: inc.probe_outages(t.probes, threshold=inc.WATCHDOG_THRESHOLD).drop("cluster_id"),
-        with_views("probes", sql=_outage_sql(2)),
+        with_views("probes", sql=outage_sql(2)),
     ),
     "downtime": Query(
         lambda t: inc.downtime(t.probes).drop("cluster_id"),
         with_views(
             "probes",
-            sql=f"SELECT *, round((epoch_us(recovered_ts) - epoch_us(outage_ts)) / 1e6, 6) AS downtime_s FROM ({_DOWN_SQL})",
+            sql=f"SELECT *, round((epoch_us(recovered_ts) - epoch_us(outage_ts)) / 1e6, 6) AS downtime_s FROM ({DOWN_SQL})",
         ),
     ),
     "respawn_counts": Query(
@@ -73,7 +73,7 @@ QUERIES = {
         with_views(
             "probes",
             sql=f"""SELECT node, count(*) AS respawns,
-            round(sum((epoch_us(recovered_ts) - epoch_us(outage_ts)) / 1e6), 6) AS downtime_s FROM ({_DOWN_SQL}) GROUP BY node""",
+            round(sum((epoch_us(recovered_ts) - epoch_us(outage_ts)) / 1e6), 6) AS downtime_s FROM ({DOWN_SQL}) GROUP BY node""",
         ),
     ),
     "alert_hold": Query(

@@ -35,7 +35,7 @@ def _alarm_samples(t: Tables):
     return gateway.unionByName(jobs).unionByName(rto)
 
 
-_RTO_SQL = """SELECT ts, node, failed_node, (epoch_us(ts) - epoch_us(prev_ts)) / 1e6 AS elapsed_seconds
+RTO_SQL = """SELECT ts, node, failed_node, (epoch_us(ts) - epoch_us(prev_ts)) / 1e6 AS elapsed_seconds
     FROM (SELECT *, lag(event) OVER w AS prev_event, lag(ts) OVER w AS prev_ts, lag(node) OVER w AS failed_node
           FROM ops_events WINDOW w AS (ORDER BY ts, seq))
     WHERE event = 'RETRY' AND prev_event = 'FAILOVER'"""
@@ -121,14 +121,14 @@ QUERIES = {
         with_views(
             "ops_events",
             sql=f"""SELECT date_trunc('hour', ts) AS window_start, round(max(elapsed_seconds), 6) AS max_rto_s,
-            round(quantile_cont(elapsed_seconds, 0.99), 4) AS p99_rto_s FROM ({_RTO_SQL}) GROUP BY 1""",
+            round(quantile_cont(elapsed_seconds, 0.99), 4) AS p99_rto_s FROM ({RTO_SQL}) GROUP BY 1""",
         ),
     ),
     "failover_rto": Query(
         lambda t: failover_rto(t.ops_events).drop("cluster_id"),
         with_views(
             "ops_events",
-            sql=f"SELECT ts, node, failed_node, round(elapsed_seconds, 6) AS elapsed_seconds FROM ({_RTO_SQL})",
+            sql=f"SELECT ts, node, failed_node, round(elapsed_seconds, 6) AS elapsed_seconds FROM ({RTO_SQL})",
         ),
     ),
     "alarm_eval": Query(
@@ -141,7 +141,7 @@ QUERIES = {
               SELECT ts, 'availability' AS metric, CASE WHEN status IN (200,201,302) THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM requests
               UNION ALL SELECT ts, 'latency_ms', latency_ms FROM requests
               UNION ALL SELECT created_at, 'batch_reliability', CASE WHEN status = 'completed' THEN 1.0 ELSE 0.0 END::DOUBLE FROM batch_jobs
-              UNION ALL SELECT ts, 'failover_rto_seconds', elapsed_seconds FROM ({_RTO_SQL})),
+              UNION ALL SELECT ts, 'failover_rto_seconds', elapsed_seconds FROM ({RTO_SQL})),
             rules(alarm, metric, threshold, period, below) AS (VALUES
               ('GatewayAvailabilityLow','availability',0.999,300,true),
               ('GatewayLatencyHigh','latency_ms',4500.0,300,false),

@@ -1 +1,173 @@
-QUERIES = {}
+"""Streaming queries: the test tables read as streams, run to the end, compared to SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fleetlens.functions.status import success_flag
+from fleetlens.operators.admission import rate_limit_labels
+from fleetlens.operators.slo import ALARM_RULES
+from fleetlens.plans import fixtures
+from fleetlens.plans.batch import STREAM_EPOCH, stream_chunks
+from fleetlens.plans.fixtures import Tables, with_views
+from fleetlens.plans.incidents import DOWN_SQL, outage_sql
+from fleetlens.plans.registry import Query
+from fleetlens.plans.requests import RTO_SQL
+from fleetlens.streaming import queries as sq
+from fleetlens.streaming.run import parquet_stream, run_available
+
+DAY = 86400
+AVAILABILITY, LATENCY = ALARM_RULES[0], ALARM_RULES[1]
+
+
+def _events(t: Tables) -> DataFrame:
+    return fixtures.events_view(parquet_stream(t.spark, f"{t.sf_dir}/events.parquet"))
+
+
+def _requests(t: Tables) -> DataFrame:
+    return fixtures.requests_view(_events(t))
+
+
+def _samples(t: Tables) -> DataFrame:
+    return _requests(t).select(
+        "cluster_id", "node", "ts", F.col("request_id").alias("seq"), "latency_ms"
+    )
+
+
+def _sli(t: Tables) -> DataFrame:
+    long = _requests(t).select(
+        "cluster_id", "ts", F.lit("availability").alias("metric"), success_flag(F.col("status")).alias("value")
+    )
+    return run_available(sq.stream_sli(long, AVAILABILITY), "sli").drop("cluster_id")
+
+
+def _sli_latency(t: Tables) -> DataFrame:
+    long = _requests(t).select(
+        "cluster_id", "ts", F.lit("latency_ms").alias("metric"), F.col("latency_ms").alias("value")
+    )
+    return run_available(sq.stream_sli(long, LATENCY), "sli-latency").drop("cluster_id")
+
+
+def _sla(t: Tables) -> DataFrame:
+    states = run_available(sq.stream_sla_state(_samples(t), 300.0), "sla")
+    newest = F.max_by(F.struct("samples", "latency_p95_ms", "sla_ok"), "seq")
+    return states.groupBy("node").agg(newest.alias("s")).select("node", "s.*")
+
+
+def _jobs(t: Tables) -> DataFrame:
+    changes = run_available(sq.stream_job_state(fixtures.job_events_view(_events(t))), "jobs")
+    newest = F.max_by("status", F.struct("ts", "seq"))
+    return changes.groupBy("job_id").agg(newest.alias("status"), F.max("ts").alias("updated_at"))
+
+
+def _transcripts(t: Tables) -> DataFrame:
+    messages = parquet_stream(t.spark, f"{t.sf_dir}/conversations.parquet")
+    chunks = stream_chunks(messages).withColumn(
+        "started_at", F.timestamp_millis(F.lit(STREAM_EPOCH * 1000 - 250) + F.col("conv_id") * 1000)
+    )
+    return run_available(sq.stream_transcripts(chunks), "transcripts").select(
+        "request_id", "text", "output_tokens"
+    )
+
+
+_CLOSED = "(SELECT max(ts) FROM requests) - INTERVAL 10 MINUTES"
+
+
+def _sli_sql(metric: str, value: str, alarm: str, breach: str) -> str:
+    return with_views(
+        "requests",
+        sql=f"""SELECT '{metric}' AS metric, '{alarm}' AS alarm, window_start, round(avg(v), 6) AS mean, avg(v) {breach} AS breach
+        FROM (SELECT time_bucket(INTERVAL 300 SECONDS, ts) AS window_start, {value} AS v FROM requests)
+        GROUP BY window_start HAVING window_start + INTERVAL 300 SECONDS <= {_CLOSED}""",
+    )
+
+
+_ADMISSION_SQL = with_views(
+    "requests",
+    sql=f"""WITH RECURSIVE q AS (SELECT api_key_id, request_id, epoch_us(ts) AS us,
+        row_number() OVER (PARTITION BY api_key_id ORDER BY ts, request_id) AS rn FROM requests),
+      steps AS (SELECT api_key_id, request_id, rn, true AS accepted, [us] AS kept FROM q WHERE rn = 1
+        UNION ALL SELECT q.api_key_id, q.request_id, q.rn,
+          len(list_filter(s.kept, lambda x: x >= q.us - {DAY * 1000000})) < 3,
+          CASE WHEN len(list_filter(s.kept, lambda x: x >= q.us - {DAY * 1000000})) < 3
+            THEN list_append(list_filter(s.kept, lambda x: x >= q.us - {DAY * 1000000}), q.us)
+            ELSE list_filter(s.kept, lambda x: x >= q.us - {DAY * 1000000}) END
+        FROM steps s JOIN q ON q.api_key_id = s.api_key_id AND q.rn = s.rn + 1)
+      SELECT api_key_id, request_id, accepted FROM steps""",
+)
+
+QUERIES = {
+    "stream_sli": Query(
+        _sli,
+        _sli_sql("availability", "CASE WHEN status IN (200,201,302) THEN 1.0 ELSE 0.0 END", AVAILABILITY.alarm, "< 0.999"),
+    ),
+    "stream_sli_latency": Query(_sli_latency, _sli_sql("latency_ms", "latency_ms", LATENCY.alarm, "> 4500")),
+    "stream_traffic": Query(
+        lambda t: run_available(sq.stream_traffic(_requests(t)), "traffic"),
+        with_views(
+            "requests",
+            sql=f"""SELECT date_trunc('minute', ts) AS window_start, count(*) AS requests,
+            count(*) FILTER (status >= 400 AND status < 500) AS errors_4xx,
+            count(*) FILTER (status >= 500 AND status < 600) AS errors_5xx FROM requests GROUP BY 1
+            HAVING date_trunc('minute', any_value(ts)) + INTERVAL 1 MINUTE <= {_CLOSED}""",
+        ),
+    ),
+    "stream_outages": Query(
+        lambda t: run_available(sq.stream_outages(fixtures.probes_view(_events(t))), "outages").drop("cluster_id", "seq"),
+        with_views(
+            "probes",
+            sql=f"""SELECT node, 'FAILOVER' AS event, outage_ts AS ts, CAST(NULL AS DOUBLE) AS downtime_s FROM ({outage_sql(3)})
+            UNION ALL SELECT node, 'RESPAWN', recovered_ts, round((epoch_us(recovered_ts) - epoch_us(outage_ts)) / 1e6, 6) FROM ({DOWN_SQL})""",
+        ),
+    ),
+    "stream_sla_state": Query(
+        _sla,
+        with_views(
+            "requests",
+            sql="""SELECT node, CAST(count(*) AS INTEGER) AS samples, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95_ms,
+            quantile_cont(latency_ms, 0.95) <= 300 AS sla_ok FROM (SELECT *, row_number() OVER
+            (PARTITION BY node ORDER BY ts DESC, request_id DESC) AS back FROM requests) WHERE back <= 1024 GROUP BY 1""",
+        ),
+    ),
+    "stream_alert_hold": Query(
+        lambda t: run_available(
+            sq.stream_alert_hold(fixtures.status_view(fixtures.probes_view(_events(t)))), "alerts"
+        ).drop("cluster_id"),
+        with_views(
+            "status_samples",
+            sql="""WITH r AS (SELECT *, sum(CASE WHEN value <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY ts, seq) AS run FROM status_samples),
+            z AS (SELECT node, run, min(ts) AS zero_since FROM r WHERE value = 0 GROUP BY 1, 2),
+            e AS (SELECT z.*, min(r.ts) AS ended FROM z LEFT JOIN r ON r.node = z.node AND r.run = z.run + 1 AND r.value <> 0 GROUP BY ALL)
+            SELECT node, zero_since, zero_since + INTERVAL 30 SECONDS AS firing_ts FROM e
+            WHERE zero_since + INTERVAL 30 SECONDS <= coalesce(ended, (SELECT max(ts) FROM status_samples) - INTERVAL 10 MINUTES)""",
+        ),
+    ),
+    "stream_rate_limit": Query(
+        lambda t: run_available(sq.stream_rate_limit(_requests(t), 3, DAY), "admission").drop("ts"), _ADMISSION_SQL
+    ),
+    "rate_limit_labels": Query(
+        lambda t: rate_limit_labels(t.requests, limit=3, window_s=DAY).select("api_key_id", "request_id", "accepted"),
+        _ADMISSION_SQL,
+    ),
+    "stream_rto": Query(
+        lambda t: run_available(sq.stream_rto(fixtures.ops_view(_events(t))), "rto").drop("cluster_id"),
+        with_views(
+            "ops_events",
+            sql=f"SELECT ts, node, failed_node, round(elapsed_seconds, 6) AS elapsed_seconds FROM ({RTO_SQL})",
+        ),
+    ),
+    "stream_job_state": Query(
+        _jobs,
+        with_views(
+            "job_events",
+            sql="SELECT job_id, arg_max(ray_status, seq) AS status, max(ts) AS updated_at FROM job_events GROUP BY 1",
+        ),
+    ),
+    "stream_transcripts": Query(
+        _transcripts,
+        """SELECT concat(conv_id, '-', turn) AS request_id, text,
+        CAST(len(string_split(text, ' ')) - CASE WHEN starts_with(text, ' ') OR text = '' THEN 1 ELSE 0 END AS BIGINT) AS output_tokens
+        FROM conversations WHERE role = 'assistant'""",
+    ),
+}
