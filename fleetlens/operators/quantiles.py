@@ -4,16 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-# Buckets per factor of e: one bucket spans about 0.025 % of its value.
-RESOLUTION = 4096
+# Buckets per factor of two: one bucket spans about 0.07 % of its value.
+RESOLUTION = 1024
+# Linear parts a wanted bucket is cut into.
+PARTS = 4096
+# Below every base-2 logarithm of a double, so that bucket numbers stay positive.
+LOWEST_EXPONENT = 1100
 
 
-def _bucket(value: Column) -> Column:
-    """Order-preserving logarithmic bucket of a double."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(RESOLUTION))
+def _magnitude(value: Column) -> Column:
+    """Order-preserving bucket of a double, relative to its own size."""
+    exponent = F.least(F.log2(F.abs(value)), F.lit(1025.0))  # infinity has a bucket of its own
+    steps = F.floor(exponent * RESOLUTION) + F.lit(LOWEST_EXPONENT * RESOLUTION)
+    return F.when(value == 0, F.lit(0).cast("long")).otherwise(F.signum(value).cast("long") * steps)
+
+
+def _part(value: Column, low: Column, high: Column) -> Column:
+    """Order-preserving linear part of a bucket that spans ``low`` to ``high``."""
+    return F.when(high > low, F.floor((value - low) / (high - low) * PARTS)).otherwise(F.lit(0).cast("long"))
+
+
+def _holds(start: Column, size: Column, n: Column, p: float, upper: bool) -> Column:
+    """Whether ranks ``start`` up to ``start + size`` include a rank p interpolates between."""
+    position = (n - 1) * F.lit(float(p))
+    wanted = F.ceil(position) if upper else F.floor(position)
+    return (wanted >= start) & (wanted < start + size)
+
+
+def _holds_any(start: Column, size: Column, n: Column, probs: Mapping[str, float]) -> Column:
+    hit = F.lit(False)
+    for p in probs.values():
+        for upper in (False, True):
+            hit = hit | _holds(start, size, n, p, upper)
+    return hit
 
 
 def exact_quantiles(
@@ -26,68 +52,70 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles of ``value`` per group, at position (n-1)*p.
 
-    ``probs`` maps output column to probability. Groups with no non-null value do not
-    appear. The work is three small steps on pre-aggregated data:
+    ``probs`` maps output column to probability. Groups without a value do not appear.
+    No task ever holds a group:
 
-    1. count rows per (group, value), which spreads a hot group over all tasks;
-    2. sum the counts per logarithmic bucket and scan them, to find the few buckets
-       that hold the wanted ranks;
-    3. only inside those buckets, scan the distinct values to the exact rank.
+    1. rows are counted per (group, value), which spreads a hot group over all tasks;
+    2. the counts are summed per logarithmic bucket and scanned, a few thousand rows per
+       group at most, to find the buckets that hold the wanted ranks;
+    3. those buckets alone are cut into equal parts and searched the same way;
+    4. the distinct values of the parts found are scanned to the exact ranks.
     """
-    keys = list(keys) or ["__all"]
-    if keys == ["__all"]:
+    groups = list(keys) or ["__all"]
+    if not keys:
         df = df.withColumn("__all", F.lit(0))
-    values = df.select(*keys, F.col(value).cast("double").alias("__v")).where(
+    values = df.select(*groups, F.col(value).cast("double").alias("__v")).where(
         F.col("__v").isNotNull() & ~F.isnan("__v")
     )
     # Adding 0.0 folds -0.0 into 0.0, so both count as one value.
     hist = (
         values.withColumn("__v", F.col("__v") + F.lit(0.0))
-        .groupBy(*keys, "__v")
+        .groupBy(*groups, "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__b", _bucket(F.col("__v")))
-    )
-    per_key = Window.partitionBy(*keys)
-    below = per_key.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
-        hist.groupBy(*keys, "__b")
-        .agg(F.sum("__c").alias("__bc"))
-        .withColumn("__start", F.coalesce(F.sum("__bc").over(below), F.lit(0)))
-        .withColumn("__n", F.sum("__bc").over(per_key))
+        .withColumn("__b", _magnitude(F.col("__v")))
     )
 
-    def rank(p: float, upper: bool) -> Column:
-        position = (F.col("__n") - 1) * F.lit(float(p))
-        return F.ceil(position) if upper else F.floor(position)
+    def preceding(partition: Sequence[str], order: str) -> WindowSpec:
+        return Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
-    def holds(start: Column, size: Column, p: float, upper: bool) -> Column:
-        wanted = rank(p, upper)
-        return (wanted >= start) & (wanted < start + size)
+    def before(size: str, partition: Sequence[str], order: str) -> Column:
+        return F.coalesce(F.sum(size).over(preceding(partition, order)), F.lit(0))
 
-    hit = F.lit(False)
-    for p in probs.values():
-        for upper in (False, True):
-            hit = hit | holds(F.col("__start"), F.col("__bc"), p, upper)
-    wanted = buckets.where(hit).select(*keys, "__b", "__start", "__n")
-
-    inside = (
-        Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.col("__n")
+    buckets = (
+        hist.groupBy(*groups, "__b")
+        .agg(F.sum("__c").alias("__size"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+        .withColumn("__start", before("__size", groups, "__b"))
+        .withColumn("__n", F.sum("__size").over(Window.partitionBy(*groups)))
+        .where(_holds_any(F.col("__start"), F.col("__size"), n, probs))
+        .drop("__size")
     )
-    ranked = hist.join(wanted, [*keys, "__b"]).withColumn(
-        "__at", F.col("__start") + F.coalesce(F.sum("__c").over(inside), F.lit(0))
+    near = hist.join(buckets, [*groups, "__b"]).withColumn(
+        "__part", _part(F.col("__v"), F.col("__low"), F.col("__high"))
     )
+    bucket = [*groups, "__b"]
+    parts = (
+        near.groupBy(*bucket, "__part")
+        .agg(F.sum("__c").alias("__size"), F.max("__start").alias("__from"), F.max("__n").alias("__n"))
+        .withColumn("__from", F.col("__from") + before("__size", bucket, "__part"))
+        .where(_holds_any(F.col("__from"), F.col("__size"), n, probs))
+        .select(*bucket, "__part", "__from")
+    )
+    part = [*bucket, "__part"]
+    ranked = near.join(parts, part).withColumn("__at", F.col("__from") + before("__c", part, "__v"))
+
     picks = [F.max("__n").alias("__n")]
     for name, p in probs.items():
         for upper, tag in ((False, "lo"), (True, "hi")):
-            at_rank = holds(F.col("__at"), F.col("__c"), p, upper)
-            picks.append(F.max(F.when(at_rank, F.col("__v"))).alias(f"__{tag}_{name}"))
-    found = ranked.groupBy(*keys).agg(*picks)
+            here = _holds(F.col("__at"), F.col("__c"), n, p, upper)
+            picks.append(F.max(F.when(here, F.col("__v"))).alias(f"__{tag}_{name}"))
+    found = ranked.groupBy(*groups).agg(*picks)
 
-    out = [F.col(k) for k in keys if k != "__all"]
+    out = [F.col(k) for k in keys]
     if count:
-        out.append(F.col("__n").alias(count))
+        out.append(n.alias(count))
     for name, p in probs.items():
-        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        position = (F.col("__n") - 1) * F.lit(float(p))
-        out.append((lo + (hi - lo) * (position - F.floor(position))).alias(name))
+        low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        position = (n - 1) * F.lit(float(p))
+        out.append((low + (high - low) * (position - F.floor(position))).alias(name))
     return found.select(*out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,25 +13,36 @@ PIECES = 1024
 
 
 def ordered_concat(
-    df: DataFrame, keys: Sequence[str], order: str, piece: str, out: str, size: int = PIECES
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    piece: str,
+    out: str,
+    size: int = PIECES,
+    also: Mapping[str, tuple[Column, Callable[[str], Column]]] | None = None,
 ) -> DataFrame:
     """Text pieces of each key joined in order.
 
     Pieces are first joined within slices of the order column, which spreads a key with
-    very many pieces over tasks; the last step joins only the slices.
+    very many pieces over tasks; the last step joins only the slices. ``also`` names
+    further aggregates: one over the pieces and the one that merges it over slices.
     """
+    also = also or {}
 
     def joined(rows: str) -> Column:
         return F.array_join(F.array_sort(F.collect_list(rows))["p"], "")
 
     keys = list(keys)
     sliced = (
-        df.select(*keys, int_chunk(F.col(order), size).alias("o2"), F.struct(F.col(order).alias("o"), F.col(piece).alias("p")).alias("__row"))
-        .groupBy(*keys, "o2")
-        .agg(joined("__row").alias("__text"))
-        .select(*keys, F.struct(F.col("o2").alias("o"), F.col("__text").alias("p")).alias("__row"))
+        df.withColumn("__slice", int_chunk(F.col(order), size))
+        .withColumn("__row", F.struct(F.col(order).alias("o"), F.col(piece).alias("p")))
+        .groupBy(*keys, "__slice")
+        .agg(joined("__row").alias("__text"), *[first.alias(name) for name, (first, _) in also.items()])
+        .withColumn("__row", F.struct(F.col("__slice").alias("o"), F.col("__text").alias("p")))
+    )
+    return sliced.groupBy(*keys).agg(
+        joined("__row").alias(out), *[merge(name).alias(name) for name, (_, merge) in also.items()]
     )
-    return sliced.groupBy(*keys).agg(joined("__row").alias(out))
 
 
 def delta_content(line: Column) -> Column:
@@ -66,9 +77,9 @@ def sse_lines(chunks: DataFrame, slice_size: int = PIECES) -> DataFrame:
         "request_id", "seq", "ts", first.alias("__first"), F.posexplode(F.split("chunk", "\n")).alias("__at", "piece")
     ).withColumn("line_no", F.col("__first") + F.col("__at"))
     filled = pieces.where(F.col("piece") != "")
-    texts = ordered_concat(filled, ["request_id", "line_no"], "seq", "piece", "line", slice_size)
-    times = filled.groupBy("request_id", "line_no").agg(F.max("ts").alias("ts"))
-    return texts.join(times, ["request_id", "line_no"])
+    return ordered_concat(
+        filled, ["request_id", "line_no"], "seq", "piece", "line", slice_size, {"ts": (F.max("ts"), F.max)}
+    )
 
 
 def sse_transcripts(chunks: DataFrame, started: DataFrame | None = None) -> DataFrame:
@@ -86,17 +97,20 @@ def sse_transcripts(chunks: DataFrame, started: DataFrame | None = None) -> Data
     spans = spans.select("request_id", begin.alias("__begin"), "__last")
 
     tokens = sse_lines(chunks).withColumn("token", delta_content(F.col("line"))).where(F.col("token").isNotNull())
-    counts = tokens.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("output_tokens"), F.min("ts").alias("__token_ts")
+    texts = ordered_concat(
+        tokens,
+        ["request_id"],
+        "line_no",
+        "token",
+        "text",
+        also={"output_tokens": (F.count(F.lit(1)), F.sum), "__token_ts": (F.min("ts"), F.min)},
     )
-    texts = ordered_concat(tokens, ["request_id"], "line_no", "token", "text")
 
     def ms(later: str) -> Column:
         return (F.unix_micros(later) - F.unix_micros("__begin")) / 1000.0
 
     return (
-        spans.join(counts, "request_id", "left")
-        .join(texts, "request_id", "left")
+        spans.join(texts, "request_id", "left")
         .select(
             "request_id",
             F.coalesce("text", F.lit("")).alias("text"),

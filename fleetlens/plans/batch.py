@@ -155,10 +155,7 @@ def stream_chunks(messages: DataFrame) -> DataFrame:
         ),
     )
     whole = F.concat(F.array_join(pieces, "\n\n"), F.lit("\n\ndata: [DONE]\n\n"))
-    cut = F.transform(
-        F.sequence(F.lit(0), F.floor((F.length("whole") - 1) / CHUNK_CHARS).cast("int")),
-        lambda i: F.substr("whole", i * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS)),
-    )
+    cut = F.regexp_extract_all("whole", F.lit("(?s).{1,%d}" % CHUNK_CHARS), F.lit(0))
     return answers.withColumn("whole", whole).select(
         F.concat_ws("-", "conv_id", "turn").alias("request_id"),
         "conv_id",

@@ -1,14 +1,15 @@
 """State machines over keyed telemetry streams.
 
-Each processor keeps a small state per key and sorts the rows of a micro-batch by time
-before it steps through them. Rows of a key are expected in order across micro-batches;
-the trigger's size bounds how many rows of one key a task sees at once.
+Each processor keeps a small state per key and steps through the rows of a micro-batch in
+time order. Spark sorts them (see :func:`keyed`) and hands them over in Arrow batches, so
+a task holds one batch at a time however many rows its key has. Across micro-batches the
+rows of a key are expected in order of arrival.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,12 +18,22 @@ from pyspark.sql.streaming import StatefulProcessor
 from fleetlens.operators.incidents import ALERT_HOLD_S, ROUTER_THRESHOLD
 from fleetlens.operators.rolling import SAMPLES, interpolate
 from fleetlens.operators.slo import RATE_LIMIT, RATE_WINDOW_S, SLA_P95_MS
+from fleetlens.streaming.run import state_partitions
 
 MICROS = 1_000_000
 
 
-def _ordered(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(list(by))
+def _in_order(rows: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
+    """The Arrow batches of a key, checked to be sorted within and across batches."""
+    last = None
+    for pdf in rows:
+        if pdf.empty:
+            continue
+        column = pdf[by]
+        if not column.is_monotonic_increasing or (last is not None and column.iloc[0] < last):
+            raise ValueError(f"rows of a key must arrive sorted by {by}")
+        last = column.iloc[-1]
+        yield pdf
 
 
 def _micros(series: pd.Series) -> list[int]:
@@ -51,20 +62,20 @@ class OutageProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         failures, outage = self.state.get() if self.state.exists() else (0, None)
-        pdf = _ordered(rows, "ts", "seq")
-        out = []
-        for at, seq, healthy in zip(_micros(pdf["ts"]), pdf["seq"].tolist(), pdf["healthy"].tolist()):
-            if healthy:
-                if outage is not None:
-                    out.append((*key, "RESPAWN", _stamp(at), seq, (at - outage) / MICROS))
-                failures, outage = 0, None
-                continue
-            failures += 1
-            if failures == self.threshold:
-                outage = at
-                out.append((*key, "FAILOVER", _stamp(at), seq, None))
+        for pdf in _in_order(rows, "ts"):
+            out = []
+            for at, seq, healthy in zip(_micros(pdf["ts"]), pdf["seq"].tolist(), pdf["healthy"].tolist()):
+                if healthy:
+                    if outage is not None:
+                        out.append((*key, "RESPAWN", _stamp(at), seq, (at - outage) / MICROS))
+                    failures, outage = 0, None
+                    continue
+                failures += 1
+                if failures == self.threshold:
+                    outage = at
+                    out.append((*key, "FAILOVER", _stamp(at), seq, None))
+            yield _frame(out, self.COLUMNS)
         self.state.update((failures, outage))
-        yield _frame(out, self.COLUMNS)
 
     def close(self) -> None:
         pass
@@ -81,19 +92,19 @@ class RtoProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pending = self.state.get() if self.state.exists() else None
-        pdf = _ordered(rows, "ts", "seq")
-        out = []
-        for at, event, node in zip(_micros(pdf["ts"]), pdf["event"].tolist(), pdf["node"].tolist()):
-            if event == "FAILOVER":
-                pending = (at, node)
-            elif pending is not None:
-                out.append((*key, _stamp(at), node, pending[1], (at - pending[0]) / MICROS))
-                pending = None
+        for pdf in _in_order(rows, "ts"):
+            out = []
+            for at, event, node in zip(_micros(pdf["ts"]), pdf["event"].tolist(), pdf["node"].tolist()):
+                if event == "FAILOVER":
+                    pending = (at, node)
+                elif pending is not None:
+                    out.append((*key, _stamp(at), node, pending[1], (at - pending[0]) / MICROS))
+                    pending = None
+            yield _frame(out, self.COLUMNS)
         if pending is None:
             self.state.clear()
         else:
             self.state.update(pending)
-        yield _frame(out, self.COLUMNS)
 
     def close(self) -> None:
         pass
@@ -113,13 +124,15 @@ class SlaProcessor(StatefulProcessor):
         self.samples = handle.getListState("samples", "ms double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, "ts", "seq")
         kept = [row[0] for row in self.samples.get()] if self.samples.exists() else []
-        kept = (kept + pdf["latency_ms"].tolist())[-self.size :]
+        seq = None
+        for pdf in _in_order(rows, "ts"):
+            kept = (kept + pdf["latency_ms"].tail(self.size).tolist())[-self.size :]
+            seq = int(pdf["seq"].iloc[-1])
         self.samples.put([(value,) for value in kept])
         p95 = interpolate(sorted(kept), 0.95)
         ok = self.target_ms <= 0 or not kept or p95 <= self.target_ms
-        yield _frame([(*key, int(pdf["seq"].iloc[-1]), len(kept), p95, ok)], self.COLUMNS)
+        yield _frame([(*key, seq, len(kept), p95, ok)], self.COLUMNS)
 
     def close(self) -> None:
         pass
@@ -153,23 +166,23 @@ class AlertHoldProcessor(StatefulProcessor):
         since, fired = self.state.get() if self.state.exists() else (None, False)
         if since is not None and not fired:
             self.handle.deleteTimer(self._due_ms(since))
-        pdf = _ordered(rows, "ts", "seq")
-        out = []
-        for at, value in zip(_micros(pdf["ts"]), pdf["value"].tolist()):
-            if since is not None and not fired and at >= since + self.hold_us:
-                out.append(self._event(key, since))
-                fired = True
-            if value != 0:
-                since, fired = None, False
-            elif since is None:
-                since, fired = at, False
+        for pdf in _in_order(rows, "ts"):
+            out = []
+            for at, value in zip(_micros(pdf["ts"]), pdf["value"].tolist()):
+                if since is not None and not fired and at >= since + self.hold_us:
+                    out.append(self._event(key, since))
+                    fired = True
+                if value != 0:
+                    since, fired = None, False
+                elif since is None:
+                    since, fired = at, False
+            yield _frame(out, self.COLUMNS)
         if since is None:
             self.state.clear()
         else:
             self.state.update((since, fired))
             if not fired:
                 self.handle.registerTimer(self._due_ms(since))
-        yield _frame(out, self.COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         out = []
@@ -214,16 +227,16 @@ class RateLimitProcessor(StatefulProcessor):
         self.accepted = handle.getListState("accepted", "at_us bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, "ts", "request_id")
         accepted = [row[0] for row in self.accepted.get()] if self.accepted.exists() else []
-        labels = admit(_micros(pdf["ts"]), accepted, self.limit, self.window_us)
+        for pdf in _in_order(rows, "ts"):
+            labels = admit(_micros(pdf["ts"]), accepted, self.limit, self.window_us)
+            yield pd.DataFrame(
+                {"api_key_id": key[0], "request_id": pdf["request_id"], "ts": pdf["ts"], "accepted": labels}
+            )
         if accepted:
             self.accepted.put([(at,) for at in accepted])
         else:
             self.accepted.clear()
-        yield pd.DataFrame(
-            {"api_key_id": key[0], "request_id": pdf["request_id"], "ts": pdf["ts"], "accepted": labels}
-        )
 
     def close(self) -> None:
         pass
@@ -239,9 +252,9 @@ class JobStateProcessor(StatefulProcessor):
         self.state = handle.getValueState("latest", "at_us bigint, seq bigint, status string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, "ts", "seq")
-        at, seq = _micros(pdf["ts"].tail(1))[0], int(pdf["seq"].iloc[-1])
-        status = pdf["ray_status"].iloc[-1]
+        for pdf in _in_order(rows, "ts"):
+            at, seq = _micros(pdf["ts"].tail(1))[0], int(pdf["seq"].iloc[-1])
+            status = pdf["ray_status"].iloc[-1]
         out = []
         if not self.state.exists() or (at, seq) > tuple(self.state.get()[:2]):
             self.state.update((at, seq, status))
@@ -294,27 +307,28 @@ class TranscriptProcessor(StatefulProcessor):
         return (*key, "".join(pieces), len(pieces), ttft, latency, rate)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(rows, "seq")
-        times = _micros(pdf["ts"])
         if self.meta.exists():
             begin, token, last, partial, due, closed = self.meta.get()
             self.handle.deleteTimer(due)
         else:
-            started = _micros(pdf["started_at"])[0] if "started_at" in pdf else times[0]
-            begin, token, last, partial, closed = started, None, times[0], "", False
-        found = []
+            begin, token, last, partial, closed = None, None, None, "", False
         done = False
-        for at, chunk in zip(times, pdf["chunk"].tolist()):
-            *lines, partial = (partial + chunk).split("\n")
-            last = at
-            for line in lines:
-                delta = event_delta(line)
-                if delta is not None:
-                    found.append((delta,))
-                    token = at if token is None else token
-                done = done or line.strip() == "data: [DONE]"
-        if found and not closed:
-            self.tokens.appendList(found)
+        for pdf in _in_order(rows, "seq"):
+            times = _micros(pdf["ts"])
+            if begin is None:
+                begin = _micros(pdf["started_at"].head(1))[0] if "started_at" in pdf else times[0]
+            found = []
+            for at, chunk in zip(times, pdf["chunk"].tolist()):
+                *lines, partial = (partial + chunk).split("\n")
+                last = at
+                for line in lines:
+                    delta = event_delta(line)
+                    if delta is not None:
+                        found.append((delta,))
+                        token = at if token is None else token
+                    done = done or line.strip() == "data: [DONE]"
+            if found and not closed:
+                self.tokens.appendList(found)
         out = []
         if done and not closed:
             out.append(self._finish(key, begin, token, last))
@@ -344,9 +358,23 @@ class TranscriptProcessor(StatefulProcessor):
 
 
 def keyed(
-    stream: DataFrame, keys: list[str], processor: StatefulProcessor, *, event_time: bool = False
+    stream: DataFrame,
+    keys: list[str],
+    processor: StatefulProcessor,
+    order: Sequence[str] = ("ts", "seq"),
+    *,
+    event_time: bool = False,
 ) -> DataFrame:
-    """Run a processor over a stream grouped by ``keys``."""
-    return stream.groupBy(*keys).transformWithStateInPandas(
+    """Run a processor over a stream grouped by ``keys``, rows in ``order``.
+
+    The stateful operator needs its input partitioned and sorted by the keys. Doing both
+    here with the order columns added lets Spark's external sort put the rows of a key in
+    order at no extra exchange. Spark's check rejects any sort of a stream, though one
+    within a partition is harmless, so such queries are started with the settings of
+    :func:`fleetlens.streaming.run.stateful_settings`.
+    """
+    width = state_partitions(stream.sparkSession)
+    ordered = stream.repartition(width, *keys).sortWithinPartitions(*keys, *order)
+    return ordered.groupBy(*keys).transformWithStateInPandas(
         processor, processor.OUTPUT, "Append", "EventTime" if event_time else "None"
     )

@@ -71,7 +71,7 @@ def stream_alert_hold(samples: DataFrame, hold_s: float = 30.0, lateness: str =
 
 def stream_rate_limit(requests: DataFrame, limit: int = 15, window_s: float = 10.0) -> DataFrame:
     """Accept or reject per API key."""
-    return p.keyed(requests, ["api_key_id"], p.RateLimitProcessor(limit, window_s))
+    return p.keyed(requests, ["api_key_id"], p.RateLimitProcessor(limit, window_s), ["ts", "request_id"])
 
 
 def stream_rto(ops_events: DataFrame) -> DataFrame:
@@ -87,4 +87,4 @@ def stream_job_state(job_events: DataFrame) -> DataFrame:
 def stream_transcripts(chunks: DataFrame, timeout_s: float = 600.0, lateness: str = LATENESS) -> DataFrame:
     """Transcript and timing per streamed response; ``started_at`` is used where present."""
     timed = chunks.withWatermark("ts", lateness)
-    return p.keyed(timed, ["request_id"], p.TranscriptProcessor(timeout_s), event_time=True)
+    return p.keyed(timed, ["request_id"], p.TranscriptProcessor(timeout_s), ["seq"], event_time=True)

@@ -9,17 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetlens.sources.workdir import fresh_dir
 
-STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATEFUL = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    # Lets the keyed processors sort rows within partitions.
+    "spark.sql.streaming.unsupportedOperationCheck": "false",
+}
+
+
 SHUFFLE = "spark.sql.shuffle.partitions"
 
 
+def state_partitions(spark: SparkSession) -> int:
+    """State partitions: the session's shuffle width, or the cores of a local session.
+
+    Each is a state store and a Python worker, and the number is fixed at the first start.
+    """
+    if spark.sparkContext.master.startswith("local"):
+        return spark.sparkContext.defaultParallelism
+    return int(spark.conf.get(SHUFFLE))
+
+
 @contextmanager
-def _settings(spark: SparkSession, **conf: str) -> Iterator[None]:
-    names = {"provider": STATE_PROVIDER, "partitions": SHUFFLE}
-    before = {names[k]: spark.conf.get(names[k], None) for k in conf}
-    for key, value in conf.items():
-        spark.conf.set(names[key], value)
+def stateful_settings(spark: SparkSession) -> Iterator[None]:
+    """Settings a query with keyed processors must be started under; restored after."""
+    settings = {**STATEFUL, SHUFFLE: str(state_partitions(spark))}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -39,17 +57,15 @@ def parquet_stream(spark: SparkSession, path: str, files_per_trigger: int | None
     return reader.parquet(path[:-1] + f"[{path[-1]}]")
 
 
-def run_available(stream: DataFrame, label: str, *, partitions: int | None = None) -> DataFrame:
+def run_available(stream: DataFrame, label: str) -> DataFrame:
     """Process what is available now, append the output to a table and read it back.
 
     State stays in RocksDB and both the checkpoint and the table in the shared work
-    folder, so a lost executor resumes from there. State partitions are fixed at the
-    first start; by default there is one per core.
+    folder, so a lost executor resumes from there.
     """
     spark = stream.sparkSession
     out, marks = fresh_dir(spark, label), fresh_dir(spark, f"{label}-checkpoint")
-    width = partitions or spark.sparkContext.defaultParallelism
-    with _settings(spark, provider=ROCKSDB, partitions=str(width)):
+    with stateful_settings(spark):
         query = (
             stream.writeStream.format("parquet")
             .outputMode("append")
