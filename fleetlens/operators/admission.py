@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.operators.scan import CHUNK, DEFAULT_CHUNK_S, chunked_scan, previous_row, time_chunk
+from fleetlens.operators.scan import CHUNK, DEFAULT_CHUNK_S, chunked_scan, pack, previous_row, so_far, time_chunk, unpack
 from fleetlens.operators.slo import RATE_LIMIT, RATE_WINDOW_S
 
 MICROS = 1_000_000
@@ -32,20 +32,20 @@ def rate_limit_labels(
     window held, so a long run needs no more memory than a short one.
     """
     window_us = int(window_s * MICROS)
-    rows = requests.select(key, "ts", "request_id").withColumn(CHUNK, time_chunk(F.col("ts"), chunk_s))
-    paused = previous_row(rows, [key], ["ts", "request_id"], F.col(CHUNK), F.unix_micros("ts"), "__prev")
+    rows = pack(requests.select(key, "ts", "request_id"), [key])
+    slices = time_chunk(F.col("ts"), chunk_s)
+    paused = previous_row(rows, ["ts", "request_id"], slices, F.unix_micros("ts"), "__prev")
     at = F.unix_micros("ts")
     opens = F.col("__prev").isNull() | (at - F.col("__prev") > window_us)
     scanned = chunked_scan(
         paused.withColumn("__open", F.when(opens, at)),
-        [key],
         [F.col("ts"), F.col("request_id")],
-        time_chunk(F.col("ts"), chunk_s),
-        local={"__here": lambda w: F.max("__open").over(w)},
+        F.col(CHUNK),
+        local={"__here": lambda w: F.max("__open").over(so_far(w))},
         summary={"__latest": F.max("__open")},
         carry={"__earlier": lambda w: F.max("__latest").over(w)},
     )
-    runs = scanned.select(
+    runs = unpack(scanned).select(
         key, F.coalesce("__here", "__earlier").alias("__run"), at.alias("__at"), "ts", "request_id"
     )
     ordered = runs.repartition(key, "__run").sortWithinPartitions(key, "__run", "__at", "request_id")

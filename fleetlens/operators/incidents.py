@@ -11,8 +11,11 @@ from fleetlens.operators.scan import (
     CHUNK,
     DEFAULT_CHUNK_S,
     chunked_scan,
+    pack,
     previous_row,
+    so_far,
     time_chunk,
+    unpack,
 )
 
 NODE_KEYS = ("cluster_id", "node")
@@ -48,16 +51,14 @@ def failover_rto(
     if "routing_impact" in ops_events.columns:
         events = events.where((F.col("event") == "RETRY") | F.col("routing_impact"))
     paired = previous_row(
-        events,
-        keys,
+        pack(events.withColumn("__node", F.col("node")), keys),
         ["ts", "seq"],
         time_chunk(F.col("ts"), chunk_s),
-        F.struct("event", "ts", "node"),
+        F.struct("event", "ts", F.col("__node").alias("node")),
         "__prev",
     )
-    return paired.where(
-        (F.col("event") == "RETRY") & (F.col("__prev.event") == "FAILOVER")
-    ).select(
+    matched = paired.where((F.col("event") == "RETRY") & (F.col("__prev.event") == "FAILOVER"))
+    return unpack(matched).select(
         *keys,
         "ts",
         "node",
@@ -66,7 +67,7 @@ def failover_rto(
     )
 
 
-def _failure_runs(probes: DataFrame, keys: Sequence[str], chunk_s: float) -> DataFrame:
+def _failure_runs(probes: DataFrame, chunk_s: float) -> DataFrame:
     """Add ``failures``: consecutive failed probes up to and including each row.
 
     That is the running count of failures minus its value at the last healthy probe.
@@ -74,12 +75,11 @@ def _failure_runs(probes: DataFrame, keys: Sequence[str], chunk_s: float) -> Dat
     """
     scanned = chunked_scan(
         probes,
-        keys,
         _order(),
         time_chunk(F.col("ts"), chunk_s),
         local={
-            "__bad": lambda w: F.sum(F.when(F.col("healthy"), 0).otherwise(1)).over(w),
-            "__ok_at": lambda w: F.max(F.when(F.col("healthy"), F.col("__bad"))).over(w),
+            "__bad": lambda w: F.sum(F.when(F.col("healthy"), 0).otherwise(1)).over(so_far(w)),
+            "__ok_at": lambda w: F.max(F.when(F.col("healthy"), F.col("__bad"))).over(so_far(w)),
         },
         summary={"__bads": F.max("__bad"), "__last_ok": F.max("__ok_at")},
         carry={
@@ -101,10 +101,9 @@ def probe_outages(
     chunk_s: float = DEFAULT_CHUNK_S,
 ) -> DataFrame:
     """The probe at which each run of failures reaches the threshold; one row per run."""
-    runs = _failure_runs(probes.select(*keys, "ts", "seq", "healthy"), keys, chunk_s)
-    return runs.where(~F.col("healthy") & (F.col("failures") == threshold)).select(
-        *keys, F.col("ts").alias("outage_ts"), "seq"
-    )
+    runs = _failure_runs(pack(probes.select(*keys, "ts", "seq", "healthy"), keys), chunk_s)
+    found = runs.where(~F.col("healthy") & (F.col("failures") == threshold))
+    return unpack(found).select(*keys, F.col("ts").alias("outage_ts"), "seq")
 
 
 def downtime(
@@ -116,16 +115,14 @@ def downtime(
 ) -> DataFrame:
     """Time from each outage to the first healthy probe after it.
 
-    Between an outage and its recovery there are only failures, so it is enough to keep
-    the outage rows and the healthy rows that may follow a failure, and look one back.
+    Between an outage and its recovery there are only failures, so among the outage rows
+    and the healthy rows a recovery is a healthy row right after an outage.
     """
-    flagged = probes.select(*keys, "ts", "seq", "healthy")
-    runs = _failure_runs(flagged, keys, chunk_s)
+    runs = _failure_runs(pack(probes.select(*keys, "ts", "seq", "healthy"), keys), chunk_s)
     kept = runs.where(F.col("healthy") | (F.col("failures") == threshold))
-    paired = previous_row(
-        kept, keys, ["ts", "seq"], F.col(CHUNK), F.struct("healthy", "ts"), "__prev"
-    )
-    return paired.where(F.col("healthy") & ~F.col("__prev.healthy")).select(
+    paired = previous_row(kept, ["ts", "seq"], F.col(CHUNK), F.struct("healthy", "ts"), "__prev")
+    recovered = paired.where(F.col("healthy") & ~F.col("__prev.healthy"))
+    return unpack(recovered).select(
         *keys,
         F.col("__prev.ts").alias("outage_ts"),
         F.col("ts").alias("recovered_ts"),
@@ -149,29 +146,25 @@ def alert_hold(
 ) -> DataFrame:
     """Runs of zero samples that lasted at least ``hold_s``, with the first firing sample."""
     marked = previous_row(
-        samples.select(*keys, "ts", "seq", (F.col("value") == 0).alias("zero")).withColumn(
-            CHUNK, time_chunk(F.col("ts"), chunk_s)
-        ),
-        keys,
+        pack(samples.select(*keys, "ts", "seq", (F.col("value") == 0).alias("zero")), keys),
         ["ts", "seq"],
-        F.col(CHUNK),
+        time_chunk(F.col("ts"), chunk_s),
         F.col("zero"),
         "__prev",
     )
     starts = F.when(F.col("zero") & ~F.coalesce("__prev", F.lit(False)), F.col("ts"))
     scanned = chunked_scan(
         marked.withColumn("__start", starts),
-        keys,
         _order(),
-        time_chunk(F.col("ts"), chunk_s),
-        local={"__here": lambda w: F.max("__start").over(w)},
+        F.col(CHUNK),
+        local={"__here": lambda w: F.max("__start").over(so_far(w))},
         summary={"__latest": F.max("__start")},
         carry={"__earlier": lambda w: F.max("__latest").over(w)},
     )
     held = scanned.withColumn("zero_since", F.coalesce("__here", "__earlier")).where(
         F.col("zero") & (_seconds(F.col("ts"), F.col("zero_since")) >= F.lit(float(hold_s)))
     )
-    return held.groupBy(*keys, "zero_since").agg(F.min("ts").alias("firing_ts"))
+    return unpack(held).groupBy(*keys, "zero_since").agg(F.min("ts").alias("firing_ts"))
 
 
 def recovery_phases(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import occurrences
-from fleetlens.operators.scan import chunked_scan, int_chunk
+from fleetlens.operators.scan import chunked_scan, int_chunk, pack, so_far, unpack
 
 TAIL_LINES = 50000
 REPLICA_KEYS = ("cluster_id", "replica_id")
@@ -41,17 +41,16 @@ def log_tail(
     by = list(by)
     sized = logs.select(*by, "seq", F.size(_lines(F.col(text))).alias("__n"))
     scanned = chunked_scan(
-        sized,
-        by,
+        pack(sized, by),
         [F.col("seq").desc()],
         int_chunk(F.col("seq"), chunk),
-        local={"__to_here": lambda w: F.sum("__n").over(w)},
+        local={"__to_here": lambda w: F.sum("__n").over(so_far(w))},
         summary={"__total": F.sum("__n")},
         carry={"__after": lambda w: F.sum("__total").over(w)},
         backward=True,
     )
     later = F.coalesce("__after", F.lit(0)) + F.col("__to_here") - F.col("__n")
-    tail = scanned.select(*by, "seq", later.alias("__later")).where(F.col("__later") < lines)
+    tail = unpack(scanned).select(*by, "seq", later.alias("__later")).where(F.col("__later") < lines)
     return (
         logs.join(tail, [*by, "seq"])
         .select(*by, "seq", "__later", F.posexplode(F.reverse(_lines(F.col(text)))).alias("__back", "line"))

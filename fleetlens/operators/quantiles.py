@@ -19,12 +19,14 @@ def _magnitude(value: Column) -> Column:
     """Order-preserving bucket of a double, relative to its own size."""
     exponent = F.least(F.log2(F.abs(value)), F.lit(1025.0))  # infinity has a bucket of its own
     steps = F.floor(exponent * RESOLUTION) + F.lit(LOWEST_EXPONENT * RESOLUTION)
-    return F.when(value == 0, F.lit(0).cast("long")).otherwise(F.signum(value).cast("long") * steps)
+    zero = F.lit(0).cast("long")
+    return F.coalesce(F.when(value != 0, F.signum(value).cast("long") * steps), zero)
 
 
 def _part(value: Column, low: Column, high: Column) -> Column:
     """Order-preserving linear part of a bucket that spans ``low`` to ``high``."""
-    return F.when(high > low, F.floor((value - low) / (high - low) * PARTS)).otherwise(F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    return F.coalesce(F.when(high > low, F.floor((value - low) / (high - low) * PARTS)), zero)
 
 
 def _holds(start: Column, size: Column, n: Column, p: float, upper: bool) -> Column:
@@ -61,10 +63,11 @@ def exact_quantiles(
     3. those buckets alone are cut into equal parts and searched the same way;
     4. the distinct values of the parts found are scanned to the exact ranks.
     """
-    groups = list(keys) or ["__all"]
-    if not keys:
-        df = df.withColumn("__all", F.lit(0))
-    values = df.select(*groups, F.col(value).cast("double").alias("__v")).where(
+    # The keys travel as one struct, which is never null: rows with null keys keep their
+    # group, and the joins below add no filters that would make Spark count again.
+    groups = ["__key"]
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    values = df.select(key.alias("__key"), F.col(value).cast("double").alias("__v")).where(
         F.col("__v").isNotNull() & ~F.isnan("__v")
     )
     # Adding 0.0 folds -0.0 into 0.0, so both count as one value.
@@ -111,7 +114,7 @@ def exact_quantiles(
             picks.append(F.max(F.when(here, F.col("__v"))).alias(f"__{tag}_{name}"))
     found = ranked.groupBy(*groups).agg(*picks)
 
-    out = [F.col(k) for k in keys]
+    out = [F.col(f"__key.{k}") for k in keys]
     if count:
         out.append(n.alias(count))
     for name, p in probs.items():

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.operators.scan import CHUNK, DEFAULT_CHUNK_S, int_chunk, previous_row, row_index, time_chunk, with_halo
+from fleetlens.operators.scan import CHUNK, DEFAULT_CHUNK_S, KEY, int_chunk, pack, previous_row, row_index, time_chunk, with_halo
 
 SAMPLES = 1024
 BLOCK = 16384
@@ -102,8 +102,7 @@ def counter_rate(
     """
     by = list(by)
     stepped = previous_row(
-        samples.select(*by, "ts", "seq", "value"),
-        by,
+        pack(samples.select(*by, "ts", "seq", "value"), by),
         ["ts", "seq"],
         time_chunk(F.col("ts"), chunk_s),
         F.col("value"),
@@ -111,7 +110,7 @@ def counter_rate(
     )
     step = F.col("value") - F.col("__prev")
     grown = stepped.select(
-        *by,
+        f"{KEY}.*",
         "ts",
         "seq",
         F.coalesce(F.when(step < 0, F.col("value")).otherwise(step), F.lit(0.0)).alias("__step"),

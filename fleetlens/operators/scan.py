@@ -6,8 +6,7 @@ each key is cut into chunks along its order column. Windows run inside (key, chu
 every chunk is reduced to one summary row; the summaries, few per key, are scanned to
 give each chunk the state left by the chunks before it; that state is joined back.
 
-The chunk id is a function of the row alone, so a recomputed task gives the same
-chunks. Key columns must not be null.
+The chunk id is a function of the row alone, so a recomputed task gives the same chunks.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
+KEY = "__key"
 DEFAULT_CHUNK_S = 300
 
 WindowFn = Callable[[WindowSpec], Column]
@@ -35,9 +35,28 @@ def time_chunk(ts: Column, width_s: float = DEFAULT_CHUNK_S) -> Column:
     return int_chunk(F.unix_micros(ts), int(width_s * 1_000_000))
 
 
+def pack(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Replace the key columns by one struct.
+
+    A struct is never null itself and equals another with nulls in the same fields, so
+    rows with null keys keep their group, and joins on it add no null filter that would
+    keep Spark from reusing the shuffle of the rows for their summaries.
+    """
+    return df.withColumn(KEY, F.struct(*keys)).drop(*keys)
+
+
+def unpack(df: DataFrame) -> DataFrame:
+    """Restore the key columns."""
+    return df.select(f"{KEY}.*", *[c for c in df.columns if c != KEY])
+
+
+def so_far(window: WindowSpec) -> WindowSpec:
+    """The rows of a window up to the current one."""
+    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def chunked_scan(
     df: DataFrame,
-    keys: Sequence[str],
     order: Sequence[Column],
     chunk: Column,
     *,
@@ -48,27 +67,26 @@ def chunked_scan(
 ) -> DataFrame:
     """Add ``local`` window columns and the ``carry`` state of the preceding chunks.
 
-    ``local`` columns are computed inside (keys, chunk), in the given order, each able to
-    use the ones before it. ``summary`` aggregates the resulting rows per chunk.
-    ``carry`` columns are windows over the summary rows of the strictly earlier chunks
-    (strictly later ones when ``backward``); each may use summaries and earlier carries.
-    The result keeps the chunk column, so a following scan can pass ``F.col(CHUNK)`` as
-    its chunk and find the rows already partitioned.
+    ``df`` has packed keys. ``local`` columns are computed inside (key, chunk), in the
+    given order, each able to use the ones before it. ``summary`` aggregates the resulting
+    rows per chunk. ``carry`` columns are windows over the summary rows of the strictly
+    earlier chunks (strictly later ones when ``backward``); each may use summaries and
+    earlier carries. The result keeps the chunk column, so a following scan can pass
+    ``F.col(CHUNK)`` as its chunk and find the rows already partitioned.
     """
-    keys = list(keys)
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    rows = df.withColumn(CHUNK, chunk)
+    # The chunk comes first in the sort, as numbers compare faster than structs.
+    inside = Window.partitionBy(CHUNK, KEY).orderBy(*order)
+    # Rows without an order value sort first, in a chunk of their own; like the packed key,
+    # a chunk that is never null keeps null filters out of the join.
+    rows = df.withColumn(CHUNK, F.coalesce(chunk, F.lit(-(2**63))))
     for name, fn in local.items():
         rows = rows.withColumn(name, fn(inside))
     along = F.col(CHUNK).desc() if backward else F.col(CHUNK).asc()
-    before = (
-        Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    summaries = rows.groupBy(*keys, CHUNK).agg(*[c.alias(n) for n, c in summary.items()])
-    state = summaries
+    before = Window.partitionBy(KEY).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    state = rows.groupBy(CHUNK, KEY).agg(*[c.alias(n) for n, c in summary.items()])
     for name, fn in carry.items():
         state = state.withColumn(name, fn(before))
-    return rows.join(state.select(*keys, CHUNK, *carry), [*keys, CHUNK], "left")
+    return rows.join(state.select(CHUNK, KEY, *carry), [CHUNK, KEY])
 
 
 def row_index(
@@ -76,41 +94,31 @@ def row_index(
 ) -> DataFrame:
     """1-based position of each row within its key."""
     scanned = chunked_scan(
-        df,
-        keys,
+        pack(df.withColumn(CHUNK, chunk), keys),
         order,
-        chunk,
+        F.col(CHUNK),
         local={"__pos": lambda w: F.row_number().over(w)},
         summary={"__n": F.count(F.lit(1))},
         carry={"__before": lambda w: F.sum("__n").over(w)},
     )
-    return scanned.withColumn(
-        out, F.col("__pos") + F.coalesce(F.col("__before"), F.lit(0))
-    ).drop("__pos", "__before", CHUNK)
+    position = F.col("__pos") + F.coalesce(F.col("__before"), F.lit(0))
+    return unpack(scanned.withColumn(out, position).drop("__pos", "__before", CHUNK))
 
 
 def previous_row(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    chunk: Column,
-    value: Column,
-    out: str,
+    df: DataFrame, order: Sequence[str], chunk: Column, value: Column, out: str
 ) -> DataFrame:
-    """``value`` of the row just before this one within its key; null on the first row."""
+    """``value`` of the row just before this one within its packed key; null on the first."""
     rank = F.struct(*[F.col(c) for c in order])
     scanned = chunked_scan(
         df.withColumn("__val", F.struct(value.alias("v"))),
-        keys,
         [F.col(c).asc() for c in order],
         chunk,
         local={"__lag": lambda w: F.lag("__val").over(w)},
         summary={"__last": F.max_by("__val", rank)},
         carry={"__from": lambda w: F.last("__last").over(w)},
     )
-    return scanned.withColumn(out, F.coalesce("__lag", "__from")["v"]).drop(
-        "__val", "__lag", "__from", CHUNK
-    )
+    return scanned.withColumn(out, F.coalesce("__lag", "__from")["v"]).drop("__val", "__lag", "__from")
 
 
 def with_halo(df: DataFrame, ts: str, reach_s: float, width_s: float | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators.scan import chunked_scan, int_chunk
+from fleetlens.operators.scan import CHUNK, chunked_scan, int_chunk, pack, so_far, unpack
 
 PIECES = 1024
 
@@ -55,38 +55,45 @@ def delta_content(line: Column) -> Column:
     return F.nullif(F.try_variant_get(parsed, "$.choices[0].delta.content", "string"), F.lit(""))
 
 
-def sse_lines(chunks: DataFrame, slice_size: int = PIECES) -> DataFrame:
-    """Lines of each response, put together across chunk boundaries.
+def _split_chunks(chunks: DataFrame, slice_size: int) -> DataFrame:
+    """Each chunk as head piece, text of its whole lines, and tail piece.
 
-    A piece of a chunk belongs to the line numbered by the line feeds before it, so a
-    running count of line feeds per response is all the order that is needed. ``ts`` is
-    the time of the last chunk that added to the line.
+    The whole lines of a chunk are read where they are; only the first and last piece may
+    belong to lines that cross into other chunks. ``first`` numbers the line of the head:
+    a running count of line feeds per response is all the order that is needed.
     """
-    feeds = F.size(F.split("chunk", "\n")) - 1
+    lines = F.split("chunk", "\n")
+    inner = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0)))
+    deltas = F.filter(F.transform(inner, delta_content), lambda d: d.isNotNull())
+    pieces = chunks.select(
+        "request_id",
+        "seq",
+        "ts",
+        (F.size(lines) - 1).alias("feeds"),
+        F.get(lines, F.lit(0)).alias("head"),
+        F.when(F.size(lines) > 1, F.element_at(lines, -1)).alias("tail"),
+        deltas.alias("deltas"),
+    )
     counted = chunked_scan(
-        chunks.select("request_id", "seq", "ts", "chunk", feeds.alias("__feeds")),
-        ["request_id"],
+        pack(pieces, ["request_id"]),
         [F.col("seq")],
         int_chunk(F.col("seq"), slice_size),
-        local={"__to_here": lambda w: F.sum("__feeds").over(w)},
-        summary={"__total": F.sum("__feeds")},
+        local={"__to_here": lambda w: F.sum("feeds").over(so_far(w))},
+        summary={"__total": F.sum("feeds")},
         carry={"__before": lambda w: F.sum("__total").over(w)},
     )
-    first = F.coalesce("__before", F.lit(0)) + F.col("__to_here") - F.col("__feeds")
-    pieces = counted.select(
-        "request_id", "seq", "ts", first.alias("__first"), F.posexplode(F.split("chunk", "\n")).alias("__at", "piece")
-    ).withColumn("line_no", F.col("__first") + F.col("__at"))
-    filled = pieces.where(F.col("piece") != "")
-    return ordered_concat(
-        filled, ["request_id", "line_no"], "seq", "piece", "line", slice_size, {"ts": (F.max("ts"), F.max)}
-    )
+    first = F.coalesce("__before", F.lit(0)) + F.col("__to_here") - F.col("feeds")
+    return unpack(counted.withColumn("first", first)).drop("__to_here", "__before", CHUNK)
 
 
-def sse_transcripts(chunks: DataFrame, started: DataFrame | None = None) -> DataFrame:
+def sse_transcripts(
+    chunks: DataFrame, started: DataFrame | None = None, slice_size: int = PIECES
+) -> DataFrame:
     """Text, token count, time to first token, latency and tokens per second.
 
-    ``started`` gives ``started_at`` per request; the first chunk counts otherwise.
-    Requests without any text keep an empty transcript and a null time to first token.
+    Lines cut by chunk boundaries are put together first. ``started`` gives
+    ``started_at`` per request; the first chunk counts otherwise. Requests without any
+    text keep an empty transcript and a null time to first token.
     """
     spans = chunks.groupBy("request_id").agg(F.min("ts").alias("__first"), F.max("ts").alias("__last"))
     if started is not None:
@@ -96,29 +103,49 @@ def sse_transcripts(chunks: DataFrame, started: DataFrame | None = None) -> Data
         begin = F.col("__first")
     spans = spans.select("request_id", begin.alias("__begin"), "__last")
 
-    tokens = sse_lines(chunks).withColumn("token", delta_content(F.col("line"))).where(F.col("token").isNotNull())
+    split = _split_chunks(chunks, slice_size)
+    ends = F.array(
+        F.struct(F.col("first").alias("line_no"), F.col("head").alias("piece")),
+        F.struct((F.col("first") + F.col("feeds")).alias("line_no"), F.col("tail").alias("piece")),
+    )
+    crossing = split.select("request_id", "seq", "ts", F.inline(ends)).where(
+        F.coalesce("piece", F.lit("")) != ""
+    )
+    stitched = ordered_concat(
+        crossing, ["request_id", "line_no"], "seq", "piece", "line", slice_size, {"ts": (F.max("ts"), F.max)}
+    )
+    tokens = (
+        stitched.select("request_id", "line_no", "ts", delta_content(F.col("line")).alias("token"))
+        .where(F.col("token").isNotNull())
+        .withColumn("n", F.lit(1))
+    )
+    inner = split.where(F.size("deltas") > 0).select(
+        "request_id",
+        (F.col("first") + 1).alias("line_no"),
+        "ts",
+        F.array_join("deltas", "").alias("token"),
+        F.size("deltas").alias("n"),
+    )
     texts = ordered_concat(
-        tokens,
+        tokens.unionByName(inner),
         ["request_id"],
         "line_no",
         "token",
         "text",
-        also={"output_tokens": (F.count(F.lit(1)), F.sum), "__token_ts": (F.min("ts"), F.min)},
+        slice_size,
+        also={"output_tokens": (F.sum("n"), F.sum), "__token_ts": (F.min("ts"), F.min)},
     )
 
     def ms(later: str) -> Column:
         return (F.unix_micros(later) - F.unix_micros("__begin")) / 1000.0
 
-    return (
-        spans.join(texts, "request_id", "left")
-        .select(
-            "request_id",
-            F.coalesce("text", F.lit("")).alias("text"),
-            F.coalesce("output_tokens", F.lit(0)).alias("output_tokens"),
-            ms("__token_ts").alias("ttft_ms"),
-            ms("__last").alias("latency_ms"),
-            F.when(
-                ms("__last") > 0, F.coalesce("output_tokens", F.lit(0)) / F.nullif(ms("__last") / 1000.0, F.lit(0.0))
-            ).otherwise(0.0).alias("tokens_per_s"),
-        )
+    count = F.coalesce("output_tokens", F.lit(0))
+    rate = count / F.nullif(ms("__last") / 1000.0, F.lit(0.0))
+    return spans.join(texts, "request_id", "left").select(
+        "request_id",
+        F.coalesce("text", F.lit("")).alias("text"),
+        count.alias("output_tokens"),
+        ms("__token_ts").alias("ttft_ms"),
+        ms("__last").alias("latency_ms"),
+        F.when(ms("__last") > 0, rate).otherwise(0.0).alias("tokens_per_s"),
     )

@@ -16,7 +16,7 @@ from fleetlens.plans.registry import Query
 
 MODEL = "chat-7b"
 NODES = [("alpha", "http://alpha/v1"), ("beta", "http://beta/v1"), ("gamma", "http://gamma/v1")]
-CHUNK_CHARS = 61
+CHUNK_CHARS = 509
 STREAM_EPOCH = 1_700_000_000
 
 

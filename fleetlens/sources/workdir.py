@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def work_root(spark: SparkSession) -> str:
@@ -17,9 +18,10 @@ def work_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="fleetlens-")
-    spark.conf.set(CHECKPOINT_CONF, root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="fleetlens-")
+    return _LOCAL_ROOTS[app]
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
