@@ -104,13 +104,14 @@ def sse_transcripts(
     spans = spans.select("request_id", begin.alias("__begin"), "__last")
 
     split = _split_chunks(chunks, slice_size)
+    # An empty head is kept where it ends its line, so the line is timed by that chunk.
+    head = F.when((F.col("feeds") > 0) | (F.col("head") != ""), F.col("head"))
+    tail = F.nullif(F.col("tail"), F.lit(""))
     ends = F.array(
-        F.struct(F.col("first").alias("line_no"), F.col("head").alias("piece")),
-        F.struct((F.col("first") + F.col("feeds")).alias("line_no"), F.col("tail").alias("piece")),
-    )
-    crossing = split.select("request_id", "seq", "ts", F.inline(ends)).where(
-        F.coalesce("piece", F.lit("")) != ""
+        F.struct(F.col("first").alias("line_no"), head.alias("piece")),
+        F.struct((F.col("first") + F.col("feeds")).alias("line_no"), tail.alias("piece")),
     )
+    crossing = split.select("request_id", "seq", "ts", F.inline(ends)).where(F.col("piece").isNotNull())
     stitched = ordered_concat(
         crossing, ["request_id", "line_no"], "seq", "piece", "line", slice_size, {"ts": (F.max("ts"), F.max)}
     )
