@@ -8,11 +8,21 @@ from collections.abc import Sequence
 from math import ceil, floor
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.operators.scan import CHUNK, DEFAULT_CHUNK_S, KEY, int_chunk, pack, previous_row, row_index, time_chunk, with_halo
+from fleetlens.operators.scan import (
+    CHUNK,
+    DEFAULT_CHUNK_S,
+    int_chunk,
+    pack,
+    previous_row,
+    row_index,
+    running_totals,
+    time_chunk,
+    unpack,
+)
 
 SAMPLES = 1024
 BLOCK = 16384
@@ -97,33 +107,35 @@ def counter_rate(
     """Per-second increase of a counter over the trailing range, at each sample.
 
     A drop is a restart from zero. Only increases between two samples of the range
-    count, so the first sample's own increase is taken out; a range with a single sample
-    has no rate. Nothing is extrapolated to the range's edges.
+    count; a range with a single sample has no rate. Nothing is extrapolated to the
+    range's edges.
     """
     by = list(by)
+    reach = F.lit(int(range_s * 1_000_000))
     stepped = previous_row(
         pack(samples.select(*by, "ts", "seq", "value"), by),
         ["ts", "seq"],
         time_chunk(F.col("ts"), chunk_s),
-        F.col("value"),
+        F.struct("value", F.unix_micros("ts").alias("us")),
         "__prev",
     )
-    step = F.col("value") - F.col("__prev")
-    grown = stepped.select(
-        f"{KEY}.*",
-        "ts",
-        "seq",
-        F.coalesce(F.when(step < 0, F.col("value")).otherwise(step), F.lit(0.0)).alias("__step"),
-        F.unix_micros("ts").alias("__us"),
-    )
-    trailing = (
-        Window.partitionBy(*by, CHUNK).orderBy("__us").rangeBetween(-int(range_s * 1_000_000), 0)
+    now, before = F.unix_micros("ts"), F.col("__prev.us")
+    step = F.col("value") - F.col("__prev.value")
+    grown = F.when(step < 0, F.col("value")).otherwise(step)
+    # An increase counts while the sample before it is still in range.
+    counts = before.isNotNull() & (now - before <= reach)
+    totals = running_totals(
+        unpack(stepped.drop(CHUNK)),
+        by,
+        now,
+        F.coalesce(before, now) + reach,
+        {
+            "__grown": F.when(counts, grown).otherwise(0.0),
+            "__pairs": F.when(counts, 1).otherwise(0),
+        },
+        chunk_s,
     )
-    spread = with_halo(grown, "ts", range_s)
-    increase = F.sum("__step").over(trailing) - F.first("__step").over(trailing)
-    rate = F.when(F.count(F.lit(1)).over(trailing) > 1, increase / F.lit(float(range_s)))
-    return (
-        spread.withColumn("per_second", rate)
-        .where(~F.col("__context"))
-        .select(*by, "ts", "seq", "per_second", (F.col("per_second") * 60.0).alias("per_minute"))
+    rate = F.when(F.col("__pairs") > 0, F.col("__grown") / F.lit(float(range_s)))
+    return totals.withColumn("per_second", rate).select(
+        *by, "ts", "seq", "per_second", (F.col("per_second") * 60.0).alias("per_minute")
     )

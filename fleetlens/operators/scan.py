@@ -121,22 +121,42 @@ def previous_row(
     return scanned.withColumn(out, F.coalesce("__lag", "__from")["v"]).drop("__val", "__lag", "__from")
 
 
-def with_halo(df: DataFrame, ts: str, reach_s: float, width_s: float | None = None) -> DataFrame:
-    """Copy each row into the later slices its trailing ``reach_s`` window touches.
-
-    Adds ``__chunk`` and ``__context`` (true on copies). A trailing time window
-    evaluated inside (key, ``__chunk``) is then exact for the rows with ``__context``
-    false. Slices are four times the reach by default, so at most a quarter of the
-    rows are copied.
+def running_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    enters: Column,
+    leaves: Column,
+    values: Mapping[str, Column],
+    chunk_s: float = DEFAULT_CHUNK_S,
+) -> DataFrame:
+    """Totals of ``values`` over the rows in force at each row's ``enters`` time.
+
+    A row is in force from ``enters`` through ``leaves``, both in microseconds. It adds its
+    values when it enters and takes them back one microsecond after it leaves, so a
+    trailing window becomes a running sum: one step per change, however many rows the
+    window spans. (A sliding frame would be summed again for every row.) Rows entering at
+    the same time see each other. The totals of doubles are subject to rounding; those of
+    whole numbers are exact.
     """
-    reach = int(reach_s * 1_000_000)
-    width = int((width_s or 4 * reach_s) * 1_000_000)
-    micros = F.unix_micros(F.col(ts))
-    own = int_chunk(micros, width)
-    last = int_chunk(micros + F.lit(reach), width)
-    return (
-        df.withColumn("__own", own)
-        .withColumn(CHUNK, F.explode(F.sequence(own, last)))
-        .withColumn("__context", F.col(CHUNK) != F.col("__own"))
-        .drop("__own")
+    names = list(values)
+    entering = df.select("*", enters.alias("__us"), *[v.alias(f"__d_{n}") for n, v in values.items()])
+    leaving = df.select(
+        *keys, (leaves + 1).alias("__us"), *[(-v).alias(f"__d_{n}") for n, v in values.items()]
+    )
+    changes = entering.withColumn("__row", F.lit(True)).unionByName(
+        leaving.withColumn("__row", F.lit(False)), allowMissingColumns=True
+    )
+
+    def with_peers(window: WindowSpec) -> WindowSpec:
+        return window.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    scanned = chunked_scan(
+        pack(changes, keys),
+        [F.col("__us")],
+        int_chunk(F.col("__us"), int(chunk_s * 1_000_000)),
+        local={f"__l_{n}": lambda w, n=n: F.sum(f"__d_{n}").over(with_peers(w)) for n in names},
+        summary={f"__t_{n}": F.sum(f"__d_{n}") for n in names},
+        carry={f"__c_{n}": lambda w, n=n: F.sum(f"__t_{n}").over(w) for n in names},
     )
+    totals = [(F.col(f"__l_{n}") + F.coalesce(f"__c_{n}", F.lit(0))).alias(n) for n in names]
+    return unpack(scanned.where("__row")).select(*df.columns, *totals)

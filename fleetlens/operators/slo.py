@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.status import success_flag
 from fleetlens.operators.quantiles import exact_quantiles
-from fleetlens.operators.scan import CHUNK, with_halo
+from fleetlens.operators.scan import running_totals
 
 NODE_QUANTILES = {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95, "latency_p99_ms": 0.99}
 SLA_P95_MS = 30000.0
@@ -195,15 +195,8 @@ def rate_limit_pressure(
     window_s: float = RATE_WINDOW_S,
 ) -> DataFrame:
     """Requests in the trailing window, this one included, compared with the limit."""
-    spread = with_halo(requests.withColumn("__us", F.unix_micros("ts")), "ts", window_s)
-    trailing = (
-        Window.partitionBy(*by, CHUNK)
-        .orderBy("__us")
-        .rangeBetween(-int(window_s * 1_000_000), 0)
-    )
-    return (
-        spread.withColumn("in_window", F.count(F.lit(1)).over(trailing))
-        .where(~F.col("__context"))
-        .withColumn("over_limit", F.col("in_window") > F.lit(limit))
-        .drop(CHUNK, "__context", "__us")
+    now = F.unix_micros("ts")
+    counted = running_totals(
+        requests, by, now, now + F.lit(int(window_s * 1_000_000)), {"in_window": F.lit(1)}
     )
+    return counted.withColumn("over_limit", F.col("in_window") > F.lit(limit))
