@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Unicode white space, plus the four separator controls the reference semantics split on.
+# What Python's str.split() takes for white space: Unicode's, and four separator controls.
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+# Where log text is found in a reply, in order.
 PAYLOAD_KEYS = ("logs", "contents", "content")
 
 

@@ -11,11 +11,11 @@ from fleetlens.functions.status import item_succeeded
 from fleetlens.operators.scan import int_chunk, row_index
 from fleetlens.operators.transcripts import ordered_concat
 
+# Job states and the cost model in milliseconds per token.
 ACTIVE = ("RUNNING", "PENDING")
 SUCCEEDED = ("SUCCEEDED", "COMPLETED")
 FAILED = ("FAILED", "STOPPED", "CANCELLED")
 TERMINAL = ("SUCCEEDED", "FAILED", "STOPPED")
-
 PREFILL_MS = 1.5
 DECODE_MS = 18.0
 

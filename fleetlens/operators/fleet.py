@@ -24,8 +24,27 @@ from fleetlens.functions.status import (
 from fleetlens.operators.scan import int_chunk, row_index, time_chunk
 
 SCOPE = ("cluster_id", "snapshot_ts")
+
+# The texts of the checks.
 MISSING_NODE_ERROR = "Node missing from Ray cluster"
+CHECK_SKIPPED = "skipped (no expected identity configured)"
+NODE_NOT_JOINED = "not joined to Ray cluster"
+NODE_IN_STATE = "joined but state="
+ALIVE = "ALIVE"
+NO_HEAD = "no head node reported"
+HEAD_MISMATCH = "head ip mismatch (saw "
+HEAD_NOT_ALIVE = "head not ALIVE"
+KEY_NOT_ADVERTISED = "no node advertises expected resource key"
+MATCH_NOT_ALIVE = "matched node not ALIVE"
+NODES_STUCK = "nodes stuck in recovery: "
+NODES_NOT_READY = "routable nodes failing readiness: "
+ALL_RECOVERED = "all nodes recovered and ready"
+MOVING_STATUSES = ("DEPLOYING", "UPDATING", "RESTARTING")
+SETTLED_STATUSES = ("RUNNING", "HEALTHY")
+INTERNAL_HEAD_KEY = "node:InternalHead"
+
 LISTING_CHUNK = 65536
+# The default traffic split.
 SPLIT_TARGET_PCT = 50.0
 SPLIT_TOLERANCE_PCT = 5.0
 
@@ -123,7 +142,7 @@ def node_lifecycle(
 ) -> DataFrame:
     """Lifecycle of every listed node from all its replica states; joined means ALIVE."""
     scope = list(scope)
-    joined = F.coalesce(F.col("state") == "ALIVE", F.lit(False))
+    joined = F.coalesce(F.col("state") == ALIVE, F.lit(False))
     return (
         nodes.select("*", joined.alias("__joined"), usable.alias("__usable"))
         .join(_replica_flags(replicas, scope), [*scope, "node_ip"], "left")
@@ -332,7 +351,7 @@ def expected_node_checks(
     scope = list(scope)
     keys = [k for k in scope if k in expected.columns]
     seen = nodes.groupBy(*scope, _trimmed("node_ip").alias("expected_ip")).agg(
-        F.some(F.coalesce(F.col("state") == "ALIVE", F.lit(False))).alias("__alive"),
+        F.some(F.coalesce(F.col("state") == ALIVE, F.lit(False))).alias("__alive"),
         F.min_by("state", "ordinal").alias("__first"),
     )
     wanted = expected.select(*keys, "name", F.coalesce("expected_ip", F.lit("")).alias("expected_ip"))
@@ -342,10 +361,10 @@ def expected_node_checks(
     skipped = F.col("expected_ip") == ""
     passed = skipped | F.coalesce("__alive", F.lit(False))
     detail = (
-        F.when(skipped, "skipped (no expected identity configured)")
-        .when(absent, "not joined to Ray cluster")
-        .when(~F.col("__alive"), F.concat(F.lit("joined but state="), F.coalesce("__first", F.lit("None"))))
-        .otherwise("ALIVE")
+        F.when(skipped, CHECK_SKIPPED)
+        .when(absent, NODE_NOT_JOINED)
+        .when(~F.col("__alive"), F.concat(F.lit(NODE_IN_STATE), F.coalesce("__first", F.lit("None"))))
+        .otherwise(ALIVE)
     )
     return wanted.join(seen, [*scope, "expected_ip"], "left").select(
         *scope, "name", F.col("expected_ip").alias("expected"), passed.alias("passed"), detail.alias("detail")
@@ -364,16 +383,16 @@ def head_check(config: DataFrame, nodes: DataFrame, scope: Sequence[str] = SCOPE
         .agg(
             F.count_if(is_head).alias("__heads"),
             F.some(is_head & (ip == F.col("expected"))).alias("__matches"),
-            F.some(is_head & F.coalesce(F.col("state") == "ALIVE", F.lit(False))).alias("__alive"),
+            F.some(is_head & F.coalesce(F.col("state") == ALIVE, F.lit(False))).alias("__alive"),
             F.min_by(F.when(is_head, ip), F.when(is_head, F.col("ordinal"))).alias("__first"),
         )
     )
     mismatch = (F.col("expected") != "") & ~F.col("__matches")
     detail = (
-        F.when(F.col("__heads") == 0, "no head node reported")
-        .when(mismatch, F.concat(F.lit("head ip mismatch (saw "), F.col("__first"), F.lit(")")))
-        .when(F.col("__alive"), "ALIVE")
-        .otherwise("head not ALIVE")
+        F.when(F.col("__heads") == 0, NO_HEAD)
+        .when(mismatch, F.concat(F.lit(HEAD_MISMATCH), F.col("__first"), F.lit(")")))
+        .when(F.col("__alive"), ALIVE)
+        .otherwise(HEAD_NOT_ALIVE)
     )
     passed = (F.col("__heads") > 0) & ~mismatch & F.col("__alive")
     return per_scope.select(
@@ -395,15 +414,15 @@ def resource_key_check(
     advertised = (
         nodes.select(*scope, "state", F.explode(F.map_keys("resources")).alias("expected"))
         .groupBy(*scope, "expected")
-        .agg(F.some(F.coalesce(F.col("state") == "ALIVE", F.lit(False))).alias("__alive"))
+        .agg(F.some(F.coalesce(F.col("state") == ALIVE, F.lit(False))).alias("__alive"))
     )
     wanted = expected.where(~by_ip).select(*keys, "name", F.col("resource_key").alias("expected"))
     if keys != scope:
         wanted = nodes.select(*scope).distinct().join(wanted, keys)
     detail = (
-        F.when(F.col("__alive").isNull(), "no node advertises expected resource key")
-        .when(F.col("__alive"), "ALIVE")
-        .otherwise("matched node not ALIVE")
+        F.when(F.col("__alive").isNull(), KEY_NOT_ADVERTISED)
+        .when(F.col("__alive"), ALIVE)
+        .otherwise(MATCH_NOT_ALIVE)
     )
     by_key = wanted.join(advertised, [*scope, "expected"], "left").select(
         *scope,
@@ -423,7 +442,7 @@ def required_node_keys(expected: DataFrame) -> DataFrame:
     """
     optional = (F.col("role") == "standby") & F.coalesce("ip", F.lit("")).isin("", "127.0.0.1")
     listed = expected.where(~optional).select("cluster_id", F.concat(F.lit("node:"), "ip").alias("key"))
-    internal = expected.select("cluster_id", F.lit("node:InternalHead").alias("key"))
+    internal = expected.select("cluster_id", F.lit(INTERNAL_HEAD_KEY).alias("key"))
     return listed.unionByName(internal).distinct()
 
 
@@ -480,8 +499,8 @@ def health_rollup(
     """
     status = F.coalesce("status", F.lit(""))
     bad = F.some(status == "UNHEALTHY")
-    moving = F.some(status.isin("DEPLOYING", "UPDATING", "RESTARTING"))
-    fine = F.every(status.isin("RUNNING", "HEALTHY"))
+    moving = F.some(status.isin(*MOVING_STATUSES))
+    fine = F.every(status.isin(*SETTLED_STATUSES))
     present = [F.some(F.col("app") == app) for app in apps]
     for seen in present:
         fine = fine & seen
@@ -541,12 +560,12 @@ def stuck_check(router: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
         return F.concat(F.lit("['"), F.array_join(F.col(column), "', '"), F.lit("']"))
 
     detail = (
-        F.when(F.size("stuck") > 0, F.concat(F.lit("nodes stuck in recovery: "), listed("stuck")))
+        F.when(F.size("stuck") > 0, F.concat(F.lit(NODES_STUCK), listed("stuck")))
         .when(
             F.size("not_ready") > 0,
-            F.concat(F.lit("routable nodes failing readiness: "), listed("not_ready")),
+            F.concat(F.lit(NODES_NOT_READY), listed("not_ready")),
         )
-        .otherwise("all nodes recovered and ready")
+        .otherwise(ALL_RECOVERED)
     )
     return (
         router.groupBy(*scope)

@@ -19,6 +19,7 @@ from fleetlens.operators.scan import (
 )
 
 NODE_KEYS = ("cluster_id", "node")
+# Default thresholds and timeouts.
 ROUTER_THRESHOLD = 3
 WATCHDOG_THRESHOLD = 2
 ALERT_HOLD_S = 30.0

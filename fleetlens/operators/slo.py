@@ -13,6 +13,7 @@ from fleetlens.operators.quantiles import exact_quantiles
 from fleetlens.operators.scan import running_totals
 
 NODE_QUANTILES = {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95, "latency_p99_ms": 0.99}
+# Default targets and limits.
 SLA_P95_MS = 30000.0
 DAILY_LIMIT = 10000
 RATE_LIMIT = 15

@@ -9,12 +9,15 @@ rows of a key are expected in order of arrival.
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
 
+from fleetlens.operators.admission import admit
 from fleetlens.operators.incidents import ALERT_HOLD_S, ROUTER_THRESHOLD
 from fleetlens.operators.rolling import SAMPLES, interpolate
 from fleetlens.operators.slo import RATE_LIMIT, RATE_WINDOW_S, SLA_P95_MS
@@ -197,23 +200,6 @@ class AlertHoldProcessor(StatefulProcessor):
         pass
 
 
-def admit(times: list[int], accepted: list[int], limit: int, window_us: int) -> list[bool]:
-    """Label each time accepted or not, updating the list of accepted times in place.
-
-    At most ``limit`` accepted times lie in the trailing window; one exactly a window old
-    still counts, and rejected requests do not.
-    """
-    labels = []
-    for at in times:
-        while accepted and accepted[0] < at - window_us:
-            accepted.pop(0)
-        ok = len(accepted) < limit
-        if ok:
-            accepted.append(at)
-        labels.append(ok)
-    return labels
-
-
 class RateLimitProcessor(StatefulProcessor):
     """Accept or reject each request by the accepted ones in the trailing window."""
 
@@ -227,9 +213,9 @@ class RateLimitProcessor(StatefulProcessor):
         self.accepted = handle.getListState("accepted", "at_us bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        accepted = [row[0] for row in self.accepted.get()] if self.accepted.exists() else []
+        accepted = deque(row[0] for row in self.accepted.get()) if self.accepted.exists() else deque()
         for pdf in _in_order(rows, "ts"):
-            labels = admit(_micros(pdf["ts"]), accepted, self.limit, self.window_us)
+            labels = admit(np.array(_micros(pdf["ts"])), accepted, self.limit, self.window_us)
             yield pd.DataFrame(
                 {"api_key_id": key[0], "request_id": pdf["request_id"], "ts": pdf["ts"], "accepted": labels}
             )
