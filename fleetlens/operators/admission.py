@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.operators.scan import CHUNK, DEFAULT_CHUNK_S, chunked_scan, pack, previous_row, so_far, time_chunk, unpack
+from fleetlens.operators.scan import DEFAULT_CHUNK_S, by_time, chunked_scan, pack, previous_row, so_far, unpack
 from fleetlens.operators.slo import RATE_LIMIT, RATE_WINDOW_S
 
 MICROS = 1_000_000
@@ -57,14 +57,14 @@ def rate_limit_labels(
     """
     window_us = int(window_s * MICROS)
     rows = pack(requests.select(key, "ts", "request_id"), [key])
-    slices = time_chunk(F.col("ts"), chunk_s)
+    slices = by_time(F.col("ts"), chunk_s)
     paused = previous_row(rows, ["ts", "request_id"], slices, F.unix_micros("ts"), "__prev")
     at = F.unix_micros("ts")
     opens = F.col("__prev").isNull() | (at - F.col("__prev") > window_us)
     scanned = chunked_scan(
         paused.withColumn("__open", F.when(opens, at)),
         [F.col("ts"), F.col("request_id")],
-        F.col(CHUNK),
+        None,
         local={"__here": lambda w: F.max("__open").over(so_far(w))},
         summary={"__latest": F.max("__open")},
         carry={"__earlier": lambda w: F.max("__latest").over(w)},

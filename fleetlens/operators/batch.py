@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.status import item_succeeded
-from fleetlens.operators.scan import int_chunk, row_index
+from fleetlens.operators.scan import by_number, row_index
 from fleetlens.operators.transcripts import ordered_concat
 
 # Job states and the cost model in milliseconds per token.
@@ -102,7 +102,7 @@ def session_buckets(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def attempt_number(dispatch: DataFrame, job: str = "job_id", chunk: int = 65536) -> DataFrame:
     """Number of each dispatch within its job, retries included."""
     routes = dispatch.where(F.col("kind") == "route")
-    return row_index(routes, [job], [F.col("seq")], int_chunk(F.col("seq"), chunk), "attempt")
+    return row_index(routes, [job], [F.col("seq")], by_number(F.col("seq"), chunk), "attempt")
 
 
 def token_cost(

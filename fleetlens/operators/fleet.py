@@ -21,7 +21,7 @@ from fleetlens.functions.status import (
     replica_priority,
     router_role,
 )
-from fleetlens.operators.scan import int_chunk, row_index, time_chunk
+from fleetlens.operators.scan import by_number, by_time, row_index
 
 SCOPE = ("cluster_id", "snapshot_ts")
 
@@ -133,8 +133,8 @@ def replica_states_by_ip(replicas: DataFrame, scope: Sequence[str] = SCOPE) -> D
         F.nullif(_trimmed("state"), F.lit("")).alias("listed_state"),
         "ordinal",
     ).where(F.col("node_ip") != "")
-    chunk = int_chunk(F.col("ordinal"), LISTING_CHUNK)
-    return row_index(rows, [*scope, "node_ip"], [F.col("ordinal")], chunk, "position").drop("ordinal")
+    slices = by_number(F.col("ordinal"), LISTING_CHUNK)
+    return row_index(rows, [*scope, "node_ip"], [F.col("ordinal")], slices, "position").drop("ordinal")
 
 
 def node_lifecycle(
@@ -581,7 +581,7 @@ def stuck_check(router: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
 def _by_priority(df: DataFrame, scope: Sequence[str], out: str) -> DataFrame:
     """Position within the scope by priority, then listing name."""
     return row_index(
-        df, scope, [F.col("priority"), F.col("name")], int_chunk(F.col("priority"), 64), out
+        df, scope, [F.col("priority"), F.col("name")], by_number(F.col("priority"), 64), out
     )
 
 
@@ -642,7 +642,7 @@ def round_robin_assign(
         requests,
         scope,
         [F.col("ts"), F.col("request_id")],
-        time_chunk(F.col("ts"), chunk_s),
+        by_time(F.col("ts"), chunk_s, split=True),
         "turn",
     )
     return (

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators.scan import (
-    CHUNK,
     DEFAULT_CHUNK_S,
+    by_time,
     chunked_scan,
     pack,
     previous_row,
@@ -54,7 +54,7 @@ def failover_rto(
     paired = previous_row(
         pack(events.withColumn("__node", F.col("node")), keys),
         ["ts", "seq"],
-        time_chunk(F.col("ts"), chunk_s),
+        by_time(F.col("ts"), chunk_s, split=True),
         F.struct("event", "ts", F.col("__node").alias("node")),
         "__prev",
     )
@@ -77,7 +77,7 @@ def _failure_runs(probes: DataFrame, chunk_s: float) -> DataFrame:
     scanned = chunked_scan(
         probes,
         _order(),
-        time_chunk(F.col("ts"), chunk_s),
+        by_time(F.col("ts"), chunk_s),
         local={
             "__bad": lambda w: F.sum(F.when(F.col("healthy"), 0).otherwise(1)).over(so_far(w)),
             "__ok_at": lambda w: F.max(F.when(F.col("healthy"), F.col("__bad"))).over(so_far(w)),
@@ -121,7 +121,7 @@ def downtime(
     """
     runs = _failure_runs(pack(probes.select(*keys, "ts", "seq", "healthy"), keys), chunk_s)
     kept = runs.where(F.col("healthy") | (F.col("failures") == threshold))
-    paired = previous_row(kept, ["ts", "seq"], F.col(CHUNK), F.struct("healthy", "ts"), "__prev")
+    paired = previous_row(kept, ["ts", "seq"], None, F.struct("healthy", "ts"), "__prev")
     recovered = paired.where(F.col("healthy") & ~F.col("__prev.healthy"))
     return unpack(recovered).select(
         *keys,
@@ -149,7 +149,7 @@ def alert_hold(
     marked = previous_row(
         pack(samples.select(*keys, "ts", "seq", (F.col("value") == 0).alias("zero")), keys),
         ["ts", "seq"],
-        time_chunk(F.col("ts"), chunk_s),
+        by_time(F.col("ts"), chunk_s),
         F.col("zero"),
         "__prev",
     )
@@ -157,7 +157,7 @@ def alert_hold(
     scanned = chunked_scan(
         marked.withColumn("__start", starts),
         _order(),
-        F.col(CHUNK),
+        None,
         local={"__here": lambda w: F.max("__start").over(so_far(w))},
         summary={"__latest": F.max("__start")},
         carry={"__earlier": lambda w: F.max("__latest").over(w)},

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.text import occurrences
-from fleetlens.operators.scan import chunked_scan, int_chunk, pack, so_far, unpack
+from fleetlens.operators.scan import by_number, chunked_scan, pack, so_far, unpack
 
 TAIL_LINES = 50000
 REPLICA_KEYS = ("cluster_id", "replica_id")
@@ -43,7 +43,7 @@ def log_tail(
     scanned = chunked_scan(
         pack(sized, by),
         [F.col("seq").desc()],
-        int_chunk(F.col("seq"), chunk),
+        by_number(F.col("seq"), chunk),
         local={"__to_here": lambda w: F.sum("__n").over(so_far(w))},
         summary={"__total": F.sum("__n")},
         carry={"__after": lambda w: F.sum("__total").over(w)},

@@ -13,14 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.operators.scan import (
-    CHUNK,
     DEFAULT_CHUNK_S,
+    by_time,
     int_chunk,
     pack,
     previous_row,
     row_index,
     running_totals,
-    time_chunk,
     unpack,
 )
 
@@ -79,7 +78,7 @@ def rolling_quantiles(
         samples.select(*by, "ts", "seq", F.col(value).cast("double").alias("__value")),
         by,
         [F.col("ts"), F.col("seq")],
-        time_chunk(F.col("ts"), chunk_s),
+        by_time(F.col("ts"), chunk_s),
         "__rn",
     )
     own = int_chunk(F.col("__rn") - 1, block)
@@ -115,7 +114,7 @@ def counter_rate(
     stepped = previous_row(
         pack(samples.select(*by, "ts", "seq", "value"), by),
         ["ts", "seq"],
-        time_chunk(F.col("ts"), chunk_s),
+        by_time(F.col("ts"), chunk_s),
         F.struct("value", F.unix_micros("ts").alias("us")),
         "__prev",
     )
@@ -125,7 +124,7 @@ def counter_rate(
     # An increase counts while the sample before it is still in range.
     counts = before.isNotNull() & (now - before <= reach)
     totals = running_totals(
-        unpack(stepped.drop(CHUNK)),
+        unpack(stepped),
         by,
         now,
         F.coalesce(before, now) + reach,

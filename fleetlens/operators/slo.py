@@ -198,6 +198,6 @@ def rate_limit_pressure(
     """Requests in the trailing window, this one included, compared with the limit."""
     now = F.unix_micros("ts")
     counted = running_totals(
-        requests, by, now, now + F.lit(int(window_s * 1_000_000)), {"in_window": F.lit(1)}
+        requests, by, now, now + F.lit(int(window_s * 1_000_000)), {"in_window": F.lit(1)}, split=True
     )
     return counted.withColumn("over_limit", F.col("in_window") > F.lit(limit))

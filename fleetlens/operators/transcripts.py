@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.operators.scan import CHUNK, chunked_scan, int_chunk, pack, so_far, unpack
+from fleetlens.operators.scan import by_number, chunked_scan, int_chunk, pack, so_far, unpack
 
 PIECES = 1024
 
@@ -77,13 +77,13 @@ def _split_chunks(chunks: DataFrame, slice_size: int) -> DataFrame:
     counted = chunked_scan(
         pack(pieces, ["request_id"]),
         [F.col("seq")],
-        int_chunk(F.col("seq"), slice_size),
+        by_number(F.col("seq"), slice_size),
         local={"__to_here": lambda w: F.sum("feeds").over(so_far(w))},
         summary={"__total": F.sum("feeds")},
         carry={"__before": lambda w: F.sum("__total").over(w)},
     )
     first = F.coalesce("__before", F.lit(0)) + F.col("__to_here") - F.col("feeds")
-    return unpack(counted.withColumn("first", first)).drop("__to_here", "__before", CHUNK)
+    return unpack(counted.withColumn("first", first)).drop("__to_here", "__before")
 
 
 def sse_transcripts(

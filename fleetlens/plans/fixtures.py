@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.operators.scan import int_chunk, row_index
+from fleetlens.operators.scan import by_number, int_chunk, row_index
 from fleetlens.session import prepare
 
 
@@ -70,7 +70,7 @@ class Tables:
             self.events.select("event_id", "ts", "node"),
             ["node"],
             [F.col("event_id")],
-            int_chunk(F.col("event_id"), 4096),
+            by_number(F.col("event_id"), 4096),
             "rn",
         )
         return numbered.select(
@@ -93,14 +93,14 @@ class Tables:
     def batch_items(self) -> DataFrame:
         """Items in listing order per job; the order keys tie only on equal rows.
 
-        The chunk follows the first two order keys, so one huge job still spreads.
+        The slices follow the first two order keys, so one huge job still spreads.
         """
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
         lines = self.base("lineitem").select(
             "l_orderkey", *order, "l_returnflag", "l_linestatus"
         )
-        chunk = F.col("l_linenumber") * F.lit(2**40) + int_chunk(F.col("l_partkey"), 256)
-        numbered = row_index(lines, ["l_orderkey"], [F.col(c) for c in order], chunk, "ordinal")
+        slices = by_number(F.col("l_linenumber") * F.lit(2**40) + F.col("l_partkey"), 256)
+        numbered = row_index(lines, ["l_orderkey"], [F.col(c) for c in order], slices, "ordinal")
         return numbered.select(
             F.col("l_orderkey").alias("job_id"),
             "ordinal",

@@ -10,7 +10,7 @@ import fleetlens
 from fleetlens.operators import incidents as inc
 from fleetlens.operators.quantiles import exact_quantiles
 from fleetlens.operators.rolling import rolling_quantiles
-from fleetlens.operators.scan import row_index, time_chunk
+from fleetlens.operators.scan import by_time, row_index
 from fleetlens.plans.fixtures import Tables
 from fleetlens.plans.registry import all_queries
 
@@ -51,7 +51,7 @@ def test_plans_have_no_pairwise_joins(spark, name):
 
 def test_no_window_runs_over_a_whole_key(hot):
     """Row windows are partitioned by chunk as well as key; whole-key ones see summaries."""
-    for df in (inc.probe_outages(hot), inc.downtime(hot), row_index(hot, ["node"], [F.col("seq")], time_chunk(F.col("ts")), "n")):
+    for df in (inc.probe_outages(hot), inc.downtime(hot), row_index(hot, ["node"], [F.col("seq")], by_time(F.col("ts")), "n")):
         windows = re.findall(r"Window \[.*?\], \[([^\]]*)\]", plan_of(df))
         assert windows
         for partition in windows:

@@ -9,7 +9,7 @@ from fleetlens.operators import rolling
 from fleetlens.operators.admission import rate_limit_labels
 from fleetlens.operators.batch import attempt_number
 from fleetlens.operators.logs import log_tail, needle_count
-from fleetlens.operators.scan import int_chunk, row_index, time_chunk
+from fleetlens.operators.scan import by_number, int_chunk, row_index, time_chunk
 
 SAMPLES = "cluster_id int, node string, seq int, ts timestamp, latency_ms double"
 
@@ -61,7 +61,7 @@ def test_row_index_is_the_position_even_for_null_keys(spark, chunk):
     data = [(k, i) for k, n in (("a", 50), ("b", 1), (None, 20)) for i in range(-n // 2, n - n // 2)]
     random.Random(1).shuffle(data)
     df = spark.createDataFrame(data, "k string, i int")
-    got = {(r["k"], r["i"]): r["n"] for r in row_index(df, ["k"], [F.col("i")], int_chunk(F.col("i"), chunk), "n").collect()}
+    got = {(r["k"], r["i"]): r["n"] for r in row_index(df, ["k"], [F.col("i")], by_number(F.col("i"), chunk), "n").collect()}
     assert len(got) == len(data)
     for k in ("a", "b", None):
         mine = sorted(i for kk, i in data if kk == k)
@@ -126,3 +126,32 @@ def test_needles_do_not_overlap(spark):
     df = spark.createDataFrame(data, "cluster_id int, replica_id string, raw string")
     assert {r["replica_id"]: r["hits"] for r in needle_count(df, "aa").collect()} == {"r": 3, "s": 0}
     assert {r["replica_id"]: r["hits"] for r in needle_count(df, "a.a").collect()} == {"r": 1, "s": 0}
+
+
+def test_bursts_are_cut_and_results_stay_the_same(spark, monkeypatch):
+    """Many rows of one key in one slice: chunks are cut into parts, in order."""
+    from fleetlens.operators import incidents as inc
+    from fleetlens.operators import scan, slo
+
+    rng = random.Random(17)
+    data = [(0, "hot", i, at(100 + i * 0.01), rng.random() < 0.3) for i in range(3000)]
+    data += [(0, "cold", 3000 + i, at(i * 50), rng.random() < 0.3) for i in range(200)]
+    df = spark.createDataFrame(data, "cluster_id int, node string, seq int, ts timestamp, healthy boolean")
+    event = F.when(F.col("healthy"), "RETRY").otherwise("FAILOVER")
+    ops = df.select("cluster_id", "node", "seq", "ts", event.alias("event"))
+    calls = df.select("cluster_id", F.col("seq").alias("request_id"), "ts")
+
+    def results():
+        slices = scan.by_time(F.col("ts"), split=True)
+        numbered = row_index(df, ["node"], [F.col("ts"), F.col("seq")], slices, "n")
+        return [
+            sorted(tuple(r) for r in frame.collect())
+            for frame in (inc.failover_rto(ops), numbered, slo.rate_limit_pressure(calls))
+        ]
+
+    whole = results()
+    monkeypatch.setattr(scan, "SPLIT_ROWS", 50)
+    parts = scan.cut(scan.pack(df, ["node"]), scan.by_time(F.col("ts"), split=True)).groupBy(scan.CHUNK, scan.PART, scan.KEY).count()
+    assert parts.agg(F.max("count")).first()[0] < 700
+    assert parts.where(f"{scan.KEY}.node = 'hot'").count() > 5
+    assert results() == whole
