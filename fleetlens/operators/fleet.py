@@ -63,6 +63,14 @@ TELEMETRY_DEFAULTS = {
 }
 
 
+def _shared(scope: Sequence[str], df: DataFrame) -> list[str]:
+    """The scope columns a configuration table has; it must at least name the cluster."""
+    keys = [k for k in scope if k in df.columns]
+    if not keys:
+        raise ValueError(f"the configuration needs at least one of the columns {list(scope)}")
+    return keys
+
+
 def _trimmed(name: str) -> Column:
     return F.trim(F.coalesce(F.col(name).cast("string"), F.lit("")))
 
@@ -164,7 +172,7 @@ def router_by_ip(
 
     An address shared by several names belongs to the last of them in priority order.
     """
-    keys = [k for k in scope if k in registry.columns]
+    keys = _shared(scope, registry)
     addresses = registry.select(
         *keys,
         "name",
@@ -308,7 +316,7 @@ def lifecycle_by_name(
     ``router`` gives (scope, name, readiness_ok); the scopes reported are its own.
     """
     scope = list(scope)
-    keys = [k for k in scope if k in registry.columns]
+    keys = _shared(scope, registry)
     snapshots = nodes.select(*scope).distinct()
     named = snapshots.join(registry.select(*keys, "name", "expected_ip", "infer_url"), keys)
     addresses = named.select(
@@ -349,7 +357,7 @@ def expected_node_checks(
 ) -> DataFrame:
     """Expected (name, expected_ip) against the node list: pass flag and reason."""
     scope = list(scope)
-    keys = [k for k in scope if k in expected.columns]
+    keys = _shared(scope, expected)
     seen = nodes.groupBy(*scope, _trimmed("node_ip").alias("expected_ip")).agg(
         F.some(F.coalesce(F.col("state") == ALIVE, F.lit(False))).alias("__alive"),
         F.min_by("state", "ordinal").alias("__first"),
@@ -374,7 +382,7 @@ def expected_node_checks(
 def head_check(config: DataFrame, nodes: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     """Whether the expected head is reported and alive; ``config`` has expected_head_ip."""
     scope = list(scope)
-    keys = [k for k in scope if k in config.columns]
+    keys = _shared(scope, config)
     ip = _trimmed("node_ip")
     is_head = F.coalesce("is_head_node", F.lit(False))
     per_scope = (
@@ -408,7 +416,7 @@ def resource_key_check(
     The map is exploded to one row per advertised key, so the match is an equi-join.
     """
     scope = list(scope)
-    keys = [k for k in scope if k in expected.columns]
+    keys = _shared(scope, expected)
     by_ip = F.coalesce("expected_ip", F.lit("")) != ""
     direct = expected_node_checks(expected.where(by_ip), nodes, scope)
     advertised = (
@@ -449,7 +457,7 @@ def required_node_keys(expected: DataFrame) -> DataFrame:
 def missing_nodes(required: DataFrame, usage: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     """Required keys absent from the reported usage keys ``(scope, key)``."""
     scope = list(scope)
-    keys = [k for k in scope if k in required.columns]
+    keys = _shared(scope, required)
     if keys != scope:
         required = usage.select(*scope).distinct().join(required, keys)
     return required.join(usage.select(*scope, "key"), [*scope, "key"], "left_anti")
@@ -460,7 +468,7 @@ def expected_covered(
 ) -> DataFrame:
     """Whether every expected address of a scope has a running replica."""
     scope = list(scope)
-    keys = [k for k in scope if k in expected.columns]
+    keys = _shared(scope, expected)
     wanted = expected.select(*keys, "node_ip")
     if keys != scope:
         wanted = replicas.select(*scope).distinct().join(wanted, keys)

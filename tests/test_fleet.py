@@ -243,3 +243,25 @@ def test_replica_listing_skips_blank_nodes_and_keeps_order(spark, as_rows):
     flat = spark.createDataFrame([(1, "x", "RUNNING"), (1, "y", "RUNNING"), (2, "x", "RUNNING"), (2, "x", "RUNNING")],
                                  "cluster_id int, node_ip string, state string")
     assert as_rows(fleet.replica_spread(flat, SCOPE), "cluster_id", "spread") == [(1, True), (2, False)]
+
+
+def test_configuration_without_a_cluster_is_refused(spark):
+    expected = spark.createDataFrame([("a", "10.0.0.1")], "name string, expected_ip string")
+    with pytest.raises(ValueError):
+        fleet.expected_node_checks(expected, nodes(spark), SCOPE)
+
+
+def test_snapshot_history_is_checked_snapshot_by_snapshot(spark, as_rows):
+    seen = nodes(spark, (0, "r1", "10.0.0.1", "one", "ALIVE", False, GPU)).withColumn("snapshot_ts", F.lit(1))
+    gone = nodes(spark, (0, "r1", "10.0.0.1", "one", "DEAD", False, GPU)).withColumn("snapshot_ts", F.lit(2))
+    other = nodes(spark, (0, "r2", "10.0.0.2", "two", "ALIVE", False, GPU)).withColumn("snapshot_ts", F.lit(3))
+    expected = spark.createDataFrame([(0, "a", "10.0.0.1")], "cluster_id int, name string, expected_ip string")
+    history = seen.unionByName(gone).unionByName(other)
+    got = as_rows(fleet.expected_node_checks(expected, history), "snapshot_ts", "passed", "detail")
+    assert got == [(1, True, "ALIVE"), (2, False, "joined but state=DEAD"), (3, False, "not joined to Ray cluster")]
+    view = fleet.nodes_view(
+        history,
+        replicas(spark, ("x", "10.0.0.1", "RUNNING")).withColumn("snapshot_ts", F.lit(1)),
+        router(spark, ("n", "10.0.0.2", "reserve", False, None, 0, 0, True)).withColumn("snapshot_ts", F.lit(3)),
+    )
+    assert as_rows(view, "snapshot_ts", "status", "role") == [(1, "LIVE", "unmanaged"), (3, "FAILED", "standby")]

@@ -161,3 +161,20 @@ def test_repeated_rows_are_dropped_within_the_watermark(spark, tmp_path):
     data = [(i // 2, at(i)) for i in range(40)]
     stream, _ = files(spark, str(tmp_path / "d"), data, "request_id bigint, ts timestamp", 2)
     assert run_available(sq.deduplicated(stream, ["request_id"]), "t").count() == 20
+
+
+def test_access_log_lines_as_a_stream(spark, tmp_path, as_rows):
+    from fleetlens.sources.readers import stream_access_log
+
+    folder = tmp_path / "log"
+    folder.mkdir()
+    for part in range(2):
+        lines = [
+            json.dumps({"requestId": f"{part}-{i}", "requestTime": f"01/Jan/2024:00:{part}0:{i:02d} +0000", "status": "404", "latency": "x"})
+            for i in range(5)
+        ]
+        (folder / f"{part}.log").write_text("\n".join(lines))
+    got = run_available(stream_access_log(spark, str(folder)), "t")
+    assert got.count() == 10 and got.where("status = 404 AND latency_ms IS NULL").count() == 10
+    minutes = run_available(sq.stream_traffic(stream_access_log(spark, str(folder)), lateness="0 seconds"), "t")
+    assert as_rows(minutes, "window_start", "requests", "errors_4xx") == [(at(0), 5, 5)]
