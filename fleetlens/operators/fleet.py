@@ -205,7 +205,9 @@ def _view_row(columns: Sequence[str], scope: Sequence[str], joined: bool, usable
         *scope,
         "node_ip",
         status.alias("status"),
-        router_role(F.col("raw_status")).alias("role"),
+        router_role(
+            F.when(F.col("router_name").isNotNull(), F.coalesce("raw_status", F.lit("")))
+        ).alias("role"),
         F.coalesce("raw_status", F.lit("unmanaged")).alias("raw_status"),
         F.col("__best.replica_id").alias("serve_replica_id"),
         F.col("__best.state").alias("serve_replica_state"),

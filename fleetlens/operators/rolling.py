@@ -74,8 +74,22 @@ def rolling_quantiles(
     built-in percentile would sort the whole frame again for every row.
     """
     by = list(by)
+    blocks = sample_blocks(samples, by, value, size, block, chunk_s)
+    schema = T.StructType(
+        [*blocks.schema.fields, *[T.StructField(c, T.DoubleType()) for c in QUANTILE_COLUMNS]]
+    )
+    rolled = blocks.groupBy(*by, "__block").applyInPandas(lambda pdf: _roll(pdf, size), schema)
+    return rolled.select(*by, "ts", "seq", *QUANTILE_COLUMNS)
+
+
+def sample_blocks(
+    samples: DataFrame, by: Sequence[str], value: str, size: int, block: int, chunk_s: float
+) -> DataFrame:
+    """Samples with the block they belong to, and copies as context for the next blocks."""
     numbered = row_index(
-        samples.select(*by, "ts", "seq", F.col(value).cast("double").alias("__value")),
+        samples.select(*by, "ts", "seq", F.col(value).cast("double").alias("__value")).where(
+            F.col("__value").isNotNull()
+        ),
         by,
         [F.col("ts"), F.col("seq")],
         by_time(F.col("ts"), chunk_s),
@@ -83,17 +97,12 @@ def rolling_quantiles(
     )
     own = int_chunk(F.col("__rn") - 1, block)
     reach = int_chunk(F.col("__rn") + (size - 2), block)
-    blocks = (
+    return (
         numbered.withColumn("__own", own)
         .withColumn("__block", F.explode(F.sequence(own, reach)))
         .withColumn("__context", F.col("__block") != F.col("__own"))
         .drop("__own")
     )
-    schema = T.StructType(
-        [*blocks.schema.fields, *[T.StructField(c, T.DoubleType()) for c in QUANTILE_COLUMNS]]
-    )
-    rolled = blocks.groupBy(*by, "__block").applyInPandas(lambda pdf: _roll(pdf, size), schema)
-    return rolled.select(*by, "ts", "seq", *QUANTILE_COLUMNS)
 
 
 def counter_rate(

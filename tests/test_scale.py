@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 import fleetlens
 from fleetlens.operators import incidents as inc
 from fleetlens.operators.quantiles import exact_quantiles
-from fleetlens.operators.rolling import rolling_quantiles
-from fleetlens.operators.scan import by_time, row_index
+from fleetlens.operators.rolling import rolling_quantiles, sample_blocks
+from fleetlens.operators.scan import CHUNK, KEY, PART, by_time, cut, pack, row_index
 from fleetlens.plans.fixtures import Tables
 from fleetlens.plans.registry import all_queries
 
@@ -70,16 +70,18 @@ def test_hot_node_results_are_whole(spark, hot, as_rows):
     assert rolling_quantiles(table, size=64, block=512).count() == 60000
 
 
-def test_rolling_groups_are_bounded(spark, hot):
+def test_rolling_groups_are_bounded(hot):
     """Each group given to Python holds one block and the samples before it."""
-    seen = []
+    blocks = sample_blocks(hot, ["node"], "latency_ms", 64, 512, 300)
+    sizes = blocks.groupBy("node", "__block").agg(F.count(F.lit(1)).alias("n"), F.count_if("__context").alias("c"))
+    row = sizes.agg(F.max("n"), F.max("c"), F.sum(F.col("n") - F.col("c"))).first()
+    assert row[0] <= 512 + 63 and row[1] <= 63 and row[2] == 60000
 
-    def spy(df):
-        return df
 
-    rolled = rolling_quantiles(hot, size=64, block=512)
-    groups = plan_of(rolled)
-    assert "FlatMapGroupsInPandas" in groups and "__block" in groups
+def test_hot_node_chunks_are_bounded(hot):
+    """No chunk holds more than its slice of time, however much of the data a node has."""
+    chunks = cut(pack(hot, ["node"]), by_time(F.col("ts"))).groupBy(CHUNK, PART, KEY).count()
+    assert chunks.agg(F.max("count")).first()[0] <= 300 / 0.7 / 3 + 1
 
 
 def test_quantile_join_sides_are_reduced(hot):
