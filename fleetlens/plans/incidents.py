@@ -25,7 +25,7 @@ DOWN_SQL = f"""SELECT o.node, o.outage_ts, min(p.ts) AS recovered_ts
 
 def _recovery(t: Tables, *, rollup: bool = False):
     samples = t.events.select(
-        F.lit(0).alias("cluster_id"),
+        "cluster_id",
         "node",
         "ts",
         F.when(F.col("event_type") == "error", "DEAD")

@@ -355,7 +355,8 @@ def keyed(
 
     The stateful operator needs its input partitioned and sorted by the keys. Doing both
     here with the order columns added lets Spark's external sort put the rows of a key in
-    order at no extra exchange. Spark's check rejects any sort of a stream, though one
+    order at no extra exchange. (Keys must be real columns: Spark folds literals out of the
+    first sort and would sort again.) Spark's check rejects any sort of a stream, though one
     within a partition is harmless, so such queries are started with the settings of
     :func:`fleetlens.streaming.run.stateful_settings`.
     """

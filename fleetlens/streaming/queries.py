@@ -55,36 +55,42 @@ def stream_traffic(requests: DataFrame, by: Sequence[str] = (), lateness: str =
 
 def stream_outages(probes: DataFrame, threshold: int = 3) -> DataFrame:
     """FAILOVER and RESPAWN events per node."""
-    return p.keyed(probes, ["cluster_id", "node"], p.OutageProcessor(threshold))
+    rows = probes.select("cluster_id", "node", "ts", "seq", "healthy")
+    return p.keyed(rows, ["cluster_id", "node"], p.OutageProcessor(threshold))
 
 
 def stream_sla_state(samples: DataFrame, target_ms: float = 30000.0, size: int = 1024) -> DataFrame:
     """p95 and SLA flag of the last samples per node, one row per node and batch."""
-    return p.keyed(samples, ["cluster_id", "node"], p.SlaProcessor(target_ms, size))
+    rows = samples.select("cluster_id", "node", "ts", "seq", "latency_ms")
+    return p.keyed(rows, ["cluster_id", "node"], p.SlaProcessor(target_ms, size))
 
 
 def stream_alert_hold(samples: DataFrame, hold_s: float = 30.0, lateness: str = LATENESS) -> DataFrame:
     """One firing event per run of zero status held long enough."""
-    timed = samples.withWatermark("ts", lateness)
+    timed = samples.select("cluster_id", "node", "ts", "seq", "value").withWatermark("ts", lateness)
     return p.keyed(timed, ["cluster_id", "node"], p.AlertHoldProcessor(hold_s), event_time=True)
 
 
 def stream_rate_limit(requests: DataFrame, limit: int = 15, window_s: float = 10.0) -> DataFrame:
     """Accept or reject per API key."""
-    return p.keyed(requests, ["api_key_id"], p.RateLimitProcessor(limit, window_s), ["ts", "request_id"])
+    rows = requests.select("api_key_id", "ts", "request_id")
+    return p.keyed(rows, ["api_key_id"], p.RateLimitProcessor(limit, window_s), ["ts", "request_id"])
 
 
 def stream_rto(ops_events: DataFrame) -> DataFrame:
     """Time from failover to first retry per cluster."""
-    return p.keyed(ops_events, ["cluster_id"], p.RtoProcessor())
+    rows = ops_events.select("cluster_id", "ts", "seq", "event", "node")
+    return p.keyed(rows, ["cluster_id"], p.RtoProcessor())
 
 
 def stream_job_state(job_events: DataFrame) -> DataFrame:
     """Newest status per job; later rows of a job supersede earlier ones."""
-    return p.keyed(job_events, ["job_id"], p.JobStateProcessor())
+    rows = job_events.select("job_id", "ts", "seq", "ray_status")
+    return p.keyed(rows, ["job_id"], p.JobStateProcessor())
 
 
 def stream_transcripts(chunks: DataFrame, timeout_s: float = 600.0, lateness: str = LATENESS) -> DataFrame:
     """Transcript and timing per streamed response; ``started_at`` is used where present."""
-    timed = chunks.withWatermark("ts", lateness)
+    columns = [c for c in ("request_id", "seq", "ts", "chunk", "started_at") if c in chunks.columns]
+    timed = chunks.select(*columns).withWatermark("ts", lateness)
     return p.keyed(timed, ["request_id"], p.TranscriptProcessor(timeout_s), ["seq"], event_time=True)
