@@ -122,17 +122,17 @@ SELECT page_id, host, path, CASE {name} END AS rule, CASE {verdict} WHEN {listed
 
 
 def _quality_sql() -> str:
-    classes = [r"\p{Ll}+", r"\p{Lu}+", r"[\p{Lt}\p{Lm}\p{Lo}\p{M}]+", r"\p{N}+", r"\s+"]
-    counts = ", ".join(f"length(t) - length(regexp_replace(t, '{c}', '', 'g')) AS c{i}" for i, c in enumerate(classes))
-    last = len(classes)
+    counts = ", ".join(f"length(t) - length(regexp_replace(t, '{c}', '', 'g')) AS c{i}" for i, c in enumerate(quality.CLASSES))
+    last = quality.N_CLASSES - 1
     names = [f"c{i}" for i in range(last + 1)]
+    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    counts += f", length(t) - length(translate(t, {blanks}, '')) AS c{last - 1}"
     part = lambda p, q: (
         f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END / 2 + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END / 2)"
     )
     far = " + ".join(part(f"(f.{n} / length(t))", f"(u.{n} / u.size)") for n in names)
     sums = ", ".join(f"sum({n}) AS {n}" for n in names)
     size = " + ".join(f"sum({n})" for n in names)
-    blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     w = quality.WINDOW
     return f"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, {WORDS_SQL} AS words FROM documents),
