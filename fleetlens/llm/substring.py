@@ -1,7 +1,7 @@
 """Removal of word windows that occur earlier in the corpus, by FM-index.
 
 All windows of ``window`` words are compared, across the whole corpus and inside documents. Shards
-hold content, not documents: the anchor of a window is the word 6-gram in it with the smallest
+hold content, not documents: the anchor of a window is the word 4-gram in it with the smallest
 hash, so equal windows have equal anchors and meet in one shard. Neighbouring windows with one
 anchor travel together as a segment of words. Every shard builds an FM-index of its segments whose
 anchor recurs (Burrows-Wheeler transform in a wavelet matrix of packed bits); the segments of the
@@ -9,7 +9,7 @@ documents are streamed against it by backward search, one word a step, which giv
 position the interval of the suffixes that share the next ``window`` words, the longer matches cut back to
 that threshold. The interval's earliest start says whether the window starts earlier elsewhere.
 
-Hot content: equal segments of a slice of documents become one before the shuffle, the copies being
+Hot content: equal segments read by one task (in buffers of ``BUFFER_BYTES``) become one before the shuffle, the copies being
 repeats for certain. An anchor that many different segments share (a common line in ever new
 surroundings) would fill one shard: anchors that recur inside slices ``HOT_SEGMENTS`` times or more,
 counted over the whole corpus, have their windows sent one by one by the hash of the window
@@ -30,13 +30,16 @@ from fleetlens.llm.storage import bitmap, has_bit, stored
 from fleetlens.llm.text import Prefixes, joined, keyed, mix, same_document, slices, text_buffer, word_hashes, word_spans
 
 WINDOW = 20
-GRAM = 6
+GRAM = 4
 DEPTH = 32
 HOT_SEGMENTS = 5000
 HOT_BITS = 1 << 23
-SEGMENTS_PER_SHARD = 20_000
+SEGMENTS_PER_SHARD = 60_000
 INDEX_WORDS = 400_000
-LEVEL = 1
+BUFFER_BYTES = 40 << 20
+LEVEL = 3
+# How the numbers of a segment travel: anchor (24 bits are enough inside a shard), null id, id, text hash, start, windows.
+PACKED = ("<u4", "u1", "<i8", "<u4", "<i4", "u1")
 
 
 class Segments:
@@ -225,33 +228,52 @@ def search(contents: list[bytes], earliest: np.ndarray, window: int) -> tuple[np
     return out, bounds
 
 
-def _pack(part: pa.RecordBatch, found: Segments, window: int, shards: int) -> Iterator[tuple[int, bytes]]:
-    """Payloads by shard: distinct segments of the slice at their earliest place, and the copies as repeats."""
-    import zstandard
-
-    ids = part.column("doc_id")
-    null = np.asarray(ids.is_null())
-    doc_id = np.asarray(ids.fill_null(0)).astype(np.int64)
-    th = np.asarray(part.column("th"))
-    place = np.empty(len(null), np.int64)
-    place[np.lexsort((th, doc_id, null))] = np.arange(len(null))
-    start = found.first - found.first_word[found.doc]
-    order = np.lexsort((start, place[found.doc]))
-    contents = found.content(window)
-    seen: dict[bytes, int] = {}
-    fresh = np.fromiter((seen.setdefault(contents[i], i) == i for i in order.tolist()), bool, len(order))
-    shard = (mix(found.anchor) % np.uint64(shards)).astype(np.int64)
-    order, fresh = order[np.argsort(shard[order], kind="stable")], fresh[np.argsort(shard[order], kind="stable")]
-    squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
-    edges = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
-    for a, b in zip(edges[:-1], edges[1:]):
-        these, new = order[a:b], fresh[a:b]
-        these = np.concatenate((these[new], these[~new]))
-        doc = found.doc[these]
-        columns = (found.anchor[these].view(np.int64), null[doc].astype(np.int64), doc_id[doc], th[doc], start[these], found.windows[these])
-        head = np.concatenate(([len(these), new.sum()], *columns)).astype(np.int64).tobytes()
-        text = b"\n".join([contents[i] for i in these[: new.sum()].tolist()])
-        yield int(shard[order[a]]), squeeze(head + text)
+class Buffer:
+    """Segments of several slices, until they are packed by shard."""
+
+    def __init__(self, window: int, shards: int) -> None:
+        self.window, self.shards = window, shards
+        self.numbers: list[np.ndarray] = []
+        self.contents: list[bytes] = []
+        self.size = 0
+
+    def add(self, part: pa.RecordBatch, found: Segments) -> None:
+        ids = part.column("doc_id")
+        null = np.asarray(ids.is_null()).astype(np.int64)[found.doc]
+        doc_id = np.asarray(ids.fill_null(0)).astype(np.int64)[found.doc]
+        th = np.asarray(part.column("th"))[found.doc]
+        spread = mix(found.anchor)
+        shard = (spread % np.uint64(self.shards)).astype(np.int64)
+        start = found.first - found.first_word[found.doc]
+        self.numbers.append(np.stack(((spread >> np.uint64(40)).astype(np.int64), null, doc_id, th, start, found.windows, shard)))
+        self.contents += found.content(self.window)
+        self.size += sum(map(len, self.contents[len(self.contents) - len(start) :])) + 56 * len(start)
+
+    def packed(self) -> pa.RecordBatch:
+        """A payload for each shard: distinct segments at their earliest place, then the copies, which are repeats."""
+        import zstandard
+
+        numbers = np.concatenate(self.numbers, axis=1) if self.numbers else np.zeros((7, 0), np.int64)
+        order = np.lexsort((numbers[4], numbers[3], numbers[2], numbers[1], numbers[6]))
+        contents = self.contents
+        seen: dict[bytes, int] = {}  # equal segments have one shard
+        fresh = np.fromiter((seen.setdefault(contents[i], i) == i for i in order.tolist()), bool, len(order))
+        squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
+        shard = numbers[6, order]
+        edges = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(order))
+        names, payloads = [], []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            these, new = order[a:b], fresh[a:b]
+            these = np.concatenate((these[new], these[~new]))
+            rows = numbers[:6, these]
+            rows[2] = np.diff(rows[2], prepend=0)
+            head = np.array([len(these), new.sum()], np.int64).tobytes()
+            body = b"".join(row.astype(kind).tobytes() for row, kind in zip(rows, PACKED))
+            text = b"\n".join([contents[i] for i in these[: new.sum()].tolist()])
+            names.append(int(shard[a]))
+            payloads.append(squeeze(head + body + text))
+        self.__init__(self.window, self.shards)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(payloads, pa.binary())], ["shard", "payload"])
 
 
 def _unpack(payload: bytes) -> tuple[np.ndarray, int, list[bytes]]:
@@ -260,8 +282,13 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, int, list[bytes]]:
 
     raw = zstandard.ZstdDecompressor().decompress(payload)
     count, fresh = np.frombuffer(raw, np.int64, 2).tolist()
-    numbers = np.frombuffer(raw, np.int64, 6 * count, 16).reshape(6, count)
-    return numbers, fresh, raw[16 + 48 * count :].split(b"\n") if fresh else []
+    rows, at = [], 16
+    for kind in PACKED:
+        rows.append(np.frombuffer(raw, kind, count, at).astype(np.int64))
+        at += count * np.dtype(kind).itemsize
+    numbers = np.stack(rows)
+    numbers[2] = np.cumsum(numbers[2])
+    return numbers, fresh, raw[at:].split(b"\n") if fresh else []
 
 
 def _shard_repeats(payloads: list[bytes], window: int) -> pa.Table:
@@ -325,18 +352,19 @@ def repeats(
     """
     if not 1 <= window < DEPTH:
         raise ValueError(f"window has to be from 1 to {DEPTH - 1}")
-    rows = keyed(docs, key=key, text=text)
+    rows = _rows(docs, key, text)
     hot, total = hot_anchors(rows, window, hot_segments)
     shards = max(1, -(-total // SEGMENTS_PER_SHARD))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffer = Buffer(window, shards)
         for batch in batches:
             for part in slices(batch):
                 part = part.take(pa.array(_unequal(part)))
-                made = list(_pack(part, Segments(part.column("text"), window, hot), window, shards))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], ["shard", "payload"]
-                )
+                buffer.add(part, Segments(part.column("text"), window, hot))
+                if buffer.size >= BUFFER_BYTES:
+                    yield buffer.packed()
+        yield buffer.packed()
 
     def find(table: pa.Table) -> pa.Table:
         return _shard_repeats(table.column("payload").to_pylist(), window)
@@ -345,6 +373,11 @@ def repeats(
     return payloads.groupBy("shard").applyInArrow(find, "doc_id long, th long, low int, high int")
 
 
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Documents with 32 bits of the text's hash: rows of one id are told apart by them."""
+    return keyed(docs, key=key, text=text).withColumn("th", F.col("th").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def _unequal(part: pa.RecordBatch) -> list[int]:
     """Rows of a slice, each document once."""
     keys: dict[tuple, int] = {}
@@ -361,7 +394,7 @@ def removed(
     Every word covered by a window whose words also start earlier goes; windows are judged on the
     input. Null texts have no words. Repeated rows are one document, given once each with the same result.
     """
-    rows = keyed(docs, key=key, text=text)
+    rows = _rows(docs, key, text)
     runs = repeats(docs, window=window, hot_segments=hot_segments, key=key, text=text)
     runs = runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     paired = rows.alias("d").join(runs.alias("r"), same_document("d", "r"), "left").select("d.doc_id", "d.text", "r.runs")
