@@ -37,7 +37,7 @@ HOT_BITS = 1 << 23
 SEGMENTS_PER_SHARD = 60_000
 INDEX_WORDS = 400_000
 BUFFER_BYTES = 40 << 20
-LEVEL = 3
+LEVEL = 6
 # How the numbers of a segment travel: anchor (24 bits are enough inside a shard), null id, id, text hash, start, windows.
 PACKED = ("<u4", "u1", "<i8", "<u4", "<i4", "u1")
 
