@@ -306,6 +306,7 @@ def repeats(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN
     late = late.select(F.when(a_later, F.col("a1")).otherwise(F.col("b1")).alias("h1"), F.when(a_later, F.col("a2")).otherwise(F.col("b2")).alias("h2"))
     late = late.distinct().withColumn("late", F.lit(True))
     judged = firsts.join(late, ["h1", "h2"], "left").where((F.col("times") > 1) | F.col("late"))
+    judged = stored(judged, "repeated-lines")  # read anew, so that the join below can split the rows of a very common line
     gone = lines.join(judged, ["h1", "h2"]).where(F.col("late") | (order != F.col("first")))
     return gone.groupBy(*DOC).agg(F.collect_set("number").alias("numbers"))
 
