@@ -7,10 +7,10 @@ back into step, so that their walks agree at many places. Each LSH table samples
 walk; windows of a document, as long as items are, meet items with the same sample. Every
 candidate is verified by exact word edit distance (bit-parallel, free ends).
 
-Windows are taken only where an item can be: by the q-gram lemma a stretch within k edits of an item of n
+Windows begin and end where runs of known trigrams do, or where a known trigram is the first or last of an item.
+They are taken only where an item can be: by the q-gram lemma a stretch within k edits of an item of n
 words shares n - 2 - 3k word trigrams with it. The trigrams of all items are known to the tasks as a
-bitmap of ``GRAM_BITS`` bits, fixed however many items there are; it links no window to an item. Windows begin and
-end where runs of known trigrams do. Items and windows meet in an equi-join on the sample, so
+bitmap of ``GRAM_BITS`` bits, fixed however many items there are; it links no window to an item. Items and windows meet in an equi-join on the sample, so
 the benchmark may be of any size; nothing is kept per document but its windows.
 
 Recall of the LSH depends on the edits: see ``tests/llm/test_decontam.py``, which holds it to 0.9 or more
@@ -35,7 +35,7 @@ GRAM_BITS = 1 << 23
 MIN_ITEM_WORDS = 8
 MAX_EDITS = 0.2
 GROWTH = 1.25
-WALKS, TABLES_PER_WALK, SAMPLED = 6, 6, 2
+WALKS, TABLES_PER_WALK, SAMPLED = 6, 10, 3
 SEED = 0xC6A4A7935BD1E995
 
 
@@ -55,57 +55,67 @@ def sampled_places(size: int) -> np.ndarray:
     return dice.integers(0, length, (WALKS, TABLES_PER_WALK, SAMPLED))
 
 
-def samples(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """LSH keys [sequence, table] of runs of word hashes, embedded for the given classes."""
-    out = np.zeros((len(begin), WALKS * TABLES_PER_WALK), np.uint64)
+def samples(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, *sizes: np.ndarray) -> np.ndarray:
+    """LSH keys [sequence, table] of runs of word hashes, embedded once and sampled for each of the given classes."""
+    tables = WALKS * TABLES_PER_WALK
+    out = np.zeros((len(begin), tables * len(sizes)), np.uint64)
+    if not len(begin):
+        return out
     padded = np.append(hashes, np.uint64(0))
-    for size in np.unique(sizes):
-        which = np.flatnonzero(sizes == size)
-        places = sampled_places(int(size))
-        for walk in range(WALKS):
-            at = begin[which].copy()
-            stop = end[which]
-            symbols = np.empty((int(places[walk].max()) + 1, len(which)), np.uint64)
-            for step in range(len(symbols)):
-                over = at >= stop
-                word = np.where(over, np.uint64(0), padded[np.minimum(at, len(hashes))])
-                symbols[step] = word
-                dice = mix(word + np.uint64(SEED * (walk * 4096 + step + 1) % (1 << 64)))
-                at += (dice & np.uint64(1)).astype(np.int64) & ~over
-            for table in range(TABLES_PER_WALK):
-                number = walk * TABLES_PER_WALK + table
-                key = np.full(len(which), (int(size) + 64) * 1000 + number, np.uint64)
-                for place in places[walk, table]:
-                    key = mix(key * np.uint64(SEED) + symbols[place])
-                out[which, number] = key
+    places = {int(size): sampled_places(int(size)) for size in np.unique(np.concatenate(sizes))}
+    for walk in range(WALKS):
+        at = begin.copy()
+        symbols = np.zeros((max(int(p[walk].max()) for p in places.values()) + 1, len(begin)), np.uint64)
+        for step in range(len(symbols)):
+            over = at >= end
+            if over.all():
+                break  # behind the end all symbols are 0
+            word = np.where(over, np.uint64(0), padded[np.minimum(at, len(hashes))])
+            symbols[step] = word
+            dice = mix(word + np.uint64(SEED * (walk * 4096 + step + 1) % (1 << 64)))
+            at += (dice & np.uint64(1)).astype(np.int64) & ~over
+        number = np.arange(walk * TABLES_PER_WALK, (walk + 1) * TABLES_PER_WALK)
+        for turn, wanted in enumerate(sizes):
+            for size in np.unique(wanted):
+                which = np.flatnonzero(wanted == size)
+                seen = symbols[places[int(size)][walk]][:, :, which]  # [table, sample, sequence]
+                key = np.repeat(((int(size) + 64) * 1000 + number).astype(np.uint64)[:, None], len(which), axis=1)
+                for sample in range(SAMPLED):
+                    key = mix(key * np.uint64(SEED) + seen[:, sample])
+                out[which[:, None], turn * tables + number[None, :]] = key.T
     return out
 
 
-def windows_of(hits: np.ndarray, first: np.ndarray, shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shared_at_least(shortest: int, longest: int) -> np.ndarray:
+    """By the size of a stretch: the trigrams it shares at least with an item that it holds within the allowed edits."""
+    n = np.arange(shortest, longest + 1)
+    edits = np.array([allowed_edits(int(x)) for x in n])
+    needed = n - (GRAM - 1) - GRAM * edits
+    sizes = np.arange(int(longest * GROWTH) + 2)
+    longest_fit = n + edits  # a stretch is at most so long
+    return np.array([max(1, needed[longest_fit >= size].min(initial=longest)) for size in sizes])
+
+
+def windows_of(
+    hits: np.ndarray, begins: np.ndarray, stops: np.ndarray, first: np.ndarray, shortest: int, longest: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first word, end) of the windows that may hold an item of ``shortest`` to ``longest`` words.
 
-    ``hits`` marks the words at which a known trigram begins, ``first`` the bounds of the texts.
+    ``hits`` marks the words at which a known trigram begins, ``begins`` and ``stops`` those where it is the first or
+    the last one of an item; ``first`` has the bounds of the texts. Windows begin and end at the bounds of runs of hits, and at
+    such trigrams inside them.
     """
-    low, high = int(shortest / GROWTH), int(longest * GROWTH) + 1
-    stride = max(1, shortest // 4)
+    low, high = int(shortest / GROWTH), int(longest * GROWTH)
     padded = np.concatenate(([False], hits, [False]))
-    opens = np.flatnonzero(padded[1:-1] & ~padded[:-2])
-    closes = np.flatnonzero(padded[1:-1] & ~padded[2:]) + 1
     sums = np.concatenate(([0], np.cumsum(hits)))
-    starts, ends = [opens], [closes + GRAM - 1]
-    for a, b in zip(opens[closes - opens > stride].tolist(), closes[closes - opens > stride].tolist()):
-        cuts = np.arange(a + stride, b, stride)  # windows may begin and end inside a long run
-        starts.append(cuts)
-        ends.append(cuts + GRAM - 1)
-    starts, ends = np.unique(np.concatenate(starts)), np.unique(np.concatenate(ends))
+    starts = np.flatnonzero(hits & (~padded[:-2] | begins))
+    ends = np.flatnonzero(hits & (~padded[2:] | stops)) + GRAM
     a, b = np.searchsorted(ends, starts + low), np.searchsorted(ends, starts + high, side="right")
     begin = np.repeat(starts, b - a)
     end = ends[np.arange(len(begin)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)]
     text = np.searchsorted(first, begin, side="right") - 1
-    size = end - begin
     shared = sums[np.maximum(end - GRAM + 1, begin)] - sums[begin]
-    least = (1 - GRAM * MAX_EDITS) * size / GROWTH - (GRAM - 1)
-    good = (end <= first[text + 1]) & (shared >= np.maximum(least, 1))
+    good = (end <= first[text + 1]) & (shared >= shared_at_least(shortest, longest)[end - begin])
     return text[good], begin[good], end[good]
 
 
@@ -201,6 +211,8 @@ def leaks(
         )
     shortest, longest = sizes
     known = bitmap(items.select(F.explode("bits").alias("bit")), "bit", GRAM_BITS)
+    opening = bitmap(items.select(F.element_at("bits", 1).alias("bit")), "bit", GRAM_BITS)
+    closing = bitmap(items.select(F.element_at("bits", -1).alias("bit")), "bit", GRAM_BITS)
     margin = allowed_edits(longest) * 2 + GRAM
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +220,10 @@ def leaks(
             for part in slices(batch):
                 words = Words(part.column("text"))
                 bits, inside = grams(words)
-                doc, begin, end = windows_of(has_bit(known, bits) & inside, words.first, shortest, longest)
+                hits = has_bit(known, bits) & inside
+                doc, begin, end = windows_of(hits, has_bit(opening, bits), has_bit(closing, bits), words.first, shortest, longest)
                 wide = size_class(end - begin)
-                keys = np.concatenate([samples(words.whole(), begin, end, wide + d) for d in (-1, 0, 1)], axis=1)
+                keys = samples(words.whole(), begin, end, wide - 1, wide, wide + 1)
                 low, high = np.maximum(begin - margin, words.first[doc]), np.minimum(end + margin, words.first[doc + 1])
                 rows = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
