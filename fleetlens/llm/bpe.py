@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.text import code_points, once, slices, text_buffer, widened
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 CACHED_BYTES = 64
 BLOCK = 64
+ENCODED_AT_ONCE = 1 << 20  # bytes of text, or of ids
 
 # Classes of code points.
 LETTER, NUMBER, BLANK, SPACE, QUOTE, OTHER = range(6)
@@ -281,27 +282,32 @@ def _packed(values: np.ndarray, bounds: np.ndarray, kind: str) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, buffers)
 
 
-def encode(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, *, text: str = "text", decoded: bool = False) -> DataFrame:
     """``docs`` with ``n_tokens``, ``ids`` and ``offsets``, both as packed little-endian 32-bit numbers.
 
-    ``offsets`` holds the byte of the text at which each token begins. Null texts are encoded as
-    empty ones: no tokens. Columns of these names in ``docs`` are replaced. ``path`` is the rank
-    file; it has to be readable on the executors.
+    ``offsets`` holds the byte of the text at which each token begins. With ``decoded`` the bytes that the
+    ids stand for are added in the same pass, as ``decode`` would add them. Null texts are encoded as empty
+    ones: no tokens. Columns of these names in ``docs`` are replaced. ``path`` is the rank file; it has to be
+    readable on the executors.
     """
     ranges = class_ranges()
-    new = ("n_tokens", "ids", "offsets")
+    new = ("n_tokens", "ids", "offsets", "decoded")[: 4 if decoded else 3]
     rest = docs.drop(*new)
     columns = rest.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, ENCODED_AT_ONCE):
                 ids, offsets, bounds = encode_texts(part.column(text), words, ranges)
                 made = [pa.array(np.diff(bounds)), _packed(ids, bounds, "<u4"), _packed(offsets, bounds, "<u4")]
+                if decoded:
+                    spans = zip(bounds[:-1].tolist(), bounds[1:].tolist())
+                    made.append(pa.array([words.decode(ids[a:b], offsets[a:b]).tobytes() for a, b in spans], pa.binary()))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in columns] + made, [*columns, *new])
 
-    return rest.mapInArrow(run, widened(rest, "n_tokens long, ids binary, offsets binary"))
+    more = "n_tokens long, ids binary, offsets binary" + ", decoded binary" * decoded
+    return rest.mapInArrow(run, widened(rest, more))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -312,7 +318,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in batches:
-            for part in slices(batch, "ids"):
+            for part in slices(batch, "ids", ENCODED_AT_ONCE):
                 pairs = zip(part.column("ids").to_pylist(), part.column("offsets").to_pylist())
                 made = [
                     None if i is None or o is None
@@ -332,7 +338,7 @@ def unpacked(numbers: bytes) -> list[int]:
 def digests(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: its key, ``n_tokens``, and SHA-256 of the packed ids and of the decoded bytes."""
     rows = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").cast("string").alias("text"))
-    done = decode(encode(rows, path).drop("text"), path)
+    done = encode(rows, path, decoded=True)
     return done.select(
         key, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
