@@ -33,6 +33,7 @@ MIN_DOCS, MIN_Z, MIN_LOG_ODDS = 4, 3.0, 2.0
 STEMS = range(3, 9)
 NEAR_WORDS = 5
 TIE_SHARE = 0.02
+READ_AT_ONCE = 1 << 20  # bytes of text
 TREES, TREE_DEPTH = 20, 4
 
 INSULTS = (
@@ -155,7 +156,7 @@ def _lexicon(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=READ_AT_ONCE):
                 words = Words(part.column("text"))
                 toxic = np.asarray(part.column("toxic")).astype(bool)
                 stems = [np.unique(np.stack((h, words.doc[w].astype(np.uint64))), axis=1) for w, h in _chunks(words)]
@@ -192,7 +193,7 @@ def _featured(rows: DataFrame, entries: np.ndarray, weights: np.ndarray) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=READ_AT_ONCE):
                 values = features(part.column("text"), entries, weights)
                 ends = pa.array(np.arange(0, values.size + 1, len(FEATURES), dtype=np.int32))
                 made = pa.ListArray.from_arrays(ends, pa.array(values.ravel()))
