@@ -254,8 +254,9 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFra
     rows = rows.join(F.broadcast(usual), "__ref", "left")  # bounded by MAX_LANGS
     rows = rows.withColumn("__cells", common_cells(F.col("__kept"), F.col("n_words"), F.col("__common")))
     odd = F.when(F.col("n_words") >= MIN_WORDS_COMPARED, word_distance(F.col("__cells"), F.col("__known")))
-    columns = [F.col(f"`{c}`") for c in docs.columns if c in rows.columns and c != text]
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    own_columns = [c for c in docs.columns if c not in (text, *base, "base_failed", "class_distance", "word_distance", "kept")]
+    columns = [F.col(f"`{c}`") for c in own_columns]
     rows = stored(rows.select(*columns, *base, odd.alias("word_distance"), "__ref", "__size", "__classes"), "measures")
 
     cells = [F.sum(F.element_at("__classes", i + 1)).alias(f"c{i}") for i in range(N_CLASSES - 1)]
