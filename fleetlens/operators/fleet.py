@@ -71,6 +71,14 @@ def _shared(scope: Sequence[str], df: DataFrame) -> list[str]:
     return keys
 
 
+def _in_scopes(wanted: DataFrame, observed: DataFrame, scope: list[str], keys: list[str], scopes: DataFrame | None) -> DataFrame:
+    """``wanted`` for every scope it applies to: those of ``scopes``, or else those that report anything."""
+    if keys == scope and scopes is None:
+        return wanted
+    every = (observed if scopes is None else scopes).select(*scope).distinct()
+    return every.join(wanted, keys)
+
+
 def _trimmed(name: str) -> Column:
     return F.trim(F.coalesce(F.col(name).cast("string"), F.lit("")))
 
@@ -355,9 +363,12 @@ def lifecycle_by_name(
 
 
 def expected_node_checks(
-    expected: DataFrame, nodes: DataFrame, scope: Sequence[str] = SCOPE
+    expected: DataFrame, nodes: DataFrame, scope: Sequence[str] = SCOPE, scopes: DataFrame | None = None
 ) -> DataFrame:
-    """Expected (name, expected_ip) against the node list: pass flag and reason."""
+    """Expected (name, expected_ip) against the node list: pass flag and reason.
+
+    ``scopes`` lists the scopes to judge, so that one without any node fails instead of vanishing.
+    """
     scope = list(scope)
     keys = _shared(scope, expected)
     seen = nodes.groupBy(*scope, _trimmed("node_ip").alias("expected_ip")).agg(
@@ -365,8 +376,7 @@ def expected_node_checks(
         F.min_by("state", "ordinal").alias("__first"),
     )
     wanted = expected.select(*keys, "name", F.coalesce("expected_ip", F.lit("")).alias("expected_ip"))
-    if keys != scope:
-        wanted = nodes.select(*scope).distinct().join(wanted, keys)
+    wanted = _in_scopes(wanted, nodes, scope, keys, scopes)
     absent = F.col("__alive").isNull()
     skipped = F.col("expected_ip") == ""
     passed = skipped | F.coalesce("__alive", F.lit(False))
@@ -381,14 +391,20 @@ def expected_node_checks(
     )
 
 
-def head_check(config: DataFrame, nodes: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Whether the expected head is reported and alive; ``config`` has expected_head_ip."""
+def head_check(
+    config: DataFrame, nodes: DataFrame, scope: Sequence[str] = SCOPE, scopes: DataFrame | None = None
+) -> DataFrame:
+    """Whether the expected head is reported and alive; ``config`` has expected_head_ip.
+
+    A configured scope without nodes fails; ``scopes`` lists the scopes where ``config`` does not name them in full.
+    """
     scope = list(scope)
     keys = _shared(scope, config)
     ip = _trimmed("node_ip")
     is_head = F.coalesce("is_head_node", F.lit(False))
+    wanted = config.select(*keys, F.coalesce("expected_head_ip", F.lit("")).alias("expected"))
     per_scope = (
-        nodes.join(config.select(*keys, F.coalesce("expected_head_ip", F.lit("")).alias("expected")), keys)
+        _in_scopes(wanted, nodes, scope, keys, scopes).join(nodes, scope, "left")
         .groupBy(*scope, "expected")
         .agg(
             F.count_if(is_head).alias("__heads"),
@@ -404,14 +420,14 @@ def head_check(config: DataFrame, nodes: DataFrame, scope: Sequence[str] = SCOPE
         .when(F.col("__alive"), ALIVE)
         .otherwise(HEAD_NOT_ALIVE)
     )
-    passed = (F.col("__heads") > 0) & ~mismatch & F.col("__alive")
+    passed = F.coalesce((F.col("__heads") > 0) & ~mismatch & F.col("__alive"), F.lit(False))
     return per_scope.select(
         *scope, F.lit("head").alias("name"), "expected", passed.alias("passed"), detail.alias("detail")
     )
 
 
 def resource_key_check(
-    expected: DataFrame, nodes: DataFrame, scope: Sequence[str] = SCOPE
+    expected: DataFrame, nodes: DataFrame, scope: Sequence[str] = SCOPE, scopes: DataFrame | None = None
 ) -> DataFrame:
     """Nodes identified by address, else by any node advertising ``resource_key``.
 
@@ -420,15 +436,14 @@ def resource_key_check(
     scope = list(scope)
     keys = _shared(scope, expected)
     by_ip = F.coalesce("expected_ip", F.lit("")) != ""
-    direct = expected_node_checks(expected.where(by_ip), nodes, scope)
+    direct = expected_node_checks(expected.where(by_ip), nodes, scope, scopes)
     advertised = (
         nodes.select(*scope, "state", F.explode(F.map_keys("resources")).alias("expected"))
         .groupBy(*scope, "expected")
         .agg(F.some(F.coalesce(F.col("state") == ALIVE, F.lit(False))).alias("__alive"))
     )
     wanted = expected.where(~by_ip).select(*keys, "name", F.col("resource_key").alias("expected"))
-    if keys != scope:
-        wanted = nodes.select(*scope).distinct().join(wanted, keys)
+    wanted = _in_scopes(wanted, nodes, scope, keys, scopes)
     detail = (
         F.when(F.col("__alive").isNull(), KEY_NOT_ADVERTISED)
         .when(F.col("__alive"), ALIVE)
@@ -456,24 +471,24 @@ def required_node_keys(expected: DataFrame) -> DataFrame:
     return listed.unionByName(internal).distinct()
 
 
-def missing_nodes(required: DataFrame, usage: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """Required keys absent from the reported usage keys ``(scope, key)``."""
+def missing_nodes(
+    required: DataFrame, usage: DataFrame, scope: Sequence[str] = SCOPE, scopes: DataFrame | None = None
+) -> DataFrame:
+    """Required keys absent from the reported usage keys ``(scope, key)``; ``scopes`` lists the scopes to judge."""
     scope = list(scope)
     keys = _shared(scope, required)
-    if keys != scope:
-        required = usage.select(*scope).distinct().join(required, keys)
+    required = _in_scopes(required, usage, scope, keys, scopes)
     return required.join(usage.select(*scope, "key"), [*scope, "key"], "left_anti")
 
 
 def expected_covered(
-    expected: DataFrame, replicas: DataFrame, scope: Sequence[str] = SCOPE
+    expected: DataFrame, replicas: DataFrame, scope: Sequence[str] = SCOPE, scopes: DataFrame | None = None
 ) -> DataFrame:
-    """Whether every expected address of a scope has a running replica."""
+    """Whether every expected address of a scope has a running replica; ``scopes`` lists the scopes to judge."""
     scope = list(scope)
     keys = _shared(scope, expected)
     wanted = expected.select(*keys, "node_ip")
-    if keys != scope:
-        wanted = replicas.select(*scope).distinct().join(wanted, keys)
+    wanted = _in_scopes(wanted, replicas, scope, keys, scopes)
     running = running_replicas(replicas).select(*scope, "node_ip").distinct()
     return (
         wanted.join(running.withColumn("__hit", F.lit(True)), [*scope, "node_ip"], "left")
@@ -485,27 +500,29 @@ def expected_covered(
     )
 
 
-def replica_spread(replicas: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
-    """At least two running replicas on at least two distinct nodes."""
+def replica_spread(replicas: DataFrame, scope: Sequence[str] = SCOPE, scopes: DataFrame | None = None) -> DataFrame:
+    """At least two running replicas on at least two distinct nodes; a scope of ``scopes`` without replicas has none."""
     running = F.col("state") == "RUNNING"
     per_node = replicas.groupBy(*scope, "node_ip").agg(F.count_if(running).alias("__running"))
+    counts = per_node.groupBy(*scope).agg(
+        F.sum("__running").alias("running"),
+        F.count_if(F.col("__running") > 0).alias("distinct_nodes"),
+    )
+    if scopes is not None:
+        counts = scopes.select(*scope).distinct().join(counts, list(scope), "left").fillna(0, ["running", "distinct_nodes"])
     return (
-        per_node.groupBy(*scope)
-        .agg(
-            F.sum("__running").alias("running"),
-            F.count_if(F.col("__running") > 0).alias("distinct_nodes"),
-        )
-        .withColumn("spread", (F.col("running") >= 2) & (F.col("distinct_nodes") >= 2))
+        counts.withColumn("spread", (F.col("running") >= 2) & (F.col("distinct_nodes") >= 2))
     )
 
 
 def health_rollup(
-    statuses: DataFrame, apps: Sequence[str], scope: Sequence[str] = SCOPE
+    statuses: DataFrame, apps: Sequence[str], scope: Sequence[str] = SCOPE, scopes: DataFrame | None = None
 ) -> DataFrame:
     """Overall health of the named apps with their deployments.
 
     ``statuses`` has one row per app and per deployment: (scope, app, status). A missing
-    app counts as a blank status, so the whole is pending at best.
+    app counts as a blank status, so the whole is pending at best. So are scopes that have
+    none of the apps, and those of ``scopes`` that report nothing.
     """
     status = F.coalesce("status", F.lit(""))
     bad = F.some(status == "UNHEALTHY")
@@ -514,8 +531,9 @@ def health_rollup(
     present = [F.some(F.col("app") == app) for app in apps]
     for seen in present:
         fine = fine & seen
-    return (
-        statuses.where(F.col("app").isin(*apps))
+    named = F.col("app").isin(*apps)
+    found = (
+        statuses.where(named)
         .groupBy(*scope)
         .agg(
             F.when(bad, "UNHEALTHY")
@@ -525,6 +543,8 @@ def health_rollup(
             .alias("health")
         )
     )
+    every = (statuses if scopes is None else scopes).select(*scope).distinct()
+    return every.join(found, list(scope), "left").fillna("pending", ["health"])
 
 
 def active_standby_lists(router: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:

@@ -137,8 +137,7 @@ def _online(t: Tables) -> DataFrame:
 
 
 def stream_chunks(messages: DataFrame) -> DataFrame:
-    """Assistant turns as event streams, cut into chunks that split lines."""
-    answers = messages.where(F.col("role") == "assistant")
+    """Turns as event streams, cut into chunks that split lines."""
     pieces = F.transform(
         F.split("text", " "),
         lambda word, i: F.concat(
@@ -156,7 +155,7 @@ def stream_chunks(messages: DataFrame) -> DataFrame:
     )
     whole = F.concat(F.array_join(pieces, "\n\n"), F.lit("\n\ndata: [DONE]\n\n"))
     cut = F.regexp_extract_all("whole", F.lit("(?s).{1,%d}" % CHUNK_CHARS), F.lit(0))
-    return answers.withColumn("whole", whole).select(
+    return messages.withColumn("whole", whole).select(
         F.concat_ws("-", "conv_id", "turn").alias("request_id"),
         "conv_id",
         "turn",
@@ -165,7 +164,7 @@ def stream_chunks(messages: DataFrame) -> DataFrame:
 
 
 def _started(t: Tables) -> DataFrame:
-    return t.chat_messages.where(F.col("role") == "assistant").select(
+    return t.chat_messages.select(
         F.concat_ws("-", "conv_id", "turn").alias("request_id"),
         F.timestamp_millis(F.lit(STREAM_EPOCH * 1000 - 250) + F.col("conv_id") * 1000).alias("started_at"),
     )
@@ -375,7 +374,7 @@ QUERIES = {
         _stream_records,
         f"""WITH {TURNS_SQL} SELECT request_id, {STREAM_EPOCH} - 1 + conv_id AS timestamp, '{MODEL}' AS model_name, text AS content,
         turn * 2.0::DOUBLE AS latency_ms, 0::BIGINT AS prompt_tokens, 0::BIGINT AS completion_tokens, 0::BIGINT AS total_tokens,
-        CAST(len(string_split(text, ' ')) + 1 AS INTEGER) AS events FROM turns WHERE role = 'assistant'""",
+        CAST(len(string_split(text, ' ')) + 1 AS INTEGER) AS events FROM turns""",
     ),
     "record_offline": Query(
         lambda t: _flat_records(offline_records(t).withColumn("error", F.get_json_object("output_response", "$.error")), "job_id", "error"),
@@ -397,7 +396,7 @@ QUERIES = {
         _transcripts,
         f"""WITH {TURNS_SQL} SELECT request_id, text,
         CAST(len(string_split(text, ' ')) - CASE WHEN starts_with(text, ' ') OR text = '' THEN 1 ELSE 0 END AS BIGINT) AS output_tokens
-        FROM turns WHERE role = 'assistant'""",
+        FROM turns""",
     ),
     "batch_infer": Query(
         _inferred,

@@ -52,7 +52,7 @@ def _batch_output(t: Tables) -> DataFrame:
 def _token_csv(t: Tables) -> DataFrame:
     path = fresh_dir(t.spark, "tokens")
     t.token_jobs.write.option("header", True).csv(path)
-    return readers.read_token_csv(t.spark, path, limit=None)
+    return readers.read_token_csv(t.spark, path)
 
 
 def _node_documents(t: Tables) -> DataFrame:

@@ -167,16 +167,17 @@ class Tables:
 
     @cached_property
     def replicas(self) -> DataFrame:
-        """Replica listing: an open order is a replica on the node of its customer."""
+        """Replica listing: an order is a replica on the node of its customer, stopped unless it is open."""
         key = F.col("o_orderkey")
         state = (
-            F.when(key % 6 == 1, "STARTING")
+            F.when(F.col("o_orderstatus") != "O", "STOPPED")
+            .when(key % 6 == 1, "STARTING")
             .when(key % 6 == 2, "FAILED")
             .when(key % 6 == 3, "RECOVERING")
             .when(key % 6 == 4, "UNHEALTHY")
             .otherwise("RUNNING")
         )
-        return self._members("orders", "o_custkey").where(F.col("o_orderstatus") == "O").select(
+        return self._members("orders", "o_custkey").select(
             "cluster_id",
             key.alias("replica_id"),
             F.concat(F.lit("ray-"), "o_custkey").alias("node_id"),
@@ -188,7 +189,7 @@ class Tables:
 
     @cached_property
     def router_snapshot(self) -> DataFrame:
-        """Router rows of the nodes outside one market segment."""
+        """Router rows of all nodes; those of one market segment have an address that no node reports."""
         key, nation, ordinal = F.col("c_custkey"), F.col("c_nationkey"), F.col("ordinal")
         status = (
             F.when(nation % 5 == 0, "failed")
@@ -196,11 +197,12 @@ class Tables:
             .when(nation % 5 == 2, "respawning")
             .otherwise("reserve")
         )
-        managed = self._members("customer", "c_custkey").where(F.col("c_mktsegment") != "MACHINERY")
+        away = F.concat(F.lit("10.8.0."), ordinal)
+        managed = self._members("customer", "c_custkey")
         return managed.select(
             "cluster_id",
             F.concat(F.lit("node-"), ordinal).alias("name"),
-            node_ip(ordinal).alias("node_ip"),
+            F.when(F.col("c_mktsegment") == "MACHINERY", away).otherwise(node_ip(ordinal)).alias("node_ip"),
             status.alias("status"),
             (key % 97).alias("jobs_total"),
             (key % 7).alias("jobs_failed"),
@@ -219,13 +221,12 @@ class Tables:
 
     @cached_property
     def node_registry(self) -> DataFrame:
-        """Configured nodes of two segments; some share an outside address, some have none."""
+        """Configured nodes; some share an outside address, some have none, and those of three segments report nowhere."""
         ordinal = F.col("ordinal")
-        ip = node_ip(ordinal)
+        here = F.col("c_mktsegment").isin("BUILDING", "FURNITURE")
+        ip = F.when(here, node_ip(ordinal)).otherwise(F.concat(F.lit("10.7.0."), ordinal))
         host = F.when(ordinal % 11 == 0, "localhost").otherwise(ip)
-        listed = self._members("customer", "c_custkey").where(
-            F.col("c_mktsegment").isin("BUILDING", "FURNITURE")
-        )
+        listed = self._members("customer", "c_custkey")
         return listed.select(
             "cluster_id",
             F.concat(F.lit("node-"), ordinal).alias("name"),
@@ -320,11 +321,12 @@ def probes_view(events: DataFrame) -> DataFrame:
 
 
 def ops_view(events: DataFrame) -> DataFrame:
-    return events.where(F.col("event_type").isin("error", "click")).select(
+    kind = F.when(F.col("event_type") == "error", "FAILOVER").when(F.col("event_type") == "click", "RETRY")
+    return events.select(
         "cluster_id",
         "ts",
         F.col("event_id").alias("seq"),
-        F.when(F.col("event_type") == "error", "FAILOVER").otherwise("RETRY").alias("event"),
+        kind.otherwise("RESPAWN").alias("event"),
         "node",
     )
 
@@ -364,8 +366,7 @@ VIEW_SQL = {
              WHEN 'signup' THEN 'success' ELSE 'route' END AS kind,
         CASE WHEN event_type='error' THEN concat('err-', event_id) END AS error FROM ev""",
     "ops_events": """SELECT ts, event_id AS seq, node,
-        CASE WHEN event_type='error' THEN 'FAILOVER' ELSE 'RETRY' END AS event
-        FROM ev WHERE event_type IN ('error','click')""",
+        CASE event_type WHEN 'error' THEN 'FAILOVER' WHEN 'click' THEN 'RETRY' ELSE 'RESPAWN' END AS event FROM ev""",
     "counter_samples": """SELECT ts, event_id AS seq, node,
         CAST((row_number() OVER (PARTITION BY node ORDER BY event_id)) % 100 AS DOUBLE) AS value FROM ev""",
     "status_samples": """SELECT ts, event_id AS seq, node,
@@ -394,11 +395,12 @@ VIEW_SQL = {
     "replicas": """SELECT o_custkey // 25 AS cluster_id, o_orderkey AS replica_id, o_orderkey AS ordinal,
         concat('ray-', o_custkey) AS node_id,
         concat('10.0.', (o_custkey % 25) % 5, '.', o_custkey % 25) AS node_ip,
-        CASE o_orderkey % 6 WHEN 1 THEN 'STARTING' WHEN 2 THEN 'FAILED' WHEN 3 THEN 'RECOVERING'
-             WHEN 4 THEN 'UNHEALTHY' ELSE 'RUNNING' END AS state,
+        CASE WHEN o_orderstatus <> 'O' THEN 'STOPPED' ELSE CASE o_orderkey % 6 WHEN 1 THEN 'STARTING' WHEN 2 THEN 'FAILED'
+             WHEN 3 THEN 'RECOVERING' WHEN 4 THEN 'UNHEALTHY' ELSE 'RUNNING' END END AS state,
         concat('/tmp/session/logs/serve/', o_orderkey, '.log') AS log_file_path
-        FROM orders WHERE o_orderstatus = 'O'""",
-    "router_snapshot": """SELECT cluster_id, concat('node-', ordinal) AS name, ip AS node_ip,
+        FROM orders""",
+    "router_snapshot": """SELECT cluster_id, concat('node-', ordinal) AS name,
+        CASE WHEN c_mktsegment = 'MACHINERY' THEN concat('10.8.0.', ordinal) ELSE ip END AS node_ip,
         CASE c_nationkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'primary' WHEN 2 THEN 'respawning'
              ELSE 'reserve' END AS status,
         c_custkey % 97 AS jobs_total, c_custkey % 7 AS jobs_failed, c_custkey % 13 AS respawns,
@@ -406,12 +408,13 @@ VIEW_SQL = {
         ordinal AS priority, CASE WHEN c_nationkey % 5 = 0 THEN concat('down ', c_custkey) END AS last_error,
         c_acctbal AS last_latency_ms, 1700000000.25::DOUBLE + c_custkey AS last_check,
         abs(c_acctbal) AS latency_p50_ms, abs(c_acctbal) * 2 AS latency_p95_ms, abs(c_acctbal) * 3 AS latency_p99_ms
-        FROM members WHERE c_mktsegment <> 'MACHINERY'""",
+        FROM members""",
     "node_registry": """SELECT cluster_id, concat('node-', ordinal) AS name,
-        CASE WHEN ordinal % 3 = 2 THEN '10.9.9.9' WHEN ordinal % 5 = 0 THEN '' ELSE ip END AS expected_ip,
-        CASE WHEN ordinal % 11 = 0 THEN 'localhost' ELSE ip END AS url_ip,
+        CASE WHEN ordinal % 3 = 2 THEN '10.9.9.9' WHEN ordinal % 5 = 0 THEN '' ELSE own END AS expected_ip,
+        CASE WHEN ordinal % 11 = 0 THEN 'localhost' ELSE own END AS url_ip,
         ordinal AS priority, concat('alias-', c_custkey) AS alias
-        FROM members WHERE c_mktsegment IN ('BUILDING','FURNITURE')""",
+        FROM (SELECT *, CASE WHEN c_mktsegment IN ('BUILDING','FURNITURE') THEN ip
+              ELSE concat('10.7.0.', ordinal) END AS own FROM members)""",
     "identifiers": """SELECT DISTINCT cluster_id, name, ip AS node_ip FROM (
         SELECT cluster_id, name, expected_ip AS ip FROM node_registry
         UNION ALL SELECT cluster_id, name, url_ip FROM node_registry)

@@ -168,6 +168,6 @@ QUERIES = {
         _transcripts,
         """SELECT concat(conv_id, '-', turn) AS request_id, text,
         CAST(len(string_split(text, ' ')) - CASE WHEN starts_with(text, ' ') OR text = '' THEN 1 ELSE 0 END AS BIGINT) AS output_tokens
-        FROM conversations WHERE role = 'assistant'""",
+        FROM conversations""",
     ),
 }

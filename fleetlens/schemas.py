@@ -1,47 +1,13 @@
-"""Schemas, as DDL text, of the canonical telemetry tables and of the JSON files.
-
-Snapshot tables also carry ``cluster_id`` and ``snapshot_ts``; key columns are not null.
-"""
+"""Schemas, as DDL text, of completion records, token tables and the JSON files."""
 
 MESSAGE = "struct<role: string, content: string>"
 USAGE = "struct<prompt_tokens: bigint, completion_tokens: bigint, total_tokens: bigint>"
-SERVED_BY = "struct<node: string, url: string, attempt: int, latency_ms: double>"
 
-REQUESTS = (
-    "cluster_id bigint, request_id bigint, ts timestamp, api_key_id bigint, ip string, method string, "
-    "path string, status int, response_length bigint, latency_ms double, node int"
-)
-DISPATCH_EVENTS = (
-    "cluster_id bigint, job_id bigint, ts timestamp, seq bigint, kind string, node int, "
-    "latency_ms double, error string"
-)
-CHAT_REQUESTS = (
-    f"custom_id string, model string, messages array<{MESSAGE}>, max_tokens int, temperature double, "
-    "top_p double, n int, stream boolean, stop array<string>, extra string"
-)
 COMPLETION_RECORDS = (
     f"request_id string, timestamp bigint, model_name string, input_messages array<{MESSAGE}>, "
     "output_response string, latency_ms double, prompt_tokens bigint, completion_tokens bigint, "
     "total_tokens bigint, metadata map<string,string>"
 )
-JOB_EVENTS = "job_id bigint, ts timestamp, seq bigint, ray_status string"
-NODES = (
-    "cluster_id bigint, snapshot_ts timestamp, ordinal bigint, node_id string, node_ip string, "
-    "node_name string, state string, is_head_node boolean, resources map<string,double>"
-)
-REPLICAS = (
-    "cluster_id bigint, snapshot_ts timestamp, ordinal bigint, replica_id string, node_id string, "
-    "node_ip string, state string, log_file_path string"
-)
-NODE_REGISTRY = (
-    "cluster_id bigint, name string, controller string, priority bigint, infer_url string, "
-    "expected_ip string, alias string"
-)
-PROBES = "cluster_id bigint, ts timestamp, seq bigint, node int, healthy boolean"
-OPS_EVENTS = "cluster_id bigint, ts timestamp, seq bigint, event string, node int"
-METRIC_SAMPLES = "ts timestamp, metric string, node int, value double, unit string"
-LOG_TEXT = "cluster_id bigint, replica_id string, seq bigint, raw string"
-SSE_CHUNKS = "request_id string, seq bigint, ts timestamp, chunk string"
 TOKEN_JOBS = "input_tokens int, output_tokens int"
 
 # File formats.
@@ -49,13 +15,13 @@ CHOICES = f"array<struct<index: int, message: {MESSAGE}, finish_reason: string>>
 WIRE_RESPONSE = (
     f"id string, object string, created bigint, model string, choices {CHOICES}, usage {USAGE}"
 )
-BATCH_INPUT = (
-    f"custom_id string, request struct<model: string, messages: array<{MESSAGE}>, max_tokens: int, "
-    "temperature: double, top_p: double, n: int, stream: boolean, stop: array<string>>"
-)
-BATCH_OUTPUT = (
-    f"job_id bigint, ordinal bigint, response struct<id: string, model: string, usage: {USAGE}>, error string"
+REQUEST = (
+    f"model string, messages array<{MESSAGE}>, max_tokens int, "
+    "temperature double, top_p double, n int, stream boolean, stop array<string>"
 )
+# Requests and responses as they were written; the readers type them.
+BATCH_INPUT_RAW = "custom_id string, request string"
+BATCH_OUTPUT_RAW = "job_id bigint, ordinal bigint, response string, error string"
 ACCESS_LOG = (
     "requestId string, apiKeyId string, ip string, caller string, user string, requestTime string, "
     "httpMethod string, resourcePath string, status string, protocol string, responseLength string, "

@@ -9,27 +9,55 @@ from pyspark.sql import functions as F
 
 from fleetlens import schemas
 from fleetlens.functions.scalars import usage_node_ip
+from fleetlens.functions.wire import response_from_wire
 
-BENCH_ROWS = 49
 REQUEST_TIME = "dd/MMM/yyyy:HH:mm:ss Z"
 
 
+def _elements(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataFrame:
+    """Elements of JSON arrays with the file they are from and, for whole files, their position from 0."""
+    file = F.col("_metadata.file_path").alias("file")
+    if not multi_line:
+        return spark.read.schema(schema).json(path).select("*", file, F.lit(None).cast("long").alias("position"))
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{schema}>>").alias("a"), file)
+    return text.select("file", F.posexplode("a").alias("position", "e")).select("e.*", "file", F.col("position").cast("long").alias("position"))
+
+
+def _job_of_file(kind: str) -> Column:
+    found = F.regexp_extract("file", rf"batch_{kind}_([^/]+)\.json$", 1)
+    return F.when(found != "", found).alias("job")
+
+
 def read_batch_input(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Batch items from JSON arrays of ``{custom_id, request}``.
 
-    One array (or item) per line can be split among tasks. ``multi_line`` reads files
-    that hold one array over several lines; each such file is read by one task.
+    ``request`` has the known settings typed, ``body`` is the whole request as JSON, with whatever else it holds. One
+    array (or item) per line can be split among tasks. ``multi_line`` reads files that hold one array
+    over several lines; each such file is read by one task, ``position`` counts its items from 0, and ``job`` is
+    the name in ``batch_input_<job>.json``.
     """
-    return spark.read.schema(schemas.BATCH_INPUT).option("multiLine", multi_line).json(path)
+    rows = _elements(spark, path, schemas.BATCH_INPUT_RAW, multi_line)
+    typed = F.from_json("request", schemas.REQUEST)
+    return rows.select("custom_id", typed.alias("request"), F.col("request").alias("body"), "position", _job_of_file("input"))
 
 
 def read_batch_output(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Batch results from JSON arrays of ``{response, error}``, with job and ordinal."""
-    return spark.read.schema(schemas.BATCH_OUTPUT).option("multiLine", multi_line).json(path)
+    """Batch results from JSON arrays of ``{response, error}``, with job and ordinal where the items carry them.
+
+    ``response`` is the whole typed response (null where there is none), answer text and ``served_by`` included, and ``body``
+    its JSON. Files with one array over several lines (``multi_line``) match their job's items by ``position``,
+    from 0; ``job`` is the name in ``batch_output_<job>.json``.
+    """
+    rows = _elements(spark, path, schemas.BATCH_OUTPUT_RAW, multi_line)
+    body = F.col("response")
+    return rows.select(
+        "job_id", "ordinal", F.when(body.isNotNull(), response_from_wire(body)).alias("response"), "error", body.alias("body"),
+        "position", _job_of_file("output"),
+    )
 
 
-def read_token_csv(spark: SparkSession, path: str, limit: int | None = BENCH_ROWS) -> DataFrame:
-    """Token counts from CSV with a header; by default the first rows in file order."""
+def read_token_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Token counts from CSV with a header: all rows, or the first ``limit`` in file order."""
     rows = spark.read.option("header", True).schema(schemas.TOKEN_JOBS).csv(path)
     if limit is None:
         return rows

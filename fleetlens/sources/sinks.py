@@ -143,11 +143,11 @@ def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _plain(value: Column) -> Column:
-    """Decimal text of a double, never in exponent form."""
-    fixed = F.regexp_replace(value.cast("decimal(38,6)").cast("string"), r"(\.\d+?)0+$", "$1")
-    return F.when((F.abs(value) >= 1e7) | ((value != 0) & (F.abs(value) < 1e-3)), fixed).otherwise(
-        value.cast("string")
-    )
+    """Text of a double with all its digits; from 1e16 and under 1e-12 in exponent form."""
+    fixed = F.regexp_replace(value.cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
+    size = F.abs(value)
+    plain = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-12) & (size < 1e-3))
+    return F.when(plain, fixed).otherwise(F.replace(value.cast("string"), F.lit("E"), F.lit("e")))
 
 
 def metrics_exposition(

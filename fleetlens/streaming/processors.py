@@ -100,7 +100,7 @@ class RtoProcessor(StatefulProcessor):
             for at, event, node in zip(_micros(pdf["ts"]), pdf["event"].tolist(), pdf["node"].tolist()):
                 if event == "FAILOVER":
                     pending = (at, node)
-                elif pending is not None:
+                elif event == "RETRY" and pending is not None:
                     out.append((*key, _stamp(at), node, pending[1], (at - pending[0]) / MICROS))
                     pending = None
             yield _frame(out, self.COLUMNS)

@@ -78,8 +78,11 @@ def stream_rate_limit(requests: DataFrame, limit: int = 15, window_s: float = 10
 
 
 def stream_rto(ops_events: DataFrame) -> DataFrame:
-    """Time from failover to first retry per cluster."""
-    rows = ops_events.select("cluster_id", "ts", "seq", "event", "node")
+    """Time from failover to first retry per cluster; failovers with ``routing_impact`` false do not count."""
+    events = ops_events.where(F.col("event").isin("FAILOVER", "RETRY"))
+    if "routing_impact" in ops_events.columns:
+        events = events.where((F.col("event") == "RETRY") | F.col("routing_impact"))
+    rows = events.select("cluster_id", "ts", "seq", "event", "node")
     return p.keyed(rows, ["cluster_id"], p.RtoProcessor())
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -26,7 +27,7 @@ def state_partitions(spark: SparkSession) -> int:
 
     Each is a state store and a Python worker, and the number is fixed at the first start.
     """
-    if spark.sparkContext.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         return spark.sparkContext.defaultParallelism
     return int(spark.conf.get(SHUFFLE))
 

@@ -265,3 +265,32 @@ def test_snapshot_history_is_checked_snapshot_by_snapshot(spark, as_rows):
         router(spark, ("n", "10.0.0.2", "reserve", False, None, 0, 0, True)).withColumn("snapshot_ts", F.lit(3)),
     )
     assert as_rows(view, "snapshot_ts", "status", "role") == [(1, "LIVE", "unmanaged"), (3, "FAILED", "standby")]
+
+
+def test_scopes_that_report_nothing_fail(spark):
+    scopes = spark.createDataFrame([(1, 0), (2, 0)], "cluster_id long, snapshot_ts int")
+    nodes = spark.createDataFrame(
+        [(1, 0, 0, "10.0.0.1", "ALIVE", True, {"CPU": 1.0})],
+        "cluster_id long, snapshot_ts int, ordinal int, node_ip string, state string, is_head_node boolean, resources map<string,double>",
+    )
+    config = spark.createDataFrame([(1, "10.0.0.1"), (2, "10.0.0.1")], "cluster_id long, expected_head_ip string")
+    heads = {r.cluster_id: r for r in fleet.head_check(config, nodes, scopes=scopes).collect()}
+    assert heads[1].passed and not heads[2].passed and heads[2].detail == fleet.NO_HEAD
+    expected = spark.createDataFrame([(1, "a", "10.0.0.1"), (2, "a", "10.0.0.1")], "cluster_id long, name string, expected_ip string")
+    checks = {r.cluster_id: r.passed for r in fleet.expected_node_checks(expected, nodes, scopes=scopes).collect()}
+    assert checks == {1: True, 2: False}
+    replicas = spark.createDataFrame(
+        [(1, 0, 0, "r", "10.0.0.1", "RUNNING")],
+        "cluster_id long, snapshot_ts int, ordinal int, replica_id string, node_ip string, state string",
+    )
+    wanted = expected.select("cluster_id", F.col("expected_ip").alias("node_ip"))
+    covered = {r.cluster_id: (r.missing, r.covered) for r in fleet.expected_covered(wanted, replicas, scopes=scopes).collect()}
+    assert covered == {1: (0, True), 2: (1, False)}
+    spread = {r.cluster_id: (r.running, r.spread) for r in fleet.replica_spread(replicas, scopes=scopes).collect()}
+    assert spread == {1: (1, False), 2: (0, False)}
+    statuses = spark.createDataFrame([(1, 0, "gateway", "RUNNING")], "cluster_id long, snapshot_ts int, app string, status string")
+    health = {r.cluster_id: r.health for r in fleet.health_rollup(statuses, ["gateway"], scopes=scopes).collect()}
+    assert health == {1: "HEALTHY", 2: "pending"}
+    required = spark.createDataFrame([(1, "k"), (2, "k")], "cluster_id long, key string")
+    usage = spark.createDataFrame([(1, 0, "k")], "cluster_id long, snapshot_ts int, key string")
+    assert [r.cluster_id for r in fleet.missing_nodes(required, usage, scopes=scopes).collect()] == [2]

@@ -32,6 +32,20 @@ def test_batch_output(spark, tmp_path):
     assert (got[0]["response"]["usage"]["total_tokens"], got[1]["response"], got[1]["error"]) == (4, None, "boom")
 
 
+def test_batch_files_keep_everything(spark, tmp_path):
+    request = {"model": "m", "messages": [{"role": "user", "content": "p"}], "seed": 7, "guided_json": {"a": [1]}}
+    (tmp_path / "batch_input_j1.json").write_text(json.dumps([{"custom_id": "q", "request": request}]))
+    got = readers.read_batch_input(spark, str(tmp_path / "batch_input_j1.json"), multi_line=True).collect()[0]
+    assert (got["job"], got["position"], json.loads(got["body"])) == ("j1", 0, request)
+    answer = {"id": "c", "created": 5, "choices": [{"index": 0, "message": {"role": "assistant", "content": "hi"}}], "_served_by": "n1"}
+    (tmp_path / "batch_output_j1.json").write_text(json.dumps([{"response": None, "error": "e"}, {"response": answer, "error": None}], indent=1))
+    rows = readers.read_batch_output(spark, str(tmp_path / "batch_output_j1.json"), multi_line=True).orderBy("position").collect()
+    assert [(r["job"], r["position"], r["error"]) for r in rows] == [("j1", 0, "e"), ("j1", 1, None)]
+    response = rows[1]["response"]
+    assert (response["created"], response["choices"][0]["message"]["content"], response["served_by"]) == (5, "hi", "n1")
+    assert json.loads(rows[1]["body"]) == answer and rows[0]["response"] is None
+
+
 def test_batch_lines_are_bounded(spark, tmp_path):
     df = spark.range(1000).select(F.lit(1).alias("job_id"), F.col("id").alias("ordinal"), F.lit("e").alias("error"))
     sinks.write_batch_lines(df, str(tmp_path / "o"), ["job_id"], "ordinal", size=100)
@@ -43,9 +57,9 @@ def test_batch_lines_are_bounded(spark, tmp_path):
 def test_token_csv_takes_the_first_rows(spark, tmp_path):
     text = "input_tokens,output_tokens\n" + "".join(f"{i},{i * 2}\n" for i in range(60))
     (tmp_path / "t.csv").write_text(text)
-    got = readers.read_token_csv(spark, str(tmp_path / "t.csv")).collect()
+    got = readers.read_token_csv(spark, str(tmp_path / "t.csv"), limit=49).collect()
     assert sorted(r["input_tokens"] for r in got) == list(range(49))
-    assert readers.read_token_csv(spark, str(tmp_path / "t.csv"), limit=None).count() == 60
+    assert readers.read_token_csv(spark, str(tmp_path / "t.csv")).count() == 60
 
 
 def docs(spark, *bodies):
@@ -128,6 +142,13 @@ def test_datums(spark, as_rows):
     assert as_rows(sinks.batch_datums(jobs), "metric", "value") == [("batch_job_count", 1.0), ("batch_reliability", 1.0)]
 
 
+def test_metric_text_keeps_every_digit(spark):
+    values = [0.0, 1.5, 0.0001, 1e-7, 123456789.125, 1e20, 1e32, -2e7, 1e-300]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", sinks._plain(F.col("v")).alias("t")).collect()
+    assert all(float(r["t"]) == r["v"] for r in rows)
+    assert [r["t"] for r in rows][2:5] == ["0.0001", "0.0000001", "123456789.125"]
+
+
 def test_exposition_lines(spark):
     row = (0, "n", "primary", 3, 1, 0, 2, True, False, 12.0, 1700000000.25, 1.0, 2.5, 0.0001)
     schema = (
