@@ -11,7 +11,6 @@ from fleetlens.operators.scan import int_chunk
 from fleetlens.schemas import COMPLETION_RECORDS
 
 BUCKETS = 64
-FILES_PER_BUCKET = 4
 ITEMS_PER_LINE = 256
 
 
@@ -33,16 +32,17 @@ def _job(metadata: Column) -> Column:
     return F.replace(metadata["ray_job_id"], F.lit("raysubmit_"), F.lit("ray_job_"))
 
 
-def _bucket(job: Column) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(job, F.lit(""))), F.lit(BUCKETS)).cast("int")
+def _bucket(name: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(name, F.lit(""))), F.lit(buckets)).cast("int")
 
 
-def write_records(records: DataFrame, path: str) -> None:
-    """Completion records as JSON, foldered by channel and job bucket.
+def write_records(records: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Completion records as JSON, foldered by channel and bucket.
 
-    Each record keeps the key it would have as a single object. Buckets rather than one
-    folder per job keep the number of files bounded; a job's bucket is written by several
-    tasks, so a huge job is not one task's work.
+    Each record keeps the key it would have as a single object. Buckets rather than one folder per job
+    keep the number of folders bounded: offline records go by job, online ones, which have none, by request.
+    Adaptive execution splits large buckets among tasks, so the number of tasks follows the data, whatever
+    a job's share is. A table is read with the number of buckets it was written with.
     """
     job = _job(F.col("metadata"))
     laid_out = records.select(
@@ -50,24 +50,18 @@ def write_records(records: DataFrame, path: str) -> None:
         record_key(F.col("request_id"), F.col("metadata")).alias("key"),
         job.alias("job"),
         F.when(job.isNull(), "online").otherwise("offline").alias("channel"),
-        _bucket(job).alias("bucket"),
-    )
-    spread = F.when(F.col("channel") == "online", F.lit(BUCKETS)).otherwise(FILES_PER_BUCKET)
-    (
-        laid_out.repartition("channel", "bucket", F.pmod(F.xxhash64("request_id", "timestamp"), spread))
-        .write.mode("append")
-        .partitionBy("channel", "bucket")
-        .json(path)
+        _bucket(F.coalesce(job, F.col("request_id")), buckets).alias("bucket"),
     )
+    laid_out.hint("rebalance", "channel", "bucket").write.mode("append").partitionBy("channel", "bucket").json(path)
 
 
-def read_records(spark: SparkSession, path: str, job: str | None = None) -> DataFrame:
+def read_records(spark: SparkSession, path: str, job: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Records back from the folders; a job's records come from its bucket alone."""
     schema = f"{COMPLETION_RECORDS}, key string, job string, channel string, bucket int"
     rows = spark.read.schema(schema).json(path)
     if job is None:
         return rows
-    own = _bucket(F.lit(job))
+    own = _bucket(F.lit(job), buckets)
     return rows.where((F.col("channel") == "offline") & (F.col("bucket") == own) & (F.col("job") == job))
 
 

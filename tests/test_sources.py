@@ -142,6 +142,28 @@ def test_datums(spark, as_rows):
     assert as_rows(sinks.batch_datums(jobs), "metric", "value") == [("batch_job_count", 1.0), ("batch_reliability", 1.0)]
 
 
+def test_records_are_written_by_as_many_tasks_as_the_data_needs(spark, tmp_path):
+    import glob
+
+    record = (
+        "uuid() AS request_id", "id AS timestamp", "'m' AS model_name",
+        "array(named_struct('role', 'user', 'content', 'p')) AS input_messages", "'o' AS output_response", "1.0D AS latency_ms",
+        "1L AS prompt_tokens", "1L AS completion_tokens", "2L AS total_tokens",
+    )
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "16k")
+    try:
+        for name, metadata in (("job", "map('ray_job_id', 'raysubmit_1')"), ("online", "cast(null AS map<string,string>)")):
+            rows = spark.range(0, 30000, 1, 120).selectExpr(*record, f"{metadata} AS metadata")
+            sinks.write_records(rows, str(tmp_path / name), buckets=4)
+            assert len(glob.glob(str(tmp_path / name / "*" / "*" / "part-*"))) > 64
+            assert sinks.read_records(spark, str(tmp_path / name)).count() == 30000
+        assert sinks.read_records(spark, str(tmp_path / "job"), "ray_job_1", buckets=4).count() == 30000
+    finally:
+        spark.conf.set(size, before)
+
+
 def test_metric_text_keeps_every_digit(spark):
     values = [0.0, 1.5, 0.0001, 1e-7, 123456789.125, 1e20, 1e32, -2e7, 1e-300]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", sinks._plain(F.col("v")).alias("t")).collect()
