@@ -15,11 +15,12 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 SPACE = np.zeros(256, bool)
 SPACE[list(SPACE_BYTES)] = True
@@ -41,11 +42,19 @@ def once(key: str, make: Callable[[], Any]) -> Any:
     return store[key]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows that Spark hands to Python at once; its own 10,000 are too many where texts are long."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+
+
 def keyed(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``text`` and ``th``, a hash of the text, which tells rows of one id apart.
 
     Other columns are left out. Rows that are equal in id and text count as one document.
     """
+    small_batches(docs.sparkSession)
     body = F.col(f"`{text}`").cast("string")
     return docs.select(
         F.col(f"`{key}`").cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("th")
@@ -53,7 +62,8 @@ def keyed(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def widened(df: DataFrame, more: str) -> T.StructType:
-    """The schema of ``df`` with further fields, given as DDL."""
+    """The schema of ``df`` with further fields, given as DDL, for a function that gets small batches."""
+    small_batches(df.sparkSession)
     return T.StructType(df.schema.fields + T.StructType.fromDDL(more).fields)
 
 

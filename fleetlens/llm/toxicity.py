@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.storage import stored
-from fleetlens.llm.text import Prefixes, slices, widened
+from fleetlens.llm.text import Prefixes, slices, small_batches, widened
 from fleetlens.llm.tokens import DIGIT, LOWER, MARK, UPPER, Words
 
 MAX_ROWS = 20_000
@@ -213,6 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, seed: i
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
+    small_batches(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
     usable = (
         labels.select(doc_id.alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
