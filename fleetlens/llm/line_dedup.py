@@ -15,7 +15,8 @@ reading tasks as a bitmap of ``CANDIDATE_BITS`` bits, fixed however many there a
 different lines share takes time with the square of their number, in strips of bounded memory, and gives out only
 pairs whose character counts fit.
 
-Lines under ``MIN_CHARS`` characters are left alone: with few characters a few edits mean nothing.
+Equal lines go at any length but blank ones. Near ones go from ``NEAR_CHARS`` characters on: with few characters a
+few edits mean nothing, so shorter lines are in no index and only their hashes are compared.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from fleetlens.llm.storage import bitmap, has_bit, stored
 from fleetlens.llm.text import Prefixes, code_points, keyed, mix, same_document, slices, text_buffer
 
 MAX_EDITS = 2
-MIN_CHARS = 30
+NEAR_CHARS = 30
+NO_BLANK = 0x3001  # from this code point on none is white space
+BLANK = np.array([chr(c).isspace() for c in range(NO_BLANK)] + [False])
 CANDIDATE_BITS = 1 << 25
 LINES_PER_SHARD = 60_000
 STRIP = 256
@@ -41,9 +44,12 @@ DOC = ("doc_id", "th")
 
 
 class Lines:
-    """The lines of some texts that are long enough, as spans of code points."""
+    """The lines of some texts that are long enough, as spans of code points.
 
-    def __init__(self, texts: pa.Array, min_chars: int) -> None:
+    Lines under ``blank_chars`` characters are left out if all of them are white space.
+    """
+
+    def __init__(self, texts: pa.Array, min_chars: int, blank_chars: int = 0) -> None:
         import xxhash
 
         data, offsets = text_buffer(texts)
@@ -55,7 +61,8 @@ class Lines:
         ends = np.minimum(np.append(feeds, len(self.points))[np.searchsorted(feeds, starts)], bounds[doc + 1])
         number = np.cumsum(np.concatenate(([0], self.points == 0x0A)))
         number = number[starts] - number[bounds[doc]]
-        long = ends - starts >= min_chars
+        written = np.concatenate(([0], np.cumsum(~BLANK[np.minimum(self.points, NO_BLANK)])))
+        long = (ends - starts >= min_chars) & ((ends - starts >= blank_chars) | (written[ends] > written[starts]))
         self.start, self.end, self.doc, self.number = starts[long], ends[long], doc[long], number[long]
         body, digest = data.tobytes(), xxhash.xxh3_128_digest
         spans = zip(begin[self.start].tolist(), begin[self.end].tolist())
@@ -220,14 +227,14 @@ def _pack(numbers: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.array([body[a * step : b * step] for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
 
 
-def near_lines(rows: DataFrame, lines: int, *, max_edits: int, min_chars: int) -> DataFrame:
+def near_lines(rows: DataFrame, lines: int, *, max_edits: int, near_chars: int) -> DataFrame:
     """``(a1, a2, b1, b2, distance)``: different lines of the documents within ``max_edits`` edits, by their hashes."""
     shards = max(1, -(-lines // LINES_PER_SHARD))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                own = Lines(part.column("text"), min_chars)
+                own = Lines(part.column("text"), near_chars)
                 which = own.distinct()
                 line, key, indexed = keys(own, which, max_edits)
                 counts = own.counts(which)
@@ -253,7 +260,7 @@ def near_lines(rows: DataFrame, lines: int, *, max_edits: int, min_chars: int) -
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                own = Lines(part.column("text"), min_chars)
+                own = Lines(part.column("text"), near_chars)
                 which = own.distinct()
                 which = which[has_bit(wanted, own.h1[which] % CANDIDATE_BITS)]
                 yield pa.RecordBatch.from_arrays([pa.array(own.h1[which]), pa.array(own.h2[which]), pa.array(own.text(which), pa.string())], ["h1", "h2", "line"])
@@ -274,31 +281,38 @@ def near_lines(rows: DataFrame, lines: int, *, max_edits: int, min_chars: int) -
     return both.mapInArrow(verify, "a1 long, a2 long, b1 long, b2 long, distance long")
 
 
-def repeats(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(
+    docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int | None = None, near_chars: int | None = None, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """``(doc_id, th, numbers)``: the numbers of the lines, from 0, that equal or nearly equal an earlier one.
 
     A line goes if an equal line comes before it, or if a different line within ``max_edits`` edits has its
     first occurrence before this line's first one. Before means a smaller id, nulls last, then a smaller
-    text hash, then a smaller line number. Lines under ``min_chars`` characters never go.
+    text hash, then a smaller line number. Edits count between lines of ``near_chars`` characters or more; shorter
+    lines go if they are equal, and stay if they are blank. Lines under ``min_chars`` characters never go. If only
+    ``min_chars`` is given it is ``near_chars`` too; if neither is, every length counts and ``NEAR_CHARS`` holds.
     """
-    if not 1 <= max_edits <= 15 or min_chars <= 2 * max_edits:
+    least = min_chars or 1
+    near_chars = max(near_chars or min_chars or NEAR_CHARS, least)
+    if not 1 <= max_edits <= 15 or near_chars <= 2 * max_edits:
         raise ValueError("1 to 15 edits, and lines of more than twice as many characters")
     rows = keyed(docs, key=key, text=text)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                own = Lines(part.column("text"), min_chars)
+                own = Lines(part.column("text"), least, near_chars)
                 doc = pa.array(own.doc)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(doc), part.column("th").take(doc), pa.array(own.number.astype(np.int32)), pa.array(own.h1), pa.array(own.h2)],
-                    ["doc_id", "th", "number", "h1", "h2"],
+                    [part.column("doc_id").take(doc), part.column("th").take(doc), pa.array(own.number.astype(np.int32)), pa.array(own.h1), pa.array(own.h2),
+                     pa.array(own.end - own.start >= near_chars)],
+                    ["doc_id", "th", "number", "h1", "h2", "long"],
                 )
 
-    lines = stored(rows.mapInArrow(found, "doc_id long, th long, number int, h1 long, h2 long"), "line-hashes")
+    lines = stored(rows.mapInArrow(found, "doc_id long, th long, number int, h1 long, h2 long, long boolean"), "line-hashes")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", "number")
     firsts = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("times"))
-    near = stored(near_lines(rows, lines.count(), max_edits=max_edits, min_chars=min_chars), "near-lines")
+    near = stored(near_lines(rows, lines.where("long").count(), max_edits=max_edits, near_chars=near_chars), "near-lines")
     a = firsts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("first").alias("first_a"))
     b = firsts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("first_b"))
     late = near.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
@@ -311,14 +325,14 @@ def repeats(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN
     return gone.groupBy(*DOC).agg(F.collect_set("number").alias("numbers"))
 
 
-def deduplicated(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def deduplicated(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int | None = None, near_chars: int | None = None) -> DataFrame:
     """``docs`` with ``text`` without its repeated lines, and ``n_lines`` and ``n_removed`` (long).
 
     Lines are what line feeds separate; those that stay are joined by line feeds. Null texts have no
     lines and stay null; a text may become empty. Rows equal in id and text are one document and get the
     same result. Columns of these names are replaced; all others stay.
     """
-    gone = repeats(docs, max_edits=max_edits, min_chars=min_chars)
+    gone = repeats(docs, max_edits=max_edits, min_chars=min_chars, near_chars=near_chars)
     rest = docs.drop("n_lines", "n_removed")
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     named = gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "numbers")
