@@ -4,11 +4,13 @@ Texts are words (runs of letters and digits, lower case). An item leaks where a
 within ``MAX_EDITS`` of its words in edit distance. The CGK random walk copies the current word of a
 sequence and moves on or stays, as a random bit of (step, word) says; sequences within a few edits fall
 back into step, so that their walks agree at many places. Each LSH table samples a few places of a
-walk; windows of a document, as long as items are, meet items with the same sample. Every
+walk; windows of a document meet items with the same sample. Every
 candidate is verified by exact word edit distance (bit-parallel, free ends).
 
-Windows begin and end where runs of known trigrams do, or where a known trigram is the first or last of an item.
-They are taken only where an item can be: by the q-gram lemma a stretch within k edits of an item of n
+Items are in classes by size, and each class has windows of its own: they begin at every ``stride``-th word of a text,
+so that one begins near any item, however its ends are edited and whatever is around it, and where a known trigram is
+the first of an item. The walk sees little of what is behind an item, so windows need no exact end.
+They are taken only where an item of the class can be: by the q-gram lemma a stretch within k edits of an item of n
 words shares n - 2 - 3k word trigrams with it. The trigrams of all items are known to the tasks as a
 bitmap of ``GRAM_BITS`` bits, fixed however many items there are; it links no window to an item. Items and windows meet in an equi-join on the sample, so
 the benchmark may be of any size; nothing is kept per document but its windows.
@@ -20,6 +22,7 @@ against brute force.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ GRAM_BITS = 1 << 23
 MIN_ITEM_WORDS = 8
 MAX_EDITS = 0.2
 GROWTH = 1.25
+MAX_STRIDE = 4
+STEPS_AT_ONCE = 1 << 22
 WALKS, TABLES_PER_WALK, SAMPLED = 6, 10, 3
 SEED = 0xC6A4A7935BD1E995
 
@@ -86,37 +91,58 @@ def samples(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, *sizes: np.n
     return out
 
 
-def shared_at_least(shortest: int, longest: int) -> np.ndarray:
-    """By the size of a stretch: the trigrams it shares at least with an item that it holds within the allowed edits."""
-    n = np.arange(shortest, longest + 1)
-    edits = np.array([allowed_edits(int(x)) for x in n])
-    needed = n - (GRAM - 1) - GRAM * edits
-    sizes = np.arange(int(longest * GROWTH) + 2)
-    longest_fit = n + edits  # a stretch is at most so long
-    return np.array([max(1, needed[longest_fit >= size].min(initial=longest)) for size in sizes])
+class SizeClass(NamedTuple):
+    """What the windows of a class need: see ``classes_of``."""
 
+    number: int
+    stride: int
+    reach: int
+    needed: int
+    margin: int
+    steps: int
 
-def windows_of(
-    hits: np.ndarray, begins: np.ndarray, stops: np.ndarray, first: np.ndarray, shortest: int, longest: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, end) of the windows that may hold an item of ``shortest`` to ``longest`` words.
 
-    ``hits`` marks the words at which a known trigram begins, ``begins`` and ``stops`` those where it is the first or
-    the last one of an item; ``first`` has the bounds of the texts. Windows begin and end at the bounds of runs of hits, and at
-    such trigrams inside them.
+def classes_of(sizes: list[int]) -> list[SizeClass]:
+    """The classes of items of these sizes.
+
+    A window begins at every ``stride``-th word, and holds an item of the class, edited, in ``reach`` words from
+    there. ``needed`` trigrams at least are shared with it. An item can begin ``margin`` words before or end as
+    much behind. The walk takes ``steps`` steps.
+    """
+    n = np.unique(np.array(sizes, np.int64))
+    edits = np.array([allowed_edits(int(x)) for x in n], np.int64)
+    number = size_class(n)
+    out = []
+    for size in np.unique(number).tolist():
+        own = number == size
+        stride = int(np.clip(n[own][0] // 8, 2, MAX_STRIDE))
+        needed = max(1, int((n - (GRAM - 1) - GRAM * edits)[own].min()))
+        margin = 2 * int(edits[own].max()) + GRAM + stride
+        out.append(SizeClass(size, stride, int((n + edits)[own].max()), needed, margin, int(sampled_places(size).max()) + 1))
+    return out
+
+
+def windows_of(hits: np.ndarray, begins: np.ndarray, doc: np.ndarray, first: np.ndarray, sizes: list[SizeClass]) -> Iterator[tuple[SizeClass, np.ndarray]]:
+    """By class, the words at which windows begin that may hold an item.
+
+    ``hits`` marks the words at which a known trigram begins, ``begins`` those where it is the first of an item;
+    ``doc`` has the text of each word and ``first`` the bounds of the texts.
     """
-    low, high = int(shortest / GROWTH), int(longest * GROWTH)
-    padded = np.concatenate(([False], hits, [False]))
     sums = np.concatenate(([0], np.cumsum(hits)))
-    starts = np.flatnonzero(hits & (~padded[:-2] | begins))
-    ends = np.flatnonzero(hits & (~padded[2:] | stops)) + GRAM
-    a, b = np.searchsorted(ends, starts + low), np.searchsorted(ends, starts + high, side="right")
-    begin = np.repeat(starts, b - a)
-    end = ends[np.arange(len(begin)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)]
-    text = np.searchsorted(first, begin, side="right") - 1
-    shared = sums[np.maximum(end - GRAM + 1, begin)] - sums[begin]
-    good = (end <= first[text + 1]) & (shared >= shared_at_least(shortest, longest)[end - begin])
-    return text[good], begin[good], end[good]
+    last = len(hits)
+
+    def shared(word: np.ndarray, before: int, after: int) -> np.ndarray:
+        a = np.minimum(np.maximum(word - before, first[doc[word]]), last)
+        b = np.minimum(word + after, first[doc[word] + 1]) - (GRAM - 1)
+        return sums[np.maximum(b, a)] - sums[a]
+
+    farthest = max(size.reach + size.stride for size in sizes)
+    near = np.flatnonzero(shared(np.arange(len(doc)), MAX_STRIDE, farthest) >= min(size.needed for size in sizes))
+    opens = np.append(hits & begins, np.zeros(len(doc) - last, bool))[near]
+    place = near - first[doc[near]]
+    for size in sizes:
+        some = near[opens | (place % size.stride == 0)]
+        yield size, some[shared(some, size.stride, size.reach + size.stride) >= size.needed]
 
 
 def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -201,19 +227,16 @@ def leaks(
     counts. Documents equal in id and text are one; items equal in id and text are one.
     """
     items = _items(benchmark, item_key, item_text)
-    sizes = items.agg(F.min("n"), F.max("n")).first()
-    schema = "doc_id long, th long, first int, end int, margin int, body string, keys array<long>"
+    sizes = classes_of([row.n for row in items.select("n").distinct().collect()])
+    schema = "doc_id long, th long, first int, size int, margin int, body string, keys array<long>"
     rows = keyed(docs, key=key, text=text)
-    if sizes[0] is None:
+    if not sizes:
         return rows.limit(0).select(
             "doc_id", "th", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("distance"),
             F.lit(0).cast("long").alias("n_item_words"), F.lit(0).alias("first_word"), F.lit(0).alias("end_word"),
         )
-    shortest, longest = sizes
     known = bitmap(items.select(F.explode("bits").alias("bit")), "bit", GRAM_BITS)
     opening = bitmap(items.select(F.element_at("bits", 1).alias("bit")), "bit", GRAM_BITS)
-    closing = bitmap(items.select(F.element_at("bits", -1).alias("bit")), "bit", GRAM_BITS)
-    margin = allowed_edits(longest) * 2 + GRAM
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,27 +244,31 @@ def leaks(
                 words = Words(part.column("text"))
                 bits, inside = grams(words)
                 hits = has_bit(known, bits) & inside
-                doc, begin, end = windows_of(hits, has_bit(opening, bits), has_bit(closing, bits), words.first, shortest, longest)
-                wide = size_class(end - begin)
-                keys = samples(words.whole(), begin, end, wide - 1, wide, wide + 1)
-                low, high = np.maximum(begin - margin, words.first[doc]), np.minimum(end + margin, words.first[doc + 1])
-                rows = pa.array(doc)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id").take(rows), part.column("th").take(rows),
-                        pa.array((begin - words.first[doc]).astype(np.int32)), pa.array((end - words.first[doc]).astype(np.int32)),
-                        pa.array((begin - low).astype(np.int32)), pa.array(_spelled(words, low, high), pa.string()),
-                        pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
-                    ],
-                    ["doc_id", "th", "first", "end", "margin", "body", "keys"],
-                )
+                bounds, whole = words.first, words.whole()
+                for size, begins in windows_of(hits, has_bit(opening, bits), words.doc, bounds, sizes):
+                    block = max(1, STEPS_AT_ONCE // size.steps)
+                    for begin in (begins[at : at + block] for at in range(0, len(begins), block)):
+                        doc = words.doc[begin]
+                        keys = samples(whole, begin, np.minimum(begin + size.steps, bounds[doc + 1]), np.full(len(begin), size.number))
+                        low = np.maximum(begin - size.margin, bounds[doc])
+                        high = np.minimum(begin + size.reach + size.margin, bounds[doc + 1])
+                        rows = pa.array(doc)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                part.column("doc_id").take(rows), part.column("th").take(rows),
+                                pa.array((begin - bounds[doc]).astype(np.int32)), pa.array(np.full(len(begin), size.number, np.int32)),
+                                pa.array((begin - low).astype(np.int32)), pa.array(_spelled(words, low, high), pa.string()),
+                                pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
+                            ],
+                            ["doc_id", "th", "first", "size", "margin", "body", "keys"],
+                        )
 
     windows = stored(rows.mapInArrow(cut, schema), "windows")
-    place = ("doc_id", "th", "first", "end")
+    place = ("doc_id", "th", "first", "size")
     probes = windows.select(*place, F.explode("keys").alias("key"))
     index = items.select("item_id", F.explode("keys").alias("key"))
     met = probes.join(index, "key").select(*place, "item_id").distinct()
-    met = met.alias("m").join(windows.alias("w"), same_document("m", "w") & (F.col("m.first") == F.col("w.first")) & (F.col("m.end") == F.col("w.end")))
+    met = met.alias("m").join(windows.alias("w"), same_document("m", "w") & (F.col("m.first") == F.col("w.first")) & (F.col("m.size") == F.col("w.size")))
     pairs = met.join(items.alias("i"), F.col("m.item_id").eqNullSafe(F.col("i.item_id"))).select(
         "m.doc_id", "m.th", "m.first", "w.margin", "w.body", "i.item_id", F.col("i.body").alias("item")
     ).distinct()
