@@ -11,9 +11,11 @@ Items are in classes by size, and each class has windows of its own: they begin
 so that one begins near any item, however its ends are edited and whatever is around it, and where a known trigram is
 the first of an item. The walk sees little of what is behind an item, so windows need no exact end.
 They are taken only where an item of the class can be: by the q-gram lemma a stretch within k edits of an item of n
-words shares n - 2 - 3k word trigrams with it. The trigrams of all items are known to the tasks as a
-bitmap of ``GRAM_BITS`` bits, fixed however many items there are; it links no window to an item. Items and windows meet in an equi-join on the sample, so
-the benchmark may be of any size; nothing is kept per document but its windows.
+words shares n - 2 - 3k word trigrams with it. The trigrams of all items are known to the
+tasks as a bitmap with ``BITS_PER_GRAM`` bits for each different one, up to ``MOST_GRAM_BITS``; it links no window to an
+item. Behind that size it fills up: false hits then make surplus windows, but as windows begin at every few words inside
+a run of hits too, none is lost. Windows and samples that no item has are left out by a like bitmap of the items' samples.
+Items and windows meet in an equi-join on the sample, so the benchmark may be of any size; nothing is kept per document but its windows.
 
 Recall of the LSH depends on the edits: see ``tests/llm/test_decontam.py``, which holds it to 0.9 or more
 against brute force.
@@ -34,7 +36,8 @@ from fleetlens.llm.text import Prefixes, keyed, mix, same_document, slices
 from fleetlens.llm.tokens import Words
 
 GRAM = 3
-GRAM_BITS = 1 << 23
+LEAST_GRAM_BITS, MOST_GRAM_BITS = 1 << 23, 1 << 28
+BITS_PER_GRAM = 32
 MIN_ITEM_WORDS = 8
 MAX_EDITS = 0.2
 GROWTH = 1.25
@@ -146,12 +149,18 @@ def windows_of(hits: np.ndarray, begins: np.ndarray, doc: np.ndarray, first: np.
 
 
 def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of the trigrams that begin at each word, and which of them lie in one text."""
+    """Hashes of the trigrams that begin at each word, and which of them lie in one text."""
     whole = words.whole()
     n = max(len(whole) - GRAM + 1, 0)
     at = np.arange(n)
-    bits = (Prefixes(whole).run(at, at + GRAM) % np.uint64(GRAM_BITS)).astype(np.int64) if n else np.zeros(0, np.int64)
-    return bits, words.doc[:n] == words.doc[GRAM - 1 :] if n else np.zeros(0, bool)
+    hashes = (Prefixes(whole).run(at, at + GRAM) >> np.uint64(1)).astype(np.int64) if n else np.zeros(0, np.int64)
+    return hashes, words.doc[:n] == words.doc[GRAM - 1 :] if n else np.zeros(0, bool)
+
+
+def bits_for(n_grams: int) -> int:
+    """Bits of the bitmap for so many different trigrams: a power of two."""
+    wanted = 1 << max(BITS_PER_GRAM * n_grams - 1, 1).bit_length()
+    return min(max(wanted, LEAST_GRAM_BITS), MOST_GRAM_BITS)
 
 
 def _spelled(words: Words, begin: np.ndarray, end: np.ndarray) -> list[str]:
@@ -198,33 +207,35 @@ def _items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
                 n = np.diff(words.first)
                 which = np.flatnonzero(n >= MIN_ITEM_WORDS)
                 begin, end = words.first[which], words.first[which + 1]
-                bits, _ = grams(words)
+                hashes, _ = grams(words)
                 keys = samples(words.whole(), begin, end, size_class(n[which]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("item_id").take(pa.array(which)),
                         pa.array(_spelled(words, begin, end), pa.string()),
                         pa.array(n[which]),
-                        pa.array([bits[a : b - GRAM + 1] for a, b in zip(begin, end)], pa.list_(pa.int64())),
+                        pa.array([hashes[a : b - GRAM + 1] for a, b in zip(begin, end)], pa.list_(pa.int64())),
                         pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
                     ],
-                    ["item_id", "body", "n", "bits", "keys"],
+                    ["item_id", "body", "n", "grams", "keys"],
                 )
 
     rows = benchmark.select(F.col(f"`{key}`").cast("long").alias("item_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    made = rows.distinct().mapInArrow(prepared, "item_id long, body string, n long, bits array<long>, keys array<long>")
+    made = rows.distinct().mapInArrow(prepared, "item_id long, body string, n long, grams array<long>, keys array<long>")
     return stored(made, "items")
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text"
+    docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    gram_bits: int | None = None,
 ) -> DataFrame:
     """``(doc_id, th, item_id, distance, n_item_words, first_word, end_word)``: the best place of each item in each document.
 
     An item is in a document if some stretch of its words is within ``MAX_EDITS`` of the item's words, rounded
     down. Items of under ``MIN_ITEM_WORDS`` words are too short to tell and never match; null texts have no
     words; null ids are returned as they are. Words are counted from 0. Of equally good places the first
-    counts. Documents equal in id and text are one; items equal in id and text are one.
+    counts. Documents equal in id and text are one; items equal in id and text are one. ``gram_bits`` is the size of
+    the bitmap of known trigrams, by default set from their number.
     """
     items = _items(benchmark, item_key, item_text)
     sizes = classes_of([row.n for row in items.select("n").distinct().collect()])
@@ -235,21 +246,31 @@ def leaks(
             "doc_id", "th", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("distance"),
             F.lit(0).cast("long").alias("n_item_words"), F.lit(0).alias("first_word"), F.lit(0).alias("end_word"),
         )
-    known = bitmap(items.select(F.explode("bits").alias("bit")), "bit", GRAM_BITS)
-    opening = bitmap(items.select(F.element_at("bits", 1).alias("bit")), "bit", GRAM_BITS)
+    all_grams = items.select(F.explode("grams").alias("gram"))
+    gram_bits = gram_bits or bits_for(all_grams.agg(F.approx_count_distinct("gram")).first()[0])
+    known = bitmap(all_grams.select((F.col("gram") % gram_bits).alias("bit")), "bit", gram_bits)
+    all_keys = items.select(F.explode("keys").alias("key"))
+    key_bits = bits_for(all_keys.count())
+    met_by_items = bitmap(all_keys.select(F.pmod("key", F.lit(key_bits)).alias("bit")), "bit", key_bits)
+    opening = bitmap(items.select((F.element_at("grams", 1) % gram_bits).alias("bit")), "bit", gram_bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"))
-                bits, inside = grams(words)
+                hashes, inside = grams(words)
+                bits = hashes % gram_bits
                 hits = has_bit(known, bits) & inside
                 bounds, whole = words.first, words.whole()
                 for size, begins in windows_of(hits, has_bit(opening, bits), words.doc, bounds, sizes):
                     block = max(1, STEPS_AT_ONCE // size.steps)
                     for begin in (begins[at : at + block] for at in range(0, len(begins), block)):
+                        end = np.minimum(begin + size.steps, bounds[words.doc[begin] + 1])
+                        keys = samples(whole, begin, end, np.full(len(begin), size.number))
+                        meets = has_bit(met_by_items, (keys % np.uint64(key_bits)).astype(np.int64))
+                        some = meets.any(axis=1)
+                        begin, keys, meets = begin[some], keys[some].view(np.int64), meets[some]
                         doc = words.doc[begin]
-                        keys = samples(whole, begin, np.minimum(begin + size.steps, bounds[doc + 1]), np.full(len(begin), size.number))
                         low = np.maximum(begin - size.margin, bounds[doc])
                         high = np.minimum(begin + size.reach + size.margin, bounds[doc + 1])
                         rows = pa.array(doc)
@@ -258,7 +279,7 @@ def leaks(
                                 part.column("doc_id").take(rows), part.column("th").take(rows),
                                 pa.array((begin - bounds[doc]).astype(np.int32)), pa.array(np.full(len(begin), size.number, np.int32)),
                                 pa.array((begin - low).astype(np.int32)), pa.array(_spelled(words, low, high), pa.string()),
-                                pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
+                                pa.array([k[m] for k, m in zip(keys, meets)], pa.list_(pa.int64())),
                             ],
                             ["doc_id", "th", "first", "size", "margin", "body", "keys"],
                         )
