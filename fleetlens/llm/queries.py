@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, decontam, langid, line_dedup, quality, secret_scan, simhash, substring, toxicity, url_filter
+from fleetlens.llm import bpe, decontam, langid, line_dedup, quality, runs, secret_scan, simhash, substring, toxicity, url_filter
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -73,11 +73,45 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", kept.alias("kept_sha256"))
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """``docs`` with every tenth text, by its id's checksum, ending in a loop; its words are joined by one space."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    whole = lambda a, b: F.call_function("div", a, b).cast("int")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = (
+        docs.withColumn("__g", whole(h, F.lit(10))).withColumn("__words", F.when(h % 10 == 0, words))
+        .withColumn("__n", F.nullif(F.size("__words"), F.lit(0)))
+        .withColumn("__a", F.col("__g") % F.col("__n"))
+        .withColumn("__p", 1 + whole(F.col("__n") - F.col("__a"), 3 + F.col("__g") % 8))
+    )
+    block = F.slice("__words", F.col("__a") + 1, F.col("__p"))
+    times = F.ceil((F.col("__n") - F.col("__a")) / F.col("__p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(block, times)), F.lit(1), F.col("__n") - F.col("__a"))
+    text = F.array_join(F.concat(F.slice("__words", F.lit(1), F.col("__a")), tail), " ")
+    return cut.select(*[F.when(F.col("__n") > 0, text).otherwise(F.col(c)).alias(c) if c == "text" else c for c in docs.columns])
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(looped(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # Quotients of equal fractions are equal doubles, and others of such lengths differ.
+    order = F.transform("runs", lambda r: F.struct(
+        (r.length / r.period).alias("exponent"), (-r.start).alias("start"), (-r.period).alias("period"), r.length.alias("length")
+    ))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    best = F.col("best")
+    return found.withColumn("best", F.array_max(order)).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-best.start).alias("start"), best.length.alias("length"),
+        (-best.period).alias("period"), F.call_function("div", 1000 * best.length, -best.period).alias("exponent_milli"),
+        F.sha2(F.encode(F.array_join(lines, ""), "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_bpe, op3_substring, op4_url_filter, op5_simhash,
-        op6_quality, op7_langid, op8_decontamination, op9_secrets, op10_line_dedup,
+        op6_quality, op7_langid, op8_decontamination, op9_secrets, op10_line_dedup, op11_periodic_runs,
     )
 }
 
@@ -177,8 +211,42 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def _crc32_sql(number: str) -> str:
+    """CRC-32 of the decimal digits of a number, bit by bit."""
+    bit = "lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"list_reduce(list_concat([xor(c, b)], [0::BIGINT for i in range(8)]), {bit})"
+    digits = f"[ascii(d)::BIGINT for d in string_split(({number})::VARCHAR, '')]"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {digits}), lambda c, b: {byte}), 4294967295)"
+
+
+def _runs_sql(length: int = runs.MIN_LENGTH, exponent: int = runs.MIN_EXPONENT) -> str:
+    return f"""
+WITH w AS (SELECT doc_id, {WORDS_SQL} AS words, {_crc32_sql("doc_id")} AS h FROM documents),
+g AS (SELECT doc_id, words, len(words) AS n, h % 10 = 0 AS looped, h // 10 AS g FROM w),
+a AS (SELECT *, CASE WHEN looped AND n > 0 THEN g % n END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN words ELSE [words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] for i in range(n)] END AS words FROM p),
+e AS (SELECT doc_id, unnest(words) AS word, unnest(range(n)) AS i FROM d),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m),
+t AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY doc_id, q, island HAVING count(*) + q >= greatest({length}, {exponent} * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM t GROUP BY doc_id, start, length),
+k AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    first([start, length, period] ORDER BY length / period DESC, start, period) AS best
+  FROM r GROUP BY doc_id
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM e ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best[1]::BIGINT AS start, best[2]::BIGINT AS length, best[3]::BIGINT AS period,
+  (1000 * best[2] // best[3])::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.words, '')) AS collapsed_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 ORACLES: dict[str, str] = {
     "op3_substring": _substring_sql(),
     "op4_url_filter": _url_sql(),
     "op6_quality": _quality_sql(),
+    "op11_periodic_runs": _runs_sql(),
 }
