@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, decontam, langid, line_dedup, quality, runs, secret_scan, simhash, substring, toxicity, url_filter
+from fleetlens.llm import bpe, decontam, langid, line_dedup, quality, runs, secret_scan, simhash, substring, toxicity, trie, url_filter
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -107,11 +107,22 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+HEADS = 9  # a rebuilt conversation takes 0 to 8 turns of its base
+LENDERS = 5  # every fifth conversation lends its head
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(
+        _table(spark, sf_dir, "conversations"), base=lambda c: c - c % LENDERS, head=lambda c: F.crc32(c.cast("string")) % HEADS, longest=HEADS - 1
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_bpe, op3_substring, op4_url_filter, op5_simhash,
         op6_quality, op7_langid, op8_decontamination, op9_secrets, op10_line_dedup, op11_periodic_runs,
+        op12_conversation_trie,
     )
 }
 
@@ -244,9 +255,46 @@ FROM d LEFT JOIN k USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+def _trie_sql(lenders: int = LENDERS, heads: int = HEADS) -> str:
+    return f"""
+WITH RECURSIVE t AS (
+  SELECT conv_id AS c, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS ref,
+    octet_length(encode(coalesce(text, ''))) AS bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+v AS (SELECT c, c - c % {lenders} AS b, {_crc32_sql("c")} % {heads} AS h FROM n),
+k AS (SELECT v.*, least(h, coalesce(n.n, 0)) AS k FROM v LEFT JOIN n ON n.c = v.b),
+r AS (
+  SELECT k.c, t.i AS d, ref, bytes FROM k JOIN t ON t.c = k.b AND t.i <= k.h
+  UNION ALL SELECT k.c, k.k + t.i - k.h, ref, bytes FROM k JOIN t ON t.c = k.c AND t.i > k.h
+),
+p AS (
+  SELECT c, 0::BIGINT AS d, '' AS node, NULL::VARCHAR AS above, 0::BIGINT AS bytes FROM k
+  UNION ALL SELECT p.c, p.d + 1, sha256(p.node || r.ref), p.node, r.bytes FROM p JOIN r ON r.c = p.c AND r.d = p.d + 1
+),
+whole AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+a AS (
+  SELECT p.d, node, min(p.c) AS conv_id, count(*) AS n_convs, any_value(above) AS above, any_value(bytes) AS bytes,
+    string_agg(CASE WHEN p.d = whole.d THEN p.c END, ',' ORDER BY p.c) AS ends
+  FROM p JOIN whole ON p.c = whole.c GROUP BY p.d, node
+),
+kids AS (SELECT d - 1 AS d, above AS node, count(*) AS n FROM a WHERE d > 0 GROUP BY 1, 2),
+b AS (SELECT a.*, coalesce(kids.n, 0) AS n_children FROM a LEFT JOIN kids ON kids.d = a.d AND kids.node = a.node),
+below AS (
+  SELECT p.d, p.node, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved
+  FROM b JOIN p ON p.c = b.conv_id AND p.d <= b.d GROUP BY p.d, p.node
+)
+SELECT b.conv_id, b.d AS depth, up.conv_id AS parent_conv_id, b.n_convs, b.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, sha256(coalesce(b.ends, '')) AS ends_sha256
+FROM b JOIN below ON below.d = b.d AND below.node = b.node LEFT JOIN a up ON up.d = b.d - 1 AND up.node = b.above
+"""
+
+
 ORACLES: dict[str, str] = {
     "op3_substring": _substring_sql(),
     "op4_url_filter": _url_sql(),
     "op6_quality": _quality_sql(),
     "op11_periodic_runs": _runs_sql(),
+    "op12_conversation_trie": _trie_sql(),
 }
