@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, decontam, langid, line_dedup, quality, runs, secret_scan, simhash, substring, toxicity, trie, url_filter
+from fleetlens.llm import bpe, decontam, langid, line_dedup, packing, quality, runs, secret_scan, simhash, substring, toxicity, trie, url_filter
 
 RANKS = "byte_bpe_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,12 +118,17 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+    return packing.pack(cut)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_bpe, op3_substring, op4_url_filter, op5_simhash,
         op6_quality, op7_langid, op8_decontamination, op9_secrets, op10_line_dedup, op11_periodic_runs,
-        op12_conversation_trie,
+        op12_conversation_trie, op13_best_fit_packing,
     )
 }
 
