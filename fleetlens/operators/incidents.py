@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -143,29 +144,34 @@ def alert_hold(
     keys: Sequence[str] = NODE_KEYS,
     *,
     hold_s: float = ALERT_HOLD_S,
+    until: dt.datetime | None = None,
     chunk_s: float = DEFAULT_CHUNK_S,
 ) -> DataFrame:
-    """Runs of zero samples that lasted at least ``hold_s``, with the first firing sample."""
+    """Runs of zero status that lasted at least ``hold_s``, and when they fired.
+
+    A status holds until the next sample says otherwise: a run fires at its start plus the hold,
+    unless a sample other than zero comes before. The last run of a key has no such sample and
+    fires; with ``until`` only what has fired by then is given. Samples without a value say nothing.
+    """
     marked = previous_row(
-        pack(samples.select(*keys, "ts", "seq", (F.col("value") == 0).alias("zero")), keys),
+        pack(samples.where(F.col("value").isNotNull()).select(*keys, "ts", "seq", (F.col("value") == 0).alias("zero")), keys),
         ["ts", "seq"],
         by_time(F.col("ts"), chunk_s),
         F.col("zero"),
-        "__prev",
-    )
-    starts = F.when(F.col("zero") & ~F.coalesce("__prev", F.lit(False)), F.col("ts"))
-    scanned = chunked_scan(
-        marked.withColumn("__start", starts),
-        _order(),
-        None,
-        local={"__here": lambda w: F.max("__start").over(so_far(w))},
-        summary={"__latest": F.max("__start")},
-        carry={"__earlier": lambda w: F.max("__latest").over(w)},
-    )
-    held = scanned.withColumn("zero_since", F.coalesce("__here", "__earlier")).where(
-        F.col("zero") & (_seconds(F.col("ts"), F.col("zero_since")) >= F.lit(float(hold_s)))
+        "__before",
     )
-    return unpack(held).groupBy(*keys, "zero_since").agg(F.min("ts").alias("firing_ts"))
+    # Starts and ends of runs alternate, so the edge before an end is its start.
+    edges = marked.where(F.col("zero") != F.coalesce("__before", F.lit(False)))
+    paired = previous_row(edges, ["ts", "seq"], None, F.col("ts"), "zero_since")
+    ended = unpack(paired.where(~F.col("zero"))).select(*keys, "zero_since", F.col("ts").alias("ended"))
+    newest = unpack(edges).groupBy(*keys).agg(F.max_by(F.struct("zero", "ts"), F.struct("ts", "seq")).alias("edge"))
+    open_ = newest.where("edge.zero").select(*keys, F.col("edge.ts").alias("zero_since"), F.lit(None).cast("timestamp").alias("ended"))
+    firing = F.timestamp_micros(F.unix_micros("zero_since") + F.lit(int(hold_s * 1_000_000)))
+    fired = ended.unionByName(open_).withColumn("firing_ts", firing)
+    in_time = F.col("ended").isNull() | (F.col("firing_ts") <= F.col("ended"))
+    if until is not None:
+        in_time = in_time & (F.col("firing_ts") <= F.lit(until))
+    return fired.where(in_time).select(*keys, "zero_since", "firing_ts")
 
 
 def recovery_phases(

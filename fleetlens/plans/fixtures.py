@@ -284,6 +284,14 @@ def events_view(raw: DataFrame) -> DataFrame:
     )
 
 
+CLUSTERS = 20
+
+
+def by_cluster(events: DataFrame) -> DataFrame:
+    """Events of many clusters, each with as many nodes as ``k`` has values."""
+    return events.withColumns({"cluster_id": (F.col("user_id") % CLUSTERS).cast("int"), "node": F.col("k")})
+
+
 def dispatch_kind(event_type: Column) -> Column:
     return (
         F.when(event_type == "error", "failure")
@@ -423,7 +431,12 @@ VIEW_SQL = {
         WHERE l_shipdate < TIMESTAMP '1998-01-01' GROUP BY 1, 2""",
     "snap_after": "SELECT l_suppkey // 5 AS cluster_id, l_suppkey AS replica_id, count(*) AS posts FROM lineitem GROUP BY 1, 2",
     "log_text": "SELECT page_id AS replica_id, html AS raw FROM pages",
+    "fleet": f"SELECT event_id, ts, user_id, event_type, value, k, CAST(user_id % {CLUSTERS} AS INTEGER) AS cluster_id, k AS node FROM ev",
 }
+# The same views over the events of many clusters.
+for _name in ("requests", "probes", "ops_events", "status_samples"):
+    _select, _, _source = VIEW_SQL[_name].rpartition(" FROM ev")
+    VIEW_SQL[f"fleet_{_name}"] = f"{_select.replace('SELECT ', 'SELECT cluster_id, ', 1)} FROM fleet"
 
 _NEEDS = {
     "requests": ["ev"],
@@ -437,6 +450,8 @@ _NEEDS = {
     "router_snapshot": ["members"],
     "node_registry": ["members"],
     "identifiers": ["members", "node_registry"],
+    "fleet": ["ev"],
+    **{f"fleet_{name}": ["ev", "fleet"] for name in ("requests", "probes", "ops_events", "status_samples")},
 }
 
 

@@ -11,16 +11,31 @@ from fleetlens.plans.registry import Query
 HOURS = 3600.0
 
 
-def outage_sql(threshold: int) -> str:
-    return f"""SELECT node, ts AS outage_ts, seq FROM (
-        SELECT *, row_number() OVER (PARTITION BY node, run, healthy ORDER BY ts, seq) AS nth FROM (
-          SELECT *, sum(CASE WHEN healthy THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY ts, seq) AS run FROM probes))
+def outage_sql(threshold: int, probes: str = "probes", keys: str = "node") -> str:
+    return f"""SELECT {keys}, ts AS outage_ts, seq FROM (
+        SELECT *, row_number() OVER (PARTITION BY {keys}, run, healthy ORDER BY ts, seq) AS nth FROM (
+          SELECT *, sum(CASE WHEN healthy THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY ts, seq) AS run FROM {probes}))
       WHERE NOT healthy AND nth = {threshold}"""
 
 
-DOWN_SQL = f"""SELECT o.node, o.outage_ts, min(p.ts) AS recovered_ts
-    FROM ({outage_sql(3)}) o JOIN probes p ON p.node = o.node AND p.healthy AND p.ts > o.outage_ts
-    GROUP BY o.node, o.outage_ts"""
+def down_sql(probes: str = "probes", keys: str = "node") -> str:
+    same = " AND ".join(f"p.{k} = o.{k}" for k in keys.split(", "))
+    return f"""SELECT {', '.join(f"o.{k}" for k in keys.split(', '))}, o.outage_ts, min(p.ts) AS recovered_ts
+    FROM ({outage_sql(3, probes, keys)}) o JOIN {probes} p ON {same} AND p.healthy AND p.ts > o.outage_ts
+    GROUP BY ALL"""
+
+
+DOWN_SQL = down_sql()
+
+
+def alert_sql(samples: str = "status_samples", keys: str = "node") -> str:
+    """Runs of zeros that no other sample ends before the hold."""
+    same = " AND ".join(f"r.{k} = z.{k}" for k in keys.split(", "))
+    return f"""WITH r AS (SELECT *, sum(CASE WHEN value <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY ts, seq) AS run FROM {samples}),
+    z AS (SELECT {keys}, run, min(ts) AS zero_since FROM r WHERE value = 0 GROUP BY ALL),
+    e AS (SELECT z.*, min(r.ts) AS ended FROM z LEFT JOIN r ON {same} AND r.run = z.run + 1 AND r.value <> 0 GROUP BY ALL)
+    SELECT {keys}, zero_since, zero_since + INTERVAL 30 SECONDS AS firing_ts FROM e
+    WHERE ended IS NULL OR zero_since + INTERVAL 30 SECONDS <= ended"""
 
 
 def _recovery(t: Tables, *, rollup: bool = False):
@@ -78,14 +93,7 @@ QUERIES = {
     ),
     "alert_hold": Query(
         lambda t: inc.alert_hold(t.status_samples).drop("cluster_id"),
-        with_views(
-            "status_samples",
-            sql="""SELECT node, zero_since, min(ts) AS firing_ts FROM (
-              SELECT *, min(ts) OVER (PARTITION BY node, run) AS zero_since FROM (
-                SELECT *, sum(CASE WHEN value <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY ts, seq) AS run
-                FROM status_samples) WHERE value = 0)
-            WHERE epoch_us(ts) - epoch_us(zero_since) >= 30000000 GROUP BY 1, 2""",
-        ),
+        with_views("status_samples", sql=alert_sql()),
     ),
     "recovery_phases": Query(
         _recovery, with_views("ev", sql=f"WITH {_RECOVERY_SQL} SELECT * FROM phases")

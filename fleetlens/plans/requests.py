@@ -35,11 +35,15 @@ def _alarm_samples(t: Tables):
     return gateway.unionByName(jobs).unionByName(rto)
 
 
-RTO_SQL = """SELECT ts, node, failed_node, (epoch_us(ts) - epoch_us(prev_ts)) / 1e6 AS elapsed_seconds
+def rto_sql(events: str = "ops_events", keys: str = "") -> str:
+    return f"""SELECT {keys + ', ' if keys else ''}ts, node, failed_node, (epoch_us(ts) - epoch_us(prev_ts)) / 1e6 AS elapsed_seconds
     FROM (SELECT *, lag(event) OVER w AS prev_event, lag(ts) OVER w AS prev_ts, lag(node) OVER w AS failed_node
-          FROM ops_events WHERE event IN ('FAILOVER', 'RETRY') WINDOW w AS (ORDER BY ts, seq))
+          FROM {events} WHERE event IN ('FAILOVER', 'RETRY') WINDOW w AS ({'PARTITION BY ' + keys if keys else ''} ORDER BY ts, seq))
     WHERE event = 'RETRY' AND prev_event = 'FAILOVER'"""
 
+
+RTO_SQL = rto_sql()
+
 QUERIES = {
     "sli_availability": Query(
         lambda t: slo.sli_availability(t.requests),

@@ -11,13 +11,14 @@ from fleetlens.operators.slo import ALARM_RULES
 from fleetlens.plans import fixtures
 from fleetlens.plans.batch import STREAM_EPOCH, stream_chunks
 from fleetlens.plans.fixtures import Tables, with_views
-from fleetlens.plans.incidents import DOWN_SQL, outage_sql
+from fleetlens.plans.incidents import alert_sql, down_sql, outage_sql
 from fleetlens.plans.registry import Query
-from fleetlens.plans.requests import RTO_SQL
+from fleetlens.plans.requests import rto_sql
 from fleetlens.streaming import queries as sq
-from fleetlens.streaming.run import parquet_stream, run_available
+from fleetlens.streaming.run import parquet_stream, run_available, run_to_end
 
 DAY = 86400
+NODE = "cluster_id, node"
 AVAILABILITY, LATENCY = ALARM_RULES[0], ALARM_RULES[1]
 
 
@@ -25,38 +26,51 @@ def _events(t: Tables) -> DataFrame:
     return fixtures.events_view(parquet_stream(t.spark, f"{t.sf_dir}/events.parquet"))
 
 
+def _fleet(t: Tables) -> DataFrame:
+    return fixtures.by_cluster(_events(t))
+
+
 def _requests(t: Tables) -> DataFrame:
     return fixtures.requests_view(_events(t))
 
 
 def _samples(t: Tables) -> DataFrame:
-    return _requests(t).select(
-        "cluster_id", "node", "ts", F.col("request_id").alias("seq"), "latency_ms"
-    )
+    success = (success_flag(F.col("status")) == 1).alias("success")
+    return fixtures.requests_view(_fleet(t)).select("cluster_id", "node", "ts", F.col("request_id").alias("seq"), "latency_ms", success)
 
 
 def _sli(t: Tables) -> DataFrame:
     long = _requests(t).select(
         "cluster_id", "ts", F.lit("availability").alias("metric"), success_flag(F.col("status")).alias("value")
     )
-    return run_available(sq.stream_sli(long, AVAILABILITY), "sli").drop("cluster_id")
+    return run_to_end(long, lambda s: sq.stream_sli(s, AVAILABILITY), "sli").drop("cluster_id")
 
 
 def _sli_latency(t: Tables) -> DataFrame:
     long = _requests(t).select(
         "cluster_id", "ts", F.lit("latency_ms").alias("metric"), F.col("latency_ms").alias("value")
     )
-    return run_available(sq.stream_sli(long, LATENCY), "sli-latency").drop("cluster_id")
+    return run_to_end(long, lambda s: sq.stream_sli(s, LATENCY), "sli-latency").drop("cluster_id")
+
+
+def _in_time(rows: DataFrame) -> DataFrame:
+    """The table is in order of time, so no row may be late; SILENT closes what the data leaves open."""
+    return rows.drop("late")
+
+
+def _outages(t: Tables) -> DataFrame:
+    events = run_to_end(fixtures.probes_view(_fleet(t)), sq.stream_outages, "outages")
+    return _in_time(events.where("event is null or event <> 'SILENT'")).drop("seq")
 
 
 def _sla(t: Tables) -> DataFrame:
-    states = run_available(sq.stream_sla_state(_samples(t), 300.0), "sla")
+    states = run_to_end(_samples(t), lambda s: sq.stream_sla_state(s, 300.0), "sla")
     newest = F.max_by(F.struct("samples", "latency_p95_ms", "sla_ok"), "seq")
-    return states.groupBy("node").agg(newest.alias("s")).select("node", "s.*")
+    return _in_time(states).groupBy("cluster_id", "node").agg(newest.alias("s")).select("cluster_id", "node", "s.*")
 
 
 def _jobs(t: Tables) -> DataFrame:
-    changes = run_available(sq.stream_job_state(fixtures.job_events_view(_events(t))), "jobs")
+    changes = _in_time(run_to_end(fixtures.job_events_view(_events(t)), sq.stream_job_state, "jobs"))
     newest = F.max_by("status", F.struct("ts", "seq"))
     return changes.groupBy("job_id").agg(newest.alias("status"), F.max("ts").alias("updated_at"))
 
@@ -71,15 +85,12 @@ def _transcripts(t: Tables) -> DataFrame:
     )
 
 
-_CLOSED = "(SELECT max(ts) FROM requests) - INTERVAL 10 MINUTES"
-
-
 def _sli_sql(metric: str, value: str, alarm: str, breach: str) -> str:
     return with_views(
         "requests",
         sql=f"""SELECT '{metric}' AS metric, '{alarm}' AS alarm, window_start, round(avg(v), 6) AS mean, avg(v) {breach} AS breach
         FROM (SELECT time_bucket(INTERVAL 300 SECONDS, ts) AS window_start, {value} AS v FROM requests)
-        GROUP BY window_start HAVING window_start + INTERVAL 300 SECONDS <= {_CLOSED}""",
+        GROUP BY window_start""",
     )
 
 
@@ -104,57 +115,47 @@ QUERIES = {
     ),
     "stream_sli_latency": Query(_sli_latency, _sli_sql("latency_ms", "latency_ms", LATENCY.alarm, "> 4500")),
     "stream_traffic": Query(
-        lambda t: run_available(sq.stream_traffic(_requests(t)), "traffic"),
+        lambda t: run_to_end(_requests(t), sq.stream_traffic, "traffic"),
         with_views(
             "requests",
-            sql=f"""SELECT date_trunc('minute', ts) AS window_start, count(*) AS requests,
+            sql="""SELECT date_trunc('minute', ts) AS window_start, count(*) AS requests,
             count(*) FILTER (status >= 400 AND status < 500) AS errors_4xx,
-            count(*) FILTER (status >= 500 AND status < 600) AS errors_5xx FROM requests GROUP BY 1
-            HAVING date_trunc('minute', any_value(ts)) + INTERVAL 1 MINUTE <= {_CLOSED}""",
+            count(*) FILTER (status >= 500 AND status < 600) AS errors_5xx FROM requests GROUP BY 1""",
         ),
     ),
     "stream_outages": Query(
-        lambda t: run_available(sq.stream_outages(fixtures.probes_view(_events(t))), "outages").drop("cluster_id", "seq"),
+        _outages,
         with_views(
-            "probes",
-            sql=f"""SELECT node, 'FAILOVER' AS event, outage_ts AS ts, CAST(NULL AS DOUBLE) AS downtime_s FROM ({outage_sql(3)})
-            UNION ALL SELECT node, 'RESPAWN', recovered_ts, round((epoch_us(recovered_ts) - epoch_us(outage_ts)) / 1e6, 6) FROM ({DOWN_SQL})""",
+            "fleet_probes",
+            sql=f"""SELECT {NODE}, 'FAILOVER' AS event, outage_ts AS ts, CAST(NULL AS DOUBLE) AS downtime_s FROM ({outage_sql(3, 'fleet_probes', NODE)})
+            UNION ALL SELECT {NODE}, 'RESPAWN', recovered_ts, round((epoch_us(recovered_ts) - epoch_us(outage_ts)) / 1e6, 6) FROM ({down_sql('fleet_probes', NODE)})""",
         ),
     ),
     "stream_sla_state": Query(
         _sla,
         with_views(
-            "requests",
-            sql="""SELECT node, CAST(count(*) AS INTEGER) AS samples, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95_ms,
+            "fleet_requests",
+            sql=f"""SELECT {NODE}, CAST(count(*) AS INTEGER) AS samples, round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95_ms,
             quantile_cont(latency_ms, 0.95) <= 300 AS sla_ok FROM (SELECT *, row_number() OVER
-            (PARTITION BY node ORDER BY ts DESC, request_id DESC) AS back FROM requests) WHERE back <= 1024 GROUP BY 1""",
+            (PARTITION BY {NODE} ORDER BY ts DESC, request_id DESC) AS back FROM fleet_requests WHERE status IN (200,201,302)) WHERE back <= 1024 GROUP BY ALL""",
         ),
     ),
     "stream_alert_hold": Query(
-        lambda t: run_available(
-            sq.stream_alert_hold(fixtures.status_view(fixtures.probes_view(_events(t)))), "alerts"
-        ).drop("cluster_id"),
-        with_views(
-            "status_samples",
-            sql="""WITH r AS (SELECT *, sum(CASE WHEN value <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY ts, seq) AS run FROM status_samples),
-            z AS (SELECT node, run, min(ts) AS zero_since FROM r WHERE value = 0 GROUP BY 1, 2),
-            e AS (SELECT z.*, min(r.ts) AS ended FROM z LEFT JOIN r ON r.node = z.node AND r.run = z.run + 1 AND r.value <> 0 GROUP BY ALL)
-            SELECT node, zero_since, zero_since + INTERVAL 30 SECONDS AS firing_ts FROM e
-            WHERE zero_since + INTERVAL 30 SECONDS <= coalesce(ended, (SELECT max(ts) FROM status_samples) - INTERVAL 10 MINUTES)""",
-        ),
+        lambda t: _in_time(run_to_end(fixtures.status_view(fixtures.probes_view(_fleet(t))), sq.stream_alert_hold, "alerts")),
+        with_views("fleet_status_samples", sql=alert_sql("fleet_status_samples", NODE)),
     ),
     "stream_rate_limit": Query(
-        lambda t: run_available(sq.stream_rate_limit(_requests(t), 3, DAY), "admission").drop("ts"), _ADMISSION_SQL
+        lambda t: _in_time(run_to_end(_requests(t), lambda s: sq.stream_rate_limit(s, 3, DAY), "admission")).drop("ts"), _ADMISSION_SQL
     ),
     "rate_limit_labels": Query(
         lambda t: rate_limit_labels(t.requests, limit=3, window_s=DAY).select("api_key_id", "request_id", "accepted"),
         _ADMISSION_SQL,
     ),
     "stream_rto": Query(
-        lambda t: run_available(sq.stream_rto(fixtures.ops_view(_events(t))), "rto").drop("cluster_id"),
+        lambda t: _in_time(run_to_end(fixtures.ops_view(_fleet(t)), sq.stream_rto, "rto").where("late or node is not null")),
         with_views(
-            "ops_events",
-            sql=f"SELECT ts, node, failed_node, round(elapsed_seconds, 6) AS elapsed_seconds FROM ({RTO_SQL})",
+            "fleet_ops_events",
+            sql=f"SELECT cluster_id, ts, node, failed_node, round(elapsed_seconds, 6) AS elapsed_seconds FROM ({rto_sql('fleet_ops_events', 'cluster_id')})",
         ),
     ),
     "stream_job_state": Query(

@@ -1,9 +1,11 @@
 """State machines over keyed telemetry streams.
 
-Each processor keeps a small state per key and steps through the rows of a micro-batch in
-time order. Spark sorts them (see :func:`keyed`) and hands them over in Arrow batches, so
-a task holds one batch at a time however many rows its key has. Across micro-batches the
-rows of a key are expected in order of arrival.
+Each machine keeps a small state per key and steps through the rows of its key in the order of
+event time, however they arrive. :class:`OrderedProcessor` holds rows back until the watermark
+has passed them and then releases them sorted, so a stream gives what the batch operator
+gives on the same rows, whatever the files, triggers and batches were. Rows behind the watermark come too late
+for that: they go to the output flagged ``late`` and change nothing. A key that stays silent for long is closed with a
+defined last event and leaves no state behind.
 """
 
 from __future__ import annotations
@@ -14,16 +16,20 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from fleetlens.operators.admission import admit
 from fleetlens.operators.incidents import ALERT_HOLD_S, ROUTER_THRESHOLD
 from fleetlens.operators.rolling import SAMPLES, interpolate
 from fleetlens.operators.slo import RATE_LIMIT, RATE_WINDOW_S, SLA_P95_MS
-from fleetlens.streaming.run import state_partitions
+from fleetlens.streaming.run import CLOSING_US, state_partitions
 
 MICROS = 1_000_000
+SILENT_S = 30 * 86400.0  # a key without rows for so long is closed
+UNTIMED = -(1 << 63)
 
 
 def _in_order(rows: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
@@ -44,211 +50,362 @@ def _micros(series: pd.Series) -> list[int]:
 
 
 def _stamp(micros: int | None) -> pd.Timestamp | None:
-    return None if micros is None else pd.Timestamp(micros, unit="us")
+    return None if micros is None or micros == UNTIMED else pd.Timestamp(micros, unit="us")
 
 
 def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns)
 
 
-class OutageProcessor(StatefulProcessor):
-    """FAILOVER at the threshold of consecutive failures, RESPAWN on the recovery after."""
+def _to_bytes(pdf: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_pandas(pdf, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-    OUTPUT = "cluster_id int, node int, event string, ts timestamp, seq bigint, downtime_s double"
-    COLUMNS = ["cluster_id", "node", "event", "ts", "seq", "downtime_s"]
 
-    def __init__(self, threshold: int = ROUTER_THRESHOLD) -> None:
-        self.threshold = threshold
+def _from_bytes(body: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(body)).read_pandas()
+
+
+class OrderedProcessor(StatefulProcessor):
+    """Releases the rows of a key in the order of ``ORDER`` once the watermark has passed their time.
+
+    Rows wait in state as sorted parts, one per batch of rows received, kept by their first and
+    last time; a release reads only parts that begin before the watermark, and only parts that overlap
+    are held at once. A timer is set for the earliest of: the first waiting row, the time at which the machine
+    wants to act if no row comes before (:meth:`wake`), and the end of the patience with a silent key.
+    Rows of the closing mark (see :func:`fleetlens.streaming.run.run_to_end`) are ignored.
+
+    A machine gives its state as one tuple of the DDL ``STATE``, None for none, and its rows as tuples of ``COLUMNS``;
+    ``late`` is added to both.
+    """
+
+    ORDER = ["at_us", "seq"]
+    STATE = ""
+    OUTPUT = ""
+    COLUMNS: list[str] = []
+    silent_us: int | None = int(SILENT_S * MICROS)
+
+    def step(self, key, rows: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple | None]:
+        """Rows of the output and the state after ``rows``, sorted and before the watermark."""
+        raise NotImplementedError
+
+    def late(self, key, rows: pd.DataFrame) -> list[tuple]:
+        """Output for rows that came too late."""
+        raise NotImplementedError
+
+    def silent(self, key, state: tuple, at_us: int) -> list[tuple]:
+        """The last rows of a key that was silent until ``at_us``."""
+        return []
+
+    def wake(self, state: tuple) -> int | None:
+        """When the machine acts if no row comes before."""
+        return None
+
+    def woken(self, key, state: tuple) -> tuple[list[tuple], tuple | None]:
+        """What it does then."""
+        return [], state
+
+    @classmethod
+    def output(cls) -> str:
+        return cls.OUTPUT + ", late boolean"
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("run", "failures int, outage_us bigint")
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "from_us bigint, to_us bigint, part bigint", "rows binary")
+        self.machine = handle.getValueState("machine", self.STATE)
+        self.clock = handle.getValueState("clock", "due_ms bigint, last_us bigint, parts bigint")
+
+    def close(self) -> None:
+        pass
+
+    def _out(self, rows: list[tuple], late: bool = False) -> pd.DataFrame:
+        return _frame(rows, self.COLUMNS).assign(late=late)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        failures, outage = self.state.get() if self.state.exists() else (0, None)
-        for pdf in _in_order(rows, "ts"):
+        passed = self._passed(timerValues)
+        due, last, parts = self.clock.get() if self.clock.exists() else (None, None, 0)
+        for pdf in rows:
+            pdf = pdf[pdf["at_us"] < CLOSING_US]
+            behind = (pdf["at_us"] < passed) | (pdf["at_us"] == UNTIMED)
+            if behind.any():
+                yield self._out(self.late(key, pdf[behind]), late=True)
+                pdf = pdf[~behind]
+            if len(pdf):
+                at = pdf["at_us"].to_numpy()
+                self.waiting.updateValue((int(at.min()), int(at.max()), parts), (_to_bytes(pdf),))
+                parts += 1
+        yield from self._advance(key, passed, due, last, parts)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.clock.exists():
+            due, last, parts = self.clock.get()
+            expired = expiredTimerInfo.getExpiryTimeInMs()
+            yield from self._advance(key, self._passed(timerValues), None if due == expired else due, last, parts)
+        else:
+            yield self._out([])
+
+    @staticmethod
+    def _passed(timerValues) -> int:
+        ms = timerValues.getCurrentWatermarkInMs()
+        return ms * 1000 if ms > 0 else UNTIMED
+
+    def _released(self, passed: int, parts: int) -> Iterator[pd.DataFrame]:
+        """Rows before ``passed`` in order; the rest of a part that is only partly due goes back."""
+        keys = sorted(tuple(k) for k in self.waiting.keys())
+        at = 0
+        while at < len(keys) and keys[at][0] < passed:
+            end, reach = at + 1, keys[at][1]
+            while end < len(keys) and keys[end][0] <= reach:
+                reach = max(reach, keys[end][1])
+                end += 1
+            rows = pd.concat([_from_bytes(self.waiting.getValue(k)[0]) for k in keys[at:end]], ignore_index=True)
+            rows = rows.sort_values(self.ORDER, kind="stable", ignore_index=True)
+            for k in keys[at:end]:
+                self.waiting.removeKey(k)
+            due = int(np.searchsorted(rows["at_us"].to_numpy(), passed))
+            if due < len(rows):
+                rest = rows.iloc[due:]
+                self.waiting.updateValue((int(rest["at_us"].iloc[0]), reach, keys[at][2]), (_to_bytes(rest),))
+            yield rows.iloc[:due]
+            at = end
+
+    def _advance(self, key, passed: int, due: int | None, last: int | None, parts: int) -> Iterator[pd.DataFrame]:
+        state = tuple(self.machine.get()) if self.machine.exists() else None
+        out: list[tuple] = []
+        for rows in self._released(passed, parts):
+            at = rows["at_us"].to_numpy()
+            before = np.concatenate(([at[0] if last is None else last], at[:-1]))
+            gaps = [] if self.silent_us is None else np.flatnonzero(at - before > self.silent_us).tolist()
+            bounds = [0, *[g for g in gaps if g], len(at)]
+            for a, b in zip(bounds, bounds[1:]):
+                if a in gaps:
+                    out, state = [*out, *self._closed(key, state, int(before[a]))], None
+                made, state = self.step(key, rows.iloc[a:b], state)
+                out += made
+            last = int(at[-1])
+            yield self._out(out)
             out = []
-            for at, seq, healthy in zip(_micros(pdf["ts"]), pdf["seq"].tolist(), pdf["healthy"].tolist()):
-                if healthy:
-                    if outage is not None:
-                        out.append((*key, "RESPAWN", _stamp(at), seq, (at - outage) / MICROS))
-                    failures, outage = 0, None
-                    continue
-                failures += 1
-                if failures == self.threshold:
-                    outage = at
-                    out.append((*key, "FAILOVER", _stamp(at), seq, None))
-            yield _frame(out, self.COLUMNS)
-        self.state.update((failures, outage))
+        if state is not None and (when := self.wake(state)) is not None and when <= passed:
+            made, state = self.woken(key, state)
+            out += made
+        if state is not None and self.silent_us is not None and last + self.silent_us < passed:
+            out, state = [*out, *self._closed(key, state, last)], None
+        yield self._out(out)
+        if state is None:
+            self.machine.clear()
+        else:
+            self.machine.update(state)
+        self._set_timer(due, self._next(state, last), last, parts)
+
+    def _closed(self, key, state: tuple | None, last: int) -> list[tuple]:
+        """What a machine does on its own until the silence ends it."""
+        if state is None:
+            return []
+        made: list[tuple] = []
+        end = last + self.silent_us
+        if (when := self.wake(state)) is not None and when <= end:
+            made, state = self.woken(key, state)
+        return made if state is None else [*made, *self.silent(key, state, end)]
+
+    def _next(self, state: tuple | None, last: int | None) -> int | None:
+        times = [k[0] // 1000 + 1 for k in self.waiting.keys()]
+        if state is not None:
+            if (when := self.wake(state)) is not None:
+                times.append(-(-when // 1000))
+            if self.silent_us is not None:
+                times.append((last + self.silent_us) // 1000 + 1)
+        return min(times, default=None)
+
+    def _set_timer(self, due: int | None, now: int | None, last: int | None, parts: int) -> None:
+        if due is not None and due != now:
+            self.handle.deleteTimer(due)
+        if now is None:
+            self.clock.clear()
+            return
+        if due != now:
+            self.handle.registerTimer(now)
+        self.clock.update((now, last, parts))
 
-    def close(self) -> None:
-        pass
 
+def _columns(rows: pd.DataFrame, *names: str) -> Iterator[tuple]:
+    return zip(*[rows[n].tolist() for n in names])
+
+
+class OutageProcessor(OrderedProcessor):
+    """FAILOVER at the threshold of consecutive failures, RESPAWN on the recovery after.
+
+    An outage that a silent node leaves open ends in SILENT, with the time it lasted until then.
+    """
+
+    STATE = "failures int, outage_us bigint"
+    OUTPUT = "cluster_id int, node int, event string, ts timestamp, seq bigint, downtime_s double"
+    COLUMNS = ["cluster_id", "node", "event", "ts", "seq", "downtime_s"]
+
+    def __init__(self, threshold: int = ROUTER_THRESHOLD, silent_s: float = SILENT_S) -> None:
+        self.threshold = threshold
+        self.silent_us = int(silent_s * MICROS)
+
+    def step(self, key, rows, state):
+        failures, outage = state or (0, None)
+        out = []
+        for at, seq, healthy in _columns(rows, "at_us", "seq", "healthy"):
+            if healthy:
+                if outage is not None:
+                    out.append((*key, "RESPAWN", _stamp(at), seq, (at - outage) / MICROS))
+                failures, outage = 0, None
+                continue
+            failures += 1
+            if failures == self.threshold:
+                outage = at
+                out.append((*key, "FAILOVER", _stamp(at), seq, None))
+        return out, ((failures, outage) if failures else None)
+
+    def late(self, key, rows):
+        return [(*key, None, _stamp(at), seq, None) for at, seq in _columns(rows, "at_us", "seq")]
 
-class RtoProcessor(StatefulProcessor):
-    """Seconds from a pending failover to the first retry, which consumes it."""
+    def silent(self, key, state, at_us):
+        return [] if state[1] is None else [(*key, "SILENT", _stamp(at_us), None, (at_us - state[1]) / MICROS)]
 
+
+class RtoProcessor(OrderedProcessor):
+    """Seconds from a pending failover to the first retry, which consumes it.
+
+    A failover that nobody retries until its cluster has long been silent gives a row without a retrying node and time.
+    """
+
+    STATE = "at_us bigint, node int"
     OUTPUT = "cluster_id int, ts timestamp, node int, failed_node int, elapsed_seconds double"
     COLUMNS = ["cluster_id", "ts", "node", "failed_node", "elapsed_seconds"]
 
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("pending", "at_us bigint, node int")
+    def __init__(self, silent_s: float = SILENT_S) -> None:
+        self.silent_us = int(silent_s * MICROS)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pending = self.state.get() if self.state.exists() else None
-        for pdf in _in_order(rows, "ts"):
-            out = []
-            for at, event, node in zip(_micros(pdf["ts"]), pdf["event"].tolist(), pdf["node"].tolist()):
-                if event == "FAILOVER":
-                    pending = (at, node)
-                elif event == "RETRY" and pending is not None:
-                    out.append((*key, _stamp(at), node, pending[1], (at - pending[0]) / MICROS))
-                    pending = None
-            yield _frame(out, self.COLUMNS)
-        if pending is None:
-            self.state.clear()
-        else:
-            self.state.update(pending)
+    def step(self, key, rows, state):
+        out = []
+        for at, event, node in _columns(rows, "at_us", "event", "node"):
+            if event == "FAILOVER":
+                state = (at, node)
+            elif event == "RETRY" and state is not None:
+                out.append((*key, _stamp(at), node, state[1], (at - state[0]) / MICROS))
+                state = None
+        return out, state
 
-    def close(self) -> None:
-        pass
+    def late(self, key, rows):
+        return [(*key, _stamp(at), node, None, None) for at, node in _columns(rows, "at_us", "node")]
 
+    def silent(self, key, state, at_us):
+        return [(*key, _stamp(at_us), None, state[1], None)]
 
-class SlaProcessor(StatefulProcessor):
-    """p95 of the last samples per node and whether it is within target, per batch."""
 
+class SlaProcessor(OrderedProcessor):
+    """p95 of the last samples per node and whether it is within target, whenever samples are released."""
+
+    STATE = "samples array<double>"
     OUTPUT = "cluster_id int, node int, seq bigint, samples int, latency_p95_ms double, sla_ok boolean"
     COLUMNS = ["cluster_id", "node", "seq", "samples", "latency_p95_ms", "sla_ok"]
 
-    def __init__(self, target_ms: float = SLA_P95_MS, size: int = SAMPLES) -> None:
+    def __init__(self, target_ms: float = SLA_P95_MS, size: int = SAMPLES, silent_s: float = SILENT_S) -> None:
         self.target_ms = target_ms
         self.size = size
+        self.silent_us = int(silent_s * MICROS)
 
-    def init(self, handle) -> None:
-        self.samples = handle.getListState("samples", "ms double")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = [row[0] for row in self.samples.get()] if self.samples.exists() else []
-        seq = None
-        for pdf in _in_order(rows, "ts"):
-            kept = (kept + pdf["latency_ms"].tail(self.size).tolist())[-self.size :]
-            seq = int(pdf["seq"].iloc[-1])
-        self.samples.put([(value,) for value in kept])
-        p95 = interpolate(sorted(kept), 0.95)
+    def step(self, key, rows, state):
+        kept = (list(state[0]) if state else []) + rows["latency_ms"].dropna().tail(self.size).tolist()
+        kept = kept[-self.size :]
+        p95 = interpolate(sorted(kept), 0.95) if kept else 0.0
         ok = self.target_ms <= 0 or not kept or p95 <= self.target_ms
-        yield _frame([(*key, seq, len(kept), p95, ok)], self.COLUMNS)
+        return [(*key, int(rows["seq"].iloc[-1]), len(kept), p95, ok)], (kept,)
 
-    def close(self) -> None:
-        pass
+    def late(self, key, rows):
+        return [(*key, seq, None, None, None) for (seq,) in _columns(rows, "seq")]
 
 
-class AlertHoldProcessor(StatefulProcessor):
+class AlertHoldProcessor(OrderedProcessor):
     """One firing event per run of zero status that lasts the hold time.
 
     A status holds until the next sample says otherwise, so a run fires at its start
-    plus the hold, either when a later sample shows it lasted or by an event-time timer
-    when the node has gone silent. That makes the result independent of batch limits.
+    plus the hold, either when a later sample shows it lasted or when the watermark
+    passes that time without one.
     """
 
+    STATE = "since_us bigint, fired boolean"
     OUTPUT = "cluster_id int, node int, zero_since timestamp, firing_ts timestamp"
     COLUMNS = ["cluster_id", "node", "zero_since", "firing_ts"]
 
-    def __init__(self, hold_s: float = ALERT_HOLD_S) -> None:
+    def __init__(self, hold_s: float = ALERT_HOLD_S, silent_s: float = SILENT_S) -> None:
         self.hold_us = int(hold_s * MICROS)
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("run", "since_us bigint, fired boolean")
-
-    def _due_ms(self, since: int) -> int:
-        return -(-(since + self.hold_us) // 1000)
+        self.silent_us = int(max(silent_s, hold_s) * MICROS)
 
     def _event(self, key, since: int) -> tuple:
         return (*key, _stamp(since), _stamp(since + self.hold_us))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        since, fired = self.state.get() if self.state.exists() else (None, False)
-        if since is not None and not fired:
-            self.handle.deleteTimer(self._due_ms(since))
-        for pdf in _in_order(rows, "ts"):
-            out = []
-            for at, value in zip(_micros(pdf["ts"]), pdf["value"].tolist()):
-                if since is not None and not fired and at >= since + self.hold_us:
-                    out.append(self._event(key, since))
-                    fired = True
-                if value != 0:
-                    since, fired = None, False
-                elif since is None:
-                    since, fired = at, False
-            yield _frame(out, self.COLUMNS)
-        if since is None:
-            self.state.clear()
-        else:
-            self.state.update((since, fired))
-            if not fired:
-                self.handle.registerTimer(self._due_ms(since))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def step(self, key, rows, state):
+        since, fired = state or (None, False)
         out = []
-        if self.state.exists():
-            since, fired = self.state.get()
-            if not fired:
+        for at, value in _columns(rows, "at_us", "value"):
+            if since is not None and not fired and at >= since + self.hold_us:
                 out.append(self._event(key, since))
-                self.state.update((since, True))
-        yield _frame(out, self.COLUMNS)
+                fired = True
+            if value != 0:
+                since, fired = None, False
+            elif since is None:
+                since, fired = at, False
+        return out, (None if since is None else (since, fired))
 
-    def close(self) -> None:
-        pass
+    def late(self, key, rows):
+        return [(*key, _stamp(at), None) for (at,) in _columns(rows, "at_us")]
+
+    def wake(self, state):
+        return None if state[1] else state[0] + self.hold_us
+
+    def woken(self, key, state):
+        return [self._event(key, state[0])], (state[0], True)
 
 
-class RateLimitProcessor(StatefulProcessor):
-    """Accept or reject each request by the accepted ones in the trailing window."""
+class RateLimitProcessor(OrderedProcessor):
+    """Accept or reject each request by the accepted ones in the trailing window.
 
+    A key is forgotten once it has been silent for the window, when nothing counts any more.
+    """
+
+    ORDER = ["at_us", "request_id"]
+    STATE = "accepted array<bigint>"
     OUTPUT = "api_key_id bigint, request_id bigint, ts timestamp, accepted boolean"
+    COLUMNS = ["api_key_id", "request_id", "ts", "accepted"]
 
     def __init__(self, limit: int = RATE_LIMIT, window_s: float = RATE_WINDOW_S) -> None:
         self.limit = limit
-        self.window_us = int(window_s * MICROS)
+        self.window_us = self.silent_us = int(window_s * MICROS)
 
-    def init(self, handle) -> None:
-        self.accepted = handle.getListState("accepted", "at_us bigint")
+    def step(self, key, rows, state):
+        accepted = deque(state[0] if state else ())
+        labels = admit(rows["at_us"].to_numpy(), accepted, self.limit, self.window_us)
+        out = [(*key, r, _stamp(at), bool(ok)) for (at, r), ok in zip(_columns(rows, "at_us", "request_id"), labels)]
+        return out, ((list(accepted),) if accepted else None)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        accepted = deque(row[0] for row in self.accepted.get()) if self.accepted.exists() else deque()
-        for pdf in _in_order(rows, "ts"):
-            labels = admit(np.array(_micros(pdf["ts"])), accepted, self.limit, self.window_us)
-            yield pd.DataFrame(
-                {"api_key_id": key[0], "request_id": pdf["request_id"], "ts": pdf["ts"], "accepted": labels}
-            )
-        if accepted:
-            self.accepted.put([(at,) for at in accepted])
-        else:
-            self.accepted.clear()
-
-    def close(self) -> None:
-        pass
+    def late(self, key, rows):
+        return [(*key, r, _stamp(at), None) for at, r in _columns(rows, "at_us", "request_id")]
 
 
-class JobStateProcessor(StatefulProcessor):
-    """The newest status per job, emitted whenever a batch changes it."""
+class JobStateProcessor(OrderedProcessor):
+    """The newest status per job, emitted whenever a release brings one."""
 
+    STATE = "at_us bigint"
     OUTPUT = "job_id bigint, status string, ts timestamp, seq bigint"
     COLUMNS = ["job_id", "status", "ts", "seq"]
 
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("latest", "at_us bigint, seq bigint, status string")
+    def __init__(self, silent_s: float = SILENT_S) -> None:
+        self.silent_us = int(silent_s * MICROS)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in _in_order(rows, "ts"):
-            at, seq = _micros(pdf["ts"].tail(1))[0], int(pdf["seq"].iloc[-1])
-            status = pdf["ray_status"].iloc[-1]
-        out = []
-        if not self.state.exists() or (at, seq) > tuple(self.state.get()[:2]):
-            self.state.update((at, seq, status))
-            out.append((*key, status, _stamp(at), seq))
-        yield _frame(out, self.COLUMNS)
+    def step(self, key, rows, state):
+        at, seq, status = next(_columns(rows.tail(1), "at_us", "seq", "ray_status"))
+        return [(*key, status, _stamp(at), seq)], (at,)
 
-    def close(self) -> None:
-        pass
+    def late(self, key, rows):
+        return [(*key, status, _stamp(at), seq) for at, seq, status in _columns(rows, "at_us", "seq", "ray_status")]
 
 
 def event_delta(line: str) -> str | None:
@@ -343,6 +500,19 @@ class TranscriptProcessor(StatefulProcessor):
         pass
 
 
+def ordered(
+    stream: DataFrame, keys: Sequence[str], columns: Sequence[str], processor: OrderedProcessor, lateness: str
+) -> DataFrame:
+    """Run an ordered machine over a stream with ``ts``, which may be late by ``lateness``.
+
+    The time travels as a number of its own: Spark would drop late rows by the event-time column
+    before the processor could flag them.
+    """
+    at = F.coalesce(F.unix_micros("ts"), F.lit(UNTIMED)).alias("at_us")
+    rows = stream.withWatermark("ts", lateness).select(*keys, at, *columns)
+    return keyed(rows, list(keys), processor, processor.ORDER, event_time=True)
+
+
 def keyed(
     stream: DataFrame,
     keys: list[str],
@@ -361,7 +531,8 @@ def keyed(
     :func:`fleetlens.streaming.run.stateful_settings`.
     """
     width = state_partitions(stream.sparkSession)
-    ordered = stream.repartition(width, *keys).sortWithinPartitions(*keys, *order)
-    return ordered.groupBy(*keys).transformWithStateInPandas(
-        processor, processor.OUTPUT, "Append", "EventTime" if event_time else "None"
+    by_key = stream.repartition(width, *keys).sortWithinPartitions(*keys, *order)
+    schema = processor.output() if isinstance(processor, OrderedProcessor) else processor.OUTPUT
+    return by_key.groupBy(*keys).transformWithStateInPandas(
+        processor, schema, "Append", "EventTime" if event_time else "None"
     )

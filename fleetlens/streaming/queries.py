@@ -33,10 +33,16 @@ def _tumbling(
 def stream_sli(
     samples: DataFrame, rule: AlarmRule, by: Sequence[str] = ("cluster_id",), lateness: str = LATENESS
 ) -> DataFrame:
-    """Mean of a rule's metric per period with its alarm flag, once the period has closed."""
-    mine = samples.where(F.col("metric") == rule.metric)
-    means = _tumbling(mine, [*by, "metric"], f"{rule.period_s} seconds", lateness, F.avg("value").alias("mean"))
-    return evaluate_rules(means, [rule])
+    """Mean of a rule's metric per period with its alarm flag, once the period has closed.
+
+    Samples without a metric move the watermark, as the closing mark does, but are in no mean.
+    """
+    mine = F.col("metric") == rule.metric
+    means = _tumbling(
+        samples.where(mine | F.col("metric").isNull()), by, f"{rule.period_s} seconds", lateness,
+        F.avg(F.when(mine, F.col("value"))).alias("mean"), F.count_if(mine).alias("__samples"),
+    )
+    return evaluate_rules(means.where("__samples > 0").withColumn("metric", F.lit(rule.metric)), [rule]).drop("__samples")
 
 
 def stream_traffic(requests: DataFrame, by: Sequence[str] = (), lateness: str = LATENESS) -> DataFrame:
@@ -53,43 +59,50 @@ def stream_traffic(requests: DataFrame, by: Sequence[str] = (), lateness: str =
     )
 
 
-def stream_outages(probes: DataFrame, threshold: int = 3) -> DataFrame:
-    """FAILOVER and RESPAWN events per node."""
-    rows = probes.select("cluster_id", "node", "ts", "seq", "healthy")
-    return p.keyed(rows, ["cluster_id", "node"], p.OutageProcessor(threshold))
+def stream_outages(
+    probes: DataFrame, threshold: int = 3, lateness: str = LATENESS, silent_s: float = p.SILENT_S
+) -> DataFrame:
+    """FAILOVER, RESPAWN and SILENT events per node; probes behind the watermark are flagged ``late``."""
+    return p.ordered(probes, ["cluster_id", "node"], ["seq", "healthy"], p.OutageProcessor(threshold, silent_s), lateness)
 
 
-def stream_sla_state(samples: DataFrame, target_ms: float = 30000.0, size: int = 1024) -> DataFrame:
-    """p95 and SLA flag of the last samples per node, one row per node and batch."""
-    rows = samples.select("cluster_id", "node", "ts", "seq", "latency_ms")
-    return p.keyed(rows, ["cluster_id", "node"], p.SlaProcessor(target_ms, size))
+def stream_sla_state(
+    samples: DataFrame, target_ms: float = 30000.0, size: int = 1024, lateness: str = LATENESS, silent_s: float = p.SILENT_S
+) -> DataFrame:
+    """p95 and SLA flag of the last samples per node, one row per node and release.
 
+    Where samples have ``success``, failed ones do not count; null latencies never do.
+    """
+    if "success" in samples.columns:
+        samples = samples.where(F.col("success") | F.col("success").isNull() & F.col("latency_ms").isNull())
+    machine = p.SlaProcessor(target_ms, size, silent_s)
+    return p.ordered(samples, ["cluster_id", "node"], ["seq", "latency_ms"], machine, lateness)
 
-def stream_alert_hold(samples: DataFrame, hold_s: float = 30.0, lateness: str = LATENESS) -> DataFrame:
+
+def stream_alert_hold(
+    samples: DataFrame, hold_s: float = 30.0, lateness: str = LATENESS, silent_s: float = p.SILENT_S
+) -> DataFrame:
     """One firing event per run of zero status held long enough."""
-    timed = samples.select("cluster_id", "node", "ts", "seq", "value").withWatermark("ts", lateness)
-    return p.keyed(timed, ["cluster_id", "node"], p.AlertHoldProcessor(hold_s), event_time=True)
+    return p.ordered(samples, ["cluster_id", "node"], ["seq", "value"], p.AlertHoldProcessor(hold_s, silent_s), lateness)
 
 
-def stream_rate_limit(requests: DataFrame, limit: int = 15, window_s: float = 10.0) -> DataFrame:
+def stream_rate_limit(requests: DataFrame, limit: int = 15, window_s: float = 10.0, lateness: str = LATENESS) -> DataFrame:
     """Accept or reject per API key."""
-    rows = requests.select("api_key_id", "ts", "request_id")
-    return p.keyed(rows, ["api_key_id"], p.RateLimitProcessor(limit, window_s), ["ts", "request_id"])
+    return p.ordered(requests, ["api_key_id"], ["request_id"], p.RateLimitProcessor(limit, window_s), lateness)
 
 
-def stream_rto(ops_events: DataFrame) -> DataFrame:
+def stream_rto(ops_events: DataFrame, lateness: str = LATENESS, silent_s: float = p.SILENT_S) -> DataFrame:
     """Time from failover to first retry per cluster; failovers with ``routing_impact`` false do not count."""
-    events = ops_events.where(F.col("event").isin("FAILOVER", "RETRY"))
+    # Rows without an event move the watermark; the machine passes over them.
+    events = ops_events.where(F.col("event").isin("FAILOVER", "RETRY") | F.col("event").isNull())
     if "routing_impact" in ops_events.columns:
-        events = events.where((F.col("event") == "RETRY") | F.col("routing_impact"))
-    rows = events.select("cluster_id", "ts", "seq", "event", "node")
-    return p.keyed(rows, ["cluster_id"], p.RtoProcessor())
+        events = events.where(~F.col("event").eqNullSafe("FAILOVER") | F.col("routing_impact"))
+    return p.ordered(events, ["cluster_id"], ["seq", "event", "node"], p.RtoProcessor(silent_s), lateness)
 
 
-def stream_job_state(job_events: DataFrame) -> DataFrame:
+def stream_job_state(job_events: DataFrame, lateness: str = LATENESS, silent_s: float = p.SILENT_S) -> DataFrame:
     """Newest status per job; later rows of a job supersede earlier ones."""
-    rows = job_events.select("job_id", "ts", "seq", "ray_status")
-    return p.keyed(rows, ["job_id"], p.JobStateProcessor())
+    return p.ordered(job_events, ["job_id"], ["seq", "ray_status"], p.JobStateProcessor(silent_s), lateness)
 
 
 def stream_transcripts(chunks: DataFrame, timeout_s: float = 600.0, lateness: str = LATENESS) -> DataFrame:

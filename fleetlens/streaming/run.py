@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetlens.sources.workdir import fresh_dir
 
@@ -21,6 +22,10 @@ STATEFUL = {
 
 SHUFFLE = "spark.sql.shuffle.partitions"
 
+# The event time of the closing mark; rows at or after it are not data.
+CLOSING = "9999-01-01 00:00:00"
+CLOSING_US = 253370764800 * 1_000_000
+
 
 def state_partitions(spark: SparkSession) -> int:
     """State partitions: the session's shuffle width, or the cores of a local session.
@@ -58,15 +63,9 @@ def parquet_stream(spark: SparkSession, path: str, files_per_trigger: int | None
     return reader.parquet(path[:-1] + f"[{path[-1]}]")
 
 
-def run_available(stream: DataFrame, label: str) -> DataFrame:
-    """Process what is available now, append the output to a table and read it back.
-
-    State stays in RocksDB and both the checkpoint and the table in the shared work
-    folder, so a lost executor resumes from there.
-    """
-    spark = stream.sparkSession
-    out, marks = fresh_dir(spark, label), fresh_dir(spark, f"{label}-checkpoint")
-    with stateful_settings(spark):
+def _append(stream: DataFrame, out: str, marks: str) -> None:
+    """Process what is available now and append it to the table ``out``."""
+    with stateful_settings(stream.sparkSession):
         query = (
             stream.writeStream.format("parquet")
             .outputMode("append")
@@ -76,4 +75,38 @@ def run_available(stream: DataFrame, label: str) -> DataFrame:
             .start()
         )
         query.awaitTermination()
+
+
+def run_available(stream: DataFrame, label: str) -> DataFrame:
+    """Process what is available now, append the output to a table and read it back.
+
+    State stays in RocksDB and both the checkpoint and the table in the shared work
+    folder, so a lost executor resumes from there.
+    """
+    spark = stream.sparkSession
+    out = fresh_dir(spark, label)
+    _append(stream, out, fresh_dir(spark, f"{label}-checkpoint"))
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def run_to_end(
+    source: DataFrame, query: Callable[[DataFrame], DataFrame], label: str, checkpoint: str | None = None
+) -> DataFrame:
+    """Process all of a stream that has ended, open windows and waiting rows included, and read the output.
+
+    A watermark stays behind the newest row, so the last windows, held-back rows and timers of a finished stream never
+    come out by themselves. Here ``source`` is read together with a folder of closing marks. All data is processed first; then
+    one mark, a row with nothing but an event time far ahead, moves the watermark beyond all data in
+    a second run of the same query from its checkpoint. ``query`` must let rows of nulls reach its watermark.
+    """
+    spark = source.sparkSession
+    out, folder = fresh_dir(spark, label), fresh_dir(spark, f"{label}-closing")
+    checkpoint = checkpoint or fresh_dir(spark, f"{label}-checkpoint")
+    mark = [F.lit(CLOSING).cast("timestamp").cast(f.dataType).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in source.schema]
+    marks = spark.range(1).select(*mark)
+    marks.limit(0).write.parquet(folder)
+    stream = query(source.unionByName(spark.readStream.schema(source.schema).parquet(folder)))
+    _append(stream, out, checkpoint)
+    marks.coalesce(1).write.mode("append").parquet(folder)
+    _append(stream, out, checkpoint)
     return spark.read.schema(stream.schema).parquet(out)

@@ -71,23 +71,25 @@ def test_runs_across_chunks_match_a_plain_loop(spark, seed, chunk_s):
 
 @pytest.mark.parametrize("chunk_s", [7, 60, 100000])
 def test_alert_hold_matches_a_plain_loop(spark, chunk_s):
+    """A run fires at its start plus the hold unless another status comes before; the last run of a node does."""
     rng = random.Random(chunk_s)
     data, want = [], []
     for node in "abc":
-        since, fired = None, False
+        since = None
         for i in range(150):
-            value = 0.0 if rng.random() < 0.8 else 1.0
+            value = rng.choice([0.0, 0.0, 0.0, 0.0, 1.0])
             data.append((0, node, i, at(i * 7), value))
-            if value:
-                since, fired = None, False
-                continue
-            since = i if since is None else since
-            if not fired and (i - since) * 7 >= 30:
-                fired = True
-                want.append((node, at(since * 7), at(i * 7)))
+            if value and since is not None and (i - since) * 7 >= 30:
+                want.append((node, at(since * 7), at(since * 7 + 30)))
+            since = None if value else i if since is None else since
+        if since is not None:
+            want.append((node, at(since * 7), at(since * 7 + 30)))
+    data.append((0, "a", 999, at(20), None))
     df = spark.createDataFrame(data, "cluster_id int, node string, seq int, ts timestamp, value double")
     got = sorted((r["node"], r["zero_since"], r["firing_ts"]) for r in inc.alert_hold(df, chunk_s=chunk_s).collect())
     assert got == sorted(want)
+    seen = [r["firing_ts"] for r in inc.alert_hold(df, chunk_s=chunk_s, until=at(500)).collect()]
+    assert sorted(seen) == sorted(w[2] for w in want if w[2] <= at(500))
 
 
 def test_rto_uses_the_latest_failover_once(spark):

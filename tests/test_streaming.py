@@ -1,4 +1,4 @@
-"""Streams run over several micro-batches, compared with the batch operators."""
+"""Streams run over several micro-batches, in and out of order, compared with the batch operators."""
 
 import datetime as dt
 import json
@@ -14,15 +14,21 @@ from fleetlens.operators.admission import rate_limit_labels
 from fleetlens.operators.batch import latest_job_state
 from fleetlens.operators.transcripts import sse_transcripts
 from fleetlens.streaming import queries as sq
-from fleetlens.streaming.run import parquet_stream, run_available
+from fleetlens.streaming.run import parquet_stream, run_available, run_to_end
 
 
 def at(seconds):
     return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=seconds)
 
 
-def files(spark, path, data, schema, parts=4):
-    """Rows written as consecutive files, each a micro-batch of its own."""
+LATE_S = 590  # within the streams' lateness of ten minutes
+
+
+def files(spark, path, data, schema, parts=4, ts=None, seed=0):
+    """Rows written as consecutive files, each a micro-batch of its own; with ``ts`` (their time's place) out of order."""
+    if ts is not None:
+        rng = random.Random(seed)
+        data = sorted(data, key=lambda d: d[ts] + dt.timedelta(seconds=rng.random() * LATE_S))
     size = -(-len(data) // parts)
     for p in range(parts):
         rows = data[p * size : (p + 1) * size]
@@ -31,111 +37,148 @@ def files(spark, path, data, schema, parts=4):
     return parquet_stream(spark, path, files_per_trigger=1), spark.read.parquet(path)
 
 
-PROBES = "cluster_id int, node int, ts timestamp, seq bigint, healthy boolean"
+def state_rows(spark, checkpoint):
+    names = ("waiting", "machine", "clock")
+    read = spark.read.format("statestore").option("path", checkpoint)
+    timers = spark.read.format("statestore").option("path", checkpoint).option("readRegisteredTimers", True)
+    return [read.option("stateVarName", n).load().count() for n in names] + [timers.load().count()]
 
 
-@pytest.fixture
-def probes(spark, tmp_path):
-    rng = random.Random(3)
-    data = [(0, rng.randrange(3), at(i * 5), i, rng.random() < 0.4) for i in range(240)]
-    return files(spark, str(tmp_path / "p"), data, PROBES)
+PROBES = "cluster_id int, node int, ts timestamp, seq bigint, healthy boolean"
 
 
-def test_outages_and_recoveries(probes, as_rows):
-    stream, table = probes
-    got = run_available(sq.stream_outages(stream), "t")
-    want = inc.probe_outages(table).select("node", F.lit("FAILOVER").alias("event"), F.col("outage_ts").alias("ts"), F.lit(None).cast("double").alias("d"))
-    back = inc.downtime(table).select("node", F.lit("RESPAWN"), "recovered_ts", "downtime_s")
-    assert as_rows(got, "node", "event", "ts", "downtime_s") == as_rows(want.union(back))
-    assert got.count() > 10
+@pytest.fixture(params=["in order", "shuffled"])
+def shuffled(request):
+    return request.param == "shuffled"
 
 
-def test_traffic_per_minute_once_closed(spark, tmp_path, as_rows):
+def test_outages_and_recoveries(spark, tmp_path, shuffled, as_rows):
+    rng = random.Random(3)
+    data = [(i % 2, rng.randrange(3), at(i * 8), i, rng.random() < 0.4) for i in range(360)]
+    stream, table = files(spark, str(tmp_path / "p"), data, PROBES, ts=2 if shuffled else None)
+    checkpoint = str(tmp_path / "checkpoint")
+    got = run_to_end(stream, sq.stream_outages, "t", checkpoint)
+    want = inc.probe_outages(table).select("cluster_id", "node", F.lit("FAILOVER").alias("event"), F.col("outage_ts").alias("ts"), F.lit(None).cast("double").alias("d"))
+    back = inc.downtime(table).select("cluster_id", "node", F.lit("RESPAWN"), "recovered_ts", "downtime_s")
+    assert got.where("late").isEmpty()
+    assert as_rows(got.where("event <> 'SILENT'"), "cluster_id", "node", "event", "ts", "downtime_s") == as_rows(want.union(back))
+    assert got.count() > 10
+    # Nothing is left of any key, and outages still open at the end have a last event.
+    assert state_rows(spark, checkpoint) == [0, 0, 0, 0]
+    assert got.where("event = 'SILENT'").count() == want.count() - back.count()
+
+
+def test_rows_behind_the_watermark_are_flagged(spark, tmp_path, as_rows):
+    """The third file brings two rows from before the lateness: they change nothing and come out flagged."""
+    healthy = lambda i: i % 50 != 0
+    data = [(0, 1, at(i * 30), i, i % 9 < 5) for i in range(90)]
+    late = [(0, 1, at(61), 900, False), (0, 2, at(62), 901, healthy(50))]
+    data = data[:60] + late + data[60:]
+    stream, _ = files(spark, str(tmp_path / "p"), data, PROBES, 4)
+    got = run_to_end(stream, sq.stream_outages, "t")
+    assert sorted((r.node, r.ts, r.seq, r.event) for r in got.where("late").collect()) == [(1, at(61), 900, None), (2, at(62), 901, None)]
+    table = spark.createDataFrame([d for d in data if d[3] < 900], PROBES)
+    assert as_rows(got.where("event = 'FAILOVER'"), "ts", "seq") == as_rows(inc.probe_outages(table), "outage_ts", "seq")
+
+
+def test_silent_keys_are_closed(spark, tmp_path):
+    """Node 1 goes silent in an outage, node 2 keeps the clock going; node 1 starts anew when it is back."""
+    down = [(0, 1, at(i), i, False) for i in range(4)]
+    clock = [(0, 2, at(i * 200), 100 + i, True) for i in range(60)]
+    back = [(0, 1, at(9000), 300, True), (0, 1, at(9001), 301, False)]
+    data = sorted(down + clock + back, key=lambda d: d[2])
+    stream, _ = files(spark, str(tmp_path / "p"), data, PROBES, 6)
+    got = run_to_end(stream, lambda s: sq.stream_outages(s, silent_s=1000.0), "t").orderBy("ts").collect()
+    assert [(r.event, r.node, r.ts, r.downtime_s) for r in got] == [("FAILOVER", 1, at(2), None), ("SILENT", 1, at(1003), 1001.0)]
+
+
+def test_rows_without_a_time_are_late(spark, tmp_path):
+    data = [(0, 1, at(0), 1, True), (0, 1, None, 2, False), (None, None, at(1), 3, True)]
+    stream, _ = files(spark, str(tmp_path / "p"), data, PROBES, 1)
+    got = run_to_end(stream, sq.stream_outages, "t").collect()
+    assert [(r.seq, r.ts, r.late) for r in got] == [(2, None, True)]
+
+
+def test_traffic_per_minute_to_the_last_minute(spark, tmp_path, shuffled, as_rows):
     rng = random.Random(5)
     data = [(at(i * 20), rng.choice([200, 404, 503])) for i in range(200)]
-    stream, table = files(spark, str(tmp_path / "r"), data, "ts timestamp, status int")
+    stream, table = files(spark, str(tmp_path / "r"), data, "ts timestamp, status int", ts=0 if shuffled else None)
+    cols = ("window_start", "requests", "errors_4xx", "errors_5xx")
+    assert as_rows(run_to_end(stream, sq.stream_traffic, "t"), *cols) == as_rows(slo.traffic_by_minute(table), *cols)
+    # Without the closing mark the minutes within the lateness stay open.
     closed = at(199 * 20) - dt.timedelta(minutes=10)
     want = slo.traffic_by_minute(table).where(F.col("window_start") + F.expr("INTERVAL 1 MINUTE") <= F.lit(closed))
-    cols = ("window_start", "requests", "errors_4xx", "errors_5xx")
     assert as_rows(run_available(sq.stream_traffic(stream), "t"), *cols) == as_rows(want, *cols)
 
 
-def test_sli_flags_match_batch_alarms(spark, tmp_path, as_rows):
+def test_sli_flags_match_batch_alarms(spark, tmp_path, shuffled, as_rows):
     data = [(0, at(i * 30), "availability", 0.0 if i % 37 == 0 else 1.0) for i in range(200)]
-    stream, table = files(spark, str(tmp_path / "a"), data, "cluster_id int, ts timestamp, metric string, value double")
-    closed = at(199 * 30) - dt.timedelta(minutes=10)
-    want = slo.alarm_eval(table).where(F.col("window_start") + F.expr("INTERVAL 5 MINUTES") <= F.lit(closed))
-    cols = ("alarm", "window_start", "breach", "mean")
-    assert as_rows(run_available(sq.stream_sli(stream, slo.ALARM_RULES[0]), "t"), *cols) == as_rows(want, *cols)
-
-
-def held(data, hold, watermark):
-    """Runs of zeros that last the hold, a status holding until the next sample."""
-    out = []
-    for node in {d[1] for d in data}:
-        since, fired = None, False
-        for _, n, ts, _, value in data:
-            if n != node:
-                continue
-            if since is not None and not fired and (ts - since).total_seconds() >= hold:
-                out.append((node, since, since + dt.timedelta(seconds=hold)))
-                fired = True
-            if value:
-                since, fired = None, False
-            elif since is None:
-                since = ts
-        if since is not None and not fired and since + dt.timedelta(seconds=hold) <= watermark:
-            out.append((node, since, since + dt.timedelta(seconds=hold)))
-    return sorted(out, key=repr)
+    data += [(0, at(i * 50), "latency_ms", 9999.0) for i in range(100)] + [(0, at(7), None, 0.0)]
+    data.sort(key=lambda d: d[1])
+    stream, table = files(spark, str(tmp_path / "a"), data, "cluster_id int, ts timestamp, metric string, value double", ts=1 if shuffled else None)
+    want = slo.alarm_eval(table, slo.ALARM_RULES[:1])
+    cols = ("cluster_id", "alarm", "metric", "window_start", "breach", "mean")
+    assert as_rows(run_to_end(stream, lambda s: sq.stream_sli(s, slo.ALARM_RULES[0]), "t"), *cols) == as_rows(want, *cols)
 
 
 @pytest.mark.parametrize("parts", [1, 5])
-def test_alert_hold_is_independent_of_batches(spark, tmp_path, as_rows, parts):
+def test_alert_hold_has_one_rule(spark, tmp_path, shuffled, as_rows, parts):
     rng = random.Random(7)
     data = [(0, rng.randrange(4), at(i * 6), i, float(rng.random() < 0.3)) for i in range(200)]
     data += [(0, 9, at(300), 900, 0.0)]
     data.sort(key=lambda d: d[2])
     schema = "cluster_id int, node int, ts timestamp, seq bigint, value double"
-    stream, _ = files(spark, str(tmp_path / "s"), data, schema, parts)
-    got = as_rows(run_available(sq.stream_alert_hold(stream), "t"), "node", "zero_since", "firing_ts")
-    assert got == held(data, 30, at(199 * 6) - dt.timedelta(minutes=10))
-    assert (9, at(300), at(330)) in got
+    stream, table = files(spark, str(tmp_path / "s"), data, schema, parts, ts=2 if shuffled else None)
+    cols = ("cluster_id", "node", "zero_since", "firing_ts")
+    got = as_rows(run_to_end(stream, sq.stream_alert_hold, "t"), *cols)
+    assert got == as_rows(inc.alert_hold(table), *cols)
+    assert (0, 9, at(300), at(330)) in got and len(got) > 5
 
 
-def test_rate_limit_labels_match_the_batch_form(spark, tmp_path, as_rows):
+def test_rate_limit_labels_match_the_batch_form(spark, tmp_path, shuffled, as_rows):
     rng = random.Random(9)
     data, t = [], 0.0
     for i in range(400):
         t += rng.choice([0.0, 0.2, 0.5, 3.0])
         data.append((rng.choice([1, 1, 1, 2]), i, at(t)))
-    stream, table = files(spark, str(tmp_path / "q"), data, "api_key_id bigint, request_id bigint, ts timestamp")
-    got = as_rows(run_available(sq.stream_rate_limit(stream), "t"), "request_id", "accepted")
+    stream, table = files(spark, str(tmp_path / "q"), data, "api_key_id bigint, request_id bigint, ts timestamp", ts=2 if shuffled else None)
+    checkpoint = str(tmp_path / "checkpoint")
+    got = as_rows(run_to_end(stream, sq.stream_rate_limit, "t", checkpoint), "request_id", "accepted")
     assert got == as_rows(rate_limit_labels(table), "request_id", "accepted")
     assert not all(ok for _, ok in got)
+    assert state_rows(spark, checkpoint) == [0, 0, 0, 0]
 
 
-def test_rto_across_batches(spark, tmp_path, as_rows):
+def test_rto_across_batches(spark, tmp_path, shuffled, as_rows):
     rng = random.Random(11)
-    data = [(0, at(i * 3), i, rng.choice(["FAILOVER", "RETRY", "RETRY"]), rng.randrange(4)) for i in range(120)]
-    stream, table = files(spark, str(tmp_path / "o"), data, "cluster_id int, ts timestamp, seq bigint, event string, node int", 6)
-    cols = ("ts", "node", "failed_node", "elapsed_seconds")
-    assert as_rows(run_available(sq.stream_rto(stream), "t"), *cols) == as_rows(inc.failover_rto(table), *cols)
-
-
-def test_sla_state_keeps_the_last_samples(spark, tmp_path):
-    data = [(0, 1, at(i), i, float(i)) for i in range(100)]
-    stream, _ = files(spark, str(tmp_path / "l"), data, "cluster_id int, node int, ts timestamp, seq bigint, latency_ms double")
-    got = run_available(sq.stream_sla_state(stream, target_ms=95.0, size=10), "t").orderBy("seq").collect()
-    assert [r["samples"] for r in got] == [10] * 4
-    assert [r["latency_p95_ms"] for r in got] == pytest.approx([23.55, 48.55, 73.55, 98.55])
-    assert [r["sla_ok"] for r in got] == [True, True, True, False]
+    data = [(i % 3, at(i * 9), i, rng.choice(["FAILOVER", "RETRY", "RETRY", "RESPAWN"]), rng.randrange(4), rng.random() < 0.8) for i in range(200)]
+    schema = "cluster_id int, ts timestamp, seq bigint, event string, node int, routing_impact boolean"
+    stream, table = files(spark, str(tmp_path / "o"), data, schema, 5, ts=1 if shuffled else None)
+    checkpoint = str(tmp_path / "checkpoint")
+    cols = ("cluster_id", "ts", "node", "failed_node", "elapsed_seconds")
+    got = run_to_end(stream, sq.stream_rto, "t", checkpoint)
+    assert as_rows(got.where("node is not null"), *cols) == as_rows(inc.failover_rto(table), *cols)
+    assert state_rows(spark, checkpoint) == [0, 0, 0, 0]
+
+
+def test_sla_state_keeps_the_last_successes(spark, tmp_path, shuffled):
+    data = [(0, 1, at(i * 20), i, float(i), i % 10 != 0) for i in range(100)] + [(0, 2, at(5), 900, None, True), (0, 3, at(6), 901, 7.0, False)]
+    data.sort(key=lambda d: d[2])
+    schema = "cluster_id int, node int, ts timestamp, seq bigint, latency_ms double, success boolean"
+    stream, _ = files(spark, str(tmp_path / "l"), data, schema, ts=2 if shuffled else None)
+    got = run_to_end(stream, lambda s: sq.stream_sla_state(s, target_ms=95.0, size=10), "t").orderBy("node", "seq").collect()
+    last = [r for r in got if r.node == 1][-1]
+    kept = [x for x in range(100) if x % 10][-10:]
+    assert (last.seq, last.samples, last.sla_ok) == (99, 10, False)
+    assert last.latency_p95_ms == pytest.approx(kept[8] + 0.55 * (kept[9] - kept[8]))
+    assert [(r.node, r.samples, r.latency_p95_ms, r.sla_ok) for r in got if r.node != 1] == [(2, 0, 0.0, True)]
 
 
-def test_job_state_versions_end_at_the_newest(spark, tmp_path, as_rows):
+def test_job_state_versions_end_at_the_newest(spark, tmp_path, shuffled, as_rows):
     rng = random.Random(13)
-    data = [(rng.randrange(6), at(i), i, rng.choice(["PENDING", "RUNNING", "SUCCEEDED"])) for i in range(90)]
-    stream, table = files(spark, str(tmp_path / "j"), data, "job_id bigint, ts timestamp, seq bigint, ray_status string")
-    versions = run_available(sq.stream_job_state(stream), "t")
+    data = [(rng.randrange(6), at(i * 15), i, rng.choice(["PENDING", "RUNNING", "SUCCEEDED"])) for i in range(90)]
+    stream, table = files(spark, str(tmp_path / "j"), data, "job_id bigint, ts timestamp, seq bigint, ray_status string", ts=1 if shuffled else None)
+    versions = run_to_end(stream, sq.stream_job_state, "t")
     last = versions.groupBy("job_id").agg(F.max_by("status", "seq").alias("status"))
     assert as_rows(last, "job_id", "status") == as_rows(latest_job_state(table), "job_id", "status")
 
