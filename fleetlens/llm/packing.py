@@ -27,54 +27,116 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.runs import _spans
 from fleetlens.llm.storage import stored
-from fleetlens.llm.text import SPACE, once, slices, text_buffer, widened, word_spans
+from fleetlens.llm.text import SPACE, lower_ascii, once, slices, text_buffer, widened, word_spans
 
 LIMIT = 4096  # tokens of a sequence
 END = 1  # the id after each document
 BINS = 256  # sequences of a shard, about
 FAN = 16  # shards that become one in the next round
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 CACHED_BYTES = 64
+CLOSES = "</w>"  # fixed: what these vocabularies write after the last piece of a word
+AT_ONCE = 500  # words
+ENCODED_AT_ONCE = 4 << 20  # bytes of text; the more, the fewer different words per word
 
 
 class WordIds:
-    """Ids of words by a tokenizer file, each word encoded on its own."""
+    """Ids of words by a tokenizer file, each word encoded on its own.
+
+    The cache has two generations: words used since the last turn of generations, and the ones before. Words in use stay.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece of a word
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(CLOSES)]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def of(self, words: list[bytes]) -> list[bytes]:
         """Packed little-endian 32-bit ids of distinct words."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = [w for w in words if w not in self.cache]
+        young, old = self.young, self.old
+        if len(young) > CACHE_WORDS:
+            self.old = old = young
+            self.young = young = {}
+        new = []
+        for word in words:
+            if word not in young:
+                known = old.get(word)
+                if known is None:
+                    new.append(word)
+                else:
+                    young[word] = known
         long = {}
-        found = self.library.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        packed = np.fromiter((i for word in ids for i in word), "<u4").tobytes()
-        at = 0
-        for word, own in zip(new, ids):
-            (self.cache if len(word) <= CACHED_BYTES else long)[word] = packed[at : at + 4 * len(own)]
-            at += 4 * len(own)
-        return [long[w] if w in long else self.cache[w] for w in words]
+        for word, packed in zip(new, self._encode([w.decode("utf-8") for w in new])):
+            (young if len(word) <= CACHED_BYTES else long)[word] = packed
+        if long:
+            return [long[w] if w in long else young[w] for w in words]
+        return list(map(young.__getitem__, words))
+
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of the words. Words of letters alone go to the library many at a time: each is one piece, which one id ends."""
+        out: list[bytes] = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        groups = [plain[i : i + AT_ONCE] for i in range(0, len(plain), AT_ONCE)]
+        alone = [i for i, w in enumerate(words) if not w.isalpha()]
+        found = self.library.encode_batch_fast([" ".join([words[i] for i in g]) for g in groups], add_special_tokens=False)
+        for group, encoded in zip(groups, found):
+            ids = np.array(encoded.ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(group):  # letters to Python, but not to the library
+                alone += group
+                continue
+            body, edges = ids.tobytes(), (4 * ends).tolist()
+            for i, a, b in zip(group, [0, *edges], edges):
+                out[i] = body[a:b]
+        for i, encoded in zip(alone, self.library.encode_batch_fast([words[i] for i in alone], add_special_tokens=False)):
+            out[i] = np.array(encoded.ids, "<u4").tobytes()
+        return out
 
 
 def word_ids(path: str) -> WordIds:
     return once(f"word ids {path}", lambda: WordIds(path))
 
 
-def encoded(texts: pa.Array, ids: WordIds, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, each followed by the end id, and the bounds of the texts among them."""
+def _normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, starts and ends of words that have the ids of the words of the texts, and the bounds of the texts among them.
+
+    There are fewer different ones: words of ASCII alone are put in lower case, as the tokenizer would, and a mark
+    after a letter, which it would cut off, is a word. (A bar may belong to a special token, which only
+    counts as it is written; beside other characters a capital may not be put in lower case alone.)
+    """
     data, offsets = text_buffer(texts)
     starts, ends, first = word_spans(data, offsets)
+    odd = np.concatenate(([0], np.cumsum((data >= 0x80) | (data == ord("|")), dtype=np.int32)))
+    lower = lower_ascii(data)
+    kept = np.flatnonzero(odd[ends] != odd[starts])
+    as_is = _spans(starts[kept], ends[kept])[0]
+    lower[as_is] = data[as_is]
+    marks, letters = np.zeros(256, bool), np.zeros(256, bool)
+    marks[list(b".,;:!?")] = True
+    letters[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+    cut = np.flatnonzero((ends - starts > 1) & marks[lower[ends - 1]] & letters[lower[ends - 2]])
+    before = np.concatenate(([0], np.cumsum(np.bincount(cut, minlength=len(starts)))))[first]
+    at = ends[cut] - 1
+    starts, ends = np.insert(starts, cut + 1, at), np.insert(ends, cut, at)
+    return lower, starts, ends, first + before
+
+
+def encoded(texts: pa.Array, ids: WordIds, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, each followed by the end id, and the bounds of the texts among them."""
+    data, starts, ends, first = _normal_words(texts)
     bounds = np.concatenate(([0], np.cumsum(ends - starts)))
     body = pa.py_buffer(data[~SPACE[data]].tobytes())
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), body]).dictionary_encode()
-    packed = ids.of(words.dictionary.to_pylist())
-    size = np.array([len(p) // 4 for p in packed], np.int64)
+    different, edges = text_buffer(words.dictionary.cast(pa.large_binary()).view(pa.large_string()))
+    body, edges = different.tobytes(), edges.tolist()
+    packed = ids.of([body[a:b] for a, b in zip(edges, edges[1:])])
+    size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
     begin = np.cumsum(size) - size
     which = words.indices.to_numpy()
     flat = np.frombuffer(b"".join(packed), "<u4")[_spans(begin[which], begin[which] + size[which])[0]]
@@ -96,7 +158,7 @@ def pieces(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", ENCODED_AT_ONCE):
                 ids, bounds = encoded(part.column("__text"), word_ids(path), end)
                 count = -(-np.diff(bounds) // limit)
                 piece, which = _spans(np.zeros(len(count), np.int64), count)
