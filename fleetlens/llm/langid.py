@@ -4,9 +4,9 @@ Each language has a zstandard raw-content dictionary made of training texts. A t
 lower case and with one space for whatever is no letter, is cut into chunks, every chunk is compressed with every dictionary, and the language with the fewest bytes in
 all wins. The margin to the second is the confidence; narrow margins are marked as rejected.
 
-Fitting is bounded: ``DOCS_PER_LANG`` texts for each of at most ``MAX_LANGS`` languages, each giving
-up to ``SAMPLE_CHARS`` characters, so dictionaries take ``DICTIONARY_BYTES`` each at most. Classifying
-reads every whole text, without a shuffle.
+Fitting is bounded: ``DOCS_PER_LANG`` texts for each language, each giving up to ``SAMPLE_CHARS``
+characters from a hashed place in it, so dictionaries take ``DICTIONARY_BYTES`` each at most. Every language with labelled rows is
+learned. Classifying reads every whole text, without a shuffle; its time grows with the number of languages.
 """
 
 from __future__ import annotations
@@ -25,13 +25,12 @@ FOLDS, HELD_OUT = 4, 2
 DOCS_PER_LANG = 96
 SAMPLE_CHARS = 1500
 DICTIONARY_BYTES = 112 << 10
-MAX_LANGS = 200
 CHUNK = 4096
 LEVEL, MIN_MATCH = 9, 4
 MIN_MARGIN = 0.02
 SHARPNESS = 0.25
 UNDETERMINED = "und"
-LETTER = r"[^\W\d_]"
+LETTER = r"\p{L}"  # no numerals such as ½, which are word characters
 BETWEEN_LETTERS = r"[\W\d_]+"
 
 
@@ -52,20 +51,21 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG) -> dict[str, bytes]:
     """Dictionaries by language, from texts with a letter and a ``lang`` outside the held-out fold.
 
-    Rows are chosen by a hash of id and text, so the same rows give the same dictionaries. Of more
-    than ``MAX_LANGS`` languages those with the most rows are learned.
+    Rows, and the place of the excerpt of each, are chosen by a hash of id and text, so the same rows give the
+    same dictionaries.
     """
     text = F.col("text").cast("string")
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & text.rlike(r"\p{L}")).select(
+    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & text.rlike(LETTER)).select(
         F.col("lang").cast("string").alias("lang"), text.alias("text"), F.xxhash64("doc_id", text).alias("place")
     )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return {}
     space = 1 << 30
     shares = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, int(space * min(1.0, 4 * docs_per_lang / r["count"])))])
     few = rows.where(F.pmod("place", F.lit(space)) < F.element_at(shares, F.col("lang")))
-    few = few.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "place").dropDuplicates(["lang", "text"])
+    begin = F.pmod(F.xxhash64("place"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    few = few.select("lang", F.substring(F.col("text"), begin, F.lit(SAMPLE_CHARS)).alias("text"), "place").dropDuplicates(["lang", "text"])
     order = Window.partitionBy("lang").orderBy("place", "text")  # about 4 * docs_per_lang rows for each language
     best = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_lang).collect()
     out: dict[str, bytes] = {}
@@ -78,8 +78,10 @@ class Classifier:
     """Compressors by language."""
 
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
+        import regex
         import zstandard
 
+        self.letter = regex.compile(LETTER).search
         self.langs = sorted(dictionaries)
         self.compressors = []
         for lang in self.langs:
@@ -95,7 +97,7 @@ class Classifier:
 
     def classify(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and margin: how much larger the second-smallest result is."""
-        if text is None or not self.langs or not re.search(LETTER, text):
+        if text is None or not self.langs or not self.letter(text):
             return UNDETERMINED, 0.0, 0.0
         sizes = self.sizes(plain(text))
         order = np.argsort(sizes, kind="stable")

@@ -31,7 +31,6 @@ REPEATED_PERCENT = 30
 CLASSES = (r"\p{Ll}+", r"\p{Lu}", r"[^\x00-\x7F\p{Ll}\p{Lu}\p{N}]", r"\p{N}")
 N_CLASSES = len(CLASSES) + 2
 COMMON = 400
-MAX_LANGS = 64
 MIN_LANG_DOCS = 20
 ALL = "*"
 MIN_CHARS_COMPARED, MIN_WORDS_COMPARED = 100, 50
@@ -136,12 +135,13 @@ def class_counts(text: Column) -> list[Column]:
 def common_words(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> tuple[list[str], dict[str, dict[str, float]]]:
     """The languages with a reference of their own, and for each and for ``*`` the shares of its common words.
 
-    Counted over all words of all documents. Bounded: ``MAX_LANGS`` + 1 times ``COMMON`` words. Null languages count for ``*`` only.
+    Counted over all words of all documents. Every language with ``MIN_LANG_DOCS`` documents has a reference of at most
+    ``COMMON`` words, so their size grows with the number of languages only. Null languages count for ``*`` only.
     """
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
     top = rows.where(F.col("lang").isNotNull() & (F.col("lang") != ALL)).groupBy("lang").agg(F.count("*").alias("docs"))
-    top = top.orderBy(F.desc("docs"), "lang").limit(MAX_LANGS).where(F.col("docs") >= MIN_LANG_DOCS)
-    langs = [r.lang for r in top.collect()]
+    top = top.where(F.col("docs") >= MIN_LANG_DOCS)
+    langs = sorted(r.lang for r in top.collect())
     counted = rows.select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang", "word").count()
     counted = stored(counted, "word-counts")
     sums = counted.where(F.col("lang").isin(langs)).groupBy(F.col("lang").alias("ref")).agg(F.sum("count").alias("n"))
@@ -157,38 +157,6 @@ def common_words(docs: DataFrame, *, text: str = "text", lang: str = "lang") ->
     return langs, shares
 
 
-def references(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``(ref, classes, common)``: for each language the shares of character classes and of its common words.
-
-    Bounded: ``MAX_LANGS`` + 1 rows of ``COMMON`` words at most. Null languages count for ``*`` only.
-    """
-    rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    names = [f"c{i}" for i in range(len(CLASSES) + 1)]
-    counted = rows.select("lang", F.explode(words(F.col("text"))).alias("word")).groupBy("lang", "word").count()
-    counted = stored(counted, "word-counts")
-    sums = rows.select("lang", *[c.alias(n) for c, n in zip(class_counts(F.col("text")), names)])
-    by_lang = sums.groupBy("lang").agg(F.count("*").alias("docs"), *[F.sum(n).alias(n) for n in names])
-    n_words = counted.groupBy("lang").agg(F.sum("count").alias("n"))
-    by_lang = by_lang.alias("a").join(n_words.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")), "left").select("a.*", F.coalesce("b.n", F.lit(0)).alias("n"))
-    by_lang = stored(by_lang, "languages")
-    top = by_lang.where("lang is not null").orderBy(F.desc("docs"), "lang").limit(MAX_LANGS).where(F.col("docs") >= MIN_LANG_DOCS)
-    every = by_lang.agg(*[F.sum(n).alias(n) for n in ("n", *names)]).select(F.lit(ALL).alias("ref"), "n", *names)
-    totals = top.select(F.col("lang").alias("ref"), "n", *names).unionAll(every).collect()  # bounded by MAX_LANGS
-    shares = {r.ref: r.n or 0 for r in totals}
-    least = F.create_map(*[F.lit(x) for ref, n in shares.items() for x in (ref, n / COMMON)])
-    own = counted.where(F.col("count") >= F.element_at(least, F.col("lang"))).select(F.col("lang").alias("ref"), "word", "count")
-    pooled = counted.groupBy("word").agg(F.sum("count").alias("count")).where(F.col("count") >= F.element_at(least, F.lit(ALL)))
-    common: dict[str, dict[str, float]] = {ref: {} for ref in shares}
-    for r in own.unionAll(pooled.select(F.lit(ALL).alias("ref"), "word", "count")).collect():  # at most COMMON for each
-        if r.ref != ALL or r.word not in common[ALL]:
-            common[r.ref][r.word] = r["count"] / shares[r.ref]
-    rows_out = []
-    for r in totals:
-        size = sum(r[n] or 0 for n in names)
-        rows_out.append((r.ref, [(r[n] or 0) / size if size else 0.0 for n in names], common[r.ref]))
-    return docs.sparkSession.createDataFrame(rows_out, "ref string, classes array<double>, common map<string,double>")
-
-
 def _part(p: Column, q: Column) -> Column:
     """The share of one cell in the Jensen-Shannon divergence of p and q."""
     mean = (p + q) / 2
@@ -251,7 +219,7 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFra
         [(r, s, float(sum(s.values()))) for r, s in shares.items()], "__ref string, __common map<string,double>, __known double"
     )
     rows = rows.select("*", ref.alias("__ref"), F.sort_array(kept_words).alias("__kept")).drop("__words")
-    rows = rows.join(F.broadcast(usual), "__ref", "left")  # bounded by MAX_LANGS
+    rows = rows.join(F.broadcast(usual), "__ref", "left")  # one row for each language
     rows = rows.withColumn("__cells", common_cells(F.col("__kept"), F.col("n_words"), F.col("__common")))
     odd = F.when(F.col("n_words") >= MIN_WORDS_COMPARED, word_distance(F.col("__cells"), F.col("__known")))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -265,7 +233,7 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFra
     every = sums.agg(F.sum("size").alias("size"), *part).select(F.lit(ALL).alias("lang"), "size", *[f"c{i}" for i in range(N_CLASSES - 1)])
     sums = sums.where(F.col("lang").isin(langs)).unionAll(every) if langs else every
     means = F.array(*[F.coalesce(F.col(f"c{i}") / F.nullif("size", F.lit(0)), F.lit(0.0)) for i in range(N_CLASSES - 1)])
-    usual = F.broadcast(sums.select(F.col("lang").alias("__ref"), means.alias("__usual")))  # bounded by MAX_LANGS
+    usual = F.broadcast(sums.select(F.col("lang").alias("__ref"), means.alias("__usual")))  # one row for each language
     far = F.when(F.col("__size") >= MIN_CHARS_COMPARED, class_distance(F.col("__classes"), F.col("__size"), F.col("__usual")))
     rows = rows.join(usual, "__ref", "left").select(*columns, *base, base_failed().alias("base_failed"), far.alias("class_distance"), "word_distance")
     fine = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)

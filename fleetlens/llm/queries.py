@@ -189,7 +189,7 @@ def _quality_sql() -> str:
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, {WORDS_SQL} AS words FROM documents),
 f0 AS (SELECT *, len(words) AS n, {counts} FROM d),
 f AS (SELECT *, length(t) - {' - '.join(names[:-1])} AS c{last} FROM f0),
-top AS (SELECT lang FROM f WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {quality.MIN_LANG_DOCS} ORDER BY count(*) DESC, lang LIMIT {quality.MAX_LANGS}),
+top AS (SELECT lang FROM f WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {quality.MIN_LANG_DOCS}),
 u AS (
   SELECT lang AS ref, sum(n) AS n, {size} AS size, {sums} FROM f WHERE lang IN (SELECT lang FROM top) GROUP BY lang
   UNION ALL SELECT '{quality.ALL}', sum(n), {size}, {sums} FROM f
