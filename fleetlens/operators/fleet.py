@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlens.functions.scalars import node_display_name, node_identifiers
+from fleetlens.functions.scalars import iso_time, node_display_name, node_identifiers
 from fleetlens.functions.status import (
     FAILED_STATES,
     WARMING_STATES,
@@ -128,6 +128,7 @@ def _replica_flags(replicas: DataFrame, scope: Sequence[str]) -> DataFrame:
             F.some(state == "RUNNING").alias("__running"),
             F.some(state.isin(*WARMING_STATES)).alias("__warming"),
             F.some(state.isin(*FAILED_STATES)).alias("__failed"),
+            F.array_sort(F.collect_list(F.when(state != "", F.struct("ordinal", state.alias("state"))))).alias("__listed"),
         )
     )
 
@@ -219,7 +220,9 @@ def _view_row(columns: Sequence[str], scope: Sequence[str], joined: bool, usable
         F.coalesce("raw_status", F.lit("unmanaged")).alias("raw_status"),
         F.col("__best.replica_id").alias("serve_replica_id"),
         F.col("__best.state").alias("serve_replica_state"),
+        F.coalesce(F.col("__listed.state"), F.array().cast("array<string>")).alias("replica_states"),
         F.lit(joined).alias("joined"),
+        *([iso_time(F.col("last_check")).alias("last_check_iso")] if "last_check" in columns else []),
         *_telemetry(columns),
         F.coalesce("readiness_ok", F.lit(True)).alias("readiness_ok"),
     ]
@@ -236,7 +239,8 @@ def nodes_view(
     """Live GPU workers with lifecycle, role, preferred replica and router telemetry.
 
     ``router`` carries one row per (scope, node_ip); see :func:`router_by_ip`. Of several
-    live nodes listed under one address the last is shown.
+    live nodes listed under one address the last is shown. ``replica_states`` lists the states of the
+    node's replicas in listing order, and ``last_check_iso`` is the router's last check where it knows the node.
     ``aliases`` maps node_ip, once each, to a display name for nodes named by address.
     """
     scope = list(scope)
@@ -320,15 +324,16 @@ def lifecycle_by_name(
     router: DataFrame,
     *,
     scope: Sequence[str] = SCOPE,
+    scopes: DataFrame | None = None,
 ) -> DataFrame:
     """Lifecycle per configured name over all of its addresses.
 
-    ``router`` gives (scope, name, readiness_ok); the scopes reported are its own.
+    ``router`` gives (scope, name, readiness_ok). Names of a scope without any node are there too: ``scopes`` lists
+    the scopes where ``registry`` does not name them in full.
     """
     scope = list(scope)
     keys = _shared(scope, registry)
-    snapshots = nodes.select(*scope).distinct()
-    named = snapshots.join(registry.select(*keys, "name", "expected_ip", "infer_url"), keys)
+    named = _in_scopes(registry.select(*keys, "name", "expected_ip", "infer_url"), nodes, scope, keys, scopes)
     addresses = named.select(
         *scope,
         "name",
@@ -609,10 +614,8 @@ def stuck_check(router: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
 
 
 def _by_priority(df: DataFrame, scope: Sequence[str], out: str) -> DataFrame:
-    """Position within the scope by priority, then listing name."""
-    return row_index(
-        df, scope, [F.col("priority"), F.col("name")], by_number(F.col("priority"), 64), out
-    )
+    """Position within the scope by priority, then listing name; a scope has no more rows than nodes in one snapshot."""
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*scope).orderBy("priority", "name")).cast("long"))
 
 
 def elect_primaries(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.operators.scan import by_number, int_chunk, row_index
@@ -93,14 +93,14 @@ class Tables:
     def batch_items(self) -> DataFrame:
         """Items in listing order per job; the order keys tie only on equal rows.
 
-        The slices follow the first two order keys, so one huge job still spreads.
+        A job is an order, which has few lines, so a window numbers them.
         """
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
         lines = self.base("lineitem").select(
             "l_orderkey", *order, "l_returnflag", "l_linestatus"
         )
-        slices = by_number(F.col("l_linenumber") * F.lit(2**40) + F.col("l_partkey"), 256)
-        numbered = row_index(lines, ["l_orderkey"], [F.col(c) for c in order], slices, "ordinal")
+        along = Window.partitionBy("l_orderkey").orderBy(*order)
+        numbered = lines.withColumn("ordinal", F.row_number().over(along).cast("long"))
         return numbered.select(
             F.col("l_orderkey").alias("job_id"),
             "ordinal",
@@ -187,6 +187,20 @@ class Tables:
             key.alias("ordinal"),
         )
 
+    @cached_property
+    def up_nodes(self) -> DataFrame:
+        """Nodes of the clusters that report anything; every sixth cluster is down."""
+        return self.nodes.where(F.col("cluster_id") % 6 != 5)
+
+    @cached_property
+    def up_replicas(self) -> DataFrame:
+        return self.replicas.where(F.col("cluster_id") % 6 != 5)
+
+    @cached_property
+    def scopes(self) -> DataFrame:
+        """All configured clusters, those that are down too."""
+        return self.base("customer").select(int_chunk(F.col("c_custkey"), CLUSTER_SIZE).alias("cluster_id")).distinct()
+
     @cached_property
     def router_snapshot(self) -> DataFrame:
         """Router rows of all nodes; those of one market segment have an address that no node reports."""
@@ -400,6 +414,8 @@ VIEW_SQL = {
         CASE WHEN c_nationkey % 7 = 3 THEN 'DEAD' ELSE 'ALIVE' END AS state, ordinal = 0 AS is_head_node,
         CASE c_nationkey % 4 WHEN 0 THEN 'CPU' WHEN 1 THEN 'GPU' WHEN 2 THEN 'AMD_GPU'
              ELSE 'accelerator_type:X' END AS resource_key FROM members""",
+    "up_nodes": "SELECT * FROM nodes WHERE cluster_id % 6 <> 5",
+    "up_replicas": "SELECT * FROM replicas WHERE cluster_id % 6 <> 5",
     "replicas": """SELECT o_custkey // 25 AS cluster_id, o_orderkey AS replica_id, o_orderkey AS ordinal,
         concat('ray-', o_custkey) AS node_id,
         concat('10.0.', (o_custkey % 25) % 5, '.', o_custkey % 25) AS node_ip,
@@ -447,6 +463,8 @@ _NEEDS = {
     "status_samples": ["ev"],
     "job_events": ["ev"],
     "nodes": ["members"],
+    "up_nodes": ["members", "nodes"],
+    "up_replicas": ["replicas"],
     "router_snapshot": ["members"],
     "node_registry": ["members"],
     "identifiers": ["members", "node_registry"],

@@ -20,8 +20,7 @@ _ALIVE = f"state = 'ALIVE' AND NOT is_head_node AND {_GPU}"
 _PREFERRED = """preferred AS (SELECT cluster_id, node_ip, CAST(replica_id AS VARCHAR) AS replica_id, state FROM (
     SELECT *, row_number() OVER (PARTITION BY cluster_id, node_ip ORDER BY CASE WHEN state = 'RUNNING' THEN 0
       WHEN state IN {w} THEN 1 WHEN state IN {f} THEN 2 ELSE 3 END, ordinal) AS rn FROM replicas) WHERE rn = 1),
-  flags AS (SELECT cluster_id, node_ip, bool_or(state = 'RUNNING') AS r, bool_or(state IN {w}) AS w, bool_or(state IN {f}) AS f
-    FROM replicas GROUP BY 1, 2)""".format(w=_WARMING, f=_FAILED)
+  flags AS (SELECT cluster_id, node_ip, bool_or(state = 'RUNNING') AS r, bool_or(state IN {w}) AS w, bool_or(state IN {f}) AS f, string_agg(state, ',' ORDER BY ordinal) AS listed FROM replicas GROUP BY 1, 2)""".format(w=_WARMING, f=_FAILED)
 
 
 def _lifecycle(joined: str, usable: str) -> str:
@@ -41,14 +40,17 @@ _ROUTER_BY_IP = """by_ip AS (SELECT * FROM (
     JOIN node_registry g ON g.name = i.name AND g.cluster_id = i.cluster_id) WHERE rn = 1)"""
 
 _VIEW_COLUMNS = ("cluster_id", "name", "node_ip", "node_id", "status", "role", "raw_status", "serve_replica_id",
-                 "serve_replica_state", "joined", "last_error", "jobs_total", "jobs_failed",
-                 "last_latency_ms", "readiness_ok")
+                 "serve_replica_state", "replica_states", "joined", "last_check_iso", "last_error", "jobs_total", "jobs_failed",
+                 "respawns", "inflight", "last_latency_ms", "latency_p50_ms", "latency_p95_ms", "latency_p99_ms", "sla_ok", "readiness_ok")
 
 _VIEW_SQL = f"""view_rows AS (SELECT
     CASE WHEN regexp_full_match(n.node_name, '[0-9]+([.][0-9]+){{3}}') THEN coalesce(a.alias, n.node_name) ELSE n.node_name END AS name,
     n.cluster_id, n.node_ip, n.node_id, {_lifecycle('true', 'coalesce(b.readiness_ok, true)')} AS status, {_ROLE.format(s='b.status')} AS role,
     coalesce(b.status, 'unmanaged') AS raw_status, p.replica_id AS serve_replica_id, p.state AS serve_replica_state,
-    true AS joined, b.last_error, coalesce(b.jobs_total, 0) AS jobs_total, coalesce(b.jobs_failed, 0) AS jobs_failed,
+    true AS joined, coalesce(b.respawns, 0) AS respawns, coalesce(b.inflight, 0) AS inflight, round(coalesce(b.latency_p50_ms, 0), 6)::DOUBLE AS latency_p50_ms,
+    round(coalesce(b.latency_p95_ms, 0), 6)::DOUBLE AS latency_p95_ms, round(coalesce(b.latency_p99_ms, 0), 6)::DOUBLE AS latency_p99_ms,
+    coalesce(b.sla_ok, true) AS sla_ok, coalesce(fl.listed, '') AS replica_states,
+    strftime(make_timestamp(CAST(b.last_check * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%fZ') AS last_check_iso, b.last_error, coalesce(b.jobs_total, 0) AS jobs_total, coalesce(b.jobs_failed, 0) AS jobs_failed,
     CAST(coalesce(b.last_latency_ms, 0) AS DOUBLE) AS last_latency_ms, coalesce(b.readiness_ok, true) AS readiness_ok
     FROM (SELECT * FROM nodes WHERE {_ALIVE}) n LEFT JOIN flags fl ON fl.node_ip = n.node_ip AND fl.cluster_id = n.cluster_id
     LEFT JOIN preferred p ON p.node_ip = n.node_ip AND p.cluster_id = n.cluster_id LEFT JOIN by_ip b ON b.node_ip = n.node_ip AND b.cluster_id = n.cluster_id
@@ -59,13 +61,20 @@ _ALIASES_SQL = """aliases AS (SELECT cluster_id, expected_ip AS node_ip, max(ali
 
 _OFFLINE_SQL = f"""offline AS (SELECT b.cluster_id, b.name, b.node_ip, CAST(NULL AS VARCHAR) AS node_id,
     {_lifecycle('false', 'coalesce(b.readiness_ok, false)')} AS status, {_ROLE.format(s='b.status')} AS role, b.status AS raw_status,
-    p.replica_id AS serve_replica_id, p.state AS serve_replica_state, false AS joined,
+    p.replica_id AS serve_replica_id, p.state AS serve_replica_state, false AS joined, coalesce(b.respawns, 0) AS respawns, coalesce(b.inflight, 0) AS inflight, round(coalesce(b.latency_p50_ms, 0), 6)::DOUBLE AS latency_p50_ms,
+    round(coalesce(b.latency_p95_ms, 0), 6)::DOUBLE AS latency_p95_ms, round(coalesce(b.latency_p99_ms, 0), 6)::DOUBLE AS latency_p99_ms,
+    coalesce(b.sla_ok, true) AS sla_ok, coalesce(fl.listed, '') AS replica_states,
+    strftime(make_timestamp(CAST(b.last_check * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%fZ') AS last_check_iso,
     coalesce(nullif(b.last_error, ''), '{fleet.MISSING_NODE_ERROR}') AS last_error, b.jobs_total, b.jobs_failed,
     CAST(b.last_latency_ms AS DOUBLE) AS last_latency_ms, b.readiness_ok FROM by_ip b LEFT JOIN flags fl ON fl.node_ip = b.node_ip AND fl.cluster_id = b.cluster_id
     LEFT JOIN preferred p ON p.node_ip = b.node_ip AND p.cluster_id = b.cluster_id
     WHERE (b.cluster_id, b.node_ip) NOT IN (SELECT (cluster_id, node_ip) FROM nodes WHERE {_ALIVE}))"""
 
 
+def _view(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("replica_states", F.array_join("replica_states", ",")).select(*_VIEW_COLUMNS)
+
+
 def _aliases(t: Tables) -> DataFrame:
     named = t.node_registry.where(F.col("alias").isNotNull() & (F.col("expected_ip") != ""))
     return named.groupBy("cluster_id", F.col("expected_ip").alias("node_ip")).agg(F.max("alias").alias("alias"))
@@ -99,7 +108,7 @@ def _statuses(t: Tables) -> DataFrame:
 def _heads(t: Tables) -> DataFrame:
     """One configuration row per cluster: the head address, none, or a wrong one."""
     key = F.col("cluster_id")
-    return t.nodes.select("cluster_id").distinct().select(
+    return t.scopes.select(
         key,
         F.when(key % 3 == 0, "10.0.0.0").when(key % 3 == 1, "").otherwise("10.0.3.3").alias("expected_head_ip"),
     )
@@ -108,7 +117,7 @@ def _heads(t: Tables) -> DataFrame:
 def _resource_expectations(t: Tables) -> DataFrame:
     """Wanted nodes per cluster: by address for even clusters, else by resource."""
     key = F.col("cluster_id")
-    return t.nodes.select("cluster_id").distinct().select(
+    return t.scopes.select(
         key,
         F.lit("rented").alias("name"),
         F.when(key % 2 == 0, "10.0.3.3").otherwise("").alias("expected_ip"),
@@ -126,7 +135,7 @@ def _required(t: Tables) -> DataFrame:
 
 
 def _usage(t: Tables) -> DataFrame:
-    return t.nodes.where(F.col("state") == "ALIVE").select(
+    return t.up_nodes.where(F.col("state") == "ALIVE").select(
         "cluster_id", F.concat(F.lit("node:"), "node_ip").alias("key")
     )
 
@@ -155,7 +164,7 @@ _NODE_COUNTERS_SQL = """per_node AS (SELECT node, count(*) FILTER (kind = 'route
       row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM dispatch_events) WHERE rn = 1 AND kind = 'route' GROUP BY 1)"""
 
 _SEEN_SQL = """(SELECT cluster_id, node_ip, bool_or(state = 'ALIVE') AS alive, arg_min(state, ordinal) AS first
-      FROM nodes GROUP BY 1, 2)"""
+      FROM up_nodes GROUP BY 1, 2)"""
 
 _CHECK_TEXT = """CASE WHEN e.expected_ip = '' THEN 'skipped (no expected identity configured)'
       WHEN s.alive IS NULL THEN 'not joined to Ray cluster' WHEN NOT s.alive THEN concat('joined but state=', s.first)
@@ -163,12 +172,12 @@ _CHECK_TEXT = """CASE WHEN e.expected_ip = '' THEN 'skipped (no expected identit
 
 QUERIES = {
     "nodes_view": Query(
-        lambda t: fleet.nodes_view(t.nodes, t.replicas, _router(t), _aliases(t), scope=SCOPE).select(*_VIEW_COLUMNS),
+        lambda t: _view(fleet.nodes_view(t.nodes, t.replicas, _router(t), _aliases(t), scope=SCOPE)),
         with_views("nodes", "replicas", "router_snapshot", "node_registry", "identifiers",
                    sql=f"WITH {_PREFERRED}, {_ROUTER_BY_IP}, {_ALIASES_SQL}, {_VIEW_SQL} SELECT * FROM view_rows"),
     ),
     "nodes_view_offline": Query(
-        lambda t: fleet.nodes_view_offline(t.nodes, t.replicas, _router(t), _aliases(t), scope=SCOPE).select(*_VIEW_COLUMNS),
+        lambda t: _view(fleet.nodes_view_offline(t.nodes, t.replicas, _router(t), _aliases(t), scope=SCOPE)),
         with_views("nodes", "replicas", "router_snapshot", "node_registry", "identifiers",
                    sql=f"""WITH {_PREFERRED}, {_ROUTER_BY_IP}, {_ALIASES_SQL}, {_VIEW_SQL}, {_OFFLINE_SQL}
                    SELECT * FROM view_rows UNION ALL BY NAME SELECT * FROM offline"""),
@@ -179,71 +188,72 @@ QUERIES = {
                    sql=f"WITH {_ROUTER_BY_IP} SELECT cluster_id, node_ip, name, status, jobs_total FROM by_ip"),
     ),
     "lifecycle_by_name": Query(
-        lambda t: fleet.lifecycle_by_name(t.node_registry, t.nodes, t.replicas, t.router_snapshot, scope=SCOPE),
-        with_views("nodes", "replicas", "router_snapshot", "node_registry", "identifiers",
-                   sql=f"""WITH {_PREFERRED}, per AS (SELECT g.cluster_id, g.name, coalesce(bool_or(n.node_ip IS NOT NULL), false) AS joined,
+        lambda t: fleet.lifecycle_by_name(t.node_registry, t.up_nodes, t.up_replicas, t.router_snapshot, scope=SCOPE, scopes=t.scopes),
+        with_views("up_nodes", "up_replicas", "router_snapshot", "node_registry", "identifiers",
+                   sql=f"""WITH {_PREFERRED.replace('FROM replicas', 'FROM up_replicas')}, per AS (SELECT g.cluster_id, g.name, coalesce(bool_or(n.node_ip IS NOT NULL), false) AS joined,
                      bool_or(fl.r) AS r, bool_or(fl.w) AS w, bool_or(fl.f) AS f FROM node_registry g
                      LEFT JOIN identifiers i ON i.name = g.name AND i.cluster_id = g.cluster_id
-                     LEFT JOIN (SELECT cluster_id, node_ip FROM nodes WHERE {_ALIVE}) n ON n.node_ip = i.node_ip AND n.cluster_id = i.cluster_id
+                     LEFT JOIN (SELECT cluster_id, node_ip FROM up_nodes WHERE {_ALIVE}) n ON n.node_ip = i.node_ip AND n.cluster_id = i.cluster_id
                      LEFT JOIN flags fl ON fl.node_ip = i.node_ip AND fl.cluster_id = i.cluster_id GROUP BY 1, 2)
                    SELECT per.cluster_id, per.name, joined, coalesce(s.readiness_ok, false) AS readiness_ok,
                      {_lifecycle('joined', 'coalesce(s.readiness_ok, false)')} AS lifecycle
                    FROM per LEFT JOIN router_snapshot s ON s.name = per.name AND s.cluster_id = per.cluster_id"""),
     ),
     "expected_node_checks": Query(
-        lambda t: fleet.expected_node_checks(_expected(t), t.nodes, SCOPE),
-        with_views("nodes", "node_registry",
+        lambda t: fleet.expected_node_checks(_expected(t), t.up_nodes, SCOPE, t.scopes),
+        with_views("up_nodes", "node_registry",
                    sql=f"""SELECT e.cluster_id, e.name, e.expected_ip AS expected, e.expected_ip = '' OR coalesce(s.alive, false) AS passed,
                    {_CHECK_TEXT} AS detail FROM node_registry e LEFT JOIN {_SEEN_SQL} s
                    ON s.node_ip = e.expected_ip AND s.cluster_id = e.cluster_id"""),
     ),
     "head_check": Query(
-        lambda t: fleet.head_check(_heads(t), t.nodes, SCOPE),
-        with_views("nodes", sql="""WITH n AS (SELECT cluster_id, node_ip, state, ordinal, is_head_node AS head,
-              CASE cluster_id % 3 WHEN 0 THEN '10.0.0.0' WHEN 1 THEN '' ELSE '10.0.3.3' END AS expected FROM nodes),
+        lambda t: fleet.head_check(_heads(t), t.up_nodes, SCOPE, t.scopes),
+        with_views("up_nodes", sql="""WITH n AS (SELECT s.cluster_id, node_ip, state, ordinal, coalesce(is_head_node, false) AS head,
+              CASE s.cluster_id % 3 WHEN 0 THEN '10.0.0.0' WHEN 1 THEN '' ELSE '10.0.3.3' END AS expected
+              FROM (SELECT DISTINCT cluster_id FROM members) s LEFT JOIN up_nodes ON up_nodes.cluster_id = s.cluster_id),
             a AS (SELECT cluster_id, expected, count(*) FILTER (head) AS heads,
               bool_or(head AND node_ip = expected) AS hit, bool_or(head AND state = 'ALIVE') AS alive,
               arg_min(node_ip, ordinal) FILTER (head) AS first FROM n GROUP BY 1, 2)
-            SELECT cluster_id, 'head' AS name, expected, heads > 0 AND (expected = '' OR hit) AND alive AS passed,
+            SELECT cluster_id, 'head' AS name, expected, coalesce(heads > 0 AND (expected = '' OR hit) AND alive, false) AS passed,
               CASE WHEN heads = 0 THEN 'no head node reported'
                    WHEN expected <> '' AND NOT hit THEN concat('head ip mismatch (saw ', first, ')')
                    WHEN alive THEN 'ALIVE' ELSE 'head not ALIVE' END AS detail FROM a"""),
     ),
     "resource_key_check": Query(
-        lambda t: fleet.resource_key_check(_resource_expectations(t), t.nodes, SCOPE),
-        with_views("nodes", sql=f"""WITH e AS (SELECT DISTINCT cluster_id, 'rented' AS name,
+        lambda t: fleet.resource_key_check(_resource_expectations(t), t.up_nodes, SCOPE, t.scopes),
+        with_views("up_nodes", sql=f"""WITH e AS (SELECT DISTINCT cluster_id, 'rented' AS name,
               CASE WHEN cluster_id % 2 = 0 THEN '10.0.3.3' ELSE '' END AS expected_ip,
-              CASE cluster_id % 3 WHEN 0 THEN 'GPU' WHEN 1 THEN 'TPU' ELSE 'AMD_GPU' END AS resource_key FROM nodes)
+              CASE cluster_id % 3 WHEN 0 THEN 'GPU' WHEN 1 THEN 'TPU' ELSE 'AMD_GPU' END AS resource_key FROM members)
             SELECT e.cluster_id, e.name, e.expected_ip AS expected, coalesce(s.alive, false) AS passed, {_CHECK_TEXT} AS detail
             FROM e LEFT JOIN {_SEEN_SQL} s ON s.node_ip = e.expected_ip AND s.cluster_id = e.cluster_id WHERE e.expected_ip <> ''
             UNION ALL SELECT e.cluster_id, e.name, e.resource_key, coalesce(s.alive, false),
               CASE WHEN s.alive IS NULL THEN 'no node advertises expected resource key' WHEN s.alive THEN 'ALIVE'
                    ELSE 'matched node not ALIVE' END
-            FROM e LEFT JOIN (SELECT cluster_id, resource_key, bool_or(state = 'ALIVE') AS alive FROM nodes GROUP BY 1, 2) s
+            FROM e LEFT JOIN (SELECT cluster_id, resource_key, bool_or(state = 'ALIVE') AS alive FROM up_nodes GROUP BY 1, 2) s
               ON s.resource_key = e.resource_key AND s.cluster_id = e.cluster_id WHERE e.expected_ip = ''"""),
     ),
     "missing_nodes": Query(
-        lambda t: fleet.missing_nodes(_required(t), _usage(t), SCOPE),
-        with_views("nodes", "node_registry", sql="""SELECT DISTINCT cluster_id, key FROM (
+        lambda t: fleet.missing_nodes(_required(t), _usage(t), SCOPE, t.scopes),
+        with_views("up_nodes", "node_registry", sql="""SELECT DISTINCT cluster_id, key FROM (
             SELECT cluster_id, concat('node:', expected_ip) AS key FROM node_registry WHERE expected_ip <> ''
             UNION ALL SELECT cluster_id, 'node:InternalHead' FROM node_registry)
-            WHERE (cluster_id, key) NOT IN (SELECT (cluster_id, concat('node:', node_ip)) FROM nodes WHERE state = 'ALIVE')"""),
+            WHERE (cluster_id, key) NOT IN (SELECT (cluster_id, concat('node:', node_ip)) FROM up_nodes WHERE state = 'ALIVE')"""),
     ),
     "expected_covered": Query(
         lambda t: fleet.expected_covered(
-            t.node_registry.select("cluster_id", F.col("expected_ip").alias("node_ip")), t.replicas, SCOPE
+            t.node_registry.select("cluster_id", F.col("expected_ip").alias("node_ip")), t.up_replicas, SCOPE, t.scopes
         ),
-        with_views("replicas", "node_registry", sql="""SELECT g.cluster_id, count(*) FILTER (r.node_ip IS NULL) AS missing,
+        with_views("up_replicas", "node_registry", sql="""SELECT g.cluster_id, count(*) FILTER (r.node_ip IS NULL) AS missing,
             bool_and(r.node_ip IS NOT NULL) AS covered FROM node_registry g
-            LEFT JOIN (SELECT DISTINCT cluster_id, node_ip FROM replicas WHERE state = 'RUNNING') r
+            LEFT JOIN (SELECT DISTINCT cluster_id, node_ip FROM up_replicas WHERE state = 'RUNNING') r
             ON r.node_ip = g.expected_ip AND r.cluster_id = g.cluster_id GROUP BY 1"""),
     ),
     "replica_spread": Query(
-        lambda t: fleet.replica_spread(t.replicas, SCOPE),
-        with_views("replicas", sql="""SELECT cluster_id, count(*) FILTER (state = 'RUNNING') AS running,
+        lambda t: fleet.replica_spread(t.up_replicas, SCOPE, t.scopes),
+        with_views("members", "up_replicas", sql="""SELECT s.cluster_id, count(*) FILTER (state = 'RUNNING') AS running,
             count(DISTINCT node_ip) FILTER (state = 'RUNNING') AS distinct_nodes,
             count(*) FILTER (state = 'RUNNING') >= 2 AND count(DISTINCT node_ip) FILTER (state = 'RUNNING') >= 2 AS spread
-            FROM replicas GROUP BY 1"""),
+            FROM (SELECT DISTINCT cluster_id FROM members) s LEFT JOIN up_replicas r ON r.cluster_id = s.cluster_id GROUP BY 1"""),
     ),
     "health_rollup": Query(
         lambda t: fleet.health_rollup(_statuses(t), ["gateway", "model"], ["cluster_id", "node_ip"]),

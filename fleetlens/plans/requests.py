@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.status import memory_pct, success_flag
@@ -35,6 +36,11 @@ def _alarm_samples(t: Tables):
     return gateway.unionByName(jobs).unionByName(rto)
 
 
+def _successes(t: Tables) -> DataFrame:
+    """The requests a node's latency is judged by."""
+    return t.requests.where(success_flag(F.col("status")) == 1)
+
+
 def rto_sql(events: str = "ops_events", keys: str = "") -> str:
     return f"""SELECT {keys + ', ' if keys else ''}ts, node, failed_node, (epoch_us(ts) - epoch_us(prev_ts)) / 1e6 AS elapsed_seconds
     FROM (SELECT *, lag(event) OVER w AS prev_event, lag(ts) OVER w AS prev_ts, lag(node) OVER w AS failed_node
@@ -61,22 +67,22 @@ QUERIES = {
         ),
     ),
     "latency_quantiles": Query(
-        lambda t: slo.latency_quantiles(t.requests, ["node"]),
+        lambda t: slo.latency_quantiles(_successes(t), ["node"]),
         with_views(
             "requests",
             sql="""SELECT node, round(quantile_cont(latency_ms, 0.5), 6) AS latency_p50_ms,
             round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95_ms,
-            round(quantile_cont(latency_ms, 0.99), 6) AS latency_p99_ms FROM requests GROUP BY node""",
+            round(quantile_cont(latency_ms, 0.99), 6) AS latency_p99_ms FROM requests WHERE status IN (200,201,302) GROUP BY node""",
         ),
     ),
     "sla_flag": Query(
-        lambda t: slo.with_sla_flag(slo.latency_quantiles(t.requests, ["api_key_id"]), 300.0).select(
+        lambda t: slo.with_sla_flag(slo.latency_quantiles(_successes(t), ["api_key_id"]), 300.0).select(
             "api_key_id", "latency_p95_ms", "sla_ok"
         ),
         with_views(
             "requests",
             sql="""SELECT api_key_id, round(p, 6) AS latency_p95_ms, p <= 300.0 AS sla_ok FROM
-            (SELECT api_key_id, quantile_cont(latency_ms, 0.95) AS p FROM requests GROUP BY 1)""",
+            (SELECT api_key_id, quantile_cont(latency_ms, 0.95) AS p FROM requests WHERE status IN (200,201,302) GROUP BY 1)""",
         ),
     ),
     "sli_batch_reliability": Query(

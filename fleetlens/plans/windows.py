@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.functions.status import success_flag
 from fleetlens.functions.text import log_payload_text
 from fleetlens.operators import logs, rolling
 from fleetlens.plans.fixtures import Tables, with_views
@@ -15,8 +16,8 @@ TAIL = 2000
 
 
 def _successes(t: Tables) -> DataFrame:
-    """Every request latency as a successful sample of its node."""
-    return t.requests.select("cluster_id", "node", "ts", F.col("request_id").alias("seq"), "latency_ms")
+    """Latencies of the requests that succeeded, as samples of their node."""
+    return t.requests.where(success_flag(F.col("status")) == 1).select("cluster_id", "node", "ts", F.col("request_id").alias("seq"), "latency_ms")
 
 
 def _payloads(t: Tables) -> DataFrame:
@@ -49,7 +50,7 @@ QUERIES = {
             "requests",
             sql="""SELECT node, request_id AS seq, round(quantile_cont(latency_ms, 0.5) OVER w, 6) AS p50,
             round(quantile_cont(latency_ms, 0.95) OVER w, 6) AS p95, round(quantile_cont(latency_ms, 0.99) OVER w, 6) AS p99
-            FROM requests WINDOW w AS (PARTITION BY node ORDER BY ts, request_id ROWS BETWEEN 1023 PRECEDING AND CURRENT ROW)""",
+            FROM requests WHERE status IN (200,201,302) WINDOW w AS (PARTITION BY node ORDER BY ts, request_id ROWS BETWEEN 1023 PRECEDING AND CURRENT ROW)""",
         ),
     ),
     "counter_rate": Query(

@@ -294,3 +294,21 @@ def test_scopes_that_report_nothing_fail(spark):
     required = spark.createDataFrame([(1, "k"), (2, "k")], "cluster_id long, key string")
     usage = spark.createDataFrame([(1, 0, "k")], "cluster_id long, snapshot_ts int, key string")
     assert [r.cluster_id for r in fleet.missing_nodes(required, usage, scopes=scopes).collect()] == [2]
+
+
+def test_scopes_without_nodes_are_there(spark):
+    """A cluster that reports nothing keeps its configured names, offline."""
+    registry = spark.createDataFrame([(0, "a", "10.0.0.1", ""), (1, "b", "10.0.0.2", "")], "cluster_id int, name string, expected_ip string, infer_url string")
+    nodes = spark.createDataFrame(
+        [(0, "n", "10.0.0.1", "n", "ALIVE", False, {"GPU": 1.0}, 0)],
+        "cluster_id int, node_id string, node_ip string, node_name string, state string, is_head_node boolean, resources map<string,double>, ordinal long",
+    )
+    replicas = spark.createDataFrame([], "cluster_id int, replica_id string, node_ip string, state string, ordinal long")
+    router = spark.createDataFrame([(0, "a", True)], "cluster_id int, name string, readiness_ok boolean")
+    every = {(r.cluster_id, r.name, r.joined, r.lifecycle) for r in fleet.lifecycle_by_name(registry, nodes, replicas, router, scope=("cluster_id",)).collect()}
+    assert every == {(0, "a", True, "IDLE"), (1, "b", False, "OFFLINE")}
+    history = nodes.withColumn("snapshot_ts", F.lit(7))
+    late = router.withColumn("snapshot_ts", F.lit(7))
+    scopes = spark.createDataFrame([(0, 7), (1, 7), (1, 8)], "cluster_id int, snapshot_ts int")
+    named = fleet.lifecycle_by_name(registry, history, replicas.withColumn("snapshot_ts", F.lit(7)), late, scope=("cluster_id", "snapshot_ts"), scopes=scopes)
+    assert {(r.cluster_id, r.snapshot_ts, r.name, r.joined) for r in named.collect()} == {(0, 7, "a", True), (1, 7, "b", False), (1, 8, "b", False)}
