@@ -238,6 +238,22 @@ def _echo(url: str, request: str) -> str:
     return json.dumps({"id": f"chatcmpl-{len(prompt)}", "model": MODEL})
 
 
+def answer(url: str, request: str) -> str:
+    """As ``_echo``, with a whole response: the answer repeats how the prompt begins."""
+    _echo(url, request)
+    prompt = json.loads(request)["messages"][0]["content"]
+    message = {"role": "assistant", "content": f"Re: {prompt[:20]}"}
+    usage = {"prompt_tokens": len(prompt), "completion_tokens": 1, "total_tokens": len(prompt) + 1}
+    return json.dumps({"id": f"chatcmpl-{len(prompt)}", "created": len(prompt), "model": MODEL, "choices": [{"index": 0, "message": message}], "usage": usage})
+
+
+# Which node answered which turn at which attempt, or the last error, by the rule of the stand-in server.
+INFERRED_SQL = f"""{TURNS_SQL}, a AS (SELECT request_id, CAST(length(text) AS INTEGER) AS size, k,
+          CAST((CAST(concat('0x', left(md5(request_id), 8)) AS BIGINT) + k - 1) % 3 AS INTEGER) AS i FROM turns, range(1, 3) r(k)),
+        b AS (SELECT *, (size + i) % 3 = 0 OR size % 7 = 0 AS bad FROM a),
+        c AS (SELECT request_id, any_value(size) AS size, min(k) FILTER (NOT bad) AS won, arg_max(i, k) AS last FROM b GROUP BY 1)"""
+
+
 def _inferred(t: Tables) -> DataFrame:
     items = turns(t).select(
         F.col("request_id").alias("custom_id"),
@@ -400,10 +416,7 @@ QUERIES = {
     ),
     "batch_infer": Query(
         _inferred,
-        f"""WITH {TURNS_SQL}, a AS (SELECT request_id, CAST(length(text) AS INTEGER) AS size, k,
-          CAST((CAST(concat('0x', left(md5(request_id), 8)) AS BIGINT) + k - 1) % 3 AS INTEGER) AS i FROM turns, range(1, 3) r(k)),
-        b AS (SELECT *, (size + i) % 3 = 0 OR size % 7 = 0 AS bad FROM a),
-        c AS (SELECT request_id, any_value(size) AS size, min(k) FILTER (NOT bad) AS won, arg_max(i, k) AS last FROM b GROUP BY 1)
+        f"""WITH {INFERRED_SQL}
         SELECT c.request_id AS custom_id, c.size, CASE WHEN won IS NOT NULL THEN ['alpha','beta','gamma'][b.i + 1] END AS node,
           CAST(won AS INTEGER) AS attempt, CASE WHEN won IS NULL THEN concat('http://', ['alpha','beta','gamma'][last + 1], '/v1 refused ', c.size) END AS error,
           CASE WHEN won IS NOT NULL THEN '{MODEL}' END AS model

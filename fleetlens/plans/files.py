@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators.incidents import failover_rto
-from fleetlens.operators.batch import record_online
+from fleetlens.operators import inference
+from fleetlens.operators.batch import items_with_results, record_offline, record_online
 from fleetlens.operators.scan import int_chunk
-from fleetlens.plans.batch import OFFLINE_SQL, RESPONSE_SQL, TURNS_SQL, MODEL, offline_records, response_bodies, turns
+from fleetlens.plans.batch import (
+    INFERRED_SQL, MODEL, NODES, OFFLINE_SQL, RESPONSE_SQL, TURNS_SQL, answer, offline_records, response_bodies, turns,
+)
+from fleetlens.schemas import WIRE_RESPONSE
 from fleetlens.plans.fixtures import Tables, with_views
 from fleetlens.plans.registry import Query
 from fleetlens.plans.requests import RTO_SQL
@@ -49,6 +53,38 @@ def _batch_output(t: Tables) -> DataFrame:
     )
 
 
+def _batch_chain(t: Tables) -> DataFrame:
+    """A batch from its input file through inference and its output file to the records of its jobs."""
+    requests, results = fresh_dir(t.spark, "chain-input"), fresh_dir(t.spark, "chain-output")
+    asked = turns(t).select("conv_id", "turn", F.col("request_id").alias("custom_id"), F.struct("model", "messages").alias("request"))
+    sinks.write_batch_lines(asked, requests, ["conv_id"], "turn")
+    part = F.split("custom_id", "-")
+    items = readers.read_batch_input(t.spark, requests).select(
+        part[0].cast("long").alias("job_id"), part[1].cast("long").alias("ordinal"), "custom_id", F.col("body").alias("request"),
+        F.col("request.messages").alias("messages"), F.col("request.model").alias("model"),
+    )
+    done = inference.batch_infer(items.select("job_id", "ordinal", "custom_id", "request"), answer, NODES, max_attempts=2)
+    served = F.struct("node", "url", "attempt").alias("_served_by")
+    response = F.struct(F.from_json("response", WIRE_RESPONSE).alias("r"))["r"]
+    whole = F.struct(*[response[f].alias(f) for f in ("id", "created", "model", "choices", "usage")], served)
+    written = done.select("job_id", "ordinal", F.when(F.col("response").isNotNull(), whole).alias("response"), "error")
+    sinks.write_batch_lines(written, results, ["job_id"], "ordinal")
+    merged = items_with_results(items, readers.read_batch_output(t.spark, results))
+    records = record_offline(
+        merged.select(
+            "job_id", F.concat(F.lit("raysubmit_"), "job_id").alias("submission_id"), "model", "messages", "response", "error",
+            F.lit(5).cast("long").alias("finished_at"),
+        )
+    )
+    output = F.col("output_response")
+    by = F.get_json_object(output, "$.served_by")
+    return records.select(
+        "job_id", "request_id", F.col("input_messages")[0]["content"].alias("prompt"), "timestamp", "total_tokens",
+        F.get_json_object(output, "$.choices[0].message.content").alias("answer"), F.get_json_object(by, "$.node").alias("node"),
+        F.get_json_object(by, "$.attempt").cast("int").alias("attempt"), F.get_json_object(output, "$.error").alias("error"),
+    )
+
+
 def _token_csv(t: Tables) -> DataFrame:
     path = fresh_dir(t.spark, "tokens")
     t.token_jobs.write.option("header", True).csv(path)
@@ -202,6 +238,16 @@ QUERIES = {
             error FROM batch_items""",
         ),
     ),
+    "batch_chain": Query(
+        _batch_chain,
+        f"""WITH {INFERRED_SQL}
+        SELECT t.conv_id AS job_id, CASE WHEN won IS NULL THEN concat('err-', t.conv_id) ELSE concat('chatcmpl-', size) END AS request_id,
+          t.text AS prompt, CASE WHEN won IS NULL THEN 5 ELSE size END::BIGINT AS timestamp,
+          CASE WHEN won IS NULL THEN 0 ELSE size + 1 END::BIGINT AS total_tokens, CASE WHEN won IS NOT NULL THEN concat('Re: ', left(t.text, 20)) END AS answer,
+          CASE WHEN won IS NOT NULL THEN ['alpha','beta','gamma'][b.i + 1] END AS node, CAST(won AS INTEGER) AS attempt,
+          CASE WHEN won IS NULL THEN concat('http://', ['alpha','beta','gamma'][last + 1], '/v1 refused ', size) END AS error
+        FROM c JOIN turns t ON t.request_id = c.request_id LEFT JOIN (SELECT request_id, k, i FROM b) b ON b.request_id = c.request_id AND b.k = c.won""",
+    ),
     "src_token_csv": Query(_token_csv, with_views("token_jobs", sql="SELECT * FROM token_jobs")),
     "src_cluster_snapshot": Query(
         _snapshot_nodes,

@@ -6,21 +6,35 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens import schemas
 from fleetlens.functions.scalars import usage_node_ip
 from fleetlens.functions.wire import response_from_wire
+from fleetlens.sources.arrays import BROKEN, array_elements
 
 REQUEST_TIME = "dd/MMM/yyyy:HH:mm:ss Z"
 
 
 def _elements(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataFrame:
-    """Elements of JSON arrays with the file they are from and, for whole files, their position from 0."""
-    file = F.col("_metadata.file_path").alias("file")
-    if not multi_line:
-        return spark.read.schema(schema).json(path).select("*", file, F.lit(None).cast("long").alias("position"))
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{schema}>>").alias("a"), file)
-    return text.select("file", F.posexplode("a").alias("position", "e")).select("e.*", "file", F.col("position").cast("long").alias("position"))
+    """Elements of JSON arrays with the file they are from and, for whole files, their position from 0.
+
+    ``problem`` names what is wrong with an element that cannot be read; its fields are null.
+    """
+    file, bad = F.col("_metadata.file_path").alias("file"), "__bad"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
+    typed = f"struct<{schema}, {bad}: string>"
+    if multi_line:
+        found = array_elements(spark, path).withColumn("e", F.from_json("element", typed, options))
+    else:
+        lines = spark.read.text(path).select(file, F.trim("value").alias("element")).where(F.col("element") != "")
+        # A line is an array, or one item. A broken array gives one row, as its items cannot be told apart.
+        listed = F.from_json("element", f"array<{typed}>", options)
+        found = lines.select("file", "element", F.explode_outer(listed).alias("e")).withColumn("position", F.lit(None).cast("long"))
+        found = found.where(F.col("e").isNotNull() | ~F.col("element").rlike(r"^\[\s*\]$"))
+    problem = F.when(F.col("e").isNull() | F.col(f"e.{bad}").isNotNull() | ~F.startswith("element", F.lit("{")) & F.lit(multi_line), BROKEN)
+    fields = [F.when(problem.isNull(), F.col(f"e.{f.name}")).alias(f.name) for f in T.StructType.fromDDL(schema)]
+    return found.select(*fields, "file", F.col("position").cast("long").alias("position"), problem.alias("problem"))
 
 
 def _job_of_file(kind: str) -> Column:
@@ -33,12 +47,13 @@ def read_batch_input(spark: SparkSession, path: str, multi_line: bool = False) -
 
     ``request`` has the known settings typed, ``body`` is the whole request as JSON, with whatever else it holds. One
     array (or item) per line can be split among tasks. ``multi_line`` reads files that hold one array
-    over several lines; each such file is read by one task, ``position`` counts its items from 0, and ``job`` is
-    the name in ``batch_input_<job>.json``.
+    over several lines, by byte ranges (:mod:`fleetlens.sources.arrays`); ``position`` counts a file's items from 0, and ``job`` is
+    the name in ``batch_input_<job>.json``. What cannot be read as an item, such as the end of a file that breaks off, is
+    a row of nulls with a ``problem``; the items before it are read.
     """
     rows = _elements(spark, path, schemas.BATCH_INPUT_RAW, multi_line)
     typed = F.from_json("request", schemas.REQUEST)
-    return rows.select("custom_id", typed.alias("request"), F.col("request").alias("body"), "position", _job_of_file("input"))
+    return rows.select("custom_id", typed.alias("request"), F.col("request").alias("body"), "position", _job_of_file("input"), "problem")
 
 
 def read_batch_output(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -46,13 +61,13 @@ def read_batch_output(spark: SparkSession, path: str, multi_line: bool = False)
 
     ``response`` is the whole typed response (null where there is none), answer text and ``served_by`` included, and ``body``
     its JSON. Files with one array over several lines (``multi_line``) match their job's items by ``position``,
-    from 0; ``job`` is the name in ``batch_output_<job>.json``.
+    from 0; ``job`` is the name in ``batch_output_<job>.json``. What cannot be read is a row with a ``problem``.
     """
     rows = _elements(spark, path, schemas.BATCH_OUTPUT_RAW, multi_line)
     body = F.col("response")
     return rows.select(
         "job_id", "ordinal", F.when(body.isNotNull(), response_from_wire(body)).alias("response"), "error", body.alias("body"),
-        "position", _job_of_file("output"),
+        "position", _job_of_file("output"), "problem",
     )
 
 

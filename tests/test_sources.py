@@ -1,9 +1,12 @@
 import datetime as dt
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.sources import readers, sinks
+from fleetlens.sources.arrays import array_elements
 
 
 def at(seconds):
@@ -15,7 +18,7 @@ ITEMS = [{"custom_id": f"q{i}", "request": {"model": "m", "messages": [{"role":
 
 def test_batch_input_as_one_array_over_lines(spark, tmp_path):
     (tmp_path / "in.json").write_text(json.dumps(ITEMS, indent=2))
-    got = readers.read_batch_input(spark, str(tmp_path / "in.json"), multi_line=True).collect()
+    got = readers.read_batch_input(spark, str(tmp_path / "in.json"), multi_line=True).orderBy("position").collect()
     assert [(r["custom_id"], r["request"]["messages"][0]["content"]) for r in got] == [("q0", "p0"), ("q1", "p1"), ("q2", "p2")]
 
 
@@ -28,7 +31,7 @@ def test_batch_input_as_arrays_per_line(spark, tmp_path):
 def test_batch_output(spark, tmp_path):
     data = [{"response": {"id": "c", "usage": {"total_tokens": 4}}, "error": None}, {"response": None, "error": "boom"}]
     (tmp_path / "out.json").write_text(json.dumps(data))
-    got = readers.read_batch_output(spark, str(tmp_path / "out.json"), multi_line=True).collect()
+    got = readers.read_batch_output(spark, str(tmp_path / "out.json"), multi_line=True).orderBy("position").collect()
     assert (got[0]["response"]["usage"]["total_tokens"], got[1]["response"], got[1]["error"]) == (4, None, "boom")
 
 
@@ -185,3 +188,61 @@ def test_exposition_lines(spark):
     assert got["router_last_check_seconds"] == 'router_last_check_seconds{node="n"} 1700000000.25'
     assert got["router_latency_p99_ms"] == 'router_latency_p99_ms{node="n"} 0.0001'
     assert got["router_sla_p95_target_ms"] == "router_sla_p95_target_ms 30000.0"
+
+
+NESTED = ['a}b', '{"', "\\", '\\"}', "x\\\\}", "[]{}", "é漢", "\n", " ,", "", "}{", '"']
+
+
+def nested(rng, depth=0):
+    kind = rng.randrange(6 if depth < 3 else 3)
+    if kind < 3:
+        return [rng.choice(NESTED), rng.random(), None][kind]
+    if kind == 3:
+        return rng.choice(NESTED) + str(rng.random())
+    if kind == 4:
+        return [nested(rng, depth + 1) for _ in range(rng.randrange(4))]
+    return {rng.choice(["a", "b}", '"c', "\\d"]) + str(i): nested(rng, depth + 1) for i in range(rng.randrange(4))}
+
+
+def test_array_elements_by_small_byte_ranges(spark, tmp_path):
+    """Whole arrays whose strings hold braces, quotes and escapes, cut into ranges of 200 bytes."""
+    rng, want = random.Random(4), {}
+    for f, size in enumerate([0, 1, 5, 400, 2, 0, 300, 1]):
+        items = [{"k": nested(rng)} for _ in range(size)]
+        body = json.dumps(items, indent=rng.choice([None, 1, 4]), ensure_ascii=rng.random() < 0.5) + rng.choice(["", "\n"])
+        (tmp_path / f"{f}.json").write_text(body)
+        want[f"{f}.json"] = items
+    settings = {"spark.sql.files.maxPartitionBytes": "200", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 20
+        rows = array_elements(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    found = {f: [] for f in want}
+    for r in sorted(rows, key=lambda r: r.position):
+        found[r.file.rsplit("/", 1)[1]].append((r.position, json.loads(r.element)))
+    assert found == {f: list(enumerate(items)) for f, items in want.items()}
+
+
+@pytest.mark.parametrize("text, good, bad", [
+    ('[{"response": null, "error": "e"}, {"response": nu', 1, 1),
+    ('[{"response": null, "error": "e"}', 1, 0),
+    ('[{"response": null, "error": "e"}, {"response": {"id": "x"', 1, 1),
+    ("not json", 0, 1), ("[]", 0, 0), ("", 0, 0), (" [\n ] \n", 0, 0), ('[null, {"error": "e"}]', 0, 1),
+])
+def test_broken_batch_files_keep_their_good_items(spark, tmp_path, text, good, bad):
+    (tmp_path / "batch_output_j.json").write_text(text)
+    rows = readers.read_batch_output(spark, str(tmp_path / "batch_output_j.json"), multi_line=True).collect()
+    assert [sum(r.problem is None for r in rows), sum(r.problem is not None for r in rows)] == [good, bad]
+    assert all(r.error == "e" for r in rows if r.problem is None) and all(r.job == "j" for r in rows)
+
+
+def test_broken_lines_are_rows(spark, tmp_path):
+    (tmp_path / "o").write_text('[{"error": "a"}, {"error": "b"}]\n[{"error": "c"\n{"error": "d"}\n[]\n\n')
+    rows = readers.read_batch_output(spark, str(tmp_path / "o")).collect()
+    assert sorted(r.error for r in rows if r.problem is None) == ["a", "b", "d"]
+    assert sum(r.problem is not None for r in rows) == 1
