@@ -185,7 +185,7 @@ def _stream_records(t: Tables) -> DataFrame:
 
 def _transcripts(t: Tables) -> DataFrame:
     done = transcripts.sse_transcripts(stream_chunks(t.chat_messages), _started(t))
-    return done.select("request_id", "text", "output_tokens")
+    return done.select("request_id", "text", "output_tokens", "ttft_ms", "latency_ms", "tokens_per_s")
 
 
 def _items(t: Tables) -> DataFrame:
@@ -266,6 +266,16 @@ def _inferred(t: Tables) -> DataFrame:
 
 _WORDS = r"list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')"
 
+# Lengths of the lines of each stream, and from them the chunks that end the first token and the stream; chunks are 10 ms apart.
+TRANSCRIPT_SQL = f"""WITH {TURNS_SQL},
+    w AS (SELECT request_id, text, list_transform(string_split(text, ' '), lambda x, i: CASE WHEN i = 1 THEN x ELSE concat(' ', x) END) AS words FROM turns),
+    l AS (SELECT *, list_transform(words, lambda x: length(concat('data: {{"choices":[{{"delta":{{"content":', to_json(x)::VARCHAR, '}}}}]}}'))) AS sizes FROM w),
+    c AS (SELECT request_id, text, len(words) - CASE WHEN words[1] = '' THEN 1 ELSE 0 END AS tokens,
+      (list_sum(sizes) + 2 * (len(sizes) - 1) + 16 - 1) // {CHUNK_CHARS} AS last,
+      CASE WHEN words[1] <> '' THEN sizes[1] WHEN len(words) > 1 THEN sizes[1] + 2 + sizes[2] END // {CHUNK_CHARS} AS first FROM l)
+    SELECT request_id, text, tokens::BIGINT AS output_tokens, (250 + 10 * first)::DOUBLE AS ttft_ms, (250 + 10 * last)::DOUBLE AS latency_ms,
+      round(tokens / ((250 + 10 * last) / 1000.0), 6)::DOUBLE AS tokens_per_s FROM c"""
+
 QUERIES = {
     "preprocess_text": Query(
         lambda t: tx.preprocess_text(t.documents).select(
@@ -408,12 +418,7 @@ QUERIES = {
             UNION ALL SELECT concat('outputs/online/', id, '.json') FROM responses""",
         ),
     ),
-    "sse_transcripts": Query(
-        _transcripts,
-        f"""WITH {TURNS_SQL} SELECT request_id, text,
-        CAST(len(string_split(text, ' ')) - CASE WHEN starts_with(text, ' ') OR text = '' THEN 1 ELSE 0 END AS BIGINT) AS output_tokens
-        FROM turns""",
-    ),
+    "sse_transcripts": Query(_transcripts, TRANSCRIPT_SQL),
     "batch_infer": Query(
         _inferred,
         f"""WITH {INFERRED_SQL}

@@ -206,8 +206,8 @@ def _records(t: Tables) -> DataFrame:
 
 def _logs(t: Tables) -> DataFrame:
     path = fresh_dir(t.spark, "logs")
-    sinks.write_logs(t.documents.select(F.concat("lang", F.lit(".log")).alias("filename"), "text"), path)
-    return sinks.read_logs(t.spark, path).groupBy("filename", "value").agg(F.count(F.lit(1)).alias("lines"))
+    sinks.write_logs(t.documents.select(F.concat("lang", F.lit(".log")).alias("filename"), "text", "doc_id"), path, ["doc_id"])
+    return sinks.read_logs(t.spark, path)
 
 
 def _metrics(t: Tables) -> DataFrame:
@@ -301,8 +301,9 @@ QUERIES = {
     ),
     "sink_logs": Query(
         _logs,
-        """SELECT concat(lang, '.log') AS filename, value, count(*) AS lines FROM
-        (SELECT lang, unnest(string_split(text, chr(10))) AS value FROM documents) GROUP BY 1, 2""",
+        r"""WITH d AS (SELECT concat(lang, '.log') AS filename, doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS lines FROM documents),
+        u AS (SELECT filename, doc_id, unnest(lines) AS value, unnest(range(1, len(lines) + 1)) AS pos FROM d)
+        SELECT filename, row_number() OVER (PARTITION BY filename ORDER BY doc_id, pos) AS line, value FROM u""",
     ),
     "sink_metrics": Query(
         _metrics,

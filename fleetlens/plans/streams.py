@@ -9,7 +9,7 @@ from fleetlens.functions.status import success_flag
 from fleetlens.operators.admission import rate_limit_labels
 from fleetlens.operators.slo import ALARM_RULES
 from fleetlens.plans import fixtures
-from fleetlens.plans.batch import STREAM_EPOCH, stream_chunks
+from fleetlens.plans.batch import STREAM_EPOCH, TRANSCRIPT_SQL, stream_chunks
 from fleetlens.plans.fixtures import Tables, with_views
 from fleetlens.plans.incidents import alert_sql, down_sql, outage_sql
 from fleetlens.plans.registry import Query
@@ -80,9 +80,7 @@ def _transcripts(t: Tables) -> DataFrame:
     chunks = stream_chunks(messages).withColumn(
         "started_at", F.timestamp_millis(F.lit(STREAM_EPOCH * 1000 - 250) + F.col("conv_id") * 1000)
     )
-    return run_available(sq.stream_transcripts(chunks), "transcripts").select(
-        "request_id", "text", "output_tokens"
-    )
+    return run_available(sq.stream_transcripts(chunks), "transcripts")
 
 
 def _sli_sql(metric: str, value: str, alarm: str, breach: str) -> str:
@@ -165,10 +163,5 @@ QUERIES = {
             sql="SELECT job_id, arg_max(ray_status, seq) AS status, max(ts) AS updated_at FROM job_events GROUP BY 1",
         ),
     ),
-    "stream_transcripts": Query(
-        _transcripts,
-        """SELECT concat(conv_id, '-', turn) AS request_id, text,
-        CAST(len(string_split(text, ' ')) - CASE WHEN starts_with(text, ' ') OR text = '' THEN 1 ELSE 0 END AS BIGINT) AS output_tokens
-        FROM conversations""",
-    ),
+    "stream_transcripts": Query(_transcripts, TRANSCRIPT_SQL),
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.status import is_routable, success_flag
@@ -65,14 +67,33 @@ def read_records(spark: SparkSession, path: str, job: str | None = None, buckets
     return rows.where((F.col("channel") == "offline") & (F.col("bucket") == own) & (F.col("job") == job))
 
 
-def write_logs(logs: DataFrame, path: str) -> None:
-    """Log text under one folder per file name; ``logs`` has filename and text."""
-    lines = logs.select(F.col("text").alias("value"), "filename")
-    lines.write.mode("append").partitionBy("filename").option("lineSep", "\n").text(f"{path}/logs")
+def write_logs(logs: DataFrame, path: str, order: Sequence[str] = ("seq",)) -> None:
+    """Log text under ``logs/filename=...``; ``logs`` has filename, text and the columns of ``order``.
+
+    Texts of a file are written in that order, a file that has been written before is replaced. Ranges of (file, order) are dealt to
+    tasks: a large file is in several parts whose names sort as their lines do, and there are no more parts than files and tasks.
+    """
+    along = ["filename", *order]
+    sorted_ = logs.select("filename", *order, F.col("text").alias("value")).repartitionByRange(*along).sortWithinPartitions(*along)
+    writer = sorted_.select("filename", "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("filename").option("lineSep", "\n").text(f"{path}/logs")
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("lineSep", "\n").text(f"{path}/logs")
+    """``(filename, line, value)``: every line with its number in its file, from 1.
+
+    Lines are counted per byte range of a part; the counts, one for each range, are summed along the file.
+    """
+    rows = spark.read.option("lineSep", "\n").text(f"{path}/logs").select(
+        "filename", F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), "value",
+    )
+    place = ["filename", "part", "block"]
+    along = Window.partitionBy("filename").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)))
+    here = F.row_number().over(Window.partitionBy(*place).orderBy("row"))
+    numbered = rows.withColumn("here", here).join(ranges.drop("n"), place)
+    return numbered.select("filename", (F.col("before") + F.col("here")).alias("line"), "value")
 
 
 def _datum(metric: str, value: Column, unit: str = "None") -> Column:

@@ -127,13 +127,26 @@ def test_records_by_channel_and_job(spark, tmp_path):
 
 
 def test_logs_and_events_round_trip(spark, tmp_path, as_rows):
-    sinks.write_logs(spark.createDataFrame([("a.log", "x\ny\r"), ("b.log", "")], "filename string, text string"), str(tmp_path))
-    assert as_rows(sinks.read_logs(spark, str(tmp_path)), "filename", "value") == [("a.log", "x"), ("a.log", "y\r"), ("b.log", "")]
-    events = spark.createDataFrame([(at(1.234567), "FAILOVER", 3)], "ts timestamp, event string, node int")
-    sinks.write_events(events, str(tmp_path / "e"))
-    line = json.loads(spark.read.text(str(tmp_path / "e")).first()[0])
-    assert line["timestamp"] == 1704067201234 and json.loads(line["message"]) == {"event": "FAILOVER", "node": 3}
-    assert as_rows(sinks.read_events(spark, str(tmp_path / "e"), "event string, node int")) == [(at(1.234), "FAILOVER", 3)]
+    rows = [("a.log", 2, "z"), ("b.log", 1, ""), ("a.log", 1, "x\ny\r")]
+    sinks.write_logs(spark.createDataFrame(rows, "filename string, seq int, text string").repartition(3), str(tmp_path))
+    assert as_rows(sinks.read_logs(spark, str(tmp_path)), "filename", "line", "value") == [("a.log", 1, "x"), ("a.log", 2, "y\r"), ("a.log", 3, "z"), ("b.log", 1, "")]
+    sinks.write_logs(spark.createDataFrame([("b.log", 1, "new")], "filename string, seq int, text string"), str(tmp_path))
+    assert as_rows(sinks.read_logs(spark, str(tmp_path)), "filename", "line", "value")[2:] == [("a.log", 3, "z"), ("b.log", 1, "new")]
+
+
+def test_a_large_log_keeps_its_order_over_parts_and_ranges(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        logs = spark.range(2000).select(F.lit("big.log").alias("filename"), F.col("id").alias("seq"), F.concat(F.lit("line "), "id").alias("text"))
+        sinks.write_logs(logs.orderBy(F.rand(3)), str(tmp_path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        rows = sinks.read_logs(spark, str(tmp_path)).orderBy("line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "logs" / "filename=big.log").glob("part-*"))) > 1
+    assert [(r.line, r.value) for r in rows] == [(i + 1, f"line {i}") for i in range(2000)]
 
 
 def test_datums(spark, as_rows):

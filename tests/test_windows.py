@@ -155,3 +155,20 @@ def test_bursts_are_cut_and_results_stay_the_same(spark, monkeypatch):
     assert parts.agg(F.max("count")).first()[0] < 700
     assert parts.where(f"{scan.KEY}.node = 'hot'").count() > 5
     assert results() == whole
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1024])
+def test_window_quantiles_sort_every_window(size):
+    rng = np.random.default_rng(size)
+    for n in (0, 1, 2, 3, 40, 300):
+        values = rng.choice([rng.random(n) * 100, rng.integers(0, 4, n).astype(float), -np.arange(n, dtype=float)])
+        got = rolling.window_quantiles(values, size)
+        want = [[np.quantile(values[max(0, i + 1 - size) : i + 1], p) for p in rolling.PROBS] for i in range(n)]
+        assert np.allclose(got, np.array(want).reshape(-1, 3))
+
+
+def test_rolling_quantiles_skip_values_that_are_none(spark):
+    data = [(0, 1, at(i), i, v) for i, v in enumerate([5.0, float("nan"), None, 7.0, float("inf")])]
+    df = spark.createDataFrame(data, "cluster_id int, node int, ts timestamp, seq int, latency_ms double")
+    got = {r.seq: r.p50 for r in rolling.rolling_quantiles(df, size=2).collect()}
+    assert got == {0: 5.0, 3: 6.0, 4: float("inf")}
