@@ -58,11 +58,16 @@ def rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RUL
     return (F.lit(None).cast("string"),) * 2 if name is None else (name, verdict)
 
 
-def domains(host: Column) -> Column:
-    """The host and its parent domains, longest first; none for an empty host."""
-    labels = F.split(host, r"\.")
-    every = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return F.filter(every, lambda d: d != "")
+def domains(host: Column, most: int) -> Column:
+    """The host and its parent domains of at most ``most`` labels; none for an empty host.
+
+    A listed key of k labels can only equal one of these with k labels, so longer ones need no look-up, and a host of
+    very many labels costs no more than others.
+    """
+    if most < 1:
+        return F.array().cast("array<string>")
+    ends = F.array_distinct(F.array(*[F.call_function("substring_index", host, F.lit("."), F.lit(-i)) for i in range(1, most + 1)]))
+    return F.filter(ends, lambda d: d != "")
 
 
 def key_hashes(key: Column) -> tuple[Column, Column]:
@@ -149,16 +154,18 @@ def judge(
 
     The longest rule that fits decides; else a page is blocked if its host or a parent domain of it is
     in ``listed`` (column ``key``), and allowed if not. Null URLs, and those without ``://``, have an
-    empty host and path and are allowed. Columns of these five names are replaced; repeated rows stay.
+    empty host and path and are allowed. Columns of these five names are replaced; repeated rows stay. A list whose filters
+    would take more than ``MAX_BITS`` bits ends the job with an error.
     """
     new = ("host", "path", "rule", "verdict", "listed")
     rest = pages.drop(*new)
     host, path = host_and_path(F.col(f"`{url}`").cast("string"))
-    universe = pages.select(host.alias("host")).distinct().select(F.explode(domains(F.col("host"))).alias("key"))
+    most = listed.agg(F.max(F.size(F.split("key", r"\."))).alias("n")).first().n or 0
+    universe = pages.select(host.alias("host")).distinct().select(F.explode(domains(F.col("host"), most)).alias("key"))
     levels = rest.sparkSession.sparkContext.broadcast(build(universe, listed).levels)  # bounded by MAX_BITS
     parts = rest.select("*", host.alias("host"), path.alias("path"))
     name, verdict = rule(F.col("host"), F.col("path"), rules)
-    pairs = F.transform(domains(F.col("host")), lambda d: F.struct(*[h.alias(n) for n, h in zip("ab", key_hashes(d))]))
+    pairs = F.transform(domains(F.col("host"), most), lambda d: F.struct(*[h.alias(n) for n, h in zip("ab", key_hashes(d))]))
     ready = parts.select("*", name.alias("rule"), verdict.alias("verdict"), pairs.alias("__keys"))
     columns = ready.columns[:-1]
 
