@@ -15,11 +15,7 @@ from fleetlens.operators.scan import (
     DEFAULT_CHUNK_S,
     by_time,
     int_chunk,
-    pack,
-    previous_row,
     row_index,
-    running_totals,
-    unpack,
 )
 
 SAMPLES = 1024
@@ -125,6 +121,18 @@ def sample_blocks(
     )
 
 
+def _rates(pdf: pd.DataFrame, reach: int) -> pd.DataFrame:
+    """Per-second increases of one slice, margin rows dropped."""
+    pdf = pdf.sort_values(["__us", "seq"], ignore_index=True)
+    us, value = pdf["__us"].to_numpy(np.int64), pdf["__value"].to_numpy(float)
+    step = np.diff(value, prepend=value[0])
+    grown = np.cumsum(np.where(step < 0, value, step).astype(np.longdouble))
+    first, last = np.searchsorted(us, us - reach), np.searchsorted(us, us, side="right") - 1
+    rate = ((grown[last] - grown[first]) / (reach / 1e6)).astype(float)
+    pdf["per_second"] = np.where(last > first, rate, np.nan)
+    return pdf[pdf["__own"] == pdf["__slice"]]
+
+
 def counter_rate(
     samples: DataFrame,
     by: Sequence[str] = ("cluster_id", "node"),
@@ -136,34 +144,20 @@ def counter_rate(
 
     A drop is a restart from zero. Only increases between two samples of the range
     count; a range with a single sample has no rate. Nothing is extrapolated to the
-    range's edges.
+    range's edges. Samples at the same time see each other; rows without a time or a value are no samples.
+
+    Samples are cut into time slices of ``chunk_s``, or the range if that is longer, and each slice also receives the
+    samples of the range before it. So one shuffle brings together all that a rate depends on, a task holds one slice of one
+    key, and sums start anew in every slice, so that no rounding error grows with the history.
     """
     by = list(by)
-    reach = F.lit(int(range_s * 1_000_000))
-    stepped = previous_row(
-        pack(samples.select(*by, "ts", "seq", "value"), by),
-        ["ts", "seq"],
-        by_time(F.col("ts"), chunk_s),
-        F.struct("value", F.unix_micros("ts").alias("us")),
-        "__prev",
-    )
-    now, before = F.unix_micros("ts"), F.col("__prev.us")
-    step = F.col("value") - F.col("__prev.value")
-    grown = F.when(step < 0, F.col("value")).otherwise(step)
-    # An increase counts while the sample before it is still in range.
-    counts = before.isNotNull() & (now - before <= reach)
-    totals = running_totals(
-        unpack(stepped),
-        by,
-        now,
-        F.coalesce(before, now) + reach,
-        {
-            "__grown": F.when(counts, grown).otherwise(0.0),
-            "__pairs": F.when(counts, 1).otherwise(0),
-        },
-        chunk_s,
-    )
-    rate = F.when(F.col("__pairs") > 0, F.col("__grown") / F.lit(float(range_s)))
-    return totals.withColumn("per_second", rate).select(
-        *by, "ts", "seq", "per_second", (F.col("per_second") * 60.0).alias("per_minute")
-    )
+    reach = int(range_s * 1_000_000)
+    width = max(reach, int(chunk_s * 1_000_000))
+    us = F.unix_micros("ts")
+    rows = samples.select(*by, "ts", "seq", F.col("value").cast("double").alias("__value"), us.alias("__us"))
+    rows = rows.where(F.col("__us").isNotNull() & F.col("__value").isNotNull()).withColumn("__own", int_chunk(F.col("__us"), width))
+    sliced = rows.withColumn("__slice", F.explode(F.sequence("__own", int_chunk(F.col("__us") + reach, width))))
+    schema = T.StructType([*sliced.schema.fields, T.StructField("per_second", T.DoubleType())])
+    rated = sliced.groupBy(*by, "__slice").applyInPandas(lambda pdf: _rates(pdf, reach), schema)
+    per_second = F.nanvl("per_second", F.lit(None).cast("double"))
+    return rated.select(*by, "ts", "seq", per_second.alias("per_second"), (per_second * 60.0).alias("per_minute"))

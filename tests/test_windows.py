@@ -172,3 +172,22 @@ def test_rolling_quantiles_skip_values_that_are_none(spark):
     df = spark.createDataFrame(data, "cluster_id int, node int, ts timestamp, seq int, latency_ms double")
     got = {r.seq: r.p50 for r in rolling.rolling_quantiles(df, size=2).collect()}
     assert got == {0: 5.0, 3: 6.0, 4: float("inf")}
+
+
+def test_counter_rate_is_one_shuffle_without_drift(spark):
+    """A long history of increases that doubles cannot hold exactly: the last rates are as exact as the first."""
+    df = spark.range(200_000).select(
+        F.lit(0).alias("cluster_id"), F.lit(1).alias("node"), F.col("id").alias("seq"), F.timestamp_millis(F.col("id") * 500).alias("ts"),
+        (F.col("id") * 0.1 + 1e9).alias("value"),
+    )
+    rated = rolling.counter_rate(df, range_s=10.0)
+    assert rated._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    worst = rated.where("seq >= 20").agg(F.max(F.abs(F.col("per_second") - 0.2))).first()[0]
+    assert worst < 1e-6
+
+
+def test_counter_rate_without_time_or_value(spark):
+    data = [(0, 1, 0, at(0), 1.0), (0, 1, 1, None, 5.0), (0, 1, 2, at(10), None), (0, 1, 3, at(20), 7.0), (None, None, 4, at(20), 7.0)]
+    df = spark.createDataFrame(data, "cluster_id int, node int, seq int, ts timestamp, value double")
+    assert {r.seq: r.per_second for r in rolling.counter_rate(df).collect()} == {0: None, 3: pytest.approx(0.1), 4: None}
+    assert rolling.counter_rate(df.limit(0)).collect() == []
