@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators.scan import (
     DEFAULT_CHUNK_S,
+    KEY,
     by_time,
     chunked_scan,
     pack,
@@ -132,6 +133,85 @@ def downtime(
     )
 
 
+def node_failovers(
+    probes: DataFrame,
+    failures: DataFrame,
+    nodes: DataFrame,
+    scope: Sequence[str] = ("cluster_id",),
+    *,
+    primary_count: int = 1,
+    threshold: int = ROUTER_THRESHOLD,
+    chunk_s: float = DEFAULT_CHUNK_S,
+) -> DataFrame:
+    """Failovers of nodes by probes and by requests, when they ended, and whether traffic was hit.
+
+    A node that is up fails over at the ``threshold``-th failed probe in a row (``cause`` probe), or at one failed request
+    (``cause`` request), whichever comes first, and is up again at its next healthy probe. ``probes`` has the scope,
+    node, ts, seq and healthy; ``failures`` the same without healthy, one row for each failed request; ``nodes`` the scope, node and
+    priority. ``routing_impact`` tells whether the node was among the ``primary_count`` first by priority of the nodes that were up,
+    which take the traffic, when it failed; it is null for nodes that ``nodes`` does not list.
+
+    Between two healthy probes of a node there is one failover at most, so a count of healthy probes numbers them;
+    how many better nodes are down is a running sum over their failovers and recoveries.
+    """
+    scope = list(scope)
+    keys = [*scope, "node"]
+    rows = probes.select(*keys, "ts", "seq", "healthy", F.lit("probe").alias("cause")).unionByName(
+        failures.select(*keys, "ts", "seq", F.lit(False).alias("healthy"), F.lit("request").alias("cause"))
+    )
+    is_probe = F.col("cause") == "probe"
+    ok, bad = is_probe & F.coalesce("healthy", F.lit(False)), is_probe & ~F.coalesce("healthy", F.lit(False))
+    scanned = chunked_scan(
+        pack(rows.select(*keys, "ts", "seq", "cause", ok.alias("ok"), bad.alias("bad")), keys),
+        _order(),
+        by_time(F.col("ts"), chunk_s),
+        local={
+            "__bad": lambda w: F.sum(F.col("bad").cast("long")).over(so_far(w)),
+            "__oks": lambda w: F.sum(F.col("ok").cast("long")).over(so_far(w)),
+            "__ok_at": lambda w: F.max(F.when(F.col("ok"), F.col("__bad"))).over(so_far(w)),
+        },
+        summary={"__bads": F.max("__bad"), "__all_oks": F.max("__oks"), "__last_ok": F.max("__ok_at")},
+        carry={
+            "__seen": lambda w: F.coalesce(F.sum("__bads").over(w), F.lit(0)),
+            "__ups": lambda w: F.coalesce(F.sum("__all_oks").over(w), F.lit(0)),
+            "__base": lambda w: F.max(F.col("__seen") + F.col("__last_ok")).over(w),
+        },
+    )
+    in_a_row = F.coalesce(F.col("__bad") - F.col("__ok_at"), F.col("__seen") + F.col("__bad") - F.coalesce("__base", F.lit(0)))
+    triggers = (F.col("bad") & (in_a_row >= threshold)) | (F.col("cause") == "request")
+    moment = F.struct("ts", "seq", "cause")
+    # A healthy probe ends the time before it.
+    time_up = F.col("__ups") + F.col("__oks") - F.col("ok").cast("long")
+    found = unpack(
+        scanned.withColumn("__up", time_up).where(F.col("ok") | triggers).groupBy(KEY, "__up").agg(
+            F.min(F.when(triggers, moment)).alias("down"), F.min(F.when(F.col("ok"), moment)).alias("back")
+        ).where("down is not null")
+    ).drop("__up")
+    ranked = nodes.select(*keys, "priority")
+    better = ranked.select(*scope, F.col("node").alias("__better"), F.col("priority").alias("__p"))
+    pairs = ranked.join(better, scope).where((F.col("__p") < F.col("priority")) | ((F.col("__p") == F.col("priority")) & (F.col("__better") < F.col("node"))))
+    ahead = ranked.join(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys, "left").select(*keys, F.coalesce("__n", F.lit(0)).alias("__ahead"))
+    moves = found.select(*scope, F.col("node").alias("__better"), F.inline(F.array(
+        F.struct("down.ts", "down.seq", F.lit(1).alias("__d")), F.struct("back.ts", "back.seq", F.lit(-1).alias("__d"))
+    ))).where(F.col("ts").isNotNull())
+    others = moves.join(pairs.select(*keys, "__better"), [*scope, "__better"]).select(*keys, "ts", "seq", "__d", F.lit(None).cast("struct<ts:timestamp,seq:bigint,cause:string>").alias("back"), F.lit(None).cast("string").alias("cause"))
+    own = found.select(*keys, "down.ts", "down.seq", F.lit(0).alias("__d"), F.col("back").cast("struct<ts:timestamp,seq:bigint,cause:string>").alias("back"), "down.cause")
+    summed = chunked_scan(
+        pack(others.unionByName(own), keys),
+        _order(),
+        by_time(F.col("ts"), chunk_s),
+        local={"__here": lambda w: F.sum("__d").over(so_far(w))},
+        summary={"__sum": F.sum("__d")},
+        carry={"__earlier": lambda w: F.sum("__sum").over(w)},
+    )
+    down = F.col("__here") + F.coalesce("__earlier", F.lit(0))
+    judged = unpack(summed.withColumn("__down", down).where("cause is not null")).join(ahead, keys, "left")
+    return judged.select(
+        *keys, F.col("ts").alias("failover_ts"), "seq", "cause", F.col("back.ts").alias("recovered_ts"),
+        (F.col("__ahead") - F.col("__down") < primary_count).alias("routing_impact"),
+    )
+
+
 def respawn_counts(downtimes: DataFrame, keys: Sequence[str] = NODE_KEYS) -> DataFrame:
     """Recoveries and total downtime per node."""
     return downtimes.groupBy(*keys).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetlens.operators import incidents as inc
-from fleetlens.plans.fixtures import Tables, with_views
+from fleetlens.plans.fixtures import Tables, by_cluster, with_views
 from fleetlens.plans.registry import Query
 
 HOURS = 3600.0
@@ -67,7 +67,36 @@ _RECOVERY_SQL = """s AS (SELECT node, ts, CASE event_type WHEN 'error' THEN 'DEA
     phases AS (SELECT node, t0, 'outage-detected' AS phase, outage_ts IS NOT NULL AS passed, outage_ts AS at FROM r
           UNION ALL SELECT node, t0, 'rejoin-confirmed', rejoin_ts IS NOT NULL, rejoin_ts FROM r)"""
 
+PRIMARIES = 30
+
+
+def _failovers(t: Tables):
+    """Every second event is a probe of its node, the errors among the others are failed requests."""
+    events = by_cluster(t.events)
+    rows = events.select("cluster_id", "node", "ts", F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("healthy"))
+    probes, requests = rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1 AND NOT healthy").drop("healthy")
+    nodes = events.select("cluster_id", "node").distinct().withColumn("priority", F.col("node"))
+    return inc.node_failovers(probes, requests, nodes, primary_count=PRIMARIES)
+
+
+_FAILOVER_SQL = f"""WITH r AS (SELECT cluster_id, node, ts, event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'probe' ELSE 'request' END AS cause,
+      event_id % 2 = 0 AND event_type <> 'error' AS ok FROM fleet WHERE event_id % 2 = 0 OR event_type = 'error'),
+    u AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY cluster_id, node ORDER BY ts, seq) AS up FROM r),
+    n AS (SELECT *, count(*) FILTER (cause = 'probe' AND NOT ok) OVER (PARTITION BY cluster_id, node, up ORDER BY ts, seq) AS bad FROM u),
+    d AS (SELECT cluster_id, node, up, min({{'ts': ts, 'seq': seq, 'cause': cause}}) AS down FROM n
+      WHERE NOT ok AND (cause = 'request' OR bad >= 3) GROUP BY ALL),
+    f AS (SELECT d.cluster_id, d.node, down.ts AS ts, down.seq AS seq, down.cause AS cause, u.ts AS back_ts, u.seq AS back_seq
+      FROM d LEFT JOIN u ON u.cluster_id = d.cluster_id AND u.node = d.node AND u.ok AND u.up = d.up + 1),
+    nodes AS (SELECT DISTINCT cluster_id, node FROM fleet),
+    ahead AS (SELECT a.cluster_id, a.node, count(b.node) AS n FROM nodes a LEFT JOIN nodes b ON b.cluster_id = a.cluster_id AND b.node < a.node GROUP BY ALL),
+    hit AS (SELECT f.cluster_id, f.node, f.seq, count(o.seq) AS down FROM f LEFT JOIN f o ON o.cluster_id = f.cluster_id AND o.node < f.node
+      AND (o.ts, o.seq) < (f.ts, f.seq) AND (o.back_ts IS NULL OR (o.back_ts, o.back_seq) > (f.ts, f.seq)) GROUP BY ALL)
+    SELECT f.cluster_id, f.node, f.ts AS failover_ts, f.seq, f.cause, f.back_ts AS recovered_ts, ahead.n - hit.down < {PRIMARIES} AS routing_impact
+    FROM f JOIN hit ON hit.cluster_id = f.cluster_id AND hit.node = f.node AND hit.seq = f.seq
+    JOIN ahead ON ahead.cluster_id = f.cluster_id AND ahead.node = f.node"""
+
 QUERIES = {
+    "node_failovers": Query(_failovers, with_views("fleet", sql=_FAILOVER_SQL)),
     "probe_outages": Query(
         lambda t: inc.probe_outages(t.probes).drop("cluster_id"),
         with_views("probes", sql=outage_sql(3)),

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.operators import incidents as inc
 
@@ -143,3 +144,34 @@ def test_phase_rollup_of_nothing_passes(spark):
     scopes = spark.createDataFrame([(1,), (2,), (3,)], "k int")
     got = {r["k"]: r["passed"] for r in inc.phase_rollup(phases, ["k"], scopes).collect()}
     assert got == {1: False, 2: True, 3: True}
+
+
+@pytest.mark.parametrize("chunk_s", [20, 100000])
+def test_failovers_by_probes_and_requests_match_a_plain_loop(spark, chunk_s):
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        kind = rng.choices(["ok", "bad", "request"], [5, 5, 1])[0]
+        rows.append((rng.randrange(2), rng.randrange(5), at(i * 3 // 2), i, kind))
+    priority = {0: 2, 1: 0, 2: 1, 3: 4, 4: 1}
+    failures, down, want = {}, {}, {}
+    for c, n, ts, seq, kind in rows:
+        if kind == "ok":
+            failures[c, n] = 0
+            if (c, n) in down:
+                want[down.pop((c, n))][1] = ts
+            continue
+        failures[c, n] = failures.get((c, n), 0) + (kind == "bad")
+        if (c, n) in down or (kind == "bad" and failures[c, n] < 3):
+            continue
+        up = sorted((priority[m], m) for m in priority if (c, m) not in down)
+        want[c, n, ts, seq] = ["request" if kind == "request" else "probe", None, (priority[n], n) in up[:2]]
+        down[c, n] = (c, n, ts, seq)
+    df = spark.createDataFrame(rows, "cluster_id int, node int, ts timestamp, seq bigint, kind string").repartition(3)
+    nodes = spark.createDataFrame([(c, n, p) for c in range(2) for n, p in priority.items()], "cluster_id int, node int, priority int")
+    probes = df.where("kind <> 'request'").withColumn("healthy", F.col("kind") == "ok")
+    got = inc.node_failovers(probes, df.where("kind = 'request'"), nodes, primary_count=2, chunk_s=chunk_s).collect()
+    assert {(r.cluster_id, r.node, r.failover_ts, r.seq): [r.cause, r.recovered_ts, r.routing_impact] for r in got} == want
+    assert {v[0] for v in want.values()} == {"probe", "request"} and {v[2] for v in want.values()} == {True, False}
+    events = inc.node_failovers(probes, df.where("kind = 'request'"), nodes.limit(0)).limit(1).collect()
+    assert events[0].routing_impact is None
