@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.storage import bitmap, has_bit, stored
-from fleetlens.llm.text import Prefixes, code_points, keyed, mix, same_document, slices, text_buffer
+from fleetlens.llm.text import Prefixes, code_points, keyed, mix, slices, text_buffer
 
 MAX_EDITS = 2
 NEAR_CHARS = 30
@@ -37,7 +37,7 @@ NO_BLANK = 0x3001  # from this code point on none is white space
 BLANK = np.array([chr(c).isspace() for c in range(NO_BLANK)] + [False])
 CANDIDATE_BITS = 1 << 25
 LINES_PER_SHARD = 60_000
-STRIP = 256
+STRIP, STRIP_ACROSS = 256, 4096
 BUCKETS = 16
 OUTSIDE = 0xFFFFFFFF
 DOC = ("doc_id", "th")
@@ -159,11 +159,12 @@ def meeting(key: np.ndarray, line: np.ndarray, indexed: np.ndarray, counts: np.n
         add(small, small + step)
     for a, n in zip(begin[size > STRIP].tolist(), size[size > STRIP].tolist()):
         for low in range(a, a + n, STRIP):
-            high = min(low + STRIP, a + n)
-            i, j = np.arange(low, high), np.arange(low, a + n)
-            x, y = np.meshgrid(i, j, indexing="ij")
-            later = x < y
-            add(x[later], y[later])
+            i = np.arange(low, min(low + STRIP, a + n))
+            for left in range(low, a + n, STRIP_ACROSS):
+                j = np.arange(left, min(left + STRIP_ACROSS, a + n))
+                x, y = np.meshgrid(i, j, indexing="ij")
+                later = x < y
+                add(x[later], y[later])
     pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
     pairs = np.sort(pairs, axis=1)
     return np.unique(pairs, axis=0)
