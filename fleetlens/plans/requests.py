@@ -127,13 +127,15 @@ QUERIES = {
         ),
     ),
     "rto_hourly": Query(
-        # Times are whole microseconds, so the 99th percentile of two has exact ties in the seventh place, which engines
-        # round differently; one of the places before is compared.
-        lambda t: slo.rto_hourly(failover_rto(t.ops_events)).withColumn("p99_rto_s", F.round("p99_rto_s", 4)),
+        # Times are whole microseconds and the 99th percentile lies on hundredths between two of them, so hundredths
+        # of microseconds are compared as whole numbers.
+        lambda t: slo.rto_hourly(failover_rto(t.ops_events)).select(
+            "window_start", "max_rto_s", F.round(F.col("p99_rto_s") * 1e8).cast("long").alias("p99_rto_e8")
+        ),
         with_views(
             "ops_events",
             sql=f"""SELECT date_trunc('hour', ts) AS window_start, round(max(elapsed_seconds), 6) AS max_rto_s,
-            round(quantile_cont(elapsed_seconds, 0.99), 4) AS p99_rto_s FROM ({RTO_SQL}) GROUP BY 1""",
+            round(quantile_cont(elapsed_seconds, 0.99) * 1e8)::BIGINT AS p99_rto_e8 FROM ({RTO_SQL}) GROUP BY 1""",
         ),
     ),
     "failover_rto": Query(

@@ -108,11 +108,15 @@ def test_response_defaults(spark):
 
 
 def test_preprocess_text(spark):
-    df = spark.createDataFrame([("  Hello\tWORLD x y ",), ("",), (None,), ("\x1c\x1d",)], "text string")
-    got = [(r["processed_text"], r["tokens"], r["token_count"]) for r in text.preprocess_text(df).collect()]
-    for (given,), (low, tokens, count) in zip([("  Hello\tWORLD x y ",), ("",), (None,), ("\x1c\x1d",)], got):
-        clean = str(given).lower()
-        assert (low, tokens, count) == (clean, clean.split(), len(clean.split()))
+    df = spark.createDataFrame([(1, "  Hello\tWORLD x y "), (2, ""), (3, None), (4, "\x1c\x1d"), (5, "ÉTÉ\u00a0Σ")], "i int, text string")
+    got = {r["i"]: (r["processed_text"], r["tokens"], r["token_count"]) for r in text.preprocess_text(df).collect()}
+    assert got == {
+        1: ("  hello\tworld x y ", ["hello", "world", "x", "y"], 4),
+        2: ("", [], 0),
+        3: ("none", ["none"], 1),
+        4: ("\x1c\x1d", [], 0),
+        5: ("été\u00a0σ", ["été", "σ"], 2),
+    }
     other = spark.createDataFrame([(1,)], "n int")
     assert text.preprocess_text(other).columns == ["n"]
 
