@@ -146,13 +146,13 @@ def counter_rate(
     count; a range with a single sample has no rate. Nothing is extrapolated to the
     range's edges. Samples at the same time see each other; rows without a time or a value are no samples.
 
-    Samples are cut into time slices of ``chunk_s``, or the range if that is longer, and each slice also receives the
-    samples of the range before it. So one shuffle brings together all that a rate depends on, a task holds one slice of one
+    Samples are cut into time slices of ``chunk_s``, or four ranges if that is longer, and each slice also receives the
+    samples of the range before it, a quarter more at most where they are even. So one shuffle brings together all that a rate depends on, a task holds one slice of one
     key, and sums start anew in every slice, so that no rounding error grows with the history.
     """
     by = list(by)
     reach = int(range_s * 1_000_000)
-    width = max(reach, int(chunk_s * 1_000_000))
+    width = max(4 * reach, int(chunk_s * 1_000_000))
     us = F.unix_micros("ts")
     rows = samples.select(*by, "ts", "seq", F.col("value").cast("double").alias("__value"), us.alias("__us"))
     rows = rows.where(F.col("__us").isNotNull() & F.col("__value").isNotNull()).withColumn("__own", int_chunk(F.col("__us"), width))
