@@ -83,6 +83,21 @@ def latency_quantiles(
     return listed.join(found, list(by), "left").fillna(0.0, list(NODE_QUANTILES))
 
 
+def request_quantiles(requests: DataFrame, by: Sequence[str]) -> DataFrame:
+    """p50, p95 and p99 per group of all its requests and, as ``served_...``, of the successful ones.
+
+    Every group has a row: null where no request has a latency, 0 where no successful one has.
+    """
+    served = F.coalesce(success_flag(F.col("status")) == 1, F.lit(False))
+    kinds = F.when(served, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    marked = requests.select(*by, "latency_ms", F.explode(kinds).alias("__served"))
+    found = exact_quantiles(marked, [*by, "__served"], "latency_ms", NODE_QUANTILES)
+    rows = found.unionByName(requests.select(*by).distinct(), allowMissingColumns=True)
+    every = [F.max(F.when(~F.col("__served"), F.col(n))).alias(n) for n in NODE_QUANTILES]
+    good = [F.coalesce(F.max(F.when(F.col("__served"), F.col(n))), F.lit(0.0)).alias(f"served_{n}") for n in NODE_QUANTILES]
+    return rows.groupBy(*by).agg(*every, *good)
+
+
 def with_sla_flag(quantiles: DataFrame, target_ms: float = SLA_P95_MS) -> DataFrame:
     """p95 within target; a target of 0 or less, or no samples, always passes."""
     p95 = F.col("latency_p95_ms")

@@ -41,6 +41,9 @@ def _successes(t: Tables) -> DataFrame:
     return t.requests.where(success_flag(F.col("status")) == 1)
 
 
+_SERVED = "FILTER (status IN (200,201,302))"
+
+
 def rto_sql(events: str = "ops_events", keys: str = "") -> str:
     return f"""SELECT {keys + ', ' if keys else ''}ts, node, failed_node, (epoch_us(ts) - epoch_us(prev_ts)) / 1e6 AS elapsed_seconds
     FROM (SELECT *, lag(event) OVER w AS prev_event, lag(ts) OVER w AS prev_ts, lag(node) OVER w AS failed_node
@@ -67,12 +70,15 @@ QUERIES = {
         ),
     ),
     "latency_quantiles": Query(
-        lambda t: slo.latency_quantiles(_successes(t), ["node"]),
+        lambda t: slo.request_quantiles(t.requests, ["node"]),
         with_views(
             "requests",
-            sql="""SELECT node, round(quantile_cont(latency_ms, 0.5), 6) AS latency_p50_ms,
+            sql=f"""SELECT node, round(quantile_cont(latency_ms, 0.5), 6) AS latency_p50_ms,
             round(quantile_cont(latency_ms, 0.95), 6) AS latency_p95_ms,
-            round(quantile_cont(latency_ms, 0.99), 6) AS latency_p99_ms FROM requests WHERE status IN (200,201,302) GROUP BY node""",
+            round(quantile_cont(latency_ms, 0.99), 6) AS latency_p99_ms,
+            round(coalesce(quantile_cont(latency_ms, 0.5) {_SERVED}, 0), 6) AS served_latency_p50_ms,
+            round(coalesce(quantile_cont(latency_ms, 0.95) {_SERVED}, 0), 6) AS served_latency_p95_ms,
+            round(coalesce(quantile_cont(latency_ms, 0.99) {_SERVED}, 0), 6) AS served_latency_p99_ms FROM requests GROUP BY node""",
         ),
     ),
     "sla_flag": Query(

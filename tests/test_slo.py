@@ -115,3 +115,20 @@ def test_rate_pressure_keeps_the_entry_exactly_a_window_old(spark):
     df = spark.createDataFrame(data, "cluster_id int, request_id int, ts timestamp")
     got = {r["request_id"]: r["in_window"] for r in slo.rate_limit_pressure(df).collect()}
     assert got == {0: 1, 1: 2, 2: 2, 3: 1, 4: 2, 5: 3}
+
+
+def test_quantiles_of_all_requests_and_of_the_served_ones(spark, as_rows):
+    rows = [("a", 10.0, 200), ("a", 30.0, 500), ("b", 7.0, 429), ("c", None, 200), (None, 1.0, 201), (None, 3.0, None)]
+    requests = spark.createDataFrame(rows, "node string, latency_ms double, status int")
+    got = as_rows(slo.request_quantiles(requests, ["node"]), "node", "latency_p50_ms", "served_latency_p50_ms")
+    assert got == sorted([("a", 20.0, 10.0), ("b", 7.0, 0.0), ("c", None, 0.0), (None, 2.0, 1.0)], key=repr)
+
+
+def test_latency_queries_judge_failed_requests_too(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    event = [(1, at(0), 5, "view", 100.0, '{"k": 1}'), (2, at(1), 5, "error", 900.0, '{"k": 1}'), (3, at(2), 6, "error", 500.0, '{"k": 2}')]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(event, schema).write.parquet(str(tmp_path / "events.parquet"))
+    quantiles = entry.queries()["latency_quantiles"](spark, str(tmp_path)).collect()
+    assert {r["node"]: (r["latency_p50_ms"], r["served_latency_p50_ms"]) for r in quantiles} == {1: (500.0, 100.0), 2: (500.0, 0.0)}
