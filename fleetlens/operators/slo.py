@@ -98,11 +98,11 @@ def request_quantiles(requests: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.groupBy(*by).agg(*every, *good)
 
 
-def with_sla_flag(quantiles: DataFrame, target_ms: float = SLA_P95_MS) -> DataFrame:
-    """p95 within target; a target of 0 or less, or no samples, always passes."""
-    p95 = F.col("latency_p95_ms")
+def with_sla_flag(quantiles: DataFrame, target_ms: float = SLA_P95_MS, kind: str = "") -> DataFrame:
+    """p95 within target; a target of 0 or less, or no samples, always passes. ``kind`` precedes both columns' names."""
+    p95 = F.col(f"{kind}latency_p95_ms")
     ok = F.lit(True) if target_ms <= 0 else (p95.isNull() | (p95 <= F.lit(float(target_ms))))
-    return quantiles.withColumn("sla_ok", ok)
+    return quantiles.withColumn(f"{kind}sla_ok", ok)
 
 
 def status_histogram(

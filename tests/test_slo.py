@@ -132,3 +132,5 @@ def test_latency_queries_judge_failed_requests_too(spark, tmp_path):
     spark.createDataFrame(event, schema).write.parquet(str(tmp_path / "events.parquet"))
     quantiles = entry.queries()["latency_quantiles"](spark, str(tmp_path)).collect()
     assert {r["node"]: (r["latency_p50_ms"], r["served_latency_p50_ms"]) for r in quantiles} == {1: (500.0, 100.0), 2: (500.0, 0.0)}
+    flags = {r["api_key_id"]: (r["sla_ok"], r["served_sla_ok"]) for r in entry.queries()["sla_flag"](spark, str(tmp_path)).collect()}
+    assert flags == {5: (False, True), 6: (False, True)}
