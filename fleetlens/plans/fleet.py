@@ -200,10 +200,10 @@ QUERIES = {
                    FROM per LEFT JOIN router_snapshot s ON s.name = per.name AND s.cluster_id = per.cluster_id"""),
     ),
     "expected_node_checks": Query(
-        lambda t: fleet.expected_node_checks(_expected(t), t.up_nodes, SCOPE, t.scopes),
-        with_views("up_nodes", "node_registry",
+        lambda t: fleet.expected_node_checks(_expected(t), t.nodes, SCOPE, t.scopes),
+        with_views("nodes", "node_registry",
                    sql=f"""SELECT e.cluster_id, e.name, e.expected_ip AS expected, e.expected_ip = '' OR coalesce(s.alive, false) AS passed,
-                   {_CHECK_TEXT} AS detail FROM node_registry e LEFT JOIN {_SEEN_SQL} s
+                   {_CHECK_TEXT} AS detail FROM node_registry e LEFT JOIN {_SEEN_SQL.replace('up_nodes', 'nodes')} s
                    ON s.node_ip = e.expected_ip AND s.cluster_id = e.cluster_id"""),
     ),
     "head_check": Query(

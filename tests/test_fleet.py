@@ -312,3 +312,21 @@ def test_scopes_without_nodes_are_there(spark):
     scopes = spark.createDataFrame([(0, 7), (1, 7), (1, 8)], "cluster_id int, snapshot_ts int")
     named = fleet.lifecycle_by_name(registry, history, replicas.withColumn("snapshot_ts", F.lit(7)), late, scope=("cluster_id", "snapshot_ts"), scopes=scopes)
     assert {(r.cluster_id, r.snapshot_ts, r.name, r.joined) for r in named.collect()} == {(0, 7, "a", True), (1, 7, "b", False), (1, 8, "b", False)}
+
+
+CUSTOMER = "c_custkey long, c_name string, c_nationkey int, c_mktsegment string, c_acctbal double"
+
+
+@pytest.fixture
+def sixth_cluster(spark, tmp_path):
+    """One customer, the node at 10.0.1.1 of cluster 5."""
+    spark.createDataFrame([(126, "c", 0, "BUILDING", 1.0)], CUSTOMER).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(10, 126, "O")], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    return str(tmp_path)
+
+
+def test_nodes_of_every_cluster_are_checked(spark, sixth_cluster):
+    import __spark_entry__ as entry
+
+    checks = entry.queries()["expected_node_checks"](spark, sixth_cluster).collect()
+    assert [(r.cluster_id, r.expected, r.passed, r.detail) for r in checks] == [(5, "10.0.1.1", True, "ALIVE")]
