@@ -241,11 +241,11 @@ QUERIES = {
     ),
     "expected_covered": Query(
         lambda t: fleet.expected_covered(
-            t.node_registry.select("cluster_id", F.col("expected_ip").alias("node_ip")), t.up_replicas, SCOPE, t.scopes
+            t.node_registry.select("cluster_id", F.col("expected_ip").alias("node_ip")), t.replicas, SCOPE, t.scopes
         ),
-        with_views("up_replicas", "node_registry", sql="""SELECT g.cluster_id, count(*) FILTER (r.node_ip IS NULL) AS missing,
+        with_views("replicas", "node_registry", sql="""SELECT g.cluster_id, count(*) FILTER (r.node_ip IS NULL) AS missing,
             bool_and(r.node_ip IS NOT NULL) AS covered FROM node_registry g
-            LEFT JOIN (SELECT DISTINCT cluster_id, node_ip FROM up_replicas WHERE state = 'RUNNING') r
+            LEFT JOIN (SELECT DISTINCT cluster_id, node_ip FROM replicas WHERE state = 'RUNNING') r
             ON r.node_ip = g.expected_ip AND r.cluster_id = g.cluster_id GROUP BY 1"""),
     ),
     "replica_spread": Query(

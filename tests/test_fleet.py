@@ -321,7 +321,7 @@ CUSTOMER = "c_custkey long, c_name string, c_nationkey int, c_mktsegment string,
 def sixth_cluster(spark, tmp_path):
     """One customer, the node at 10.0.1.1 of cluster 5."""
     spark.createDataFrame([(126, "c", 0, "BUILDING", 1.0)], CUSTOMER).write.parquet(str(tmp_path / "customer.parquet"))
-    spark.createDataFrame([(10, 126, "O")], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(12, 126, "O")], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
     return str(tmp_path)
 
 
@@ -330,3 +330,10 @@ def test_nodes_of_every_cluster_are_checked(spark, sixth_cluster):
 
     checks = entry.queries()["expected_node_checks"](spark, sixth_cluster).collect()
     assert [(r.cluster_id, r.expected, r.passed, r.detail) for r in checks] == [(5, "10.0.1.1", True, "ALIVE")]
+
+
+def test_replicas_of_every_cluster_cover(spark, sixth_cluster):
+    import __spark_entry__ as entry
+
+    covered = entry.queries()["expected_covered"](spark, sixth_cluster).collect()
+    assert [(r.cluster_id, r.missing, r.covered) for r in covered] == [(5, 0, True)]
