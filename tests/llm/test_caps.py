@@ -65,3 +65,20 @@ def test_no_credential_is_stored(spark, monkeypatch):
     secret_scan.fit(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     stored = str(kept)
     assert kept and not any(s in stored for s in secrets) and "Zz9" not in stored
+
+
+def test_every_value_is_an_example(spark):
+    """More values than a sample would hold, among them a long one: each is in the counts."""
+    from collections import Counter
+
+    texts = [f"password = {'b' * (8 + i % 5)}{i:04d} " for i in range(700)] + ["token: " + "Zz9" * 100, "see " + "qq7w" * 5 + " " + "qq7x" * 5]
+    values = [t.split()[2] for t in texts[:700]] + ["Zz9" * 100]
+    kept = {}
+    real = secret_scan.inferred
+    try:
+        secret_scan.inferred = lambda counts, *a: kept.setdefault(len(kept), counts) and real(counts, *a)
+        secret_scan.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    finally:
+        secret_scan.inferred = real
+    assert Counter({s: n for s, n in secret_scan.continuations(map(secret_scan.symbols, values)).items()}) in kept.values()
+    assert secret_scan.continuations(["gg0g" * 5] * 2) in kept.values()
