@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.operators.scan import (
@@ -152,7 +152,7 @@ def node_failovers(
     which take the traffic, when it failed; it is null for nodes that ``nodes`` does not list.
 
     Between two healthy probes of a node there is one failover at most, so a count of healthy probes numbers them;
-    how many better nodes are down is a running sum over their failovers and recoveries.
+    how many better nodes are down is a running sum over the failovers and recoveries of blocks of nodes.
     """
     scope = list(scope)
     keys = [*scope, "node"]
@@ -186,32 +186,79 @@ def node_failovers(
         scanned.withColumn("__up", time_up).where(F.col("ok") | triggers).groupBy(KEY, "__up").agg(
             F.min(F.when(triggers, moment)).alias("down"), F.min(F.when(F.col("ok"), moment)).alias("back")
         ).where("down is not null")
-    ).drop("__up")
-    ranked = nodes.select(*keys, "priority")
-    better = ranked.select(*scope, F.col("node").alias("__better"), F.col("priority").alias("__p"))
-    pairs = ranked.join(better, scope).where((F.col("__p") < F.col("priority")) | ((F.col("__p") == F.col("priority")) & (F.col("__better") < F.col("node"))))
-    ahead = ranked.join(pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys, "left").select(*keys, F.coalesce("__n", F.lit(0)).alias("__ahead"))
-    moves = found.select(*scope, F.col("node").alias("__better"), F.inline(F.array(
-        F.struct("down.ts", "down.seq", F.lit(1).alias("__d")), F.struct("back.ts", "back.seq", F.lit(-1).alias("__d"))
-    ))).where(F.col("ts").isNotNull())
-    others = moves.join(pairs.select(*keys, "__better"), [*scope, "__better"]).select(*keys, "ts", "seq", "__d", F.lit(None).cast("struct<ts:timestamp,seq:bigint,cause:string>").alias("back"), F.lit(None).cast("string").alias("cause"))
-    own = found.select(*keys, "down.ts", "down.seq", F.lit(0).alias("__d"), F.col("back").cast("struct<ts:timestamp,seq:bigint,cause:string>").alias("back"), "down.cause")
+    )
+    parts = _by_blocks(found.join(_ranks(nodes, scope), keys, "left"), primary_count).select(
+        *scope, "__block", "ts", "seq", "__d", "__of"
+    )
     summed = chunked_scan(
-        pack(others.unionByName(own), keys),
-        _order(),
+        pack(parts, [*scope, "__block"]),
+        # What happens at the same moment does not count.
+        [*_order(), F.col("__of").isNull().asc()],
         by_time(F.col("ts"), chunk_s),
         local={"__here": lambda w: F.sum("__d").over(so_far(w))},
         summary={"__sum": F.sum("__d")},
         carry={"__earlier": lambda w: F.sum("__sum").over(w)},
     )
     down = F.col("__here") + F.coalesce("__earlier", F.lit(0))
-    judged = unpack(summed.withColumn("__down", down).where("cause is not null")).join(ahead, keys, "left")
-    return judged.select(
-        *keys, F.col("ts").alias("failover_ts"), "seq", "cause", F.col("back.ts").alias("recovered_ts"),
-        (F.col("__ahead") - F.col("__down") < primary_count).alias("routing_impact"),
+    asked = unpack(summed.withColumn("__down", down).where(F.col("__of").isNotNull()))
+    # One row for each failover again: its blocks are disjoint.
+    one = asked.groupBy(*scope, "__of").agg(F.sum("__down").alias("__down"), F.first(F.struct("ts", "seq")).alias("down"))
+    return one.select(
+        *scope, "__of.node", F.col("down.ts").alias("failover_ts"), "down.seq", "__of.cause", F.col("__of.back").alias("recovered_ts"),
+        (F.col("__of.ahead") - F.col("__down") < primary_count).alias("routing_impact"),
     )
 
 
+def _ranks(nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """``__ahead``, the number of better nodes of the scope, by priority, then name, and ``__levels``, the bits of the largest.
+
+    Nodes without a priority have no better ones and are better than none; ``__counts`` is false for them.
+    """
+    counts = F.col("priority").isNotNull() & F.col("node").isNotNull()
+    listed = nodes.groupBy(*scope, "node").agg(F.min("priority").alias("priority")).withColumn("__counts", counts)
+    of_scope = Window.partitionBy(*scope, "__counts")
+    ahead = F.when(counts, F.rank().over(of_scope.orderBy("priority", "node")) - 1).otherwise(0)
+    levels = F.length(F.bin(F.max("__ahead").over(of_scope)))
+    return listed.withColumn("__ahead", ahead).withColumn("__levels", levels).drop("priority")
+
+
+def _by_blocks(found: DataFrame, primary_count: int) -> DataFrame:
+    """Failovers as questions to blocks of ranks, and their changes of the blocks that their nodes are in.
+
+    The ranks before one are disjoint blocks of sizes of powers of two, one for each bit set in it, and a rank is in one block of
+    each size: rows grow with the logarithm of the nodes, not with their number. A question has the failover in ``__of``; who is
+    among the first anyhow, or not listed, asks a block that nothing changes.
+    """
+    ahead = F.col("__ahead")
+    levels = F.sequence(F.lit(0), F.col("__levels") - 1)
+
+    def block(level: Column | int, number: Column) -> Column:
+        return (number * 64 + level).cast("long")
+
+    def shifted(level: Column) -> Column:
+        return F.call_function("shiftright", ahead, level)
+
+    none = F.array().cast("array<bigint>")
+    # Only blocks of even number are ever whole before a rank.
+    mine = F.transform(F.filter(levels, lambda b: shifted(b) % 2 == 0), lambda b: block(b, shifted(b)))
+    before = F.transform(F.filter(levels, lambda b: shifted(b) % 2 == 1), lambda b: block(b, shifted(b) - 1))
+    free = ahead.isNull() | (ahead < max(primary_count, 1))
+    of = F.struct("node", "__up", "down.cause", F.col("back.ts").alias("back"), ahead.alias("ahead"))
+    nobody = F.when(F.lit(False), of)
+
+    def row(blocks: Column, moment: str, change: int, failover: Column) -> Column:
+        return F.transform(
+            F.coalesce(blocks, none),
+            lambda b: F.struct(b.alias("__block"), F.col(f"{moment}.ts").alias("ts"), F.col(f"{moment}.seq").alias("seq"), F.lit(change).alias("__d"), failover.alias("__of")),
+        )
+
+    changed = F.when(F.col("__counts"), mine)
+    asks = F.when(free, F.array(block(63, F.coalesce(ahead, F.lit(-1))))).otherwise(before)
+    rows = F.concat(row(changed, "down", 1, nobody), row(F.when(F.col("back").isNotNull(), changed), "back", -1, nobody), row(asks, "down", 0, of))
+    rest = [c for c in found.columns if not c.startswith("__") and c not in ("node", "down", "back")]
+    return found.select(*rest, F.inline(rows))
+
+
 def respawn_counts(downtimes: DataFrame, keys: Sequence[str] = NODE_KEYS) -> DataFrame:
     """Recoveries and total downtime per node."""
     return downtimes.groupBy(*keys).agg(

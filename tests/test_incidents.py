@@ -175,3 +175,26 @@ def test_failovers_by_probes_and_requests_match_a_plain_loop(spark, chunk_s):
     assert {v[0] for v in want.values()} == {"probe", "request"} and {v[2] for v in want.values()} == {True, False}
     events = inc.node_failovers(probes, df.where("kind = 'request'"), nodes.limit(0)).limit(1).collect()
     assert events[0].routing_impact is None
+
+
+def test_failovers_among_many_nodes_change_few_blocks(spark):
+    """Rows grow with the logarithm of the nodes, and the primaries are right wherever a node ranks."""
+    rng = random.Random(6)
+    n = 70
+    nodes = spark.createDataFrame([(0, i, i // 2) for i in range(n)], "cluster_id int, node int, priority int")
+    rows, down, want = [], set(), {}
+    for i in range(700):
+        node, ok = rng.randrange(n), rng.random() < 0.5
+        rows.append((0, node, at(i), i, ok))
+        if ok:
+            down.discard(node)
+        elif node not in down:
+            want[i] = sum(m not in down for m in range(node)) < 20
+            down.add(node)
+    df = spark.createDataFrame(rows, "cluster_id int, node int, ts timestamp, seq bigint, healthy boolean")
+    got = inc.node_failovers(df.where("healthy"), df.where("not healthy").drop("healthy"), nodes, primary_count=20, chunk_s=50)
+    assert {r.seq: r.routing_impact for r in got.collect()} == want and len(set(want.values())) == 2
+    moment = F.struct("ts", "seq", F.lit("request").alias("cause"))
+    found = df.where("seq < 50").withColumn("__up", F.col("seq")).withColumn("down", moment).withColumn("back", moment)
+    made = inc._by_blocks(found.drop("ts", "seq", "healthy").join(inc._ranks(nodes, ["cluster_id"]), ["cluster_id", "node"]), 20)
+    assert made.count() <= 50 * 3 * 7
