@@ -44,7 +44,8 @@ def write_records(records: DataFrame, path: str, buckets: int = BUCKETS) -> None
     Each record keeps the key it would have as a single object. Buckets rather than one folder per job
     keep the number of folders bounded: offline records go by job, online ones, which have none, by request.
     Adaptive execution splits large buckets among tasks, so the number of tasks follows the data, whatever
-    a job's share is. A table is read with the number of buckets it was written with.
+    a job's share is. A table is read with the number of buckets it was written with. Records repeat their
+    fields' names and much else, so the files are compressed; readers see that by their names.
     """
     job = _job(F.col("metadata"))
     laid_out = records.select(
@@ -54,7 +55,8 @@ def write_records(records: DataFrame, path: str, buckets: int = BUCKETS) -> None
         F.when(job.isNull(), "online").otherwise("offline").alias("channel"),
         _bucket(F.coalesce(job, F.col("request_id")), buckets).alias("bucket"),
     )
-    laid_out.hint("rebalance", "channel", "bucket").write.mode("append").partitionBy("channel", "bucket").json(path)
+    dealt = laid_out.hint("rebalance", "channel", "bucket")
+    dealt.write.mode("append").partitionBy("channel", "bucket").option("compression", "gzip").json(path)
 
 
 def read_records(spark: SparkSession, path: str, job: str | None = None, buckets: int = BUCKETS) -> DataFrame:

@@ -126,6 +126,16 @@ def test_records_by_channel_and_job(spark, tmp_path):
     assert [(r["request_id"], r["job"], r["metadata"]) for r in online] == [("z", None, {})]
 
 
+def test_records_take_a_fraction_of_their_text(spark, tmp_path):
+    names = ("request_id", "timestamp", "model_name", "input_messages", "output_response", "latency_ms", "prompt_tokens", "completion_tokens", "total_tokens", "metadata")
+    values = ("uuid()", "id", "'m'", "array(named_struct('role', 'user', 'content', 'p'))", "'{}'", "0D", "1L", "1L", "2L", "map('ray_job_id', 'raysubmit_1')")
+    sinks.write_records(spark.range(5000).selectExpr(*[f"{v} AS {n}" for n, v in zip(names, values)]), str(tmp_path))
+    back = sinks.read_records(spark, str(tmp_path), "ray_job_1")
+    assert back.agg(F.sum("timestamp")).first()[0] == sum(range(5000))
+    text = back.select(F.sum(F.length(F.to_json(F.struct(*names))))).first()[0]
+    assert 0 < sum(f.stat().st_size for f in tmp_path.glob("*/*/part-*")) < text / 3
+
+
 def test_logs_and_events_round_trip(spark, tmp_path, as_rows):
     rows = [("a.log", 2, "z"), ("b.log", 1, ""), ("a.log", 1, "x\ny\r")]
     sinks.write_logs(spark.createDataFrame(rows, "filename string, seq int, text string").repartition(3), str(tmp_path))
