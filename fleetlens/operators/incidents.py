@@ -254,7 +254,9 @@ def _by_blocks(found: DataFrame, primary_count: int) -> DataFrame:
 
     changed = F.when(F.col("__counts"), mine)
     asks = F.when(free, F.array(block(63, F.coalesce(ahead, F.lit(-1))))).otherwise(before)
-    rows = F.concat(row(changed, "down", 1, nobody), row(F.when(F.col("back").isNotNull(), changed), "back", -1, nobody), row(asks, "down", 0, of))
+    # Moments without a time change nothing.
+    begins, ends = (F.when(F.col(f"{moment}.ts").isNotNull(), changed) for moment in ("down", "back"))
+    rows = F.concat(row(begins, "down", 1, nobody), row(ends, "back", -1, nobody), row(asks, "down", 0, of))
     rest = [c for c in found.columns if not c.startswith("__") and c not in ("node", "down", "back")]
     return found.select(*rest, F.inline(rows))
 
