@@ -30,6 +30,7 @@ from fleetlens.streaming.run import CLOSING_US, state_partitions
 MICROS = 1_000_000
 SILENT_S = 30 * 86400.0  # a key without rows for so long is closed
 UNTIMED = -(1 << 63)
+SHARDS = 1024  # groups that the keys of an ordered machine are dealt to
 
 
 def _in_order(rows: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
@@ -72,21 +73,23 @@ def _from_bytes(body: bytes) -> pd.DataFrame:
 class OrderedProcessor(StatefulProcessor):
     """Releases the rows of a key in the order of ``ORDER`` once the watermark has passed their time.
 
+    A group is a shard of the keys, as each call and each access to state has a price that a key with few rows would
+    not be worth; rows carry their key as JSON in ``key``, and every key of a shard has a machine of its own.
     Rows wait in state as sorted parts, one per batch of rows received, kept by their first and
     last time; a release reads only parts that begin before the watermark, and only parts that overlap
-    are held at once. A timer is set for the earliest of: the first waiting row, the time at which the machine
+    are held at once. A timer is set for the earliest of: the first waiting row, the time at which a machine
     wants to act if no row comes before (:meth:`wake`), and the end of the patience with a silent key.
     Rows of the closing mark (see :func:`fleetlens.streaming.run.run_to_end`) are ignored.
 
-    A machine gives its state as one tuple of the DDL ``STATE``, None for none, and its rows as tuples of ``COLUMNS``;
-    ``late`` is added to both.
+    A machine gives its state as one tuple of plain values, None for none, and its rows as tuples of ``COLUMNS``;
+    ``late`` is added to these.
     """
 
     ORDER = ["at_us", "seq"]
-    STATE = ""
     OUTPUT = ""
     COLUMNS: list[str] = []
     silent_us: int | None = int(SILENT_S * MICROS)
+    keys: Sequence[str] = ()
 
     def step(self, key, rows: pd.DataFrame, state: tuple | None) -> tuple[list[tuple], tuple | None]:
         """Rows of the output and the state after ``rows``, sorted and before the watermark."""
@@ -115,35 +118,52 @@ class OrderedProcessor(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "from_us bigint, to_us bigint, part bigint", "rows binary")
-        self.machine = handle.getValueState("machine", self.STATE)
-        self.clock = handle.getValueState("clock", "due_ms bigint, last_us bigint, parts bigint")
+        self.machine = handle.getValueState("machine", "states string")
+        self.clock = handle.getValueState("clock", "due_ms bigint, parts bigint")
 
     def close(self) -> None:
         pass
 
+    def _key(self, text: str) -> tuple:
+        fields = json.loads(text)
+        return tuple(fields.get(k) for k in self.keys)
+
     def _out(self, rows: list[tuple], late: bool = False) -> pd.DataFrame:
-        return _frame(rows, self.COLUMNS).assign(late=late)
+        made = _frame(rows, self.COLUMNS).assign(late=late)
+        for i, (name, kind) in enumerate(f.split() for f in self.OUTPUT.split(", ")):
+            if kind in ("int", "bigint"):  # missing ones would make doubles of the others
+                made[name] = pd.Series([r[i] for r in rows], dtype=object)
+        return made
+
+    @staticmethod
+    def _by_key(rows: pd.DataFrame) -> Iterator[tuple[str, pd.DataFrame]]:
+        codes, names = pd.factorize(rows["key"])
+        order = np.argsort(codes, kind="stable")
+        rows = rows.iloc[order]
+        ends = np.cumsum(np.bincount(codes, minlength=len(names))).tolist()
+        for name, a, b in zip(names, [0, *ends], ends):
+            yield name, rows.iloc[a:b]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = self._passed(timerValues)
-        due, last, parts = self.clock.get() if self.clock.exists() else (None, None, 0)
+        due, parts = self.clock.get() if self.clock.exists() else (None, 0)
         for pdf in rows:
             pdf = pdf[pdf["at_us"] < CLOSING_US]
             behind = (pdf["at_us"] < passed) | (pdf["at_us"] == UNTIMED)
             if behind.any():
-                yield self._out(self.late(key, pdf[behind]), late=True)
+                yield self._out([r for k, mine in self._by_key(pdf[behind]) for r in self.late(self._key(k), mine)], late=True)
                 pdf = pdf[~behind]
             if len(pdf):
                 at = pdf["at_us"].to_numpy()
                 self.waiting.updateValue((int(at.min()), int(at.max()), parts), (_to_bytes(pdf),))
                 parts += 1
-        yield from self._advance(key, passed, due, last, parts)
+        yield from self._advance(passed, due, parts)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.clock.exists():
-            due, last, parts = self.clock.get()
+            due, parts = self.clock.get()
             expired = expiredTimerInfo.getExpiryTimeInMs()
-            yield from self._advance(key, self._passed(timerValues), None if due == expired else due, last, parts)
+            yield from self._advance(self._passed(timerValues), None if due == expired else due, parts)
         else:
             yield self._out([])
 
@@ -172,33 +192,49 @@ class OrderedProcessor(StatefulProcessor):
             yield rows.iloc[:due]
             at = end
 
-    def _advance(self, key, passed: int, due: int | None, last: int | None, parts: int) -> Iterator[pd.DataFrame]:
-        state = tuple(self.machine.get()) if self.machine.exists() else None
-        out: list[tuple] = []
+    def _advance(self, passed: int, due: int | None, parts: int) -> Iterator[pd.DataFrame]:
+        states: dict[str, list] = json.loads(self.machine.get()[0]) if self.machine.exists() else {}
         for rows in self._released(passed, parts):
-            at = rows["at_us"].to_numpy()
-            before = np.concatenate(([at[0] if last is None else last], at[:-1]))
-            gaps = [] if self.silent_us is None else np.flatnonzero(at - before > self.silent_us).tolist()
-            bounds = [0, *[g for g in gaps if g], len(at)]
-            for a, b in zip(bounds, bounds[1:]):
-                if a in gaps:
-                    out, state = [*out, *self._closed(key, state, int(before[a]))], None
-                made, state = self.step(key, rows.iloc[a:b], state)
-                out += made
-            last = int(at[-1])
+            out: list[tuple] = []
+            for name, mine in self._by_key(rows):
+                out += self._stepped(name, mine, states)
             yield self._out(out)
-            out = []
-        if state is not None and (when := self.wake(state)) is not None and when <= passed:
-            made, state = self.woken(key, state)
-            out += made
-        if state is not None and self.silent_us is not None and last + self.silent_us < passed:
-            out, state = [*out, *self._closed(key, state, last)], None
+        out = []
+        for name, (state, last) in list(states.items()):
+            key = self._key(name)
+            if (when := self.wake(state)) is not None and when <= passed:
+                made, state = self.woken(key, state)
+                out += made
+            if state is not None and self.silent_us is not None and last + self.silent_us < passed:
+                out, state = [*out, *self._closed(key, state, last)], None
+            if state is None:
+                del states[name]
+            else:
+                states[name] = [state, last]
         yield self._out(out)
-        if state is None:
-            self.machine.clear()
+        if states:
+            self.machine.update((json.dumps(states),))
         else:
-            self.machine.update(state)
-        self._set_timer(due, self._next(state, last), last, parts)
+            self.machine.clear()
+        self._set_timer(due, self._next(states), parts)
+
+    def _stepped(self, name: str, rows: pd.DataFrame, states: dict[str, list]) -> list[tuple]:
+        """Rows of the output for released rows of one key, whose state is replaced."""
+        key = self._key(name)
+        state, last = states.pop(name, (None, None))
+        out: list[tuple] = []
+        at = rows["at_us"].to_numpy()
+        before = np.concatenate(([at[0] if last is None else last], at[:-1]))
+        gaps = [] if self.silent_us is None else np.flatnonzero(at - before > self.silent_us).tolist()
+        bounds = [0, *[g for g in gaps if g], len(at)]
+        for a, b in zip(bounds, bounds[1:]):
+            if a in gaps:
+                out, state = [*out, *self._closed(key, state, int(before[a]))], None
+            made, state = self.step(key, rows.iloc[a:b], state)
+            out += made
+        if state is not None:
+            states[name] = [state, int(at[-1])]
+        return out
 
     def _closed(self, key, state: tuple | None, last: int) -> list[tuple]:
         """What a machine does on its own until the silence ends it."""
@@ -210,16 +246,16 @@ class OrderedProcessor(StatefulProcessor):
             made, state = self.woken(key, state)
         return made if state is None else [*made, *self.silent(key, state, end)]
 
-    def _next(self, state: tuple | None, last: int | None) -> int | None:
+    def _next(self, states: dict[str, list]) -> int | None:
         times = [k[0] // 1000 + 1 for k in self.waiting.keys()]
-        if state is not None:
+        for state, last in states.values():
             if (when := self.wake(state)) is not None:
                 times.append(-(-when // 1000))
             if self.silent_us is not None:
                 times.append((last + self.silent_us) // 1000 + 1)
         return min(times, default=None)
 
-    def _set_timer(self, due: int | None, now: int | None, last: int | None, parts: int) -> None:
+    def _set_timer(self, due: int | None, now: int | None, parts: int) -> None:
         if due is not None and due != now:
             self.handle.deleteTimer(due)
         if now is None:
@@ -227,7 +263,7 @@ class OrderedProcessor(StatefulProcessor):
             return
         if due != now:
             self.handle.registerTimer(now)
-        self.clock.update((now, last, parts))
+        self.clock.update((now, parts))
 
 
 def _columns(rows: pd.DataFrame, *names: str) -> Iterator[tuple]:
@@ -240,7 +276,6 @@ class OutageProcessor(OrderedProcessor):
     An outage that a silent node leaves open ends in SILENT, with the time it lasted until then.
     """
 
-    STATE = "failures int, outage_us bigint"
     OUTPUT = "cluster_id int, node int, event string, ts timestamp, seq bigint, downtime_s double"
     COLUMNS = ["cluster_id", "node", "event", "ts", "seq", "downtime_s"]
 
@@ -276,7 +311,6 @@ class RtoProcessor(OrderedProcessor):
     A failover that nobody retries until its cluster has long been silent gives a row without a retrying node and time.
     """
 
-    STATE = "at_us bigint, node int"
     OUTPUT = "cluster_id int, ts timestamp, node int, failed_node int, elapsed_seconds double"
     COLUMNS = ["cluster_id", "ts", "node", "failed_node", "elapsed_seconds"]
 
@@ -303,7 +337,6 @@ class RtoProcessor(OrderedProcessor):
 class SlaProcessor(OrderedProcessor):
     """p95 of the last samples per node and whether it is within target, whenever samples are released."""
 
-    STATE = "samples array<double>"
     OUTPUT = "cluster_id int, node int, seq bigint, samples int, latency_p95_ms double, sla_ok boolean"
     COLUMNS = ["cluster_id", "node", "seq", "samples", "latency_p95_ms", "sla_ok"]
 
@@ -331,7 +364,6 @@ class AlertHoldProcessor(OrderedProcessor):
     passes that time without one.
     """
 
-    STATE = "since_us bigint, fired boolean"
     OUTPUT = "cluster_id int, node int, zero_since timestamp, firing_ts timestamp"
     COLUMNS = ["cluster_id", "node", "zero_since", "firing_ts"]
 
@@ -372,7 +404,6 @@ class RateLimitProcessor(OrderedProcessor):
     """
 
     ORDER = ["at_us", "request_id"]
-    STATE = "accepted array<bigint>"
     OUTPUT = "api_key_id bigint, request_id bigint, ts timestamp, accepted boolean"
     COLUMNS = ["api_key_id", "request_id", "ts", "accepted"]
 
@@ -393,7 +424,6 @@ class RateLimitProcessor(OrderedProcessor):
 class JobStateProcessor(OrderedProcessor):
     """The newest status per job, emitted whenever a release brings one."""
 
-    STATE = "at_us bigint"
     OUTPUT = "job_id bigint, status string, ts timestamp, seq bigint"
     COLUMNS = ["job_id", "status", "ts", "seq"]
 
@@ -509,8 +539,10 @@ def ordered(
     before the processor could flag them.
     """
     at = F.coalesce(F.unix_micros("ts"), F.lit(UNTIMED)).alias("at_us")
-    rows = stream.withWatermark("ts", lateness).select(*keys, at, *columns)
-    return keyed(rows, list(keys), processor, processor.ORDER, event_time=True)
+    shard = F.pmod(F.xxhash64(*keys), F.lit(SHARDS)).cast("int").alias("shard")
+    rows = stream.withWatermark("ts", lateness).select(shard, F.to_json(F.struct(*keys)).alias("key"), at, *columns)
+    processor.keys = list(keys)
+    return keyed(rows, ["shard"], processor, processor.ORDER, event_time=True)
 
 
 def keyed(

@@ -14,7 +14,7 @@ from fleetlens.operators.admission import rate_limit_labels
 from fleetlens.operators.batch import latest_job_state
 from fleetlens.operators.transcripts import sse_transcripts
 from fleetlens.streaming import queries as sq
-from fleetlens.streaming.run import parquet_stream, run_available, run_to_end
+from fleetlens.streaming.run import _append, parquet_stream, run_available, run_to_end
 
 
 def at(seconds):
@@ -221,3 +221,14 @@ def test_access_log_lines_as_a_stream(spark, tmp_path, as_rows):
     assert got.count() == 10 and got.where("status = 404 AND latency_ms IS NULL").count() == 10
     minutes = run_available(sq.stream_traffic(stream_access_log(spark, str(folder)), lateness="0 seconds"), "t")
     assert as_rows(minutes, "window_start", "requests", "errors_4xx") == [(at(0), 5, 5)]
+
+
+def test_many_keys_share_the_state_of_few_shards(spark, tmp_path):
+    """Calls and accesses to state grow with the shards; every row keeps its own key, a missing one too."""
+    data = [(i % 3000 or None, i, at(i * 0.01)) for i in range(6000)]
+    stream, _ = files(spark, str(tmp_path / "q"), data, "api_key_id bigint, request_id bigint, ts timestamp", 1)
+    got = run_to_end(stream, lambda s: sq.stream_rate_limit(s, 1, 1e9), "t").collect()
+    assert {(r.request_id, r.api_key_id, r.accepted) for r in got} == {(i, i % 3000 or None, i < 3000) for i in range(6000)}
+    open_ = str(tmp_path / "open")
+    _append(sq.stream_rate_limit(stream, 1, 1e9), str(tmp_path / "out"), open_)
+    assert 0 < max(state_rows(spark, open_)) <= 1024
