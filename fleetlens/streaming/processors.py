@@ -17,7 +17,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -30,20 +30,8 @@ from fleetlens.streaming.run import CLOSING_US, state_partitions
 MICROS = 1_000_000
 SILENT_S = 30 * 86400.0  # a key without rows for so long is closed
 UNTIMED = -(1 << 63)
-SHARDS = 1024  # groups that the keys of an ordered machine are dealt to
-
-
-def _in_order(rows: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
-    """The Arrow batches of a key, checked to be sorted within and across batches."""
-    last = None
-    for pdf in rows:
-        if pdf.empty:
-            continue
-        column = pdf[by]
-        if not column.is_monotonic_increasing or (last is not None and column.iloc[0] < last):
-            raise ValueError(f"rows of a key must arrive sorted by {by}")
-        last = column.iloc[-1]
-        yield pdf
+SHARDS = 1024  # groups that the keys of a machine are dealt to
+OUT_ROWS = 1000  # transcripts that a timer gives at once
 
 
 def _micros(series: pd.Series) -> list[int]:
@@ -453,8 +441,42 @@ def event_delta(line: str) -> str | None:
     return token if isinstance(token, str) and token else None
 
 
+class _Response:
+    """A streamed response as far as its chunks have come; ``found`` are tokens that are not in state yet."""
+
+    def __init__(self, request: str | None, last: int, fields: Sequence | None) -> None:
+        self.request, self.last, self.closed = request, last, fields is None
+        self.begin, self.token, self.partial, self.parts = fields or (None, None, "", 0)
+        self.found: list[str] = []
+        self.seq = None
+        self.done = False
+
+    def fields(self) -> tuple | None:
+        return None if self.closed else (self.begin, self.token, self.partial, self.parts)
+
+    def read(self, seq, at: int, chunk: str) -> None:
+        """The next chunk, checked to come in the order of ``seq``."""
+        if seq != seq or (self.seq is not None and seq < self.seq):
+            raise ValueError("rows of a key must arrive sorted by seq")
+        self.seq, self.last = seq, at
+        *lines, self.partial = (self.partial + chunk).split("\n")
+        for line in lines:
+            self.add(event_delta(line))
+            self.done = self.done or line.strip() == "data: [DONE]"
+
+    def add(self, delta: str | None) -> None:
+        if delta is not None and not self.closed:
+            self.found.append(delta)
+            self.token = self.last if self.token is None else self.token
+
+
 class TranscriptProcessor(StatefulProcessor):
-    """Text and timing of each streamed response, closed by [DONE] or by silence."""
+    """Text and timing of each streamed response, closed by [DONE] or by silence.
+
+    A group is a shard of the responses, as in :class:`OrderedProcessor`. ``responses`` lists those of a shard that are
+    not silent yet, closed ones too, so that chunks after [DONE] start no second transcript; ``pieces`` has the text of those
+    that a batch left open, one entry per batch. The timer of a shard is that of the response that is silent first.
+    """
 
     OUTPUT = (
         "request_id string, text string, output_tokens bigint, ttft_ms double, "
@@ -467,69 +489,100 @@ class TranscriptProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.meta = handle.getValueState(
-            "meta", "begin_us bigint, token_us bigint, last_us bigint, partial string, due_ms bigint, closed boolean"
-        )
-        self.tokens = handle.getListState("tokens", "token string")
-
-    def _finish(self, key, begin: int, token: int | None, last: int) -> tuple:
-        pieces = [row[0] for row in self.tokens.get()] if self.tokens.exists() else []
-        latency = (last - begin) / 1000.0
-        ttft = None if token is None else (token - begin) / 1000.0
-        rate = len(pieces) / (latency / 1000.0) if latency > 0 else 0.0
-        return (*key, "".join(pieces), len(pieces), ttft, latency, rate)
+        self.responses = handle.getValueState("responses", "responses string")
+        self.pieces = handle.getMapState("pieces", "request_id string, part bigint", "tokens bigint, text string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.meta.exists():
-            begin, token, last, partial, due, closed = self.meta.get()
+    def _known(self) -> dict[str | None, tuple]:
+        """Time of the last chunk and other fields by response; closed ones have no other fields."""
+        known = json.loads(self.responses.get()[0]) if self.responses.exists() else []
+        return {request: (last, fields) for request, last, fields in known}
+
+    def _keep(self, known: dict[str | None, tuple], due: int | None) -> None:
+        """Put the responses back and replace the timer at ``due``."""
+        now = self._due(known)
+        if due is not None and due != now:
             self.handle.deleteTimer(due)
-        else:
-            begin, token, last, partial, closed = None, None, None, "", False
-        done = False
-        for pdf in _in_order(rows, "seq"):
-            times = _micros(pdf["ts"])
-            if begin is None:
-                begin = _micros(pdf["started_at"].head(1))[0] if "started_at" in pdf else times[0]
-            found = []
-            for at, chunk in zip(times, pdf["chunk"].tolist()):
-                *lines, partial = (partial + chunk).split("\n")
-                last = at
-                for line in lines:
-                    delta = event_delta(line)
-                    if delta is not None:
-                        found.append((delta,))
-                        token = at if token is None else token
-                    done = done or line.strip() == "data: [DONE]"
-            if found and not closed:
-                self.tokens.appendList(found)
+        if now is None:
+            self.responses.clear()
+            return
+        if due != now:
+            self.handle.registerTimer(now)
+        self.responses.update((json.dumps([(request, *rest) for request, rest in known.items()]),))
+
+    def _silent_ms(self, last: int) -> int:
+        return -(-(last + self.timeout_us) // 1000)
+
+    def _due(self, known: dict[str | None, tuple]) -> int | None:
+        return self._silent_ms(min(last for last, _ in known.values())) if known else None
+
+    def _finish(self, response: _Response) -> tuple:
+        keys = [(response.request, part) for part in range(response.parts)]
+        stored = [self.pieces.getValue(k) for k in keys]
+        for k in keys:
+            self.pieces.removeKey(k)
+        count = sum(tokens for tokens, _ in stored) + len(response.found)
+        latency = (response.last - response.begin) / 1000.0
+        ttft = None if response.token is None else (response.token - response.begin) / 1000.0
+        rate = count / (latency / 1000.0) if latency > 0 else 0.0
+        return response.request, "".join([*(text for _, text in stored), *response.found]), count, ttft, latency, rate
+
+    def _leave(self, response: _Response, known: dict[str | None, tuple]) -> list[tuple]:
+        """Rows of the output and the state of a response after its chunks of a batch."""
         out = []
-        if done and not closed:
-            out.append(self._finish(key, begin, token, last))
-            self.tokens.clear()
-            closed = True
-        due = -(-(last + self.timeout_us) // 1000)
-        self.meta.update((begin, token, last, partial, due, closed))
-        self.handle.registerTimer(due)
-        yield _frame(out, self.COLUMNS)
+        if response.done and not response.closed:
+            out.append(self._finish(response))
+            response.closed = True
+        elif response.found:
+            self.pieces.updateValue((response.request, response.parts), (len(response.found), "".join(response.found)))
+            response.parts += 1
+        known[response.request] = (response.last, response.fields())
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        known = self._known()
+        due = self._due(known)
+        response = None
+        for pdf in rows:
+            out = []
+            times = _micros(pdf["ts"])
+            started = _micros(pdf["started_at"]) if "started_at" in pdf else times
+            for request, seq, at, begin, chunk in zip(pdf["request_id"].tolist(), pdf["seq"].tolist(), times, started, pdf["chunk"].tolist()):
+                if response is None or request != response.request:
+                    out += [] if response is None else self._leave(response, known)
+                    response = _Response(request, *known.get(request, (at, (begin, None, "", 0))))
+                response.read(seq, at, chunk)
+            yield _frame(out, self.COLUMNS)
+        if response is not None:
+            yield _frame(self._leave(response, known), self.COLUMNS)
+        self._keep(known, due)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.meta.exists():
-            begin, token, last, partial, _, closed = self.meta.get()
-            if not closed:
-                delta = event_delta(partial or "")
-                if delta is not None:
-                    self.tokens.appendValue((delta,))
-                    token = last if token is None else token
-                out.append(self._finish(key, begin, token, last))
-            self.meta.clear()
-            self.tokens.clear()
+        known = self._known()
+        due, expired = self._due(known), expiredTimerInfo.getExpiryTimeInMs()
+        passed = timerValues.getCurrentWatermarkInMs()
+        out: list[tuple] = []
+        for request, (last, fields) in list(known.items()):
+            if self._silent_ms(last) > passed:
+                continue
+            del known[request]
+            response = _Response(request, last, fields)
+            if not response.closed:
+                response.add(event_delta(response.partial))
+                out.append(self._finish(response))
+            if len(out) == OUT_ROWS:
+                yield _frame(out, self.COLUMNS)
+                out = []
         yield _frame(out, self.COLUMNS)
+        self._keep(known, None if due == expired else due)
 
     def close(self) -> None:
         pass
 
 
+def shard(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SHARDS)).cast("int").alias("shard")
+
+
 def ordered(
     stream: DataFrame, keys: Sequence[str], columns: Sequence[str], processor: OrderedProcessor, lateness: str
 ) -> DataFrame:
@@ -539,8 +592,7 @@ def ordered(
     before the processor could flag them.
     """
     at = F.coalesce(F.unix_micros("ts"), F.lit(UNTIMED)).alias("at_us")
-    shard = F.pmod(F.xxhash64(*keys), F.lit(SHARDS)).cast("int").alias("shard")
-    rows = stream.withWatermark("ts", lateness).select(shard, F.to_json(F.struct(*keys)).alias("key"), at, *columns)
+    rows = stream.withWatermark("ts", lateness).select(shard(*keys), F.to_json(F.struct(*keys)).alias("key"), at, *columns)
     processor.keys = list(keys)
     return keyed(rows, ["shard"], processor, processor.ORDER, event_time=True)
 

@@ -108,5 +108,5 @@ def stream_job_state(job_events: DataFrame, lateness: str = LATENESS, silent_s:
 def stream_transcripts(chunks: DataFrame, timeout_s: float = 600.0, lateness: str = LATENESS) -> DataFrame:
     """Transcript and timing per streamed response; ``started_at`` is used where present."""
     columns = [c for c in ("request_id", "seq", "ts", "chunk", "started_at") if c in chunks.columns]
-    timed = chunks.select(*columns).withWatermark("ts", lateness)
-    return p.keyed(timed, ["request_id"], p.TranscriptProcessor(timeout_s), ["seq"], event_time=True)
+    timed = chunks.withWatermark("ts", lateness).select(p.shard("request_id"), *columns)
+    return p.keyed(timed, ["shard"], p.TranscriptProcessor(timeout_s), ["request_id", "seq"], event_time=True)

@@ -232,3 +232,26 @@ def test_many_keys_share_the_state_of_few_shards(spark, tmp_path):
     open_ = str(tmp_path / "open")
     _append(sq.stream_rate_limit(stream, 1, 1e9), str(tmp_path / "out"), open_)
     assert 0 < max(state_rows(spark, open_)) <= 1024
+
+
+def test_many_responses_share_the_state_of_few_shards(spark, tmp_path):
+    """Calls, timers and accesses to state grow with the shards; open responses go on in the next batch, closed ones stay closed."""
+    def lines(*tokens):
+        return "".join("data: " + json.dumps({"choices": [{"delta": {"content": t}}]}) + "\n\n" for t in tokens)
+
+    n, end = 3000, "data: [DONE]\n\n"
+    names = [None, *[str(i) for i in range(1, n)]]
+    # Even ones end in the first batch and go on all the same; the others are cut within a line.
+    first = [(names[i], 0, at(i * 0.01), lines(f"{i} a", " b") + (end if i % 2 == 0 else "data: {")) for i in range(n)]
+    second = [(names[i], 1, at(60 + i * 0.01), lines(" c") + end if i % 2 == 0 else (lines(" c") + end)[len("data: {") :]) for i in range(n)]
+    stream, _ = files(spark, str(tmp_path / "r"), first + second, "request_id string, seq bigint, ts timestamp, chunk string", 2)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    _append(sq.stream_transcripts(stream), out, checkpoint)
+    got = [(r.request_id, r.text, r.output_tokens, r.ttft_ms, r.latency_ms) for r in spark.read.parquet(out).collect()]
+    want = [(names[i], f"{i} a b", 2, 0.0, 0.0) if i % 2 == 0 else (names[i], f"{i} a b c", 3, 0.0, 60000.0) for i in range(n)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    state = spark.read.format("statestore").option("path", checkpoint)
+    assert 0 < state.option("readRegisteredTimers", True).load().count() <= 1024
+    state = spark.read.format("statestore").option("path", checkpoint)
+    assert 0 < state.option("stateVarName", "responses").load().count() <= 1024
+    assert state.option("stateVarName", "pieces").load().count() == 0
